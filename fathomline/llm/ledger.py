@@ -48,35 +48,24 @@ def policy_mask(policy: str) -> int:
     return sum(1 << RULES.index(rule) for rule in POLICIES[policy])
 
 
-def _covered(starts: Column, window: int) -> Column:
-    """Positions covered by windows that begin at the given ascending starts."""
-    first = F.when(F.size(starts) > 0, F.lit(window)).otherwise(F.lit(0))
-    gaps = F.zip_with(
-        F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))),
-        F.slice(starts, 1, F.greatest(F.size(starts) - 1, F.lit(0))),
-        lambda later, earlier: F.least(later - earlier, F.lit(window)),
+def _marked(pairs: Column) -> Column:
+    """Starts of windows whose hash stands beside an equal one in the sorted (hash, start) pairs, ascending."""
+    beside = F.transform(
+        pairs,
+        lambda p, k: F.when((F.get(pairs, k - 1)["h"] == p["h"]) | (F.get(pairs, k + 1)["h"] == p["h"]), p["i"]),
     )
-    return first + F.aggregate(gaps, F.lit(0), lambda acc, gap: acc + gap)
+    return F.sort_array(F.filter(beside, lambda i: i.isNotNull()))
 
 
-def _repeat_words(hashes: Column, window: int) -> Column:
-    """Words in windows whose hash occurs twice or more: sort (hash, start), keep starts beside an equal hash."""
-    pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    repeated = F.filter(
-        F.transform(
-            pairs,
-            lambda p, k: F.when(
-                (F.get(pairs, k - 1)["h"] == p["h"]) | (F.get(pairs, k + 1)["h"] == p["h"]), p["i"]
-            ),
-        ),
-        lambda i: i.isNotNull(),
-    )
-    return _covered(F.sort_array(repeated), window)
+def _covered(starts: Column, window: int) -> Column:
+    """Words covered by windows that begin at the given ascending starts."""
+    gaps = F.transform(starts, lambda s, k: F.least(F.coalesce(s - F.get(starts, k - 1), F.lit(window)), F.lit(window)))
+    return F.aggregate(gaps, F.lit(0), lambda acc, gap: acc + gap)
 
 
 def measure(docs: DataFrame, text: str = "text", params: LedgerParams = LedgerParams()) -> DataFrame:
     """Add MEASURES to docs. Windows are compared by 64-bit hashes of their words' 64-bit hashes."""
-    clash = {*MEASURES, "_words", "_lines", "_hashes", "_wh", "_distinct", "_repeats"} & set(docs.columns)
+    clash = {*MEASURES, "_words", "_lines", "_hashes", "_wh", "_pairs", "_starts"} & set(docs.columns)
     if clash:
         raise ValueError(f"columns would be overwritten: {sorted(clash)}")
     k, body = params.window, F.coalesce(F.col(text), F.lit(""))
@@ -94,7 +83,15 @@ def measure(docs: DataFrame, text: str = "text", params: LedgerParams = LedgerPa
             ),
         ).otherwise(F.array().cast("array<bigint>")),
     )
-    step = step.withColumn("_repeats", F.size(F.array_distinct("_hashes")) < F.size("_hashes"))
+    # Each step is a column of its own, so that no lambda evaluates an array again for every element.
+    step = step.withColumn(
+        "_pairs",
+        F.when(
+            F.size(F.array_distinct("_hashes")) < F.size("_hashes"),
+            F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+        ),
+    )
+    step = step.withColumn("_starts", F.when(F.col("_pairs").isNotNull(), _marked(F.col("_pairs"))))
     return step.select(
         *docs.columns,
         F.size("_words").cast("long").alias("n_words"),
@@ -103,7 +100,7 @@ def measure(docs: DataFrame, text: str = "text", params: LedgerParams = LedgerPa
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size("_lines").cast("long").alias("n_lines"),
         F.size(F.filter("_words", lambda w: w.endswith("!!"))).cast("long").alias("n_shouted"),
-        F.when(F.col("_repeats"), _repeat_words(F.col("_hashes"), k)).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.coalesce(_covered(F.col("_starts"), k), F.lit(0)).cast("long").alias("n_repeat_words"),
     )
 
 
