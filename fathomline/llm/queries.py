@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.llm import ledger, sql, urlrules
+from fathomline.llm import decontaminate, ledger, sql, urlrules
 from fathomline.session import table
 
 #: Rules of op9: (host, path, verdict).
@@ -19,6 +19,11 @@ URL_RULES = (
 )
 
 
+def op6_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.digest(decontaminate.find_spans(docs, table(spark, sf_dir, "benchmark")))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     return urlrules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("n_fitting")
@@ -42,8 +47,8 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_url_filter, op10_rule_ledger)}
+    return {f.__name__: f for f in (op6_fm_decontaminate, op9_url_filter, op10_rule_ledger)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": sql.OP9, "op10_rule_ledger": sql.OP10}
+    return {"op6_fm_decontaminate": sql.OP6, "op9_url_filter": sql.OP9, "op10_rule_ledger": sql.OP10}

@@ -48,3 +48,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (fail_mask & 3) <> 0 AS base_failed, fail_mask = 0 AS kept, fail_mask, 'v1' AS policy
 FROM f
 """
+
+OP6 = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+b AS (
+  SELECT item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark),
+phrases AS (
+  SELECT DISTINCT item_id, list_slice(words, i, i + least(len(words), 10) - 1) AS w, least(len(words), 10) AS k
+  FROM b, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS t(i) WHERE len(words) > 0),
+sizes AS (SELECT DISTINCT k FROM phrases),
+win AS (
+  SELECT rid, k, i, list_slice(words, i, i + k - 1) AS w
+  FROM d, sizes, unnest(range(1, greatest(len(words) - k + 2, 1))) AS t(i)),
+hits AS (SELECT win.rid, win.i, win.k, phrases.item_id FROM win JOIN phrases ON win.k = phrases.k AND win.w = phrases.w),
+n AS (SELECT rid, count(DISTINCT i + j) AS n_hit FROM hits, unnest(range(0, k)) AS t(j) GROUP BY rid),
+it AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS joined
+  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY rid)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN it USING (rid)
+"""
