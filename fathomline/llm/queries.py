@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import importlib.util
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.llm import decontaminate, ledger, sql, urlrules
+from fathomline.llm import decontaminate, langid, ledger, packing, sql, urlrules
 from fathomline.session import table
 
 #: Rules of op9: (host, path, verdict).
@@ -24,6 +26,27 @@ def op6_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_spans(docs, table(spark, sf_dir, "benchmark")))
 
 
+def vocabulary_path(name: str) -> str:
+    """A file of the public vocabularies: beside the installed package, or under FATHOMLINE_TOKENIZERS."""
+    folder = os.environ.get("FATHOMLINE_TOKENIZERS")
+    if folder is None:
+        found = importlib.util.find_spec("public_tokenizers")
+        folder = os.path.dirname(found.origin) if found else "/opt/tokenizers"
+    return os.path.join(folder, name)
+
+
+def op7_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    params = packing.PackParams(tokenizer=vocabulary_path("word_bpe_49k.json"))
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), params)
+
+
+def op8_rank_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = langid.held_out("doc_id", 3, 1)
+    ranked = langid.fit(docs.where(~held).select("text", "lang"))
+    return langid.predict(docs.select("doc_id", held.alias("held_out"), "text"), ranked).drop("text")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     return urlrules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("n_fitting")
@@ -47,7 +70,7 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_fm_decontaminate, op9_url_filter, op10_rule_ledger)}
+    return {f.__name__: f for f in (op6_fm_decontaminate, op7_hilbert_packing, op8_rank_profiles, op9_url_filter, op10_rule_ledger)}
 
 
 def oracle_sql() -> dict[str, str]:
