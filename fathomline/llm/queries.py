@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.llm import decontaminate, langid, ledger, packing, sql, urlrules
+from fathomline.llm import decontaminate, langid, ledger, packing, sharding, sql, urlrules
 from fathomline.session import table
 
 #: Rules of op9: (host, path, verdict).
@@ -21,6 +21,10 @@ URL_RULES = (
 )
 
 
+def op5_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.find_spans(docs, table(spark, sf_dir, "benchmark")))
@@ -70,7 +74,7 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_fm_decontaminate, op7_hilbert_packing, op8_rank_profiles, op9_url_filter, op10_rule_ledger)}
+    return {f.__name__: f for f in (op5_label_propagation, op6_fm_decontaminate, op7_hilbert_packing, op8_rank_profiles, op9_url_filter, op10_rule_ledger)}
 
 
 def oracle_sql() -> dict[str, str]:
