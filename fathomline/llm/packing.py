@@ -6,11 +6,11 @@ to ``bits`` bits each and turned into a Hilbert key. Documents are range-sorted
 key, the token stream along the curve is cut every ``length`` tokens, so neighbours on
 the curve share sequences and only the last sequence has padding.
 
-Two passes over the texts, one shuffle of them. Pass one writes one small row per
-distinct (id, text); those rows are range-sorted (ties by text hash, so a hot key is
-split), and their places in the token stream come from sums per partition, the only
-thing the driver sees (one number per partition). Pass two meets each text with its
-place and cuts it into pieces.
+Texts are encoded once; token ids go to a table in the shared folder with a row number
+and the key. The small columns alone are range-sorted (ties by row number, so a hot key
+is split), and places in the token stream come from sums per partition, the only thing
+the driver sees (one number per partition). Ids then meet their places in one shuffle
+and are cut into pieces.
 
 Tokens come from a file for the tokenizers library, whose path is a parameter; id
 ``end_id`` closes each document. White space separates tokens in that vocabulary, so
@@ -27,6 +27,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,8 @@ class PackParams:
     bits: int = 10
     buckets: int = 256
     seed: int = 17
-    cache_chunks: int = 300_000
+    cache_chunks: int = 500_000
+    slice_chars: int = 2_000_000
 
 
 class Encoder:
@@ -64,53 +66,74 @@ class Encoder:
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {"": 0}
-        self.flat, self.used, self.n = np.zeros(1 << 16, dtype=np.uint32), 0, 1
-        self.starts, self.sizes = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
-        self.vectors = np.zeros((1 << 14, self.params.dims))
-
-    def chunks(self, text: str | None) -> np.ndarray:
-        """Indexes of a text's chunks; ASCII white space only, which every tokenizer rule here treats as a border."""
-        parts = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, parts), dtype=np.int64, count=len(parts))
-        except KeyError:
-            if len(known) > self.params.cache_chunks:
-                self._clear()
-                known = self.known
-            self._learn([p for p in dict.fromkeys(parts) if p not in known])
-            return np.fromiter(map(known.__getitem__, parts), dtype=np.int64, count=len(parts))
-
-    def _learn(self, parts: list[str]) -> None:
-        for part, encoded in zip(parts, self.tokenizer.encode_batch(parts, add_special_tokens=False)):
-            ids = np.array(encoded.ids, dtype=np.uint32)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if self.n == len(self.starts):
-                self.starts, self.sizes, self.vectors = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.sizes, self.vectors))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[self.n], self.sizes[self.n] = self.used, len(ids)
-            bucket = (ids.astype(np.uint64) * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(self.params.buckets)
-            self.vectors[self.n] = self.matrix[bucket.astype(np.int64)].sum(axis=0)
-            self.known[part] = self.n
-            self.used, self.n = self.used + len(ids), self.n + 1
-
-    def ids(self, text: str | None) -> np.ndarray:
-        at = self.chunks(text)
-        n = self.sizes[at]
-        total = int(n.sum())
-        where = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.starts[at], n)
-        out = np.empty(total + 1, dtype=np.uint32)
-        out[:-1] = self.flat[where]
-        out[-1] = self.params.end_id
-        return out
-
-    def measure(self, text: str | None) -> tuple[int, np.ndarray]:
-        """Tokens with the end id, and the unit vector of the projected counts."""
-        at = self.chunks(text)
-        vector = self.vectors[at].sum(axis=0)
-        size = float(np.sqrt((vector**2).sum()))
-        return int(self.sizes[at].sum()) + 1, vector / size if size else vector
+        self.flat, self.used, self.n = np.zeros(0, dtype=np.uint32), 0, 1
+        self.starts, self.sizes = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.vectors = np.zeros((1, self.params.dims))
+
+    @staticmethod
+    def split(text: str | None) -> list[str]:
+        """ASCII white space only, which every rule of the tokenizer treats as a border."""
+        return (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+    def learn(self, parts: set[str]) -> None:
+        """Encode unknown chunks. ASCII chunks share the ids of their lower case, and a last comma or stop
+        after a letter or digit is a token of its own, so most variants need no encoding."""
+        if len(self.known) + len(parts) > self.params.cache_chunks:
+            self._clear()
+        known, plain = self.known, {}
+        for part in parts:
+            low = part.lower() if part.isascii() else part
+            tail = low[-1:] if low[-1:] in (".", ",") and low[-2:-1].isalnum() else ""
+            plain[part] = low[: len(low) - len(tail)], tail
+        bases = list({b for pair in plain.values() for b in pair if b and b not in known})
+        self._store(bases, [e.ids for e in self.tokenizer.encode_batch(bases, add_special_tokens=False)])
+        joined = [part for part, (base, tail) in plain.items() if tail and part not in known]
+        ids = lambda b: self.flat[self.starts[known[b]] : self.starts[known[b]] + self.sizes[known[b]]].tolist()
+        tails = {tail: ids(tail) for _, tail in plain.values() if tail}
+        self._store(joined, [ids(plain[part][0]) + tails[plain[part][1]] for part in joined])
+        for part, (base, tail) in plain.items():
+            if part not in known:
+                known[part] = known[base]
+
+    def _store(self, parts: list[str], found: list[list[int]]) -> None:
+        if not parts:
+            return
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        ids = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum()))
+        starts = self.used + np.cumsum(sizes) - sizes
+        bucket = ((ids.astype(np.uint64) * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(self.params.buckets)).astype(np.int64)
+        sums = np.concatenate([np.zeros((1, self.params.dims)), np.cumsum(self.matrix[bucket], axis=0)])
+        ends = np.cumsum(sizes)
+        self.flat = np.concatenate([self.flat[: self.used], ids])
+        self.starts, self.sizes = np.concatenate([self.starts[: self.n], starts]), np.concatenate([self.sizes[: self.n], sizes])
+        self.vectors = np.concatenate([self.vectors[: self.n], sums[ends] - sums[ends - sizes]])
+        self.known.update(zip(parts, range(self.n, self.n + len(parts))))
+        self.used, self.n = self.used + len(ids), self.n + len(parts)
+
+    def indexes(self, texts: list[str | None]) -> list[np.ndarray]:
+        split = [self.split(t) for t in texts]
+        missing: set[str] = set()
+        for parts in split:
+            missing |= set(parts).difference(self.known)
+        if missing:
+            self.learn(missing)
+            if any(p not in self.known for parts in split for p in parts):  # the cache was emptied
+                self.learn({p for parts in split for p in parts if p not in self.known})
+        get = self.known.__getitem__
+        return [np.fromiter(map(get, parts), dtype=np.int64, count=len(parts)) for parts in split]
+
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text, its ids with the end id, and the unit vector of the projected counts."""
+        for at in self.indexes(texts):
+            n = self.sizes[at]
+            total = int(n.sum())
+            where = np.arange(total) + np.repeat(self.starts[at] - np.cumsum(n) + n, n)
+            out = np.empty(total + 1, dtype=np.uint32)
+            out[:-1] = self.flat[where]
+            out[-1] = self.params.end_id
+            vector = self.vectors[at].sum(axis=0)
+            size = float(np.sqrt((vector**2).sum()))
+            yield out, vector / size if size else vector
 
 
 def _encoder(params: PackParams) -> Encoder:
@@ -154,21 +177,39 @@ def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _places(params: PackParams):
-    """Pass one: n_tokens and Hilbert key in place of the text."""
+def _slices(texts: list[str | None], size: int) -> Iterator[list[str | None]]:
+    held, chars = [], 0
+    for text in texts:
+        held.append(text)
+        chars += len(text or "")
+        if chars >= size:
+            yield held
+            held, chars = [], 0
+    if held:
+        yield held
+
+
+def _encode(params: PackParams):
+    """(id, n_tokens, curve, ids) for each document; ids of two bytes where the vocabulary allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(params)
+        encoder, side = _encoder(params), 1 << params.bits
+        kind = "<u2" if max(encoder.tokenizer.get_vocab_size(), params.end_id + 1) <= 1 << 16 else "<u4"
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sizes, vectors = zip(*[encoder.measure(t) for t in batch.column(3).to_pylist()])
-            side = 1 << params.bits
-            grid = np.clip(((np.array(vectors) + 1) / 2 * side).astype(np.int64), 0, side - 1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(sizes, pa.int64()), pa.array(hilbert_key(grid, params.bits), pa.int64())],
-                ["doc_id", "h1", "h2", "n_tokens", "curve"],
-            )
+            at = 0
+            for texts in _slices(batch.column(1).to_pylist(), params.slice_chars):
+                ids, vectors = zip(*encoder.encode(texts))
+                grid = np.clip(((np.array(vectors) + 1) / 2 * side).astype(np.int64), 0, side - 1)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(at, len(texts)),
+                        pa.array([len(x) for x in ids], pa.int64()),
+                        pa.array(hilbert_key(grid, params.bits), pa.int64()),
+                        pa.array([x.astype(kind).tobytes() for x in ids], pa.binary()),
+                    ],
+                    ["doc_id", "n_tokens", "curve", "ids"],
+                )
+                at += len(texts)
 
     return run
 
@@ -177,28 +218,27 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Local start of each row's tokens in its partition of the sorted rows."""
     at, part = 0, TaskContext.get().partitionId()
     for batch in batches:
-        total = batch.column(batch.schema.get_field_index("total")).to_numpy()
+        total = batch.column(batch.schema.get_field_index("n_tokens")).to_numpy()
         ends = at + np.cumsum(total)
         yield batch.append_column("local", pa.array(ends - total, pa.int64())).append_column("part", pa.array(np.full(len(total), part), pa.int32()))
         at = int(ends[-1]) if len(ends) else at
 
 
 def _cut(params: PackParams):
-    """Pass two: pieces of each text from its place in the token stream."""
+    """Pieces of each document's ids from its place in the token stream."""
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(params)
         for batch in batches:
             rows, crcs = [], []
-            for row, (text, place) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                ids = encoder.ids(text)
+            for row, (raw, total, place) in enumerate(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))):
+                ids = np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * total else "<u4").astype("<u4")
                 start = 0
-                while start < len(ids):
+                while start < total:
                     offset = (place + start) % params.length
-                    n = min(len(ids) - start, params.length - offset)
-                    rows.append((row, start, n, len(ids), (place + start) // params.length, offset))
-                    crcs.append(zlib.crc32(ids[start : start + n].astype("<u4").tobytes()))
+                    n = min(total - start, params.length - offset)
+                    rows.append((row, start, n, total, (place + start) // params.length, offset))
+                    crcs.append(zlib.crc32(ids[start : start + n]))
                     start += n
             if not rows:
                 continue
@@ -212,37 +252,22 @@ def _cut(params: PackParams):
 
 def pack(docs: DataFrame, params: PackParams, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row per piece."""
-    base = docs.select(
-        F.col(key).alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), F.col(text)).alias("h2"), F.col(text).alias("text")
-    )
+    base = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    small = base.mapInArrow(_places(params), f"doc_id {kind}, h1 long, h2 long, n_tokens long, curve long")
-    small = small.groupBy("doc_id", "h1", "h2", "n_tokens", "curve").agg(F.count(F.lit(1)).alias("copies"))
-    small = materialize(small.withColumn("total", F.col("n_tokens") * F.col("copies")), "pack")
-    order = ("curve", "h1", "h2", "doc_id")
-    sorted_rows = small.repartitionByRange(*order).sortWithinPartitions(*order).drop("curve")
-    placed = materialize(
-        sorted_rows.mapInArrow(_running, f"doc_id {kind}, h1 long, h2 long, n_tokens long, copies long, total long, local long, part int"), "pack"
-    )
+    encoded = base.mapInArrow(_encode(params), f"doc_id {kind}, n_tokens long, curve long, ids binary")
+    # The row number is written with the row, so it stays the same in every later read.
+    encoded = materialize(encoded.withColumn("row", F.monotonically_increasing_id()), "pack")
+    sorted_rows = encoded.select("curve", "row", "n_tokens").repartitionByRange("curve", "row").sortWithinPartitions("curve", "row")
+    placed = materialize(sorted_rows.select("row", "n_tokens").mapInArrow(_running, "row long, n_tokens long, local long, part int"), "pack")
     # One row per partition: its first place in the whole stream.
-    sums = placed.groupBy("part").agg(F.sum("total").alias("n")).orderBy("part").collect()
+    sums = placed.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
     begins, at = [], 0
     for r in sums:
         begins.append((r["part"], at))
         at += r["n"]
     offsets = docs.sparkSession.createDataFrame(begins, "part int, begin long")
-    places = placed.join(offsets, "part").select(
-        "doc_id", "h1", "h2", "n_tokens", (F.col("begin") + F.col("local")).alias("place")
-    )
-    # Equal rows take consecutive places; the window and the join share one exchange.
-    from pyspark.sql import Window
-
-    texts = base.withColumn("copy", F.row_number().over(Window.partitionBy("h1", "h2", "doc_id").orderBy("h1")) - 1)
-    met = texts.alias("t").join(
-        places.alias("p"),
-        (F.col("t.h1") == F.col("p.h1")) & (F.col("t.h2") == F.col("p.h2")) & F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")),
-    )
-    met = met.select("t.doc_id", "t.text", (F.col("p.place") + F.col("t.copy") * F.col("p.n_tokens")).alias("place"))
+    places = placed.join(offsets, "part").select("row", (F.col("begin") + F.col("local")).alias("place"))
+    met = encoded.join(places, "row").select("doc_id", "ids", "n_tokens", "place")
     out = met.mapInArrow(
         _cut(params), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )
