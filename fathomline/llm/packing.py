@@ -24,6 +24,7 @@ gives no pieces.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,6 +32,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,8 +50,15 @@ class PackParams:
     bits: int = 10
     buckets: int = 256
     seed: int = 17
-    cache_chunks: int = 500_000
-    slice_chars: int = 2_000_000
+    cache_chunks: int = 1_000_000
+    slice_chars: int = 4_000_000
+
+
+#: A sign before a comma or stop, or a letter whose lower case is not one letter in every library.
+UNSAFE = r"[^\s\pL\pN][.,]|[\x{0130}\x{03A3}]"
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: Byte-level vocabularies write a byte as the sign of that number if it prints, else as 256 + its place among the others.
+BYTE_SIGNS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 
 
 class Encoder:
@@ -68,32 +77,29 @@ class Encoder:
         self.known: dict[str, int] = {"": 0}
         self.flat, self.used, self.n = np.zeros(0, dtype=np.uint32), 0, 1
         self.starts, self.sizes = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
-        self.vectors = np.zeros((1, self.params.dims))
-
-    @staticmethod
-    def split(text: str | None) -> list[str]:
-        """ASCII white space only, which every rule of the tokenizer treats as a border."""
-        return (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-
-    def learn(self, parts: set[str]) -> None:
-        """Encode unknown chunks. ASCII chunks share the ids of their lower case, and a last comma or stop
-        after a letter or digit is a token of its own, so most variants need no encoding."""
-        if len(self.known) + len(parts) > self.params.cache_chunks:
-            self._clear()
-        known, plain = self.known, {}
+        self.vectors = np.zeros((1, self.params.dims), dtype=np.float32)
+
+    def split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """White-space chunks of all texts, and how many each text has.
+
+        Only ASCII white space splits. A text is lower-cased and its commas and stops set apart first, which
+        changes no token, unless a sign stands before one of them (the two would be one token) or lower-casing
+        is not one letter for one; such a text is split as it is.
+        """
+        raw = pc.match_substring_regex(texts, UNSAFE)
+        plain = pc.replace_substring(pc.replace_substring(pc.utf8_lower(texts), ",", " ,"), ".", " .")
+        lists = pc.ascii_split_whitespace(pc.if_else(raw, texts, plain))
+        return pc.list_flatten(lists), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def learn(self, parts: list[str]) -> None:
+        """Store the ids of unknown chunks. Lower-case Latin words go straight to the merges."""
+        simple, other = [], []
         for part in parts:
-            low = part.lower() if part.isascii() else part
-            tail = low[-1:] if low[-1:] in (".", ",") and low[-2:-1].isalnum() else ""
-            plain[part] = low[: len(low) - len(tail)], tail
-        bases = list({b for pair in plain.values() for b in pair if b and b not in known})
-        self._store(bases, [e.ids for e in self.tokenizer.encode_batch(bases, add_special_tokens=False)])
-        joined = [part for part, (base, tail) in plain.items() if tail and part not in known]
-        ids = lambda b: self.flat[self.starts[known[b]] : self.starts[known[b]] + self.sizes[known[b]]].tolist()
-        tails = {tail: ids(tail) for _, tail in plain.values() if tail}
-        self._store(joined, [ids(plain[part][0]) + tails[plain[part][1]] for part in joined])
-        for part, (base, tail) in plain.items():
-            if part not in known:
-                known[part] = known[base]
+            latin = part.isalpha() and part.islower() and (part.isascii() or max(part) < "\u0250" and unicodedata.is_normalized("NFC", part))
+            (simple if latin else other).append(part)
+        merge = self.tokenizer.model.tokenize
+        self._store(simple, [[t.id for t in merge(p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_SIGNS))] for p in simple])
+        self._store(other, [e.ids for e in self.tokenizer.encode_batch(other, add_special_tokens=False)])
 
     def _store(self, parts: list[str], found: list[list[int]]) -> None:
         if not parts:
@@ -106,32 +112,31 @@ class Encoder:
         ends = np.cumsum(sizes)
         self.flat = np.concatenate([self.flat[: self.used], ids])
         self.starts, self.sizes = np.concatenate([self.starts[: self.n], starts]), np.concatenate([self.sizes[: self.n], sizes])
-        self.vectors = np.concatenate([self.vectors[: self.n], sums[ends] - sums[ends - sizes]])
+        self.vectors = np.concatenate([self.vectors[: self.n], (sums[ends] - sums[ends - sizes]).astype(np.float32)])
         self.known.update(zip(parts, range(self.n, self.n + len(parts))))
         self.used, self.n = self.used + len(ids), self.n + len(parts)
 
-    def indexes(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [self.split(t) for t in texts]
-        missing: set[str] = set()
-        for parts in split:
-            missing |= set(parts).difference(self.known)
-        if missing:
-            self.learn(missing)
-            if any(p not in self.known for parts in split for p in parts):  # the cache was emptied
-                self.learn({p for parts in split for p in parts if p not in self.known})
-        get = self.known.__getitem__
-        return [np.fromiter(map(get, parts), dtype=np.int64, count=len(parts)) for parts in split]
-
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text, its ids with the end id, and the unit vector of the projected counts."""
-        for at in self.indexes(texts):
-            n = self.sizes[at]
+        chunks, counts = self.split(pc.fill_null(texts, ""))
+        coded = chunks.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if self.n + len(distinct) > self.params.cache_chunks:
+            self._clear()
+        missing = [p for p in distinct if p not in self.known]
+        self.learn(missing)
+        place = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        at = place[coded.indices.to_numpy(zero_copy_only=False)] if len(distinct) else np.zeros(0, dtype=np.int64)
+        ends = np.cumsum(counts)
+        for begin, end in zip((ends - counts).tolist(), ends.tolist()):
+            mine = at[begin:end]
+            n = self.sizes[mine]
             total = int(n.sum())
-            where = np.arange(total) + np.repeat(self.starts[at] - np.cumsum(n) + n, n)
+            where = np.arange(total) + np.repeat(self.starts[mine] - np.cumsum(n) + n, n)
             out = np.empty(total + 1, dtype=np.uint32)
             out[:-1] = self.flat[where]
             out[-1] = self.params.end_id
-            vector = self.vectors[at].sum(axis=0)
+            vector = self.vectors[mine].sum(axis=0, dtype=np.float64)
             size = float(np.sqrt((vector**2).sum()))
             yield out, vector / size if size else vector
 
@@ -177,16 +182,14 @@ def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _slices(texts: list[str | None], size: int) -> Iterator[list[str | None]]:
-    held, chars = [], 0
-    for text in texts:
-        held.append(text)
-        chars += len(text or "")
-        if chars >= size:
-            yield held
-            held, chars = [], 0
-    if held:
-        yield held
+def _slices(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Runs of texts of about size bytes."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, side="right")))
+        yield texts.slice(at, stop - at)
+        at = stop
 
 
 def _encode(params: PackParams):
@@ -197,7 +200,7 @@ def _encode(params: PackParams):
         kind = "<u2" if max(encoder.tokenizer.get_vocab_size(), params.end_id + 1) <= 1 << 16 else "<u4"
         for batch in batches:
             at = 0
-            for texts in _slices(batch.column(1).to_pylist(), params.slice_chars):
+            for texts in _slices(batch.column(1), params.slice_chars):
                 ids, vectors = zip(*encoder.encode(texts))
                 grid = np.clip(((np.array(vectors) + 1) / 2 * side).astype(np.int64), 0, side - 1)
                 yield pa.RecordBatch.from_arrays(
