@@ -51,7 +51,7 @@ class PackParams:
     buckets: int = 256
     seed: int = 17
     cache_chunks: int = 1_000_000
-    slice_chars: int = 4_000_000
+    slice_chars: int = 8_000_000
 
 
 #: A sign before a comma or stop, or a letter whose lower case is not one letter in every library.
@@ -62,7 +62,7 @@ BYTE_SIGNS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRI
 
 
 class Encoder:
-    """Token ids of white-space chunks, kept as slices of one flat array, with each chunk's projection."""
+    """Token ids of white-space chunks as bytes, with each chunk's projection."""
 
     def __init__(self, params: PackParams):
         from tokenizers import Tokenizer
@@ -71,12 +71,12 @@ class Encoder:
         self.params, self.tokenizer = params, Tokenizer.from_file(params.tokenizer)
         rng = np.random.default_rng(params.seed)
         self.matrix = rng.standard_normal((params.buckets, params.dims))
+        self.kind = "<u2" if max(self.tokenizer.get_vocab_size(), params.end_id + 1) <= 1 << 16 else "<u4"
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {"": 0}
-        self.flat, self.used, self.n = np.zeros(0, dtype=np.uint32), 0, 1
-        self.starts, self.sizes = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.raw: list[bytes] = [b""]
         self.vectors = np.zeros((1, self.params.dims), dtype=np.float32)
 
     def split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -106,39 +106,32 @@ class Encoder:
             return
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         ids = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum()))
-        starts = self.used + np.cumsum(sizes) - sizes
         bucket = ((ids.astype(np.uint64) * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(self.params.buckets)).astype(np.int64)
         sums = np.concatenate([np.zeros((1, self.params.dims)), np.cumsum(self.matrix[bucket], axis=0)])
         ends = np.cumsum(sizes)
-        self.flat = np.concatenate([self.flat[: self.used], ids])
-        self.starts, self.sizes = np.concatenate([self.starts[: self.n], starts]), np.concatenate([self.sizes[: self.n], sizes])
-        self.vectors = np.concatenate([self.vectors[: self.n], (sums[ends] - sums[ends - sizes]).astype(np.float32)])
-        self.known.update(zip(parts, range(self.n, self.n + len(parts))))
-        self.used, self.n = self.used + len(ids), self.n + len(parts)
-
-    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each text, its ids with the end id, and the unit vector of the projected counts."""
+        self.vectors = np.concatenate([self.vectors, (sums[ends] - sums[ends - sizes]).astype(np.float32)])
+        flat, width = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
+        self.known.update(zip(parts, range(len(self.raw), len(self.raw) + len(parts))))
+        self.raw += [flat[a:b] for a, b in zip(((ends - sizes) * width).tolist(), (ends * width).tolist())]
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[bytes, np.ndarray]]:
+        """For each text, its ids with the end id as bytes, and the unit vector of the projected counts."""
         chunks, counts = self.split(pc.fill_null(texts, ""))
         coded = chunks.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if self.n + len(distinct) > self.params.cache_chunks:
+        if len(self.raw) + len(distinct) > self.params.cache_chunks:
             self._clear()
-        missing = [p for p in distinct if p not in self.known]
-        self.learn(missing)
+        self.learn([p for p in distinct if p not in self.known])
         place = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
-        at = place[coded.indices.to_numpy(zero_copy_only=False)] if len(distinct) else np.zeros(0, dtype=np.int64)
+        raw, vectors = list(map(self.raw.__getitem__, place.tolist())), self.vectors[place]
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        end_id = np.array([self.params.end_id], dtype=self.kind).tobytes()
         ends = np.cumsum(counts)
         for begin, end in zip((ends - counts).tolist(), ends.tolist()):
             mine = at[begin:end]
-            n = self.sizes[mine]
-            total = int(n.sum())
-            where = np.arange(total) + np.repeat(self.starts[mine] - np.cumsum(n) + n, n)
-            out = np.empty(total + 1, dtype=np.uint32)
-            out[:-1] = self.flat[where]
-            out[-1] = self.params.end_id
-            vector = self.vectors[mine].sum(axis=0, dtype=np.float64)
+            vector = (np.ones(len(mine), dtype=np.float32) @ vectors[mine]).astype(np.float64) if len(mine) else np.zeros(self.params.dims)
             size = float(np.sqrt((vector**2).sum()))
-            yield out, vector / size if size else vector
+            yield b"".join(map(raw.__getitem__, mine.tolist())) + end_id, vector / size if size else vector
 
 
 def _encoder(params: PackParams) -> Encoder:
@@ -197,7 +190,7 @@ def _encode(params: PackParams):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, side = _encoder(params), 1 << params.bits
-        kind = "<u2" if max(encoder.tokenizer.get_vocab_size(), params.end_id + 1) <= 1 << 16 else "<u4"
+        width = np.dtype(encoder.kind).itemsize
         for batch in batches:
             at = 0
             for texts in _slices(batch.column(1), params.slice_chars):
@@ -206,9 +199,9 @@ def _encode(params: PackParams):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(texts)),
-                        pa.array([len(x) for x in ids], pa.int64()),
+                        pa.array([len(x) // width for x in ids], pa.int64()),
                         pa.array(hilbert_key(grid, params.bits), pa.int64()),
-                        pa.array([x.astype(kind).tobytes() for x in ids], pa.binary()),
+                        pa.array(ids, pa.binary()),
                     ],
                     ["doc_id", "n_tokens", "curve", "ids"],
                 )
