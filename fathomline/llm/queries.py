@@ -7,8 +7,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fathomline.llm import decontaminate, langid, ledger, packing, sharding, sql, urlrules
+from fathomline.llm import decontaminate, langid, ledger, ngram_join, packing, sharding, sql, toxicity, urlrules
 from fathomline.session import table
 
 #: Rules of op9: (host, path, verdict).
@@ -21,6 +22,21 @@ URL_RULES = (
 )
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held = langid.held_out("doc_id", 5, 0)
+    model = toxicity.fit(docs, labels.where(~held).select("doc_id", "toxic"))
+    return (
+        toxicity.score(docs.select("doc_id", held.alias("held_out"), "text"), model)
+        .drop("text")
+        .withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+    )
+
+
 def op5_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -74,8 +90,8 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_label_propagation, op6_fm_decontaminate, op7_hilbert_packing, op8_rank_profiles, op9_url_filter, op10_rule_ledger)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_compression_toxicity, op5_label_propagation, op6_fm_decontaminate, op7_hilbert_packing, op8_rank_profiles, op9_url_filter, op10_rule_ledger)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_fm_decontaminate": sql.OP6, "op9_url_filter": sql.OP9, "op10_rule_ledger": sql.OP10}
+    return {"op1_ngram_jaccard": sql.OP1, "op6_fm_decontaminate": sql.OP6, "op9_url_filter": sql.OP9, "op10_rule_ledger": sql.OP10}

@@ -74,3 +74,20 @@ SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_
   coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (rid) LEFT JOIN it USING (rid)
 """
+
+OP1 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS rid,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT rid, array_to_string(list_slice(words, i, i + 4), ' ') AS g
+  FROM d, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS t(i) WHERE len(words) > 0),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+o AS (SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.rid <> y.rid GROUP BY x.rid, y.rid),
+links AS (SELECT a, b FROM o JOIN n na ON na.rid = a JOIN n nb ON nb.rid = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+reach(a, b) AS (SELECT rid, rid FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT x.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(y.doc_id) AS component_id
+FROM d x JOIN reach ON reach.a = x.rid JOIN d y ON y.rid = reach.b LEFT JOIN n ON n.rid = x.rid
+GROUP BY x.rid, x.doc_id, n.n
+"""
