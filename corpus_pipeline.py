@@ -1,4 +1,67 @@
-"""placeholder, filled in below"""
+"""A corpus pipeline of five stages over the documents table.
+
+Each stage takes (spark, docs, sf_dir), works on every row that its predecessor kept and
+returns the columns of documents, the last one the packed pieces. Between stages the
+rows are written to the shared folder as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from fathomline.llm import decontaminate, langid, ngram_join, packing, surrogates, toxicity
+from fathomline.llm.queries import vocabulary_path
+from fathomline.session import materialize, table
+
+#: Toxicity needs trained dictionaries, which SQL cannot express.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents with a score of 0.5 or more; learned from labels outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").where(~langid.held_out("doc_id", 5, 0)).select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels)
+    return toxicity.score(docs, model).where("score < 0.5").drop("score")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group: the smallest id (null ids first), one row of repeated ones."""
+    keyed = docs.withColumn("_key", F.struct("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b")))
+    groups = ngram_join.near_duplicates(keyed.select("_key", "text"), "_key")
+    kept = groups.where("n_shingles = 0 OR _key = component_id").select("_key").distinct()
+    first = F.row_number().over(Window.partitionBy("_key").orderBy("doc_id"))
+    return keyed.join(kept, "_key", "left_semi").withColumn("_first", first).where("_first = 1").select(*docs.columns)
+
+
+def cut_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts benchmark passages out of texts."""
+    found = decontaminate.remove_spans(decontaminate.find_spans(docs, table(spark, sf_dir, "benchmark")))
+    n_chars = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by surrogates of the same form; an entity may change its length."""
+    return surrogates.replace(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all documents into sequences of 4096 tokens along the curve."""
+    return packing.pack(docs.select("doc_id", "text"), packing.PackParams(tokenizer=vocabulary_path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_copies),
+    ("decontamination", cut_benchmarks),
+    ("pii", replace_pii),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

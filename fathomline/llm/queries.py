@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import decontaminate, langid, ledger, ngram_join, packing, sharding, sql, toxicity, urlrules
+from fathomline.llm import decontaminate, langid, ledger, licenses, ngram_join, packing, sharding, sql, surrogates, toxicity, urlrules
 from fathomline.session import table
 
 #: Rules of op9: (host, path, verdict).
@@ -37,6 +37,23 @@ def op2_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_patience_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = F.get("licenses", 0)
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_licenses"),
+        best["license"].alias("license"),
+        best["coverage"].alias("coverage"),
+        best["start"].alias("first_word"),
+        best["end"].alias("end_word"),
+    )
+
+
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -90,7 +107,7 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_compression_toxicity, op5_label_propagation, op6_fm_decontaminate, op7_hilbert_packing, op8_rank_profiles, op9_url_filter, op10_rule_ledger)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_compression_toxicity, op3_patience_licenses, op4_pii_surrogates, op5_label_propagation, op6_fm_decontaminate, op7_hilbert_packing, op8_rank_profiles, op9_url_filter, op10_rule_ledger)}
 
 
 def oracle_sql() -> dict[str, str]:
