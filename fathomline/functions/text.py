@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fathomline.params import TextParams
 
@@ -24,7 +25,7 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_marks(text: pd.Series) -> pd.Series:
     """Compatibility decomposition without marks, case-folded: no built-in does this."""
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).casefold())
@@ -46,7 +47,7 @@ def containment(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b))), F.lit(0.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio; argument order matters. Pairs are compared once per batch."""
     known: dict[tuple, float] = {}

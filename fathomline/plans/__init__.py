@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("q_panel", "q_stats", "q_space", "q_text")
 
 
 def load_all() -> None:
