@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+def materialize(df: DataFrame, name: str = "step", compression: str = "zstd") -> DataFrame:
     """Cut the lineage of df: write it to the shared folder as Parquet and read it back.
 
     A lost executor then only costs a re-read. The path is kept on the returned
@@ -32,7 +32,7 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.fathomline_path = path
     return back
