@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fathomline.session import discard, materialize
@@ -24,10 +24,10 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         hooked = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = hooked.select(F.col("node").alias("up"), F.col("label").alias("upper"))
-        after = materialize(
-            hooked.join(up, hooked.label == up.up, "left").select("node", "old", F.least("label", F.coalesce("upper", "label")).alias("label")), "labels"
-        )
-        changed = after.where("old <> label").limit(1).count()
+        seen = Observation()
+        moved = hooked.join(up, hooked.label == up.up, "left").select("node", "old", F.least("label", F.coalesce("upper", "label")).alias("label"))
+        after = materialize(moved.observe(seen, F.count_if(F.col("old") != F.col("label")).alias("changed")), "labels")
+        changed = seen.get["changed"]  # counted by the write itself, without a job of its own
         discard(labels)
         labels = after
         if not changed:

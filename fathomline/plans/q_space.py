@@ -201,3 +201,59 @@ def _(spark, sf):
 
     e = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("detector_id"), F.col("value").alias("volume"))
     return hourly(e, streaming=False).withColumn("mean_value", F.round("mean_value", 6)).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+def _pairs_of_points(spark, sf):
+    p = points(spark, sf)
+    nxt = p.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    line = F.array(F.struct(F.col("x").alias("x"), F.col("y").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))
+    return p.join(nxt, "vec_id").select("vec_id", line.alias("line"))
+
+
+@query("n07_points_along_lines", f"WITH {POINTS} SELECT a.vec_id, round((a.x + b.x) / 2, 6) AS x, round((a.y + b.y) / 2, 6) AS y FROM points a JOIN points b ON b.vec_id = a.vec_id + 1")
+def _(spark, sf):
+    from fathomline.operators.lines import with_point_along
+
+    m = with_point_along(_pairs_of_points(spark, sf), "line", 0.5)
+    return m.select("vec_id", F.round("along.x", 6).alias("x"), F.round("along.y", 6).alias("y"))
+
+
+@query("n10_overlap_share")
+def _(spark, sf):
+    from fathomline.operators.lines import overlap_share
+
+    lines = _pairs_of_points(spark, sf)
+    other = lines.select((F.col("vec_id") - 1).alias("vec_id"), F.col("line").alias("other"))
+    return lines.join(other, "vec_id").select("vec_id", overlap_share(F.col("line"), F.col("other"), 12.0).alias("overlap_share"))
+
+
+@query("j20_best_line_match", f"WITH {POINTS}, c AS (SELECT a.vec_id, b.vec_id AS candidate, {PAIR} AS distance, b.label / 10.0 AS overlap, a.label / 10.0 AS name FROM points a JOIN points b ON a.vec_id <> b.vec_id WHERE {PAIR} <= 60), s AS (SELECT *, 2.5 * overlap + 0.75 * name - 0.30 * distance / 60 AS score FROM c) SELECT vec_id, candidate, round(score, 6) AS score, CASE WHEN distance <= 15 AND (overlap >= 0.5 OR name >= 0.5) THEN 'high' WHEN (distance <= 30 AND (overlap >= 0.2 OR name >= 0.25)) OR distance <= 8 THEN 'moderate' ELSE 'low' END AS status FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, overlap DESC, name DESC, distance, candidate) = 1")
+def _(spark, sf):
+    from fathomline.operators import lines
+
+    p = points(spark, sf)
+    other = p.select(F.col("vec_id").alias("candidate"), F.col("x").alias("rx"), F.col("y").alias("ry"), (F.col("label") / 10.0).alias("overlap"))
+    pairs = spatial.radius_join(p.withColumn("name_similarity", F.col("label") / 10.0), other, 60.0).where("vec_id <> candidate")
+    scored = pairs.withColumn("score", lines.match_score(F.col("overlap"), F.col("name_similarity"), F.col("distance")))
+    best = lines.best_match(scored, "vec_id", "candidate")
+    return best.select("vec_id", "candidate", F.round("score", 6).alias("score"), lines.match_status(F.col("distance"), F.col("overlap"), F.col("name_similarity")).alias("status"))
+
+
+@query("j21_convex_overlap")
+def _(spark, sf):
+    from fathomline.operators.lines import convex_overlap
+
+    p = points(spark, sf).select("vec_id", "x", "y")
+    q = p.select(F.col("vec_id").alias("other_id"), F.col("x").alias("rx"), F.col("y").alias("ry"))
+    near = spatial.radius_join(p, q, 20.0).where("vec_id < other_id")
+    diamond = lambda x, y: F.array(*[F.struct((F.col(x) + dx).alias("x"), (F.col(y) + dy).alias("y")) for dx, dy in ((-10.0, 0.0), (0.0, -10.0), (10.0, 0.0), (0.0, 10.0))])
+    return near.select("vec_id", "other_id", F.round(convex_overlap(diamond("x", "y"), diamond("rx", "ry")), 6).alias("area"))
+
+
+@query("j23_greedy_assignment")
+def _(spark, sf):
+    from fathomline.operators.panel import mutual_best
+
+    left, right = two_sides(spark, sf)
+    pairs = spatial.radius_join(left, right, 25.0).select("vec_id", "other_id", "distance")
+    return mutual_best(pairs, "vec_id", "other_id", [F.col("distance")])

@@ -176,3 +176,20 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = hourly(e, streaming=False).where(F.col("hour") <= F.lit(last))
     key = lambda df: sorted((r.hour, r.detector_id, r.n, round(r.mean_value, 6)) for r in df.collect())
     assert key(closed) == key(batch)
+
+
+def test_lines(spark):
+    from fathomline.operators import lines
+
+    point = lambda x, y: {"x": float(x), "y": float(y)}
+    ring = "array<struct<x:double,y:double>>"
+    df = spark.createDataFrame(
+        [(1, [point(0, 0), point(4, 0), point(4, 2)], [point(0, 1), point(2, 1)], [point(0, 0), point(2, 0), point(2, 2), point(0, 2)], [point(1, 1), point(1, 3), point(3, 3), point(3, 1)])],
+        f"k int, p {ring}, q {ring}, a {ring}, b {ring}",
+    )
+    r = lines.with_point_along(df, "p", 0.5).select("along", lines.overlap_share(F.col("p"), F.col("q"), 1.0).alias("share"), lines.convex_overlap("a", "b").alias("area")).first()
+    assert (r.along.x, r.along.y) == (3.0, 0.0) and r.share == pytest.approx(2 / 6, abs=0.05) and r.area == pytest.approx(1.0)
+    pairs = spark.createDataFrame([(1, 10, 5.0, 0.6, 0.1), (1, 11, 5.0, 0.6, 0.1), (1, 12, 50.0, 0.1, 0.0)], "k int, c int, distance double, overlap double, name_similarity double")
+    scored = pairs.withColumn("score", lines.match_score(F.col("overlap"), F.col("name_similarity"), F.col("distance")))
+    best = lines.best_match(scored, "k", "c").withColumn("status", lines.match_status(F.col("distance"), F.col("overlap"), F.col("name_similarity"))).first()
+    assert (best.c, best.status) == (10, "high")
