@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,17 +17,31 @@ def csv(spark: SparkSession, path: str, schema: T.StructType | str, columns: lis
 
 
 def csv_flexible(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """CSV in the first encoding that decodes its first lines."""
+    """CSV in the first encoding that decodes its first 64 KB. Encodings that Spark's reader does not know are
+    decoded in Arrow batches, whole files at a time and one record a line."""
     head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1 << 16).alias("c")).first()
     raw = bytes(head["c"]) if head else b""
+    chosen = ENCODINGS[-1]
     for name in ENCODINGS:
         try:
             raw.decode(name)
         except UnicodeDecodeError as error:
             if error.start < len(raw) - 4:
                 continue
-        return csv(spark, path, schema, encoding=name)
-    return csv(spark, path, schema, encoding=ENCODINGS[-1])
+        chosen = name
+        break
+    if chosen == "utf-8":
+        return csv(spark, path, schema)
+    if chosen == "latin-1":
+        return csv(spark, path, schema, encoding="iso-8859-1")
+
+    @F.pandas_udf(T.StringType())
+    def decoded(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: c.decode(chosen, errors="replace"))
+
+    ddl = schema if isinstance(schema, str) else ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+    lines = spark.read.format("binaryFile").load(path).select(F.posexplode(F.split(decoded("content"), "\r?\n")).alias("line_no", "line"))
+    return lines.where("line_no > 0 AND line <> ''").select(F.from_csv("line", ddl, {"nullValue": ""}).alias("r")).select("r.*")
 
 
 def find_column(df: DataFrame, candidates: list[str], loose: bool = True) -> str | None:
