@@ -50,7 +50,7 @@ class PackParams:
     bits: int = 10
     buckets: int = 256
     seed: int = 17
-    cache_chunks: int = 1_000_000
+    cache_chunks: int = 700_000
     slice_chars: int = 8_000_000
 
 
@@ -123,19 +123,28 @@ class Encoder:
             self._clear()
         self.learn([p for p in distinct if p not in self.known])
         place = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
-        raw, vectors = list(map(self.raw.__getitem__, place.tolist())), self.vectors[place]
+        # The slice's own chunks side by side: what follows stays in the processor's cache.
+        raw = list(map(self.raw.__getitem__, place.tolist()))
+        flat = np.frombuffer(b"".join(raw), dtype=self.kind)
+        sizes = np.fromiter(map(len, raw), dtype=np.int32, count=len(raw)) // np.dtype(self.kind).itemsize
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
+        vectors = self.vectors[place]
         at = coded.indices.to_numpy(zero_copy_only=False)
         end_id = np.array([self.params.end_id], dtype=self.kind).tobytes()
         ends = np.cumsum(counts)
         for begin, end in zip((ends - counts).tolist(), ends.tolist()):
             mine = at[begin:end]
+            n = sizes[mine]
+            upto = np.cumsum(n, dtype=np.int32)
+            total = int(upto[-1]) if len(upto) else 0
+            where = np.repeat(starts[mine] - upto + n, n) + np.arange(total, dtype=np.int32)
             vector = (np.ones(len(mine), dtype=np.float32) @ vectors[mine]).astype(np.float64) if len(mine) else np.zeros(self.params.dims)
             size = float(np.sqrt((vector**2).sum()))
-            yield b"".join(map(raw.__getitem__, mine.tolist())) + end_id, vector / size if size else vector
+            yield flat[where].tobytes() + end_id, vector / size if size else vector
 
 
 def _encoder(params: PackParams) -> Encoder:
-    cache = worker_cache()
+    cache = worker_cache("packing")
     key = ("encoder", params.tokenizer, params.end_id, params.dims, params.buckets, params.seed)
     if key not in cache:
         cache[key] = Encoder(params)

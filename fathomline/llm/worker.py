@@ -6,6 +6,13 @@ import sys
 import types
 
 
-def worker_cache() -> dict:
-    """A dictionary of this process. Functions come to workers by value, so module globals do not last."""
-    return sys.modules.setdefault("_fathomline_worker", types.ModuleType("_fathomline_worker")).__dict__
+def worker_cache(owner: str) -> dict:
+    """A dictionary of this process. Functions come to workers by value, so module globals do not last.
+
+    One operator owns it at a time; the next one starts with an empty dictionary, so state does not pile up.
+    """
+    held = sys.modules.setdefault("_fathomline_worker", types.ModuleType("_fathomline_worker")).__dict__
+    if held.get("owner") != owner:
+        held.clear()
+        held["owner"] = owner
+    return held
