@@ -27,6 +27,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,8 @@ class ToxicParams:
     stems: tuple[int, ...] = (3, 4, 5, 6, 7, 8)
     thresholds: tuple[float, ...] = (1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0)
     ridge: float = 0.5
-    cache_words: int = 600_000
+    cache_words: int = 500_000
+    group_words: int = 300_000
 
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -108,6 +110,7 @@ class ToxicModel:
 def _features(values: np.ndarray, params: ToxicParams) -> list[float]:
     """From the weights of a document's windows."""
     n = max(len(values), 1)
+    values = values[values > 1.0]  # the lowest threshold
     over = [int((values > t).sum()) for t in params.thresholds]
     top = max(float(values.max()), 0.0) if len(values) else 0.0
     strong, weak = float(values[values > 1.5].sum()), float(values[values > 1.0].sum())
@@ -176,19 +179,33 @@ class Scorer:
         self.mean, self.spread, self.weights = map(np.array, (model.mean, model.spread, model.weights))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        rows, known = [], self.known
-        for text in texts:
-            words = windows(text)
-            if len(known) > self.params.cache_words:
-                known.clear()
-            for w in set(words).difference(known):
-                known[w] = self.model.cells.get(self.lengths.cell(w), 0.0)
-            rows.append(_features(np.fromiter(map(known.__getitem__, words), dtype=np.float64, count=len(words)), self.params))
+        """Scores of texts, taken in groups: a group's own words stay in the processor's cache."""
+        rows: list[list[float]] = []
+        at = 0
+        while at < len(texts):
+            group, n = [], 0
+            while at < len(texts) and n < self.params.group_words:
+                group.append(windows(texts[at]))
+                n += len(group[-1])
+                at += 1
+            local = self._weights(dict.fromkeys(chain.from_iterable(group)))
+            rows += [_features(np.fromiter(map(local.__getitem__, words), dtype=np.float64, count=len(words)), self.params) for words in group]
         if not rows:
             return np.zeros(0)
         z = (np.array(rows) - self.mean) / self.spread
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + z @ self.weights[1:], -30, 30)))
 
+    def _weights(self, words: dict) -> dict[str, float]:
+        if len(self.known) + len(words) > self.params.cache_words:
+            self.known.clear()
+        known, cells = self.known, self.model.cells
+        for w in words:
+            weight = known.get(w)
+            if weight is None:
+                weight = known[w] = cells.get(self.lengths.cell(w), 0.0)
+            words[w] = weight
+        return words
+
 
 def score(docs: DataFrame, model: ToxicModel | None, text: str = "text", params: ToxicParams = ToxicParams()) -> DataFrame:
     """docs with score."""
@@ -200,7 +217,7 @@ def score(docs: DataFrame, model: ToxicModel | None, text: str = "text", params:
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, plain = worker_cache(), sent.value
+        cache, plain = worker_cache("toxicity"), sent.value
         name = ("toxic", hash((plain["toxic"], plain["ordinary"], plain["weights"])))
         if name not in cache:
             for old in [k for k in cache if isinstance(k, tuple) and k[0] == "toxic"]:
