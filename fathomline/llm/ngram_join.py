@@ -9,7 +9,8 @@ then by hash, so that common passages come last. The steps:
    the first n - ceil(t n) + 1 of each. Every task sends a node's prefix once.
 3. Each shingle's list, sorted by size, names candidates: all pairs of a short list, in
    a long one each member with the first of a fitting size. Sorted rows are streamed;
-   no list is held.
+   no list is held. Counts of shared prefix shingles bound the whole overlap, and pairs
+   that cannot reach the threshold go no further.
 4. Verification by fragments: the order is cut at pivots into fragments of equal
    weight; segments of both sets meet per (pair, fragment), their overlaps are counted
    apart and added up per pair.
@@ -19,8 +20,8 @@ then by hash, so that common passages come last. The steps:
    copies does not expand into all its pairs. ``all_links=True`` keeps pairs inside
    components too and returns every link.
 
-Texts are never shuffled: each step reads them again and sends hashes only. What is
-broadcast has a fixed size: the sketch (one byte per counter) and a Bloom filter of the
+Texts are read once and never shuffled: their sets go to a table in the shared folder,
+later steps read that and send hashes only. What is broadcast has a fixed size: the sketch (one byte per counter) and a Bloom filter of the
 candidate nodes, whose errors only send a few unneeded rows.
 
 Words are maximal runs of ``[^\\x20\\x09-\\x0D]`` after lower-casing A-Z. Defined results:
@@ -40,7 +41,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.worker import worker_cache
 from fathomline.operators.graph import components
 from fathomline.session import discard, materialize
 
@@ -53,8 +53,7 @@ class JoinParams:
     bloom_bits: int = 26
     fragments: int = 4
     short_list: int = 4
-    first_leaders: int = 8
-    cache_words: int = 500_000
+    first_leaders: int = 64
 
 
 _LOWER = bytes(c + 32 if 0x41 <= c < 0x5B else c for c in range(256))
@@ -69,25 +68,14 @@ def _mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-class _Words(dict):
-    """Word hashes of a worker; filled on demand."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def shingles(text: str | None, params: JoinParams) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
+    from xxhash import xxh3_64_intdigest
+
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    cache = worker_cache().setdefault("words", _Words())
-    if len(cache) > params.cache_words:
-        cache.clear()
-    codes = np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
+    codes = np.fromiter(map(xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
     n = min(params.k, len(codes))
     with np.errstate(over="ignore"):
         rolled = np.full(len(codes) - n + 1, n, dtype=np.uint64)
@@ -111,8 +99,8 @@ def _slots(found: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _describe(params: JoinParams):
-    """Step 1: a row per document, and at the end of a task its counters in blocks."""
-    names = ["id", "n", "node", "block", "counts"]
+    """Step 1: a row per document with its set, and at the end of a task its counters in blocks."""
+    names = ["id", "n", "node", "hashes", "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, kind = np.zeros(1 << params.sketch_bits, dtype=np.uint32), None
@@ -122,12 +110,12 @@ def _describe(params: JoinParams):
             if sets:
                 counts += np.bincount(_slots(np.concatenate(sets), params.sketch_bits), minlength=len(counts)).astype(np.uint32)
             empty = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_key(s) for s in sets], pa.int64()), *empty], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), *empty], names)
         blocks = counts.reshape(-1, _BLOCK)
         used = np.flatnonzero(blocks.any(axis=1))
         if len(used):
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(used), kind), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32()), pa.array([_narrow(blocks[i]) for i in used], pa.binary())], names
+                [pa.nulls(len(used), kind), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.binary()), pa.array(used, pa.int32()), pa.array([_narrow(blocks[i]) for i in used], pa.binary())], names
             )
 
     return run
@@ -179,12 +167,12 @@ def _prefixes(level, params: JoinParams):
         table = np.frombuffer(level.value, dtype=np.uint8)
         for batch in batches:
             parts, sizes, nodes = [], [], []
-            for text in batch.column(0).to_pylist():
-                found = shingles(text, params)
-                n = len(found)
-                if not n or (node := node_key(found)) in sent:
+            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not raw or node in sent:
                     continue
                 sent.add(node)
+                found = np.frombuffer(raw, dtype=np.uint64)
+                n = len(found)
                 parts.append(ordered(found, table, params)[: n - -(-params.percent * n // 100) + 1])
                 sizes.append(n)
                 nodes.append(node)
@@ -209,30 +197,34 @@ def _candidates(params: JoinParams):
     A list may span batches: its last rows wait for the next batch while it is short, and
     of a long one only the leader, its size and the last node are carried on.
     """
-    names = ["a", "b", "shingle", "n", "node"]
+    names = ["a", "b", "na", "nb", "short", "shingle", "n", "node"]
 
     def fits(small, large):
         return 100 * small >= params.percent * large
 
+    def pack(x, nx, y, ny, is_short: int) -> np.ndarray:
+        """Rows (a, b, na, nb, short) with a < b."""
+        swap = x > y
+        cols = np.where(swap, y, x), np.where(swap, x, y), np.where(swap, ny, nx), np.where(swap, nx, ny), np.full(len(x), is_short)
+        return np.stack(cols, axis=1)
+
     def emit(pairs: list, rows: list) -> Iterator[pa.RecordBatch]:
         if pairs:
-            got = np.unique(np.concatenate(pairs), axis=0)
+            got, times = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
             none = pa.nulls(len(got), pa.int64()), pa.nulls(len(got), pa.int32()), pa.nulls(len(got), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1]), *none], names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(got[:, i]) for i in range(4)), pa.array(got[:, 4] * times), *none], names)
         if rows:
             s, n, v = (np.concatenate(x) for x in zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(s), pa.int64()), pa.nulls(len(s), pa.int64()), pa.array(s), pa.array(n), pa.array(v)], names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(s), pa.int64()) for _ in range(5)), pa.array(s), pa.array(n), pa.array(v)], names)
 
     def short(shingle, n, node, begins, sizes, pairs: list) -> None:
         for gap in range(1, params.short_list):
-            first = np.concatenate([begins[sizes > gap][:, None] + np.arange(params.short_list - gap)]).ravel() if (sizes > gap).any() else np.zeros(0, dtype=np.int64)
-            room = np.repeat(sizes[sizes > gap], params.short_list - gap)
-            offset = np.tile(np.arange(params.short_list - gap), (sizes > gap).sum())
-            first = first[offset + gap < room]
-            good = fits(n[first].astype(np.int64), n[first + gap].astype(np.int64)) & (node[first] != node[first + gap])
-            a, b = node[first[good]], node[first[good] + gap]
-            if len(a):
-                pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+            for at in range(params.short_list - gap):
+                first = begins[sizes > at + gap] + at
+                nx, ny = n[first].astype(np.int64), n[first + gap].astype(np.int64)
+                good = fits(nx, ny) & (node[first] != node[first + gap])
+                if good.any():
+                    pairs.append(pack(node[first[good]], nx[good], node[first[good] + gap], ny[good], 1))
 
     def long(n, node, leader, pairs: list):
         """leader: (n, node) of the list so far; each member is paired with the first one of fitting size."""
@@ -241,10 +233,10 @@ def _candidates(params: JoinParams):
             leader, at = (int(n[0]), int(node[0])), 1
         while at < len(n):
             reach = at + int(np.searchsorted(n[at:].astype(np.int64) * params.percent, 100 * leader[0], side="right"))
-            members = node[at:reach]
-            members = members[members != leader[1]]
-            if len(members):
-                pairs.append(np.stack([np.minimum(members, leader[1]), np.maximum(members, leader[1])], axis=1))
+            other = node[at:reach] != leader[1]
+            if other.any():
+                members = node[at:reach][other]
+                pairs.append(pack(members, n[at:reach][other].astype(np.int64), np.full(len(members), leader[1]), np.full(len(members), leader[0]), 0))
             at = reach
             if at < len(n):
                 leader, at = (int(n[at]), int(node[at])), at + 1
@@ -321,17 +313,20 @@ def _further(lo: int, hi: int, all_links: bool, params: JoinParams):
                 for at, (ln, lv, lc) in leaders:
                     keep = (100 * ln >= params.percent * pn) & (pv != lv) & ((pc != lc) | all_links)
                     if keep.any():
-                        pairs.append(np.stack([np.minimum(pv[keep], lv), np.maximum(pv[keep], lv)], axis=1))
+                        pairs.append(np.stack([pv[keep], np.full(keep.sum(), lv), pn[keep], np.full(keep.sum(), ln)], axis=1))
                 for i in range(max(0, lo - seen), min(s, hi - seen)):
                     leaders.append((seen + i, (int(pn[i]), int(pv[i]), int(pc[i]))))
                     keep = (100 * pn[i] >= params.percent * pn[i + 1 :]) & (pv[i + 1 :] != pv[i]) & ((pc[i + 1 :] != pc[i]) | all_links)
                     if keep.any():
                         other = pv[i + 1 :][keep]
-                        pairs.append(np.stack([np.minimum(other, pv[i]), np.maximum(other, pv[i])], axis=1))
+                        pairs.append(np.stack([other, np.full(len(other), pv[i]), pn[i + 1 :][keep], np.full(len(other), pn[i])], axis=1))
                 seen += s
             if pairs:
-                got = np.unique(np.concatenate(pairs), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+                got = np.concatenate(pairs)
+                swap = got[:, 0] > got[:, 1]
+                got[swap] = got[swap][:, [1, 0, 3, 2]]
+                got = np.unique(got, axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(got[:, i]) for i in range(4)], ["a", "b", "na", "nb"])
 
     return run
 
@@ -374,13 +369,15 @@ def _segments(level, bloom, borders, params: JoinParams):
         table, bits = np.frombuffer(level.value, dtype=np.uint8), np.frombuffer(bloom.value, dtype=np.uint8)
         for batch in batches:
             nodes, parts, values = [], [], []
-            for text in batch.column(0).to_pylist():
-                found = shingles(text, params)
-                if not len(found) or (node := node_key(found)) in sent:
-                    continue
-                if not all(bits[at[0] >> 3] >> (at[0] & 7) & 1 for at in _bloom_slots(np.array([node], dtype=np.int64), params.bloom_bits)):
+            near = np.ones(batch.num_rows, dtype=bool)
+            for at in _bloom_slots(batch.column(0).to_numpy(), params.bloom_bits):
+                near &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            held = batch.filter(pa.array(near))
+            for node, raw in zip(held.column(0).to_pylist(), held.column(1).to_pylist()):
+                if not raw or node in sent:
                     continue
                 sent.add(node)
+                found = np.frombuffer(raw, dtype=np.uint64)
                 key = table[_slots(found, params.sketch_bits)].astype(np.uint64) << np.uint64(56) | found >> np.uint64(8)
                 fragment = np.searchsorted(borders, key, side="right")
                 for part in range(params.fragments):
@@ -399,10 +396,11 @@ def _segments(level, bloom, borders, params: JoinParams):
 class _Join:
     def __init__(self, docs: DataFrame, key: str, text: str, params: JoinParams):
         self.params, self.spark = params, docs.sparkSession
-        self.texts = docs.select(F.col(text).alias("text"))
         kind = docs.schema[key].dataType.simpleString()
-        described = materialize(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(_describe(params), f"id {kind}, n long, node long, block int, counts binary"), "sets")
-        self.rows = described.where("block IS NULL").select("id", "n", "node")
+        described = materialize(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(_describe(params), f"id {kind}, n long, node long, hashes binary, block int, counts binary"), "sets", "none")
+        self.sets = described.where("block IS NULL AND n > 0").select("node", "hashes")
+        self.described = described
+        self.rows = materialize(described.where("block IS NULL").select("id", "n", "node"), "rows")
         blocks = described.where("block IS NOT NULL").select("block", "counts")
         level = np.zeros((1 << params.sketch_bits) // _BLOCK * _BLOCK, dtype=np.uint8)
         for r in blocks.repartition("block").mapInArrow(_add_blocks, "block int, level binary").collect():
@@ -411,41 +409,58 @@ class _Join:
         self.level = self.spark.sparkContext.broadcast(level.tobytes())
 
     def candidates(self) -> DataFrame:
-        rows = self.texts.mapInArrow(_prefixes(self.level, self.params), "shingle long, n int, node long")
+        rows = self.sets.mapInArrow(_prefixes(self.level, self.params), "shingle long, n int, node long")
         listed = rows.repartition("shingle").sortWithinPartitions("shingle", "n", "node")
-        return materialize(listed.mapInArrow(_candidates(self.params), "a long, b long, shingle long, n int, node long"), "lists")
+        return materialize(listed.mapInArrow(_candidates(self.params), "a long, b long, na long, nb long, short long, shingle long, n int, node long"), "lists")
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """Links (a, b) among pairs, by overlaps per fragment."""
+    def segments(self, nodes: DataFrame) -> DataFrame:
+        """(node, fragment, hashes) of the given nodes, from one more pass over the sets."""
         p = self.params
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         bits = np.zeros((1 << p.bloom_bits) // 8, dtype=np.uint8)
-        for r in nodes.mapInArrow(_bloom(p), "block int, bits binary").repartition("block").mapInArrow(_or_blocks, "block int, bits binary").collect():
+        for r in nodes.distinct().mapInArrow(_bloom(p), "block int, bits binary").repartition("block").mapInArrow(_or_blocks, "block int, bits binary").collect():
             bits[r["block"] * 8192 : (r["block"] + 1) * 8192] = np.frombuffer(r["bits"], dtype=np.uint8)
         bloom = self.spark.sparkContext.broadcast(bits.tobytes())
-        made = self.texts.mapInArrow(_segments(self.level, bloom, self.borders, p), "node long, fragment int, hashes array<long>")
+        made = self.sets.mapInArrow(_segments(self.level, bloom, self.borders, p), "node long, fragment int, hashes array<long>")
         # Tasks may send a node twice.
-        segments = materialize(made.groupBy("node", "fragment").agg(F.first("hashes").alias("hashes")), "segments")
+        return materialize(made.groupBy("node", "fragment").agg(F.first("hashes").alias("hashes")), "segments")
+
+    def verify(self, pairs: DataFrame, segments: DataFrame) -> DataFrame:
+        """Links (a, b) among pairs, by overlaps per fragment."""
         left = segments.select(F.col("node").alias("a"), "fragment", F.col("hashes").alias("of_a"))
         right = segments.select(F.col("node").alias("b"), "fragment", F.col("hashes").alias("of_b"))
         met = pairs.join(left, "a").join(right, ["b", "fragment"])
         overlap = met.groupBy("a", "b").agg(F.sum(F.size(F.array_intersect("of_a", "of_b"))).alias("both"))
         sizes = segments.groupBy("node").agg(F.sum(F.size("hashes")).alias("n"))
         counted = overlap.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-        links = materialize(counted.where(f"100 * both >= {p.percent} * (na + nb - both)").select("a", "b"), "links")
-        discard(segments)
-        return links
+        return materialize(counted.where(f"100 * both >= {self.params.percent} * (na + nb - both)").select("a", "b"), "links")
+
+    def possible(self, pairs: DataFrame, in_long: DataFrame) -> DataFrame:
+        """Pairs whose prefixes share enough: overlap <= shared in prefixes + the longer rest behind a prefix.
+
+        Shared shingles of short lists were counted; in long lists two nodes share at most as many as either has there.
+        """
+        p = self.params
+        la, lb = in_long.select(F.col("node").alias("a"), F.col("in_long").alias("la")), in_long.select(F.col("node").alias("b"), F.col("in_long").alias("lb"))
+        met = pairs.join(la, "a", "left").join(lb, "b", "left").na.fill(0, ["la", "lb"])
+        least = F.expr(f"({p.percent} * (na + nb) + {99 + p.percent}) DIV {100 + p.percent}")
+        rest = lambda n: F.expr(f"({p.percent} * {n} + 99) DIV 100 - 1")
+        return met.where(F.col("short") + F.least("la", "lb") + F.greatest(rest("na"), rest("nb")) >= least).select("a", "b")
 
     def links(self, all_links: bool) -> tuple[DataFrame, DataFrame]:
         """Links that give the components (or all links), and (node, component) of linked nodes."""
         p = self.params
         lists = self.candidates()
-        pairs = materialize(lists.where("a IS NOT NULL").select("a", "b").distinct(), "pairs")
+        named = lists.where("a IS NOT NULL").groupBy("a", "b", "na", "nb").agg(F.sum("short").alias("short"))
         rows = lists.where("a IS NULL").select("shingle", "n", "node")
+        in_long = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("in_long")), "long")
         longest = rows.groupBy("shingle").count().agg(F.max("count")).collect()[0][0] or 0
-        links = self.verify(pairs)
+        seen = materialize(named, "named")
+        pairs = materialize(self.possible(seen, in_long), "pairs")
+        segments = self.segments(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(in_long.select("node")))
+        discard(self.described)  # the sets have served; what follows reads segments and rows
+        links = self.verify(pairs, segments)
         known = components(links, "a", "b")
-        seen, lo, hi = pairs, 0, p.first_leaders
+        seen, lo, hi = seen.select("a", "b"), 0, p.first_leaders
         while lo < longest:
             marked = rows.join(known, "node", "left").select("shingle", "n", "node", F.coalesce("component", "node").alias("component"))
             if not all_links:
@@ -455,13 +470,17 @@ class _Join:
                     break
                 marked = marked.join(mixed, "shingle", "left_semi")
             listed = marked.repartition("shingle").sortWithinPartitions("shingle", "n", "node")
-            more = listed.mapInArrow(_further(lo, hi, all_links, p), "a long, b long").distinct().join(seen, ["a", "b"], "left_anti")
-            more = materialize(more, "pairs")
-            if not more.isEmpty():
-                links = materialize(links.union(self.verify(more)), "links")
-                known = components(links, "a", "b")
-                seen = seen.union(more)
+            more = listed.mapInArrow(_further(lo, hi, all_links, p), "a long, b long, na long, nb long").distinct().join(seen, ["a", "b"], "left_anti")
+            more = materialize(more.withColumn("short", F.lit(0)), "pairs")
+            worth = materialize(self.possible(more, in_long), "pairs")
+            if not worth.isEmpty():
+                found = self.verify(worth, segments)
+                if not found.isEmpty():
+                    links = materialize(links.union(found), "links")
+                    known = components(links, "a", "b")
+            seen = seen.union(more.select("a", "b"))
             lo, hi = hi, hi * 8
+        discard(segments)
         return links, known
 
 
