@@ -18,7 +18,7 @@ METRICS = """count(*) AS n, round(avg(abs(predicted - observed)), 4) AS mae, rou
 
 def rounded(df, digits: int = 4, **other: int):
     kinds = dict(df.dtypes)
-    return df.select(*[F.round(c, other.get(c, digits)).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
+    return df.select(*[(F.round(c, other.get(c, digits)) + 0.0).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
 
 
 @query("flagship_lookup_gate", f"""WITH {OOF},
@@ -71,7 +71,7 @@ def _(spark, sf):
 
 
 @query("m08_e28_wilson", """WITH d AS (SELECT l.toxic, d.source, l.quality FROM labels l JOIN documents d USING (doc_id)), s AS (SELECT stratum, count(*) AS n, sum(toxic)::BIGINT AS k FROM (SELECT unnest(['all', 'source:' || source]) AS stratum, toxic FROM d) GROUP BY 1)
-SELECT stratum, n, k, round((k / n + 3.841458820694124 / (2 * n)) / (1 + 3.841458820694124 / n) - 1.959963984540054 * sqrt((k / n) * (1 - k / n) / n + 3.841458820694124 / (4 * n * n)) / (1 + 3.841458820694124 / n), 8) AS low,
+SELECT stratum, n, k, round((k / n + 3.841458820694124 / (2 * n)) / (1 + 3.841458820694124 / n) - 1.959963984540054 * sqrt((k / n) * (1 - k / n) / n + 3.841458820694124 / (4 * n * n)) / (1 + 3.841458820694124 / n), 8) + 0.0 AS low,
   round((k / n + 3.841458820694124 / (2 * n)) / (1 + 3.841458820694124 / n) + 1.959963984540054 * sqrt((k / n) * (1 - k / n) / n + 3.841458820694124 / (4 * n * n)) / (1 + 3.841458820694124 / n), 8) AS high FROM s""")
 def _(spark, sf):
     d = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")

@@ -20,7 +20,7 @@ def plain(value):
     if value is None or isinstance(value, float) and math.isnan(value):
         return "~"
     if isinstance(value, float):
-        return f"{value:.9g}"
+        return f"{value + 0.0:.9g}"  # no negative zero
     return str(value)
 
 
