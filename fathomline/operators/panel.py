@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,25 +137,71 @@ def stratified_sample(df: DataFrame, strata: list[str], key: str, per_stratum: i
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= per_stratum).drop("_rank")
 
 
-def mutual_best(pairs: DataFrame, left: str, right: str, order: list[Column], max_rounds: int = 50) -> DataFrame:
-    """Greedy one-to-one assignment: rounds of pairs that are best for both of their sides.
+def mutual_best(pairs: DataFrame, left: str, right: str, order: list[Column], tail: int = 20_000) -> DataFrame:
+    """Greedy one-to-one assignment: equal to taking pairs one by one from the best, ties by left, then right.
 
-    With a strict order this equals taking pairs one by one from the best. Lineage is cut every round.
+    A round takes every pair that is best for both of its sides, and whole blocks of ties: where all rows of some
+    sides are equally good and each left meets each right, they are paired by rank. The best pair of all is always
+    taken, so rounds go on until no pair is left; a rest of at most ``tail`` rows (a chain may need a round a pair)
+    is walked in order by one task. Lineage is cut every round. Pairs without a side are ignored.
     """
     from fathomline.session import discard, materialize
 
-    taken = None
-    rest = materialize(pairs.withColumn("_place", F.struct(*order, F.col(left), F.col(right))), "assign")
-    for _ in range(max_rounds):
-        a = rest.groupBy(left).agg(F.min("_place").alias("_a"))
-        b = rest.groupBy(right).agg(F.min("_place").alias("_b"))
-        best = materialize(rest.join(a, left).join(b, right).where("_place = _a AND _place = _b").drop("_a", "_b"), "assign")
+    ends = F.col(left).isNotNull() & F.col(right).isNotNull()
+    rest = materialize(pairs.where(ends).withColumn("_order", F.struct(*order)).withColumn("_place", F.struct("_order", F.col(left), F.col(right))), "assign")
+    kept = []
+    while (n := rest.count()) > tail:
+        best = materialize(_best_of_both(rest, left, right), "assign")
         if best.isEmpty():
-            break
-        taken = best if taken is None else taken.unionByName(best)
+            raise RuntimeError(f"assignment cannot settle {n} pairs: their order is not comparable")
+        kept.append(best)
         after = materialize(rest.join(best.select(left), left, "left_anti").join(best.select(right), right, "left_anti"), "assign")
         discard(rest)
         rest = after
-        if rest.isEmpty():
-            break
-    return (taken if taken is not None else rest).drop("_place")
+    if n:
+        kept.append(materialize(rest.coalesce(1).sortWithinPartitions("_place").mapInArrow(_walk(left, right), rest.schema), "assign"))
+    if not kept:
+        return rest.drop("_order", "_place")
+    discard(rest)
+    # One scan of all rounds: a chain of unions would grow with their number.
+    return rest.sparkSession.read.schema(kept[0].schema).parquet(*[k.fathomline_path for k in kept]).select(pairs.columns)
+
+
+def _best_of_both(rest: DataFrame, left: str, right: str) -> DataFrame:
+    """Pairs that greedy takes whatever else happens: best for both sides, or of the same rank in a block of ties."""
+
+    def side(own: str, other: str, name: str) -> DataFrame:
+        # The best order of a row, how many share it, and the first of them.
+        per = rest.groupBy(own, "_order").agg(F.count(F.lit(1)).alias("n"), F.min(other).alias("first"))
+        return per.groupBy(own).agg(F.min(F.struct("_order", "n", "first")).alias(name))
+
+    tied = rest.join(side(left, right, "_a"), left).join(side(right, left, "_b"), right).where("_order = _a._order AND _order = _b._order")
+    mutual = F.col(right).eqNullSafe(F.col("_a.first")) & F.col(left).eqNullSafe(F.col("_b.first"))
+    # Rows of a block share the order and both firsts; it is closed and complete if every row has as many ties as the block has rows opposite.
+    key = {"_o": F.col("_order"), "_l": F.col("_b.first"), "_r": F.col("_a.first")}
+    tied = tied.withColumns(key | {"_mutual": mutual, "_na": F.col("_a.n"), "_nb": F.col("_b.n")}).drop("_a", "_b")
+    blocks = tied.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_distinct(left).alias("_lefts"), F.count_distinct(right).alias("_rights"),
+        F.min("_na").alias("_na0"), F.max("_na").alias("_na1"), F.min("_nb").alias("_nb0"), F.max("_nb").alias("_nb1"),
+    )
+    blocks = blocks.where("_n > 1 AND _n = _lefts * _rights AND _na0 = _rights AND _na1 = _rights AND _nb0 = _lefts AND _nb1 = _lefts").select(*key)
+    whole = tied.join(blocks, list(key))
+    rank = lambda c, out: whole.select(*key, c).distinct().withColumn(out, F.row_number().over(Window.partitionBy(*key).orderBy(c)))
+    ranked = whole.join(rank(left, "_i"), [*key, left]).join(rank(right, "_j"), [*key, right]).where("_i = _j")
+    alone = tied.where("_mutual").join(blocks, list(key), "left_anti")
+    return ranked.select(rest.columns).unionByName(alone.select(rest.columns).dropDuplicates([left]))  # a pair given twice is taken once
+
+
+def _walk(left: str, right: str) -> Callable:
+    """Takes each row whose two sides are free, in the order in which rows come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used: tuple[set, set] = set(), set()
+        for batch in batches:
+            take = []
+            for i, (a, b) in enumerate(zip(batch.column(left).to_pylist(), batch.column(right).to_pylist())):
+                if a not in used[0] and b not in used[1]:
+                    used[0].add(a), used[1].add(b), take.append(i)
+            yield batch.take(pa.array(take, pa.int64()))
+
+    return run

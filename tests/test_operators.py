@@ -43,6 +43,38 @@ def test_mutual_best_equals_greedy(spark):
     assert {(r.a, r.b) for r in panel.mutual_best(df, "a", "b", [(-F.col("s")).alias("o")]).collect()} == want
 
 
+def greedy(pairs):
+    """Pairs one by one from the smallest (distance, left, right)."""
+    used_a, used_b, want = set(), set(), set()
+    for a, b, s in sorted(pairs, key=lambda p: (p[2], p[0], p[1])):
+        if a not in used_a and b not in used_b:
+            used_a.add(a), used_b.add(b), want.add((a, b))
+    return want
+
+
+@pytest.mark.parametrize("tail", [0, 20_000])
+def test_mutual_best_settles_every_pair_of_a_hot_cell(spark, tail):
+    import random
+
+    # 70 x 60 points at one place, apart from them a square that is not complete, and random ties.
+    hot = [(a, b, 0.0) for a in range(70) for b in range(60)]
+    random.seed(9)
+    ties = [(100 + a, 100 + b, float(random.randrange(3))) for a in range(15) for b in range(15) if random.random() < 0.6]
+    square = [(200, 201, 1.0), (200, 202, 1.0), (201, 201, 1.0)]
+    pairs = hot + ties + square
+    got = panel.mutual_best(spark.createDataFrame(pairs, "a int, b int, s double"), "a", "b", [F.col("s")], tail).collect()
+    assert len(got) == len({(r.a, r.b) for r in got}) and {(r.a, r.b) for r in got} == greedy(pairs)
+    assert sum(r.a < 70 for r in got) == 60
+
+
+def test_mutual_best_settles_a_long_chain(spark):
+    # Distances fall along the chain: a round settles one pair.
+    pairs = [(i // 2 + i % 2, i // 2, 1000.0 - i) for i in range(240)]
+    got = panel.mutual_best(spark.createDataFrame(pairs, "a int, b int, s double"), "a", "b", [F.col("s")]).collect()
+    assert {(r.a, r.b) for r in got} == greedy(pairs) and len(got) == 120
+    assert panel.mutual_best(spark.createDataFrame([], "a int, b int, s double"), "a", "b", [F.col("s")]).count() == 0
+
+
 def test_components_any_order(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (5, 5)]
     for seed in (1, 2):
