@@ -128,12 +128,19 @@ def _(spark, sf):
 @query("n13_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS o, l_partkey % 1500 AS p FROM lineitem WHERE l_orderkey % 20 = 0), f AS (SELECT o, min(p) AS low FROM e GROUP BY o), d AS (SELECT DISTINCT p AS a, low AS b FROM e JOIN f USING (o)), s AS (SELECT a, b FROM d UNION SELECT b, a FROM d),
 r(node, reach) AS (SELECT a, a FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.reach = s.a) SELECT node, min(reach) AS component FROM r GROUP BY node""")
 def _(spark, sf):
-    # The modulo makes a sparse graph out of a dense one (it is the graph under test, not a filter on a result).
+    # A small graph for the recursive SQL: a twentieth of the orders, folded keys. The whole table is n13_components_whole.
     e = table(spark, sf, "lineitem").where("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("o"), (F.col("l_partkey") % 1500).alias("p")).distinct()
     low = e.groupBy("o").agg(F.min("p").alias("low"))
     return components(e.join(low, "o").select(F.col("p").alias("src"), F.col("low").alias("dst")))
 
 
+@query("n13_components_whole")
+def _(spark, sf):
+    # Orders and parts of every line; part nodes are below zero, order nodes above.
+    e = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("long").alias("src"), (-1 - F.col("l_partkey").cast("long")).alias("dst"))
+    return components(e)
+
+
 @query("n14_spatial_folds")
 def _(spark, sf):
     g = points(spark, sf).groupBy("label").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).cast("double").alias("weight"))

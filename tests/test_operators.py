@@ -84,6 +84,22 @@ def test_components_any_order(spark):
     assert components(spark.createDataFrame([], "src int, dst int")).count() == 0
 
 
+def test_components_of_the_whole_line_table(spark, tmp_path):
+    from fathomline.plans import registry
+
+    # Few orders are divisible by 20, and keys that are equal modulo 1500 are different parts.
+    lines = [(o, p) for o in range(1, 60) for p in (o // 4 * 1500 + 1, 50_000 + o // 8)] + [(900, 7), (901, 1507), (40, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.node: r.component for r in registry.queries()["n13_components_whole"](spark, str(tmp_path)).collect()}
+    groups: list[set] = []
+    for o, p in lines:
+        if p is not None:
+            met = [g for g in groups if o in g or -1 - p in g]
+            groups = [g for g in groups if g not in met] + [set().union({o, -1 - p}, *met)]
+    assert got == {n: min(g) for g in groups for n in g}
+    assert len(groups) == 10 and got[900] != got[901]
+
+
 def test_pearson_guards(spark):
     df = spark.createDataFrame([("c", 1.0, 1.0), ("c", 1.0, 2.0), ("c", 1.0, 3.0), ("n", 1.0, 2.0), ("ok", 1.0, 2.0), ("ok", 2.0, 4.0), ("ok", 3.0, 6.0), ("ok", None, 9.0)], "g string, x double, y double")
     got = {r.g: r.r for r in df.groupBy("g").agg(stats.pearson("x", "y").alias("r")).collect()}
