@@ -137,6 +137,25 @@ def stratified_sample(df: DataFrame, strata: list[str], key: str, per_stratum: i
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= per_stratum).drop("_rank")
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Every row with its place from 1 in the order of the whole table, without a task that holds all rows.
+
+    Rows are sorted by ranges; a row's place is its place in its partition after the rows of earlier partitions,
+    of which the driver gets one number per partition.
+    """
+    from fathomline.session import materialize
+
+    # The id has the partition in its upper 31 bits and counts from 0 in the lower 33.
+    rows = materialize(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    rows = rows.withColumn("_part", F.shiftright("_id", 33))
+    at, begins = 0, []
+    for r in rows.groupBy("_part").count().orderBy("_part").collect():
+        begins.append((r["_part"], at - (r["_part"] << 33) + 1))
+        at += r["count"]
+    offsets = df.sparkSession.createDataFrame(begins, "_part long, _begin long")
+    return rows.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_id") + F.col("_begin")).drop("_part", "_id", "_begin")
+
+
 def mutual_best(pairs: DataFrame, left: str, right: str, order: list[Column], tail: int = 20_000) -> DataFrame:
     """Greedy one-to-one assignment: equal to taking pairs one by one from the best, ties by left, then right.
 

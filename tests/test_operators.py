@@ -43,6 +43,20 @@ def test_mutual_best_equals_greedy(spark):
     assert {(r.a, r.b) for r in panel.mutual_best(df, "a", "b", [(-F.col("s")).alias("o")]).collect()} == want
 
 
+def test_numbered_gives_every_row_its_place(spark):
+    # More than one partition, ties, and ids without digits last.
+    df = spark.range(3000).select("id", F.when(F.col("id") % 7 == 0, "none").otherwise(F.concat(F.lit("Brand#"), (F.col("id") * 37 % 211).cast("string"))).alias("brand")).repartition(5, F.rand(4))
+    number = F.coalesce(F.regexp_extract("brand", r"(\d+)", 1).try_cast("bigint"), F.lit(10**12))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = panel.numbered(df, [number, F.col("brand"), F.col("id")])
+        assert [r.id for r in got.orderBy("place").collect()] == sorted(range(3000), key=lambda i: (10**12, i) if i % 7 == 0 else (i * 37 % 211, i))
+        assert sorted(r.place for r in got.collect()) == list(range(1, 3001))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert panel.numbered(df.where("id < 0"), [F.col("id")]).count() == 0
+
+
 def greedy(pairs):
     """Pairs one by one from the smallest (distance, left, right)."""
     used_a, used_b, want = set(), set(), set()
