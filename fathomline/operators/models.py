@@ -92,7 +92,7 @@ def leave_fold_out_factor(ratios: DataFrame, fold: str, folds: list[int], ratio:
     return held_out_frames(ratios, fold, folds).where("NOT is_test").groupBy("held").agg(F.median(ratio).alias("factor"))
 
 
-def boosted_out_of_fold(df: DataFrame, fold: str, folds: list[int], value: str, features: list[str], loss: str = "absolute", rounds: int = 20, depth: int = 4, seed: int = 42) -> DataFrame:
+def boosted_out_of_fold(df: DataFrame, fold: str, folds: list[int], value: str, features: list[str], loss: str = "absolute", rounds: int = 250, depth: int = 4, seed: int = 42) -> DataFrame:
     """Gradient-boosted trees, one fit per fold. Missing features are imputed by the training median and flagged.
 
     Spark's trees are another model than histogram boosting with native missing values; no equality is claimed.

@@ -112,8 +112,8 @@ def _(spark, sf):
 @query("m16_m18_cluster_bootstrap")
 def _(spark, sf):
     t = training(spark, sf)
-    pooled = stats.cluster_bootstrap(t, "station_id", F.col("aadt"), 500, 42).withColumn("kind", F.lit("pooled"))
-    return pooled.unionByName(stats.cluster_bootstrap(t, "segment", F.col("aadt"), 500, 42, "means").withColumn("kind", F.lit("means")))
+    pooled = stats.cluster_bootstrap(t, "station_id", F.col("aadt")).withColumn("kind", F.lit("pooled"))
+    return pooled.unionByName(stats.cluster_bootstrap(t, "segment", F.col("aadt"), statistic="means").withColumn("kind", F.lit("means")))
 
 
 @query("m22_m25_benchmark_factors", f"""WITH {PANEL}, {STATIONS}, b AS (SELECT year, fold AS region, segment AS network, sum(aadt) AS vkt, sum(n_obs) AS len FROM panel JOIN stations USING (station_id) WHERE year IN (1996, 1998, 2000) GROUP BY 1, 2, 3),
@@ -286,7 +286,7 @@ def _(spark, sf):
 @query("l04_l06_boosted_trees")
 def _(spark, sf):
     t = training(spark, sf).select("station_id", "fold", "extent", F.col("route").cast("double").alias("route"), "aadt")
-    out = models.boosted_out_of_fold(t, "fold", [1, 2, 3, 4, 5], "aadt", ["extent", "route"], rounds=5, depth=3)
+    out = models.boosted_out_of_fold(t, "fold", [1, 2, 3, 4, 5], "aadt", ["extent", "route"])
     return out.select("station_id", "fold", "prediction")
 
 

@@ -153,6 +153,38 @@ def test_fold_bootstrap_is_the_full_enumeration(spark):
     assert got.draws == 27 and got.low == pytest.approx(np.quantile(xs, 0.025)) and got.high == pytest.approx(np.quantile(xs, 0.975))
 
 
+def test_registered_models_have_the_settings_of_the_reference(spark, monkeypatch):
+    import inspect
+
+    from fathomline.plans import registry
+
+    seen = []
+
+    def recorded(f):
+        def run(*args, **kwargs):
+            bound = inspect.signature(f).bind(*args, **kwargs)
+            bound.apply_defaults()
+            seen.append(bound.arguments)
+            return args[0].withColumn("prediction", F.lit(1.0))
+
+        return run
+
+    monkeypatch.setattr(models, "boosted_out_of_fold", recorded(models.boosted_out_of_fold))
+    registry.queries()["l04_l06_boosted_trees"](spark, "/root/testdata/sf0.001")
+    assert [(s["rounds"], s["depth"], s["loss"], s["seed"]) for s in seen] == [(250, 4, "absolute", 42)]
+
+
+def test_cluster_bootstrap_makes_all_draws(spark):
+    from fathomline.plans import registry
+
+    df = spark.createDataFrame([(i, float(i * i % 17)) for i in range(40)], "c int, v double")
+    for statistic, n in (("pooled", 1000), ("means", 5000)):
+        own, fixed = (stats.cluster_bootstrap(df, "c", F.col("v"), *a, statistic=statistic).first() for a in ((), (n, 42)))
+        assert tuple(own) == tuple(fixed) != tuple(stats.cluster_bootstrap(df, "c", F.col("v"), 500, 42, statistic).first())
+    plan = registry.queries()["m16_m18_cluster_bootstrap"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "sequence(1, 1000" in plan and "sequence(1, 5000" in plan and "sequence(1, 500," not in plan
+
+
 def test_sequence_ratio_is_difflib(spark):
     pairs = [("nathan road", "nathan rd"), ("abcd", "bcde"), ("", "x"), (None, "x")]
     got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", text.sequence_ratio("a", "b").alias("r")).collect()
