@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,38 +14,52 @@ from pyspark.sql import types as T
 ENCODINGS = ("utf-8", "big5", "cp950", "latin-1")
 
 
-def csv(spark: SparkSession, path: str, schema: T.StructType | str, columns: list[str] | None = None, encoding: str = "utf-8") -> DataFrame:
+def csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str, columns: list[str] | None = None, encoding: str = "utf-8") -> DataFrame:
     """CSV with a header. Rows with malformed values keep nulls; a byte-order mark is dropped by the reader."""
     df = spark.read.schema(schema).csv(path, header=True, encoding=encoding, nullValue="", mode="PERMISSIVE")
     return df.select(*columns) if columns else df
 
 
+def _decoded(encoding: str) -> Callable:
+    @F.pandas_udf(T.StringType())
+    def run(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: c.decode(encoding))
+
+    return run
+
+
 def csv_flexible(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """CSV in the first encoding that decodes its first 64 KB. Encodings that Spark's reader does not know are
-    decoded in Arrow batches, whole files at a time and one record a line."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1 << 16).alias("c")).first()
-    raw = bytes(head["c"]) if head else b""
-    chosen = ENCODINGS[-1]
-    for name in ENCODINGS:
-        try:
-            raw.decode(name)
-        except UnicodeDecodeError as error:
-            if error.start < len(raw) - 4:
-                continue
-        chosen = name
-        break
-    if chosen == "utf-8":
-        return csv(spark, path, schema)
-    if chosen == "latin-1":
-        return csv(spark, path, schema, encoding="iso-8859-1")
+    """CSV, each file in the first encoding that decodes its whole content. The driver gets one row a file.
+    Encodings that Spark's reader does not know are decoded in Arrow batches, whole files at a time and one record a line."""
 
     @F.pandas_udf(T.StringType())
-    def decoded(content: pd.Series) -> pd.Series:
-        return content.map(lambda c: c.decode(chosen, errors="replace"))
-
+    def encoding(content: pd.Series) -> pd.Series:
+        def first(raw: bytes) -> str:
+            for name in ENCODINGS:
+                try:
+                    raw.decode(name)
+                    return name
+                except UnicodeDecodeError:
+                    pass
+            return ENCODINGS[-1]  # decodes anything
+
+        return content.map(first)
+
+    found = spark.read.format("binaryFile").load(path).select("path", encoding("content").alias("encoding")).collect()
+    names = {r["encoding"] for r in found}
+    if names <= {"utf-8"}:
+        return csv(spark, path, schema)
     ddl = schema if isinstance(schema, str) else ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
-    lines = spark.read.format("binaryFile").load(path).select(F.posexplode(F.split(decoded("content"), "\r?\n")).alias("line_no", "line"))
-    return lines.where("line_no > 0 AND line <> ''").select(F.from_csv("line", ddl, {"nullValue": ""}).alias("r")).select("r.*")
+    parts = []
+    for name in (e for e in ENCODINGS if e in names):
+        # The reader takes paths as patterns.
+        files = [re.sub(r"([][{}*?\\])", r"\\\1", r["path"]) for r in found if r["encoding"] == name]
+        if name in ("utf-8", "latin-1"):
+            parts.append(csv(spark, files, schema, encoding={"latin-1": "iso-8859-1"}.get(name, name)))
+            continue
+        lines = spark.read.format("binaryFile").load(files).select(F.posexplode(F.split(_decoded(name)("content"), "\r?\n")).alias("line_no", "line"))
+        parts.append(lines.where("line_no > 0 AND line <> ''").select(F.from_csv("line", ddl, {"nullValue": ""}).alias("r")).select("r.*"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def find_column(df: DataFrame, candidates: list[str], loose: bool = True) -> str | None:

@@ -258,6 +258,19 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [(r.label, r.first_value, r.second_value) for r in readers.layout_table(lines, "Table 5", ["Kowloon"]).orderBy("line_no").collect()][1] == ("Kowloon", 7890, 12)
 
 
+def test_csv_flexible_decodes_each_file_as_a_whole(spark, tmp_path):
+    # The first sign of another encoding stands after 64 KB, and each file has its own; [1] in a name is no pattern.
+    plain = "".join(f"{i},plain\n" for i in range(9000))
+    texts = {"a.csv": ("utf-8", "香港"), "b[1].csv": ("big5", "九龍"), "c.csv": ("latin-1", "Café ÿ"), "d e.csv": ("utf-8", "x")}
+    for k, (name, (encoding, last)) in enumerate(texts.items()):
+        (tmp_path / name).write_bytes(("k,v\n" + plain + f"{100_000 + k},{last}\n").encode(encoding))
+    got = readers.csv_flexible(spark, str(tmp_path), "k int, v string")
+    assert got.count() == 4 * 9001 and got.where("v = 'plain'").count() == 4 * 9000
+    assert {r.k: r.v for r in got.where("k >= 100000").collect()} == {100_000 + k: last for k, (_, last) in enumerate(texts.values())}
+    alone = readers.csv_flexible(spark, str(tmp_path / "c.csv"), "k int, v string").where("k >= 100000").collect()
+    assert [r.v for r in alone] == ["Café ÿ"]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from fathomline.streaming.detectors import hourly, start
 
