@@ -6,8 +6,8 @@ language's profile comes from its training documents; a document gets the langua
 whose profile is nearest: for each of its n-grams the difference of the ranks, or
 ``size`` where the profile lacks it.
 
-Fitting reads a sample of about ``fit_rows`` documents of each language, chosen by a
-hash of the text, so a rare language keeps all of its rows; counts are reduced per
+Fitting reads a sample of about ``fit_rows`` distinct texts of each language, chosen by a
+hash of the text, so a rare language keeps all of them and copies count once; counts are reduced per
 (language, n-gram) before anything reaches the driver, which receives at most ``size``
 n-grams of each language. Prediction is a map over whole texts: no shuffle, no hot key.
 
@@ -89,11 +89,13 @@ class Profiles:
 
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", params: LangParams = LangParams()) -> dict[str, list[int]]:
-    """Ranked n-gram codes of each language, from about fit_rows of its rows."""
+    """Ranked n-gram codes of each language, from about fit_rows of its distinct texts."""
     known = train.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    share = known.groupBy("lang").agg((F.lit(float(params.fit_rows)) / F.count(F.lit(1))).alias("share"))
-    drawn = F.pmod(F.xxhash64(F.lit(3), F.col("text")), F.lit(1 << 20)) < F.col("share") * (1 << 20)
-    sample = known.join(F.broadcast(share), "lang").where(drawn).select("lang", "text")
+    mark = F.xxhash64(F.lit(3), F.col("text"))
+    # Copies go in or out together, so distinct texts are counted, by hash, and a drawn text is read once.
+    share = known.select("lang", mark.alias("mark")).distinct().groupBy("lang").agg((F.lit(float(params.fit_rows)) / F.count(F.lit(1))).alias("share"))
+    drawn = F.pmod(mark, F.lit(1 << 20)) < F.col("share") * (1 << 20)
+    sample = known.join(F.broadcast(share), "lang").where(drawn).select("lang", "text").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Counts are added up per language before they leave the task.

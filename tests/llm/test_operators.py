@@ -285,6 +285,16 @@ def test_language_profiles(spark, docs, none):
     assert langid.fit(none) == {}
 
 
+def test_language_profiles_count_copies_once(spark):
+    # Whether a copied text is drawn or not, each language keeps a profile, and copies add nothing to it.
+    def fitted(copies):
+        rows = [(f"{w} nur", w) for w in "abcdefgh" for _ in range(copies)] + [(f"wort {w} {v}", "many") for w in "abcdefghij" for v in "klmnopqrst"] + [("wort a k", "many")] * copies
+        return langid.fit(spark.createDataFrame(rows, "text string, lang string"), params=langid.LangParams(size=50, fit_rows=20))
+
+    ranked = fitted(400)
+    assert set(ranked) == {*"abcdefgh", "many"} and ranked == fitted(1)
+
+
 def test_rank_distance_by_hand():
     profiles = langid.Profiles({"a": [1, 2, 3], "b": [3, 2, 9]}, 3)
     own = np.array([3, 2, 1])
