@@ -10,12 +10,15 @@ shards of equal rows (law ``rows``: counts at most one apart), so that a cut rar
 falls inside a link.
 
 Joins run on the link value after counts per (link, shard) were reduced in the map
-tasks; the side of the documents may be skewed, and adaptive execution splits it, as
-the final range sort does (ties by a hash of the row). A link larger than a shard is
+tasks. Links with more than a 64th of all rows are fewer than 64 and sent to every task,
+so their rows are not gathered; the final range sort splits them too (ties by a hash of
+the row). A link larger than a shard is
 spread over several. Rows in flight are small: no text is shuffled.
 
-Defined results: a null link value links nothing; null texts have size 1; repeated rows
-are separate documents; extra columns are not returned; an empty table gives no rows.
+Defined results: a null link value links nothing; null and empty texts have size 1, and
+empty ones are linked; very long texts are only hashed; repeated rows are separate
+documents; equal wishes of a link go to the shard with the larger hash; extra columns are
+not returned, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.llm.skew import join_counted
 from fathomline.session import discard, materialize
 
 
@@ -60,15 +64,16 @@ def propagate(rows: DataFrame, params: ShardParams = ShardParams()) -> DataFrame
     rows = materialize(rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(params.seed), "tie"), F.lit(k)).cast("int")), "shard")
     for turn in range(params.rounds):
         counted = rows.where(F.col("link").isNotNull()).groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n"))
-        best = (
+        best = materialize(
             counted.groupBy("link")
             .agg(F.max_by("shard", F.struct("n", F.xxhash64("link", "shard"))).alias("want"), F.sum("n").alias("members"))
-            .where("members > 1")
+            .where("members > 1"),
+            "best",
         )
         loads = [0] * k
         for r in rows.groupBy("shard").count().collect():
             loads[r["shard"]] = r["count"]
-        met = rows.join(best, "link", "left").withColumn("want", F.coalesce("want", "shard"))
+        met = join_counted(rows, best, "link", "members", sum(loads)).withColumn("want", F.coalesce("want", "shard"))
         wishes = {(r["shard"], r["want"]): r["count"] for r in met.where("want <> shard").groupBy("shard", "want").count().collect()}
         if not wishes:
             break
@@ -83,6 +88,7 @@ def propagate(rows: DataFrame, params: ShardParams = ShardParams()) -> DataFrame
         moved = met.withColumn("shard", F.when((F.col("want") != F.col("shard")) & (drawn < share), F.col("want")).otherwise(F.col("shard")))
         after = materialize(moved.select(*rows.columns), "shard")
         discard(rows)
+        discard(best)
         rows = after
     return rows
 
@@ -97,10 +103,10 @@ def cut_edges(rows: DataFrame, link: str = "link", shard: str = "shard") -> Data
 
 def balance(rows: DataFrame, params: ShardParams = ShardParams()) -> DataFrame:
     """Equal rows: order by shard, cut the order every n / shards rows, number the rows of each shard from 0."""
-    k = params.shards
-    sizes = rows.where(F.col("link").isNotNull()).groupBy("link").agg(F.count(F.lit(1)).alias("members"))
+    k, total = params.shards, rows.count()
+    sizes = materialize(rows.where(F.col("link").isNotNull()).groupBy("link").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "sizes")
     side = F.when(F.col("members") > 1, F.lit(1)).otherwise(F.when(F.pmod("tie", F.lit(2)) == 0, F.lit(0)).otherwise(F.lit(2)))
-    ordered = rows.join(sizes, "link", "left").withColumn("side", side)
+    ordered = join_counted(rows, sizes, "link", "members", total).withColumn("side", side)
     keys = ["shard", "side", "link", "tie"]
     placed = materialize(ordered.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()), "shard")
     at, begins = 0, []
