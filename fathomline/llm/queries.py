@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,11 +45,13 @@ def op3_patience_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         best["coverage"].alias("coverage"),
         best["start"].alias("first_word"),
         best["end"].alias("end_word"),
+        "licenses",
     )
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace_checked(docs, surrogates.SurrogateParams(surrogates.session_key(spark)))
 
 
 def op5_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,12 +64,10 @@ def op6_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocabulary_path(name: str) -> str:
-    """A file of the public vocabularies: beside the installed package, or under FATHOMLINE_TOKENIZERS."""
-    folder = os.environ.get("FATHOMLINE_TOKENIZERS")
-    if folder is None:
-        found = importlib.util.find_spec("public_tokenizers")
-        folder = os.path.dirname(found.origin) if found else "/opt/tokenizers"
-    return os.path.join(folder, name)
+    """A file of the installed public vocabularies."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def op7_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,68 +1,121 @@
 """PII surrogates: keyed, type-consistent replacements, by built-in functions alone.
 
-Entities are found by one pattern (e-mail, phone, IPv4, card, social security number,
-IBAN, long hexadecimal secret, titled personal name). Each gets a surrogate of the same
-form from a keyed permutation: the signs of an entity belong to classes (digits,
-lower- and upper-case letters of a script; for names also vowels and consonants, with
-the last letter fixed so that gendered endings and the title stay), and a Feistel
-network over the even and odd places shifts every sign inside its class by an amount
-from SHA-256 of the key, the type and the other half. A permutation cannot map two
-entities to one surrogate, and equal entities always get equal surrogates, whatever
-document or task they are in: distinctness and coreference need no shared state and no
-shuffle. ``collisions`` checks both over a whole table. Octets of addresses are permuted
-as numbers; the last digit of a card keeps its Luhn sum, so valid stays valid.
-
-A surrogate may equal another person's real value by chance, as any random value may;
-``collisions`` reports those as ``meets_real``.
-
-Defined results: null texts stay null; texts without entities are unchanged; repeated
-rows change alike; extra columns pass through, and a clash with the count columns
-raises ValueError.
+Entities are found by one pattern (e-mail, IPv4, IPv6, card, IBAN, social security number,
+phone, API key, long hexadecimal secret, titled personal name; no form has an upper limit
+of length but those whose format has one). Words of a titled name are also replaced where
+they stand alone elsewhere in the same text.
+
+Each entity gets a surrogate of the same form from a keyed permutation: its signs belong
+to classes (digits, lower- and upper-case letters of a script; for names vowels and
+consonants apart), and a Feistel network over the even and odd places shifts every sign
+inside its class by an amount from SHA-256 of the key, the type and the other half. The
+network runs forward, one sign is moved on by a fixed keyed amount, and the network runs
+back: a permutation without a fixed point. So two entities never share a surrogate, none
+keeps its value, and equal entities always get equal surrogates, whatever document or task
+they are in: distinctness and coreference need no shared state and no shuffle. Octets of
+addresses are permuted as numbers. The last digit of a card and the check digits of an
+IBAN move by as much as the check value of the rest does, so valid stays valid and the map
+stays one to one.
+
+Names: titles and particles stay. A given name of GIVEN_NAMES becomes another one of its
+list, so gender and script match; any other word is permuted inside its letter classes, in
+lower case (case is put back by place, so SMITH and Smith agree), longer words keep their
+last letter and with it gendered endings, and a result that is a listed name is permuted
+again, which keeps the map one to one.
+
+``replace_checked`` holds all entities of a table against their surrogates and changes the
+key if two of one kind ever met. A surrogate may equal another person's real value by
+chance, as any random value may; ``collisions`` reports those as ``meets_real``.
+
+The key is required. It is part of the query's plan: whoever reads plans or event logs can
+read it and undo the surrogates.
+
+Defined results: null texts stay null; empty texts and texts without entities are
+unchanged; very long texts are taken whole; repeated rows change alike; an empty table
+gives an empty one; extra columns pass through, and a clash with the count columns or an
+inner column (``_found``, ``_kinds``, ``_put``, ``_names``, ``_state``) raises ValueError.
 """
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace as changed
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomline.session import discard, materialize
+
+TITLES = r"(?:Mrs?|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Doña|Don|Г-н|Г-жа|Κύριος|Κυρία)\.?"
+_WORD = r"(?:\p{Lu}\.|\p{Lu}[\p{L}\p{M}'’]*+)"
+_PARTICLE = r"(?:(?:von|van|der|den|de|del|della|di|da|dos|du|la|le|zu|bin|ben|al) )*"
 # Forms of entities. Order matters; the first that fits at a place wins.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*\.\p{L}{2,24}(?![\p{L}\p{N}])",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*\.\p{L}{2,}(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{L}\p{N}_.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{L}\p{N}_]|\.[0-9])",
-    "ssn": r"(?<![\p{L}\p{N}_-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}_-])",
-    "phone": r"(?<![\p{L}\p{N}_+.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\p{L}\p{N}_]|[.-][0-9])",
-    "iban": r"(?<![\p{L}\p{N}_])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}_])",
-    "card": r"(?<![\p{L}\p{N}_])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}_])",
-    "secret": r"(?<![\p{L}\p{N}_])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}_])",
-    "name": r"(?<![\p{L}])(?:Mrs?|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Doña|Don|Г-н|Г-жа|Κύριος|Κυρία)\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
+    "ipv6": r"(?<![\p{L}\p{N}_:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){2,7}:)(?![\p{L}\p{N}_:])",
+    "card": r"(?<![\p{L}\p{N}_])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}_]|[ -][0-9])",
+    "iban": r"(?<![\p{L}\p{N}_])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}_])",
+    "ssn": r"(?<![\p{L}\p{N}_-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}_]|-[0-9])",
+    "phone": r"(?<![\p{L}\p{N}_+])(?<![0-9][ .-])(?:\+(?=(?:[ .()/-]*[0-9]){7})[0-9]{1,3}(?:[ ./-]?(?:\([0-9]+\)|[0-9]+))+|\(?0[0-9]{1,5}\)?[ ./-]?[0-9]{3,}(?:[ .-][0-9]{2,})*|(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}|[0-9]{9,})(?![\p{L}\p{N}_]|[ .-][0-9])",
+    "api_key": r"(?<![\p{L}\p{N}_])(?:[sprk]k_(?:live|test)_[0-9A-Za-z]{8,}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{20,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{20,}|eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]+\.[0-9A-Za-z_-]+)(?![\p{L}\p{N}_])",
+    "secret": r"(?<![\p{L}\p{N}_])[0-9A-Fa-f]{32,}(?![\p{L}\p{N}_])",
+    "name": rf"(?<![\p{{L}}]){TITLES} {_PARTICLE}{_WORD}(?:[ -]{_PARTICLE}{_WORD})*",
 }
 #: A text without any of these signs has no entity.
 HINT = r"[0-9@]|Mr|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Sr|Doña|Don|Г-|Κυρ|Κύρ"
+_API_HEAD = r"^(?:[sprk]k_(?:live|test)_|AKIA|gh[pousr]_|xox[abprs]-|AIza|eyJ)"
 # Classes of signs. Shifts stay inside a class.
+DIGITS = "0123456789"
 CLASSES = (
-    "0123456789",
+    DIGITS,
     "abcdefghijklmnopqrstuvwxyz",
     "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "àáâãäåæèéêëìíîïòóôõöøùúûüýÿ",
     "ÀÁÂÃÄÅÆÈÉÊËÌÍÎÏÒÓÔÕÖØÙÚÛÜÝ",
-    "çñß",
+    "çñ",
     "ÇÑ",
     "абвгдежзийклмнопрстуфхцчшщъыьэюя",
     "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ",
     "αβγδεζηθικλμνξοπρστυφχψω",
     "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 )
-HEX_CLASSES = ("0123456789", "abcdef", "ABCDEF")
-NAME_CLASSES = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", *CLASSES[3:7], "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ")
+HEX_CLASSES = (DIGITS, "abcdef", "ABCDEF")
+NAME_CLASSES = ("aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøùúûüý", "çñ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
+# Common given names by script and gender.
+GIVEN_NAMES = (
+    "john james robert michael david thomas peter paul daniel mark george martin hans karl stefan pierre louis antoine carlos miguel pablo javier marco luca".split(),
+    "mary anna maria emma laura julia sarah sophie clara helen susan linda karin petra ursula monika camille juliette elena carmen lucia teresa giulia chiara".split(),
+    "иван пётр алексей дмитрий сергей андрей николай михаил".split(),
+    "анна мария елена ольга наталья татьяна ирина светлана".split(),
+    "γιώργος νίκος κώστας δημήτρης γιάννης αλέξανδρος".split(),
+    "ελένη κατερίνα σοφία άννα δήμητρα αγγελική".split(),
+)
 
 
 @dataclass(frozen=True)
 class SurrogateParams:
-    key: str = "change-me"
-    rounds: int = 4
+    key: str
+    rounds: int = 3
+
+    def __post_init__(self) -> None:
+        if not self.key:
+            raise ValueError("a key is required")
+
+    def number(self, *parts: str) -> int:
+        """A keyed number that does not depend on any entity."""
+        return int(hashlib.sha256("|".join((self.key, *parts)).encode()).hexdigest()[:15], 16)
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key in the setting fathomline.surrogates.key. Where it is unset, a random one for this session: surrogates
+    then agree inside the session and with no other."""
+    name = "fathomline.surrogates.key"
+    if not spark.conf.get(name, None):
+        spark.conf.set(name, secrets.token_hex(32))
+    return spark.conf.get(name)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -83,154 +136,262 @@ def _class_of(sign: Column, classes: tuple[str, ...]) -> Column:
     return out
 
 
-def _permute(text: Column, kind: str, classes: tuple[str, ...], params: SurrogateParams, fixed: Callable[[Column, Column], Column] | None = None) -> Column:
-    """Feistel network over the even and the odd places of a text; places where fixed holds do not move."""
+def _signs(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1))
+
+
+def _stepped(state: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The state with step(kind, signs) done in every piece that goes on."""
+    piece = lambda x, p: F.struct(p["t"].alias("t"), p["m"].alias("m"), p["go"].alias("go"), F.when(p["go"], step(x["k"], p["s"])).otherwise(p["s"]).alias("s"))
+    return F.transform(state, lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), F.transform(x["ps"], lambda p: piece(x, p)).alias("ps")))
+
 
-    def parts(t: Column) -> Column:
-        return F.transform(
-            F.regexp_extract_all(t, F.lit("(?s)(.)"), F.lit(1)),
-            lambda sign, i: F.struct(sign.alias("s"), F.when(F.lit(False) if fixed is None else fixed(t, i), F.lit("")).otherwise(_class_of(sign, classes)).alias("c")),
-        )
+def _moved(x: Column, by: Column) -> Column:
+    return F.substring(x["c"], (F.pmod(F.instr(x["c"], x["s"]) - 1 + by, F.length(x["c"])) + 1).cast("int"), F.lit(1))
 
-    def turn(signs: Column, r: int) -> Column:
-        other = F.array_join(F.transform(F.filter(signs, lambda x, i: i % 2 != r % 2), lambda x: x["s"]), "")
 
+def _turn(r: int, forward: bool, params: SurrogateParams) -> Callable[[Column, Column], Column]:
+    """Round r of the network: signs at one half of the places are shifted by what stands at the others."""
+
+    def run(kind: Column, signs: Column) -> Column:
         def shift(held: Column) -> Column:
-            return F.transform(
-                signs,
-                lambda x, i: F.struct(
-                    F.when(
-                        (i % 2 == r % 2) & (x["c"] != ""),
-                        F.substring(
-                            x["c"],
-                            (F.pmod(F.instr(x["c"], x["s"]) - 1 + _number(params.key, kind, str(r), i.cast("string"), held), F.length(x["c"])) + 1).cast("int"),
-                            F.lit(1),
-                        ),
-                    )
-                    .otherwise(x["s"])
-                    .alias("s"),
-                    x["c"].alias("c"),
-                ),
-            )
-
-        return _let(other, shift)
-
-    def chain(signs: Column, r: int) -> Column:
-        return _let(turn(signs, r), lambda s: chain(s, r + 1)) if r < params.rounds else F.array_join(F.transform(signs, lambda x: x["s"]), "")
-
-    return _let(parts(text), lambda s: chain(s, 0))
+            def by(i: Column) -> Column:
+                amount = _number(params.key, kind, str(r), i.cast("string"), held)
+                return amount if forward else -amount
+
+            return F.transform(signs, lambda x, i: F.struct(F.when((i % 2 == r % 2) & (x["c"] != ""), _moved(x, by(i))).otherwise(x["s"]).alias("s"), x["c"].alias("c")))
+
+        return _let(F.array_join(F.transform(F.filter(signs, lambda x, i: i % 2 != r % 2), lambda x: x["s"]), ""), shift)
+
+    return run
+
+
+def _bump(params: SurrogateParams) -> Callable[[Column, Column], Column]:
+    """The first movable sign goes on by 1 to n - 1 of its n places."""
+
+    def run(kind: Column, signs: Column) -> Column:
+        amount = lambda x: F.pmod(_number(params.key, kind, "bump"), F.length(x["c"]) - 1) + 1
+        first = F.array_position(F.transform(signs, lambda x: x["c"] != ""), F.lit(True)) - 1
+        return _let(first, lambda at: F.transform(signs, lambda x, i: F.struct(F.when(i == at, _moved(x, amount(x))).otherwise(x["s"]).alias("s"), x["c"].alias("c"))))
+
+    return run
+
+
+def _text_of(signs: Column) -> Column:
+    return F.array_join(F.transform(signs, lambda x: x["s"]), "")
 
 
 def _address(text: Column, params: SurrogateParams) -> Column:
-    """The four octets as two halves of 16 bits."""
+    """The four octets as two halves of 16 bits, permuted as in _permute."""
 
     def half(octets: Column, i: int) -> Column:
         return F.get(octets, i).cast("long") * 256 + F.get(octets, i + 1).cast("long")
 
-    def chain(pair: Column, r: int) -> Column:
-        if r == params.rounds:
+    def turn(pair: Column, r: int, sign: int) -> Column:
+        moved, other = ("a", "b") if r % 2 else ("b", "a")
+        new = F.pmod(pair[moved] + F.lit(sign) * F.pmod(_number(params.key, "ip", str(r), pair[other].cast("string")), F.lit(65536)), F.lit(65536))
+        return F.struct(*[(new if c == moved else pair[c]).alias(c) for c in ("a", "b")])
+
+    bump = params.number("ip", "bump") % 65535 + 1
+    steps: list[Callable[[Column], Column]] = [lambda p, r=r: turn(p, r, 1) for r in range(params.rounds)]
+    steps += [lambda p: F.struct(F.pmod(p["a"] + bump, F.lit(65536)).alias("a"), p["b"].alias("b")), *(lambda p, r=r: turn(p, r, -1) for r in reversed(range(params.rounds)))]
+
+    def chain(pair: Column, at: int) -> Column:
+        if at == len(steps):
             return F.concat_ws(".", *[x.cast("string") for x in (F.floor(pair["a"] / 256), pair["a"] % 256, F.floor(pair["b"] / 256), pair["b"] % 256)])
-        new = F.struct(pair["b"].alias("a"), ((pair["a"] + F.pmod(_number(params.key, "ip", str(r), pair["b"].cast("string")), F.lit(65536))) % 65536).alias("b"))
-        return _let(new, lambda p: chain(p, r + 1))
+        return _let(steps[at](pair), lambda p: chain(p, at + 1))
 
     return _let(F.split(text, r"\."), lambda o: _let(F.struct(half(o, 0).alias("a"), half(o, 2).alias("b")), lambda p: chain(p, 0)))
 
 
-def _luhn(digits: Column) -> Column:
-    """Luhn sum of all digits but the last, which would stand at weight one."""
-    values = F.transform(F.reverse(F.regexp_extract_all(F.substring(digits, F.lit(1), F.length(digits) - 1), F.lit("([0-9])"), F.lit(1))), lambda d, i: F.when(i % 2 == 0, F.floor(d.cast("int") * 2 / 10) + d.cast("int") * 2 % 10).otherwise(d.cast("int")))
-    return F.aggregate(values, F.lit(0).cast("long"), lambda acc, v: acc + v)
+def _luhn(text: Column) -> Column:
+    """The check digit that the digits of a text, without the last, ask for."""
+    digits = F.regexp_extract_all(F.reverse(text), F.lit("([0-9])"), F.lit(1))
+    weighed = F.transform(F.slice(digits, F.lit(2), F.greatest(F.size(digits) - 1, F.lit(0))), lambda d, i: F.when(i % 2 == 0, F.floor(d.cast("int") * 2 / 10) + d.cast("int") * 2 % 10).otherwise(d.cast("int")))
+    return F.pmod(-F.aggregate(weighed, F.lit(0).cast("long"), lambda acc, v: acc + v), F.lit(10))
 
 
-def _card(text: Column, params: SurrogateParams) -> Column:
-    moved = _permute(text, "card", CLASSES[:1], params, lambda t, i: i == F.length(t) - 1)
-    last = F.pmod(F.substring(text, -1, 1).cast("int") + _luhn(F.regexp_replace(text, "[ -]", "")) - _luhn(F.regexp_replace(moved, "[ -]", "")), F.lit(10))
-    return _let(moved, lambda m: F.concat(F.substring(m, F.lit(1), F.length(m) - 1), last.cast("string")))
+def _card(entity: Column, head: Column) -> Column:
+    """All digits but the last were permuted; it keeps its distance to the valid check digit."""
+    check = F.pmod(F.substring(entity, -1, 1).cast("int") - _luhn(entity) + _luhn(F.concat(head, F.lit("0"))), F.lit(10))
+    return F.concat(head, check.cast("string"))
 
 
-def _email(text: Column, params: SurrogateParams) -> Column:
-    """The local part and the domain's labels before the last two."""
-    kept = F.regexp_extract(text, r"(@|\.)([^.@]+\.[^.@]+)$", 0)
-    start = F.substring(text, F.lit(1), F.length(text) - F.length(kept))
-    return F.concat(_permute(start, "email", CLASSES, params), kept)
+def _iban_check(country: Column, rest: Column) -> Column:
+    """The check number that a country and the signs behind the check digits ask for."""
+    signs = F.filter(_signs(F.concat(rest, country, F.lit("00"))), lambda s: s != " ")
+    value = lambda s: F.when(s.between("0", "9"), F.ascii(s) - 48).otherwise(F.ascii(s) - 55)
+    return F.lit(98) - F.aggregate(signs, F.lit(0).cast("long"), lambda acc, s: (acc * F.when(s.between("0", "9"), F.lit(10)).otherwise(F.lit(100)) + value(s)) % 97)
 
 
-def _name(text: Column, params: SurrogateParams) -> Column:
-    """Each word after the title by itself, so that a surname alone refers to the same person."""
-    words = F.split(text, " ")
-    rest = F.transform(F.slice(words, 2, 2), lambda w: _permute(w, "name", NAME_CLASSES, params, lambda t, i: i == F.length(t) - 1))
-    return F.concat_ws(" ", F.get(words, 0), F.array_join(rest, " "))
+def _iban(entity: Column, rest: Column) -> Column:
+    """The country stays, the check digits keep their distance to the valid ones."""
+    country = F.substring(entity, 1, 2)
+    check = F.pmod(F.substring(entity, 3, 2).cast("int") - _iban_check(country, F.substring(entity, F.lit(5), F.length(entity))) + _iban_check(country, rest), F.lit(100))
+    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), rest)
 
 
-def _phone(text: Column, params: SurrogateParams) -> Column:
-    """The country code stays."""
-    code = F.regexp_extract(text, r"^\+[0-9]{1,3}", 0)
-    return F.concat(code, _permute(F.substring(text, F.length(code) + 1, F.length(text)), "phone", CLASSES[:1], params))
+def _given(params: SurrogateParams) -> dict[str, str]:
+    """Each listed name's surrogate: a keyed number of places on in its list, never itself."""
+    out = {}
+    for number, names in enumerate(GIVEN_NAMES):
+        by = params.number("given", str(number)) % (len(names) - 1) + 1
+        out |= {name: names[(i + by) % len(names)] for i, name in enumerate(names)}
+    return out
 
 
-def _iban(text: Column, params: SurrogateParams) -> Column:
-    return F.concat(F.substring(text, 1, 2), _permute(F.substring(text, F.lit(3), F.length(text)), "iban", CLASSES[:3], params))
+def _low(word: Column) -> Column:
+    """Lower case where it keeps the length."""
+    return F.when(F.length(F.lower(word)) == F.length(word), F.lower(word)).otherwise(word)
+
+
+def _cased(word: Column, new: Column, params: SurrogateParams) -> Column:
+    """Surrogate of a word of a name: another listed name, or its permuted letters in the old word's case."""
+    given = _given(params)
+    known = F.create_map(*[F.lit(x) for pair in given.items() for x in pair])
+    low = F.lower(word)
+    listed = F.map_contains_key(known, low)
+    letters = F.array_join(F.zip_with(_signs(word), _signs(new), lambda old, sign: F.when(old != F.lower(old), F.upper(sign)).otherwise(sign)), "")
+    return F.when(listed & (word == F.initcap(low)), F.initcap(known[low])).when(listed & (word == F.upper(low)), F.upper(known[low])).otherwise(letters)
+
+
+def _pieces(entity: Column, kind: Column) -> Column:
+    """An entity cut into (t: text, m: whether it moves)."""
+    piece = lambda t, m: F.struct(t.alias("t"), F.lit(m).alias("m"))
+    rest_of = lambda head: F.substring(entity, F.length(head) + 1, F.length(entity))
+    title = F.regexp_extract(entity, rf"^{TITLES} ", 0)
+    words = F.regexp_extract_all(rest_of(title), F.lit(r"([\p{L}\p{M}'’]+|[^\p{L}\p{M}'’]+)"), F.lit(1))
+    name = F.concat(F.array(piece(title, False)), F.transform(words, lambda w: F.struct(w.alias("t"), w.rlike(r"^\p{Lu}").alias("m"))))
+    # The country code of a number stays, as do the check digits of an IBAN, which are made later.
+    head = (
+        F.when(kind == "phone", F.regexp_extract(entity, r"^\+[0-9]{1,3}(?=[ ./(-])|^\+[0-9]{1,2}", 0))
+        .when(kind == "api_key", F.regexp_extract(entity, _API_HEAD, 0))
+        .when(kind == "iban", F.substring(entity, 1, 4))
+        .when(kind == "ip", entity)
+        .otherwise("")
+    )
+    # An address keeps its domain's last two labels.
+    tail = F.when(kind == "email", F.regexp_extract(entity, r"(@|\.)([^.@]+\.[^.@]+)$", 0)).when(kind == "card", F.substring(entity, -1, 1)).otherwise("")
+    other = _let(F.struct(head.alias("h"), tail.alias("t")), lambda x: F.array(piece(x["h"], False), piece(F.substring(entity, F.length(x["h"]) + 1, F.length(entity) - F.length(x["h"]) - F.length(x["t"])), True), piece(x["t"], False)))
+    return F.when(kind == "name", name).otherwise(other)
+
+
+def _opened(text: Column, moves: Column, kind: Column) -> Column:
+    """The signs of a piece with their classes; none of a piece that stays."""
+    by_kind = lambda sign: F.when(kind == "name", _class_of(sign, NAME_CLASSES)).when(kind.isin("secret", "ipv6"), _class_of(sign, HEX_CLASSES)).otherwise(_class_of(sign, CLASSES))
+    # Longer words of names keep their last letter.
+    stays = lambda t, i: (kind == "name") & (i == F.length(t) - 1) & (F.length(t) > 3)
+    signs = _let(F.when(kind == "name", _low(text)).otherwise(text), lambda t: F.transform(_signs(t), lambda sign, i: F.struct(sign.alias("s"), F.when(stays(t, i), F.lit("")).otherwise(by_kind(sign)).alias("c"))))
+    return F.when(moves, signs).otherwise(F.array().cast("array<struct<s:string,c:string>>"))
+
+
+def with_surrogates(step: DataFrame, params: SurrogateParams, kinds: str = "_kinds", out: str = "_put") -> DataFrame:
+    """step with surrogates of an array of (e: entity, k: kind), in order.
+
+    One column per round keeps expressions shallow; the optimizer joins them again.
+    """
+    if "_state" in step.columns:
+        raise ValueError("column _state would be overwritten")
+    rounds = range(params.rounds)
+    steps = [*(_turn(r, True, params) for r in rounds), _bump(params), *(_turn(r, False, params) for r in reversed(rounds))]
+    listed = F.array(*[F.lit(x) for names in GIVEN_NAMES for x in names])
+    df = step.withColumn("_state", F.transform(kinds, lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), _pieces(x["e"], x["k"]).alias("ps"))))
+    opened = lambda x, p: F.struct(p["t"].alias("t"), p["m"].alias("m"), p["m"].alias("go"), _opened(p["t"], p["m"], x["k"]).alias("s"))
+    df = df.withColumn("_state", F.transform("_state", lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), F.transform(x["ps"], lambda p: opened(x, p)).alias("ps"))))
+    for again in (False, True):
+        if again:  # a word that became a listed name goes on
+            go = lambda x, p: F.struct(p["t"].alias("t"), p["m"].alias("m"), (p["m"] & (x["k"] == "name") & F.array_contains(listed, _text_of(p["s"]))).alias("go"), p["s"].alias("s"))
+            df = df.withColumn("_state", F.transform("_state", lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), F.transform(x["ps"], lambda p: go(x, p)).alias("ps"))))
+        for one in steps:
+            df = df.withColumn("_state", _stepped(F.col("_state"), one))
+
+    def done(x: Column) -> Column:
+        text = lambda p: F.when(~p["m"], p["t"]).when(x["k"] == "name", _cased(p["t"], _text_of(p["s"]), params)).otherwise(_text_of(p["s"]))
+        body = _text_of(F.get(x["ps"], 1)["s"])
+        whole = F.array_join(F.transform(x["ps"], text), "")
+        return F.when(x["k"] == "card", _card(x["e"], body)).when(x["k"] == "iban", _iban(x["e"], body)).when(x["k"] == "ip", _address(x["e"], params)).otherwise(whole)
+
+    return df.withColumn(out, F.transform("_state", done)).drop("_state")
 
 
 def kind_of(entity: Column) -> Column:
-    out = F.lit(None).cast("string")
+    """The kind whose pattern an entity has as a whole; words of names standing alone have none."""
+    out = F.lit("name")
     for kind, pattern in reversed(PATTERNS.items()):
         out = F.when(entity.rlike(f"^(?:{pattern})$"), F.lit(kind)).otherwise(out)
     return out
 
 
-def surrogate(entity: Column, kind: Column, params: SurrogateParams = SurrogateParams()) -> Column:
-    forms = {
-        "email": _email(entity, params),
-        "ip": _address(entity, params),
-        "ssn": _permute(entity, "ssn", CLASSES[:1], params),
-        "phone": _phone(entity, params),
-        "iban": _iban(entity, params),
-        "card": _card(entity, params),
-        "secret": _permute(entity, "secret", HEX_CLASSES, params),
-        "name": _name(entity, params),
-    }
-    out = entity
-    for name, form in forms.items():
-        out = F.when(kind == name, form).otherwise(out)
-    return out
+EVERY = "|".join(PATTERNS.values())
+
+
+def _names(text: Column) -> Column:
+    """A pattern of the words of all titled names in a text, as they are and in capitals; null where there is none."""
+    titled = F.regexp_extract_all(text, F.lit(f"({PATTERNS['name']})"), F.lit(1))
+    behind = F.transform(titled, lambda n: F.regexp_replace(n, rf"^{TITLES} ", ""))
+    words = F.array_distinct(F.flatten(F.transform(behind, lambda n: F.regexp_extract_all(n, F.lit(r"(\p{Lu}[\p{L}\p{M}'’]+)"), F.lit(1)))))
+    both = F.array_distinct(F.concat(words, F.transform(words, lambda w: F.upper(w))))
+    alone = F.concat(F.lit(r"|(?<![\p{L}\p{M}])(?:"), F.array_join(both, "|"), F.lit(r")(?![\p{L}\p{M}])"))
+    return F.when(text.rlike(TITLES) & (F.size(words) > 0), alone)
 
 
-def _found(text: Column) -> Column:
-    every = "|".join(PATTERNS.values())
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(f"({every})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+def _found(text: Column, names: Column) -> Column:
+    """Entities in order; names: the pattern of _names."""
+    some = F.when(names.isNull(), F.regexp_extract_all(text, F.lit(f"({EVERY})"), F.lit(1))).otherwise(F.regexp_extract_all(text, F.concat(F.lit(f"({EVERY}"), names, F.lit(")")), F.lit(1)))
+    return F.when(text.rlike(HINT), some).otherwise(F.array().cast("array<string>"))
 
 
-def replace(docs: DataFrame, text: str = "text", params: SurrogateParams = SurrogateParams()) -> DataFrame:
+def _replaced(docs: DataFrame, text: str, params: SurrogateParams) -> DataFrame:
+    """docs with the text replaced, _kinds (e: entity, k: kind) and _put (surrogates)."""
+    step = docs.withColumn("_names", F.when(F.col(text).rlike(HINT), _names(F.col(text))))
+    step = step.withColumn("_found", _found(F.col(text), F.col("_names")))
+    step = step.withColumn("_kinds", F.transform("_found", lambda e: F.struct(e.alias("e"), kind_of(e).alias("k"))))
+    step = with_surrogates(step, params)
+    between = F.when(F.col("_names").isNull(), F.split(F.col(text), EVERY)).otherwise(F.split(F.col(text), F.concat(F.lit(EVERY), F.col("_names"))))
+    woven = F.array_join(F.zip_with(between, F.col("_put"), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+    return step.withColumn(text, F.when(F.size("_found") > 0, woven).otherwise(F.col(text)))
+
+
+def replace(docs: DataFrame, params: SurrogateParams, text: str = "text") -> DataFrame:
     """docs with entities replaced in the text, and n_email, n_ip, ... counts of what was replaced."""
-    counts = [f"n_{kind}" for kind in PATTERNS]
-    if clash := {*counts, "_found", "_kinds", "_put"} & set(docs.columns):
+    return _counted(_replaced(_open(docs), text, params), docs)
+
+
+def _open(docs: DataFrame) -> DataFrame:
+    if clash := {*(f"n_{kind}" for kind in PATTERNS), "_found", "_kinds", "_put", "_names", "_state"} & set(docs.columns):
         raise ValueError(f"columns would be overwritten: {sorted(clash)}")
-    every = "|".join(PATTERNS.values())
-    step = docs.withColumn("_found", _found(F.col(text)))
-    step = step.withColumn("_kinds", F.transform("_found", lambda e: F.struct(e.alias("e"), kind_of(e).alias("k"))))
-    step = step.withColumn("_put", F.transform("_kinds", lambda x: surrogate(x["e"], x["k"], params)))
-    between = F.split(F.col(text), every)
-    woven = F.concat(F.array_join(F.zip_with(between, F.col("_put"), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), ""))
-    step = step.withColumn(text, F.when(F.size("_found") > 0, woven).otherwise(F.col(text)))
-    for kind in PATTERNS:
-        step = step.withColumn(f"n_{kind}", _count("_kinds", kind))
-    return step.select(*docs.columns, *counts)
+    return docs
+
+
+def _counted(step: DataFrame, docs: DataFrame) -> DataFrame:
+    count = lambda kind: F.size(F.filter("_kinds", lambda x: x["k"] == kind)).cast("long")
+    return step.select(*docs.columns, *[count(kind).alias(f"n_{kind}") for kind in PATTERNS])
 
 
-def _count(kinds: str, kind: str) -> Column:
-    return F.size(F.filter(kinds, lambda x: x["k"] == kind)).cast("long")
+def replace_checked(docs: DataFrame, params: SurrogateParams, text: str = "text", attempts: int = 3) -> DataFrame:
+    """As ``replace``, after a check of all entities of the table: if two of a kind share a surrogate, or one kept its
+    value, the key is changed and the table replaced anew."""
+    for attempt in range(attempts):
+        used = params if not attempt else changed(params, key=f"{params.key}/{attempt}")
+        done = materialize(_replaced(_open(docs), text, used).drop("_names", "_found"), "surrogates")
+        pairs = done.select(F.explode(F.arrays_zip("_kinds", "_put")).alias("x")).select("x._kinds.e", "x._kinds.k", F.col("x._put").alias("p")).distinct()
+        met = pairs.groupBy("k", "p").agg(F.count(F.lit(1)).alias("n"), F.min("e").alias("e"))
+        if met.where("n > 1 OR e = p").isEmpty():
+            return _counted(done, docs)
+        discard(done)
+    raise RuntimeError(f"surrogates met under {attempts} keys")
 
 
-def entities(docs: DataFrame, text: str = "text", params: SurrogateParams = SurrogateParams()) -> DataFrame:
+def entities(docs: DataFrame, params: SurrogateParams, text: str = "text") -> DataFrame:
     """Distinct (kind, entity, surrogate) of a table; occurrences are reduced in the map tasks."""
-    found = docs.select(F.explode(_found(F.col(text))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("occurrences"))
-    return found.withColumn("kind", kind_of(F.col("entity"))).withColumn("surrogate", surrogate(F.col("entity"), F.col("kind"), params))
+    step = _replaced(docs.select(F.col(text).alias("text")), "text", params)
+    found = step.select(F.explode(F.arrays_zip("_kinds", "_put")).alias("x")).select(F.col("x._kinds.e").alias("entity"), F.col("x._kinds.k").alias("kind"), F.col("x._put").alias("surrogate"))
+    return found.groupBy("kind", "entity", "surrogate").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
-def collisions(docs: DataFrame, text: str = "text", params: SurrogateParams = SurrogateParams()) -> DataFrame:
+def collisions(docs: DataFrame, params: SurrogateParams, text: str = "text") -> DataFrame:
     """(kind, entities, surrogates, shared, meets_real): shared counts surrogates of two or more entities, none by design."""
-    found = entities(docs, text, params)
+    found = entities(docs, params, text)
     per = found.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n"))
     real = found.select("kind", F.col("entity").alias("surrogate"), F.lit(1).alias("real"))
     return (
