@@ -9,15 +9,18 @@ are searched backwards at once; rows found are located by walking the LF mapping
 sampled position; occurrences become word spans, merged per document.
 
 Shards are built from whatever rows a task reads, so there is no shuffle, no hot key
-and nothing gathered: memory is bounded by ``shard_bytes`` (plus one document) and by
-``block_phrases``. Phrases beyond that bound are searched in further passes over the
-documents, each with a broadcast of bounded size, and their spans are merged.
+and nothing gathered: beside Spark's own Arrow batch, memory is bounded by a multiple of
+``shard_bytes`` (or of one longer document) and by ``block_phrases``. Phrases beyond that
+bound are searched in further passes over the documents, each with a broadcast of bounded
+size, and their spans are merged.
 
 Words are maximal runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after lower-casing A-Z.
 Defined results: a null or wordless text has no words and no spans; items without
 words match nothing; items with fewer than ``window`` words are one phrase; repeated
-rows each get their result; equal items each count; null item ids are ignored. Extra
-columns pass through, and a clash with SPANS' columns raises ValueError.
+rows each get their result; equal items each count; items without an id are searched like
+others, stand as one null in the list of items and add nothing to its text. Very long
+texts are a shard of their own; an empty table gives an empty one, an empty benchmark no
+spans. Extra columns pass through, and a clash with RESULT's columns raises ValueError.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fathomline.llm.worker import slices, worker_cache
+
 
 @dataclass(frozen=True)
 class DecontaminateParams:
@@ -302,7 +307,7 @@ def find_spans(
     clash = {name for name, _ in RESULT} & set(docs.columns)
     if clash:
         raise ValueError(f"columns would be overwritten: {sorted(clash)}")
-    listed = benchmark.select(F.col(item_id).cast("string"), F.col(item_text)).where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull())
+    listed = benchmark.select(F.col(item_id).cast("string"), F.col(item_text)).where(F.col(item_text).isNotNull())
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(", ".join(f"{n} {k}" for n, k in RESULT)).fields])
     spark, out = docs.sparkSession, docs
     for number, block in enumerate(_blocks(listed, params) or ()):
@@ -313,6 +318,7 @@ def find_spans(
 
 
 def _searcher(block, text: str, first: bool, params: DecontaminateParams):
+    name = (block._jbroadcast.id(), params.window)
     types = [pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())]
 
     def shard(rows: pa.Table, phrases: Phrases) -> Iterator[pa.RecordBatch]:
@@ -324,18 +330,21 @@ def _searcher(block, text: str, first: bool, params: DecontaminateParams):
             spans = [_merge(a or [], b) for a, b in zip(rows.column("spans").to_pylist(), spans)]
             items = [[*(a or []), *b] for a, b in zip(rows.column("items").to_pylist(), items)]
             rows = rows.drop_columns([name for name, _ in RESULT])
-        items = [sorted(set(x)) for x in items]
+        items = [sorted(set(x), key=lambda i: (i is not None, i)) for x in items]
         for (name, _), values, kind in zip(RESULT, (n_words, spans, items), types):
             rows = rows.append_column(name, pa.array(values, kind))
         yield from rows.to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, phrases = [], 0, Phrases(block.value, params.window)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        cache = worker_cache("decontaminate")
+        if name not in cache:  # one block at a time is kept for the tasks that follow
+            for old in [k for k in cache if isinstance(k, tuple)]:
+                del cache[old]
+            cache[name] = Phrases(block.value, params.window)
+        held, size, phrases = [], 0, cache[name]
+        for batch in slices(batches, text, params.shard_bytes):
             held.append(batch)
-            size += batch.column(batch.schema.get_field_index(text)).nbytes
+            size += batch.column(text).nbytes
             if size >= params.shard_bytes:
                 yield from shard(pa.Table.from_batches(held), phrases)
                 held, size = [], 0
@@ -362,7 +371,8 @@ def remove_spans(found: DataFrame, text: str = "text") -> DataFrame:
     """found without contaminated words: the text from a span's first word to its last is cut out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        worker_cache("decontaminate")
+        for batch in slices(batches, text):
             at = batch.schema.get_field_index(text)
             texts, spans = batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("spans")).to_pylist()
             cut = [_cut(t, s) if t and s else t for t, s in zip(texts, spans)]
