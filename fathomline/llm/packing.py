@@ -13,11 +13,14 @@ the driver sees (one number per partition). Ids then meet their places in one sh
 and are cut into pieces.
 
 Tokens come from a file for the tokenizers library, whose path is a parameter; id
-``end_id`` closes each document. White space separates tokens in that vocabulary, so
-distinct white-space chunks are encoded once per worker (cache of bounded size).
+``end_id`` closes each document. Where white space separates tokens and letters are
+lower-cased, as in the vocabulary of op7, distinct white-space chunks are encoded once per
+worker (cache of bounded size). Each worker first compares that way with the library on
+sample texts, and with any other kind of vocabulary it encodes every text as a whole.
 
 Defined results: a null text is empty, and an empty text is the end id alone;
-repeated rows are packed once each; extra columns are not returned; an empty table
+repeated rows are packed once each; a very long text is taken whole and cut into as many
+pieces as it needs; extra columns are not returned, whatever their names; an empty table
 gives no pieces.
 """
 
@@ -37,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.worker import worker_cache
+from fathomline.llm.worker import slices, worker_cache
 from fathomline.session import materialize
 
 
@@ -56,6 +59,10 @@ class PackParams:
 
 #: A sign before a comma or stop, or a letter whose lower case is not one letter in every library.
 UNSAFE = r"[^\s\pL\pN][.,]|[\x{0130}\x{03A3}]"
+#: Texts on which the way by chunks must give the ids of the library: case, marks, digits, white space, joined signs.
+PROBES = (
+    "The QUICK brown fox, again and again.", "don't I'LL x,y 1,2.3 _. a.., b?", "Ünïcödé ÉCOLE straße Ñandú ñ", "tab\tand\nnew  lines\r\n end ", " leading", "ΑΣ. Ωμέγα Привет МИР", "日本語 テキスト 😀 e\u0301 \u00a0q", "a1b2 3rd CamelCaseWord snake_case http://x.example.com/a?b=c", "### $$$ %%% «quoted» (brackets) [x] {y}", "",
+)
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: Byte-level vocabularies write a byte as the sign of that number if it prints, else as 256 + its place among the others.
 BYTE_SIGNS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
@@ -72,8 +79,21 @@ class Encoder:
         rng = np.random.default_rng(params.seed)
         self.matrix = rng.standard_normal((params.buckets, params.dims))
         self.kind = "<u2" if max(self.tokenizer.get_vocab_size(), params.end_id + 1) <= 1 << 16 else "<u4"
+        self.by_chunk = self._chunks_suffice()
         self._clear()
 
+    def _chunks_suffice(self) -> bool:
+        """Whether chunks give the ids of whole texts for this vocabulary, tried on PROBES."""
+        try:
+            self.by_chunk = True
+            self._clear()
+            width = np.dtype(self.kind).itemsize
+            return all(
+                np.frombuffer(raw[:-width], dtype=self.kind).tolist() == self.tokenizer.encode(text, add_special_tokens=False).ids for text, (raw, _) in zip(PROBES, self.encode(pa.array(PROBES)))
+            )
+        except Exception:  # a model without merges, or without ids for some sign
+            return False
+
     def _clear(self) -> None:
         self.known: dict[str, int] = {"": 0}
         self.raw: list[bytes] = [b""]
@@ -86,6 +106,8 @@ class Encoder:
         changes no token, unless a sign stands before one of them (the two would be one token) or lower-casing
         is not one letter for one; such a text is split as it is.
         """
+        if not self.by_chunk:
+            return texts, np.ones(len(texts), dtype=np.int64)
         raw = pc.match_substring_regex(texts, UNSAFE)
         plain = pc.replace_substring(pc.replace_substring(pc.utf8_lower(texts), ",", " ,"), ".", " .")
         lists = pc.ascii_split_whitespace(pc.if_else(raw, texts, plain))
@@ -93,6 +115,9 @@ class Encoder:
 
     def learn(self, parts: list[str]) -> None:
         """Store the ids of unknown chunks. Lower-case Latin words go straight to the merges."""
+        if not self.by_chunk:
+            self._store(parts, [e.ids for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)])
+            return
         simple, other = [], []
         for part in parts:
             latin = part.isalpha() and part.islower() and (part.isascii() or max(part) < "\u0250" and unicodedata.is_normalized("NFC", part))
@@ -119,7 +144,7 @@ class Encoder:
         chunks, counts = self.split(pc.fill_null(texts, ""))
         coded = chunks.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.raw) + len(distinct) > self.params.cache_chunks:
+        if len(self.raw) + len(distinct) > self.params.cache_chunks or not self.by_chunk:
             self._clear()
         self.learn([p for p in distinct if p not in self.known])
         place = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
@@ -184,37 +209,24 @@ def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _slices(texts: pa.Array, size: int) -> Iterator[pa.Array]:
-    """Runs of texts of about size bytes."""
-    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(texts):
-        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, side="right")))
-        yield texts.slice(at, stop - at)
-        at = stop
-
-
 def _encode(params: PackParams):
     """(id, n_tokens, curve, ids) for each document; ids of two bytes where the vocabulary allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, side = _encoder(params), 1 << params.bits
         width = np.dtype(encoder.kind).itemsize
-        for batch in batches:
-            at = 0
-            for texts in _slices(batch.column(1), params.slice_chars):
-                ids, vectors = zip(*encoder.encode(texts))
-                grid = np.clip(((np.array(vectors) + 1) / 2 * side).astype(np.int64), 0, side - 1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(at, len(texts)),
-                        pa.array([len(x) // width for x in ids], pa.int64()),
-                        pa.array(hilbert_key(grid, params.bits), pa.int64()),
-                        pa.array(ids, pa.binary()),
-                    ],
-                    ["doc_id", "n_tokens", "curve", "ids"],
-                )
-                at += len(texts)
+        for batch in slices(batches, 1, params.slice_chars):
+            ids, vectors = zip(*encoder.encode(batch.column(1)))
+            grid = np.clip(((np.array(vectors) + 1) / 2 * side).astype(np.int64), 0, side - 1)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([len(x) // width for x in ids], pa.int64()),
+                    pa.array(hilbert_key(grid, params.bits), pa.int64()),
+                    pa.array(ids, pa.binary()),
+                ],
+                ["doc_id", "n_tokens", "curve", "ids"],
+            )
 
     return run
 
