@@ -13,8 +13,9 @@ n-grams of each language. Prediction is a map over whole texts: no shuffle, no h
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so
 is everything when no language was learned. Equal distances: the language that sorts
-first. Repeated rows are predicted alike. Extra columns pass through; a column named
-lang_pred or score raises ValueError.
+first. Repeated rows are predicted alike; very long texts are taken whole, a few MB or one
+text at a time. An empty table gives no profiles, and predictions on one are empty. Extra
+columns pass through; a column named lang_pred or score raises ValueError.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fathomline.llm.worker import slices, worker_cache
+
 
 @dataclass(frozen=True)
 class LangParams:
@@ -99,7 +102,8 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", params: LangPa
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Counts are added up per language before they leave the task.
-        for batch in batches:
+        worker_cache("langid")
+        for batch in slices(batches, 1):
             held: dict[str, list] = {}
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held.setdefault(name, []).append(grams(body, params.max_n))
@@ -124,8 +128,9 @@ def predict(docs: DataFrame, ranked: dict[str, list[int]], text: str = "text", p
     sent = docs.sparkSession.sparkContext.broadcast(ranked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("langid")
         profiles = Profiles(sent.value, params.size)
-        for batch in batches:
+        for batch in slices(batches, text):
             found = [profiles.predict(t, params.max_n) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             yield batch.append_column("lang_pred", pa.array([f[0] for f in found], pa.string())).append_column("score", pa.array([f[1] for f in found], pa.float64()))
 
