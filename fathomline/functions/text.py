@@ -13,26 +13,62 @@ from pyspark.sql import types as T
 from fathomline.params import TextParams
 
 # Word forms in names, and words that say nothing about identity.
-ABBREVIATIONS = (("rd", "road"), ("st", "street"), ("ave", "avenue"), ("hwy", "highway"))
-GENERIC_TOKENS = ("road", "street", "avenue", "highway", "lane", "drive", "path", "bypass", "expressway", "tunnel", "bridge", "flyover", "corridor", "the", "of", "and", "section")
+CONTRACTIONS = (("road", "rd"), ("street", "st"), ("avenue", "ave"), ("highway", "hwy"), ("junction", "jct"))
+EXPANSIONS = (("RD", "ROAD"), ("ST", "STREET"), ("AVE", "AVENUE"), ("HWY", "HIGHWAY"))
+GENERIC_TOKENS = ("ROAD", "STREET", "AVENUE", "HIGHWAY", "FLYOVER", "BRIDGE", "TUNNEL", "BYPASS", "DRIVE", "LANE", "PATH", "WAY", "NEAR", "EASTBOUND", "WESTBOUND", "NORTHBOUND", "SOUTHBOUND")
 
 
-def normalize(text: Column) -> Column:
-    """Lower case, & to and, abbreviations as whole words, other signs to single spaces. Accents are kept; see ``fold_marks``."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "&", " and ")
-    for short, long in ABBREVIATIONS:
-        out = F.regexp_replace(out, rf"\b{short}\b", long)
-    return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+@F.pandas_udf(T.StringType())
+def _folded(text: pd.Series) -> pd.Series:
+    """Compatibility decomposition, case-folded: no built-in does this."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).casefold())
 
 
 @F.pandas_udf(T.StringType())
 def fold_marks(text: pd.Series) -> pd.Series:
-    """Compatibility decomposition without marks, case-folded: no built-in does this."""
+    """Decomposed and case-folded, marks dropped."""
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).casefold())
 
 
+def fold(text: Column) -> Column:
+    """Decomposed and case-folded text; ASCII, which needs neither, stays out of Python's results."""
+    return F.when(text.rlike(r"^[\x00-\x7F]*$"), F.lower(text)).otherwise(_folded(text))
+
+
+def normalize(text: Column) -> Column:
+    """Decomposed and case-folded, & to and, long forms contracted as whole words, all but a-z and 0-9 to single spaces."""
+    return _contracted(fold(F.coalesce(text, F.lit(""))))
+
+
+def _contracted(folded: Column) -> Column:
+    out = F.regexp_replace(folded, "&", " and ")
+    for long, short in CONTRACTIONS:
+        out = F.regexp_replace(out, rf"(?U)\b{long}\b", short)
+    return F.trim(F.regexp_replace(out, r"[^a-z0-9]+", " "))
+
+
+def road_key(code: Column, *names: Column) -> Column:
+    """Identity of a road: its code, else its first non-blank name, normalised."""
+    named = F.coalesce(*[F.when(n != "", n) for n in names], F.lit(""))
+    return F.when(F.coalesce(code, F.lit("")) != "", F.concat(F.lit("street_code:"), code)).otherwise(F.concat(F.lit("street_name:"), normalize(named)))
+
+
+def region_of_label(label: Column) -> Column:
+    low = F.lower(label)
+    return F.when(low.contains("hong kong island"), "hong_kong_island").when(low.contains("kowloon"), "kowloon").when(low.contains("new") & low.contains("territor"), "new_territories")
+
+
+def network_of_label(label: Column) -> Column:
+    low = F.lower(label)
+    return F.when(low.contains("sub-total") | low.contains("subtotal"), "subtotal").when(F.trim(low) == "total", "territory_total").when(low.contains("major"), "major").when(low.contains("minor"), "minor")
+
+
 def tokens(text: Column, drop: tuple[str, ...] = ()) -> Column:
-    words = F.filter(F.split(normalize(text), " "), lambda w: w != "")
+    return _tokens(normalize(text), drop)
+
+
+def _tokens(normal: Column, drop: tuple[str, ...] = ()) -> Column:
+    words = F.filter(F.split(normal, " "), lambda w: w != "")
     kept = F.filter(words, lambda w: ~w.isin(*drop)) if drop else words
     return F.array_distinct(kept)
 
@@ -66,36 +102,55 @@ def text_similarity(a: Column, b: Column, params: TextParams = TextParams()) ->
     return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).otherwise(mixed)
 
 
-def name_similarity(a: Column, b: Column, drop: tuple[str, ...] = GENERIC_TOKENS) -> Column:
-    """The largest of token Jaccard, half the sequence ratio and containment, generic words left out."""
-    x, y = tokens(a, drop), tokens(b, drop)
-    ratio = sequence_ratio(F.array_join(x, " "), F.array_join(y, " "))
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.greatest(jaccard(x, y), 0.5 * ratio, containment(x, y)))
+def _upper_words(text: Column, keep_and: bool = True) -> Column:
+    """Words of the upper-cased text; & is the word AND, or a separator like all other signs."""
+    loud = F.upper(F.coalesce(text.cast("string"), F.lit("")))
+    loud = F.replace(loud, F.lit("&"), F.lit(" AND ")) if keep_and else loud
+    return F.filter(F.split(F.regexp_replace(loud, "[^A-Z0-9]+", " "), " "), lambda w: w != "")
 
 
-def core_name_similarity(a: Column, b: Column, replacements: dict[str, str], drop: tuple[str, ...]) -> Column:
-    """As name_similarity after word replacements; generic words leave the sets, not the sequences."""
-
-    def spelled(c: Column) -> Column:
-        out = normalize(c)
-        for short, long in replacements.items():
-            out = F.regexp_replace(out, rf"\b{short}\b", long)
+def _respelled(words: Column, forms: tuple[tuple[str, str], ...]) -> Column:
+    def one(w: Column) -> Column:
+        out = w
+        for short, long in forms:
+            out = F.when(w == short, long).otherwise(out)
         return out
 
-    x, y = spelled(a), spelled(b)
-    s, t = (F.array_distinct(F.filter(F.split(c, " "), lambda w: (w != "") & ~w.isin(*drop))) for c in (x, y))
-    return F.when((x == "") | (y == ""), 0.0).otherwise(F.greatest(jaccard(s, t), 0.5 * sequence_ratio(x, y), containment(s, t)))
+    return F.transform(words, one)
+
+
+def _largest(x: Column, y: Column) -> Column:
+    """The largest of token Jaccard, half the sequence ratio, and 1 where one name is a substring of the other; x, y: words."""
+    a, b = F.array_join(x, " "), F.array_join(y, " ")
+    inside = (a.contains(b) | b.contains(a)).cast("double")
+    return F.when((a == "") | (b == ""), 0.0).otherwise(F.greatest(jaccard(F.array_distinct(x), F.array_distinct(y)), 0.5 * sequence_ratio(a, b), inside))
+
+
+def name_similarity(a: Column, b: Column, drop: tuple[str, ...] = GENERIC_TOKENS) -> Column:
+    """Similarity of names without generic words; which words those are is part of a design."""
+    x, y = (F.filter(_upper_words(c), lambda w: ~w.isin(*drop)) for c in (a, b))
+    return _largest(x, y)
+
+
+def core_name_similarity(a: Column, b: Column, replacements: dict[str, str], drop: tuple[str, ...] = GENERIC_TOKENS) -> Column:
+    """As name_similarity, after words were replaced by their long forms."""
+    x, y = (F.filter(_respelled(_upper_words(c), tuple(replacements.items())), lambda w: ~w.isin(*drop)) for c in (a, b))
+    return _largest(x, y)
 
 
 def substring_or_ratio(a: Column, b: Column) -> Column:
-    """1 where one normalised name contains the other, otherwise the sequence ratio."""
-    x, y = normalize(a), normalize(b)
+    """1 where one name contains the other, otherwise the sequence ratio; short forms are expanded, generic words kept."""
+    x, y = (F.array_join(_respelled(_upper_words(c, False), EXPANSIONS), " ") for c in (a, b))
     return F.when((x == "") | (y == ""), 0.0).when(x.contains(y) | y.contains(x), 1.0).otherwise(sequence_ratio(x, y))
 
 
 def best_of_variants(variants: Column, names: Column, missing: tuple[str, ...] = ("-99", "")) -> Column:
     """Largest token Jaccard over all variant and name pairs, sentinels ignored."""
-    pairs = F.transform(variants, lambda v: F.array_max(F.transform(names, lambda n: F.when(n.isNull() | n.isin(*missing), 0.0).otherwise(jaccard(tokens(v), tokens(n))))))
+    # Python functions cannot stand in lambdas, so each array is folded as one text.
+    folded = lambda texts: F.split(fold(F.array_join(F.transform(texts, lambda t: F.when(t.isin(*missing), "").otherwise(F.coalesce(t, F.lit("")))), "\x01")), "\x01")
+    words = lambda texts: F.transform(folded(texts), lambda t: _tokens(_contracted(t)))
+    both = F.array(F.struct(words(variants).alias("v"), words(names).alias("n")))
+    pairs = F.get(F.transform(both, lambda x: F.transform(x["v"], lambda v: F.array_max(F.transform(x["n"], lambda n: jaccard(v, n))))), 0)
     return F.coalesce(F.array_max(pairs), F.lit(0.0))
 
 

@@ -9,9 +9,25 @@ from fathomline.plans.registry import query
 from fathomline.session import table
 
 
-@query("f01_normalise", """SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name), '&', ' and ', 'g'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS name FROM part""")
+#: A part's name as a road name with an abbreviation, an accent and an ampersand.
+ROAD_NAME = "concat('Café ', p_name, CASE WHEN p_size > 25 THEN ' Road' WHEN p_size > 10 THEN ' & Highway Junction' ELSE ' Roadside' END)"
+
+
+@query("f01_normalise", f"""WITH n AS (SELECT p_partkey, regexp_replace(lower(strip_accents({ROAD_NAME})), '&', ' and ', 'g') AS x FROM part)
+SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\\broad\\b', 'rd', 'g'), '\\bstreet\\b', 'st', 'g'), '\\bavenue\\b', 'ave', 'g'), '\\bhighway\\b', 'hwy', 'g'), '\\bjunction\\b', 'jct', 'g'), '[^a-z0-9]+', ' ', 'g')) AS name FROM n""")
+def _(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", text.normalize(F.expr(ROAD_NAME)).alias("name"))
+
+
+@query("f09_f17_keys_and_labels", f"""WITH p AS (SELECT p_partkey, CASE WHEN p_size > 40 THEN p_brand ELSE '' END AS code, p_name, p_type FROM part), l AS (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN 'Kowloon ' WHEN p_partkey % 3 = 1 THEN 'New  Territories ' ELSE 'Hong Kong Island ' END || CASE WHEN p_partkey % 2 = 0 THEN 'Sub-total' WHEN p_partkey % 5 = 0 THEN 'Minor roads' ELSE 'major' END AS label FROM p)
+SELECT p_partkey, CASE WHEN code <> '' THEN 'street_code:' || code ELSE 'street_name:' || trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) END AS road_key,
+  CASE WHEN label LIKE 'Hong%' THEN 'hong_kong_island' WHEN label LIKE 'Kow%' THEN 'kowloon' ELSE 'new_territories' END AS region, CASE WHEN label LIKE '%Sub-total' THEN 'subtotal' WHEN label LIKE '%major' THEN 'major' ELSE 'minor' END AS network FROM l""")
 def _(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", text.normalize(F.col("p_name")).alias("name"))
+    k = F.col("p_partkey")
+    place = F.when(k % 3 == 0, "Kowloon ").when(k % 3 == 1, "New  Territories ").otherwise("Hong Kong Island ")
+    label = F.concat(place, F.when(k % 2 == 0, "Sub-total").when(k % 5 == 0, "Minor roads").otherwise("major"))
+    code = F.when(F.col("p_size") > 40, F.col("p_brand")).otherwise("")
+    return table(spark, sf, "part").select("p_partkey", text.road_key(code, F.lit(""), F.col("p_name")).alias("road_key"), text.region_of_label(label).alias("region"), text.network_of_label(label).alias("network"))
 
 
 @query("f02_m21_jaccard_containment", """WITH n AS (SELECT DISTINCT p_name, list_distinct(string_split(lower(p_name), ' ')) AS t FROM part) SELECT a.p_name AS left_name, b.p_name AS right_name, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS jaccard, round(len(list_intersect(a.t, b.t)) / least(len(a.t), len(b.t)), 6) AS containment FROM n a JOIN n b ON a.p_name < b.p_name AND list_has_any(a.t, b.t)""")
@@ -27,7 +43,7 @@ def _(spark, sf):
 def _(spark, sf):
     n = table(spark, sf, "part").select("p_name", "p_type").distinct()
     a, b = F.col("p_name"), F.col("p_type")
-    return n.select("p_name", "p_type", text.text_similarity(a, b).alias("text_similarity"), text.name_similarity(a, b).alias("name_similarity"), text.core_name_similarity(a, b, {"steel": "metal"}, ("large",)).alias("core_similarity"), text.substring_or_ratio(a, b).alias("substring_or_ratio"))
+    return n.select("p_name", "p_type", text.text_similarity(a, b).alias("text_similarity"), text.name_similarity(a, b).alias("name_similarity"), text.core_name_similarity(a, b, {"STEEL": "METAL"}, ("LARGE",)).alias("core_similarity"), text.substring_or_ratio(a, b).alias("substring_or_ratio"))
 
 
 @query("f06_best_of_variants", """WITH v AS (SELECT p_partkey, [lower(p_name), lower(p_type)] AS vs, [lower(p_brand), lower(p_name), '-99'] AS ns FROM part), j AS (SELECT p_partkey, v, n FROM v, unnest(vs) AS a(v), unnest(ns) AS b(n)), t AS (SELECT p_partkey, n, list_distinct(list_filter(string_split(trim(regexp_replace(v, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')) AS x, list_distinct(list_filter(string_split(trim(regexp_replace(n, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')) AS y FROM j) SELECT p_partkey, round(max(CASE WHEN n = '-99' THEN 0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END), 6) AS similarity FROM t GROUP BY p_partkey""")
