@@ -68,7 +68,7 @@ def polyline_summary(points: Column) -> Column:
 
 
 def endpoint_key(x: Column, y: Column, digits: int = 6) -> Column:
-    return F.concat_ws(",", F.format_number(x, digits), F.format_number(y, digits))
+    return F.format_string(f"%.{digits}f,%.{digits}f", F.round(x, digits), F.round(y, digits))
 
 
 def node_degrees(segments: DataFrame, key: str, start: str, end: str) -> DataFrame:
@@ -142,23 +142,25 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, lx: str = "x",
     return met.where(F.col("distance") <= radius).drop("_cx", "_cy")
 
 
-def nearest_join(left: DataFrame, right: DataFrame, key: str, right_key: str, k: int, start: float, lx: str = "x", ly: str = "y", rx: str = "rx", ry: str = "ry", max_doublings: int = 24) -> DataFrame:
+def nearest_join(left: DataFrame, right: DataFrame, key: str, right_key: str, k: int, start: float, lx: str = "x", ly: str = "y", rx: str = "rx", ry: str = "ry") -> DataFrame:
     """k nearest right rows of each left row, with distance and place (ties by right key).
 
     Grid rings grow: rows with k neighbours within the radius are done, the rest try twice
-    the radius. Exact, because k neighbours within r beat everything outside r. Rows that
-    find fewer than k within the last radius keep those.
+    the radius, until all are done. Exact, because k neighbours within r beat everything
+    outside r. Rows whose coordinates are null or no finite numbers have no neighbours and
+    are none; with fewer than k right rows all of them are returned.
     """
     from fathomline.session import materialize
 
     w = Window.partitionBy(key).orderBy("distance", right_key)
+    finite = lambda c: F.coalesce(F.abs(F.col(c)) < F.lit(float("inf")), F.lit(False))
+    left, right = left.where(finite(lx) & finite(ly)), right.where(finite(rx) & finite(ry))
     todo, radius, done = left, start, None
-    total = right.count()
-    need = min(k, total)
-    for turn in range(max_doublings + 1):
+    need = min(k, right.count())
+    while True:
         found = radius_join(todo, right, radius, lx, ly, rx, ry).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
         found = materialize(found, "nearest")
-        full = found.where(F.col("place") == need).select(key) if turn < max_doublings else todo.select(key)
+        full = found.where(F.col("place") == need).select(key)
         part = found.join(full, key, "left_semi")
         done = part if done is None else done.unionByName(part)
         todo = materialize(todo.join(full, key, "left_anti"), "todo")
