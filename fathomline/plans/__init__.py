@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_panel", "q_stats", "q_space", "q_text")
+MODULES = ("q_panel", "q_stats", "q_space", "q_text", "q_eval")
 
 
 def load_all() -> None:
