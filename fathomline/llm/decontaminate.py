@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathomline.llm.worker import slices, worker_cache
+from fathomline.llm.worker import bounded_batches, slices, worker_cache
 
 
 @dataclass(frozen=True)
@@ -310,6 +310,7 @@ def find_spans(
     listed = benchmark.select(F.col(item_id).cast("string"), F.col(item_text)).where(F.col(item_text).isNotNull())
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(", ".join(f"{n} {k}" for n, k in RESULT)).fields])
     spark, out = docs.sparkSession, docs
+    bounded_batches(spark)
     for number, block in enumerate(_blocks(listed, params) or ()):
         out = out.mapInArrow(_searcher(spark.sparkContext.broadcast(block), text, number == 0, params), schema)
     if out is docs:

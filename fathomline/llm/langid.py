@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathomline.llm.worker import slices, worker_cache
+from fathomline.llm.worker import bounded_batches, slices, worker_cache
 
 
 @dataclass(frozen=True)
@@ -125,6 +125,7 @@ def predict(docs: DataFrame, ranked: dict[str, list[int]], text: str = "text", p
     if clash := {"lang_pred", "score"} & set(docs.columns):
         raise ValueError(f"columns would be overwritten: {sorted(clash)}")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(ranked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from fathomline.llm.worker import slices, worker_cache
+from fathomline.llm.worker import bounded_batches, slices, worker_cache
 
 
 @dataclass(frozen=True)
@@ -213,6 +213,7 @@ def find(docs: DataFrame, text: str = "text", templates: tuple[tuple[str, str],
     """docs with licenses: (license, coverage, start, end) in words, best covered first."""
     if "licenses" in docs.columns:
         raise ValueError("column licenses would be overwritten")
+    bounded_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField("licenses", LICENSES)])
     kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
 

@@ -51,7 +51,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.llm.worker import SLICE_BYTES, slices, worker_cache
+from fathomline.llm.worker import SLICE_BYTES, bounded_batches, slices, worker_cache
 from fathomline.operators.graph import components
 from fathomline.session import discard, materialize
 
@@ -516,6 +516,7 @@ def _sketch_bits(docs: DataFrame, params: JoinParams) -> int:
 class _Join:
     def __init__(self, docs: DataFrame, key: str, text: str, params: JoinParams):
         self.params, self.spark = params, docs.sparkSession
+        bounded_batches(self.spark)
         kind = docs.schema[key].dataType.simpleString()
         self.texts = docs.select(F.col(text).alias("text"))
         bits = _sketch_bits(self.texts, params)

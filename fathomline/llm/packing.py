@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.worker import slices, worker_cache
+from fathomline.llm.worker import bounded_batches, slices, worker_cache
 from fathomline.session import materialize
 
 
@@ -53,8 +53,8 @@ class PackParams:
     bits: int = 10
     buckets: int = 256
     seed: int = 17
-    cache_chunks: int = 700_000
-    slice_chars: int = 8_000_000
+    cache_chunks: int = 500_000
+    slice_chars: int = 4_000_000
 
 
 #: A sign before a comma or stop, or a letter whose lower case is not one letter in every library.
@@ -269,6 +269,7 @@ def _cut(params: PackParams):
 
 def pack(docs: DataFrame, params: PackParams, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row per piece."""
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
     encoded = base.mapInArrow(_encode(params), f"doc_id {kind}, n_tokens long, curve long, ids binary")

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathomline.llm.worker import slices, worker_cache
+from fathomline.llm.worker import bounded_batches, slices, worker_cache
 
 
 @dataclass(frozen=True)
@@ -59,8 +59,8 @@ class ToxicParams:
     stems: tuple[int, ...] = (3, 4, 5, 6, 7, 8)
     thresholds: tuple[float, ...] = (1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0)
     ridge: float = 0.5
-    cache_words: int = 500_000
-    group_words: int = 300_000
+    cache_words: int = 300_000
+    group_words: int = 150_000
 
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -222,6 +222,7 @@ def score(docs: DataFrame, model: ToxicModel | None, text: str = "text", params:
         raise ValueError("column score would be overwritten")
     if model is None:
         return docs.withColumn("score", F.lit(0.0))
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(vars(model))
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 

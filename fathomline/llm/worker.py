@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Bytes of text that a function turns into Python objects at a time.
 SLICE_BYTES = 4 << 20
@@ -28,6 +29,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str | int, size: int = SLI
             at = stop
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Ask Spark for Arrow batches of SLICE_BYTES where the session allows larger ones. The setting stays with the session."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or int(now) > SLICE_BYTES:
+        spark.conf.set(name, str(SLICE_BYTES))
+
+
 def worker_cache(owner: str) -> dict:
     """A dictionary of this process. Functions come to workers by value, so module globals do not last.
 
