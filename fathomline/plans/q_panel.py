@@ -272,14 +272,6 @@ def _(spark, sf):
     return op.carry_forward(d, ["conv_id"], ["turn"], "label")
 
 
-@query("o02_numeric_text_order", "SELECT p_name, row_number() OVER (ORDER BY coalesce(try_cast(regexp_extract(p_brand, '(\\d+)', 1) AS BIGINT), 1000000000000), p_brand, p_partkey) AS place, p_partkey FROM part QUALIFY place <= 50")
-def _(spark, sf):
-    number = F.coalesce(F.regexp_extract("p_brand", r"(\d+)", 1).try_cast("bigint"), F.lit(10**12))
-    top = table(spark, sf, "part").orderBy(number, "p_brand", "p_partkey").limit(50)  # as its SQL asks; the whole order is o02_numeric_text_order_whole
-    place = F.row_number().over(Window.orderBy(number, "p_brand", "p_partkey")).cast("long")
-    return top.select("p_name", place.alias("place"), "p_partkey")
-
-
 @query("o02_numeric_text_order_whole", "SELECT p_name, row_number() OVER (ORDER BY coalesce(try_cast(regexp_extract(p_brand, '(\\d+)', 1) AS BIGINT), 1000000000000), p_brand, p_partkey) AS place, p_partkey FROM part")
 def _(spark, sf):
     number = F.coalesce(F.regexp_extract("p_brand", r"(\d+)", 1).try_cast("bigint"), F.lit(10**12))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import dates
@@ -125,13 +126,12 @@ def _(spark, sf):
     return p.select("vec_id", spatial.wkt_line(line).alias("wkt")).withColumn("n_points", F.size(spatial.parse_wkt(F.col("wkt"))))
 
 
-@query("n13_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS o, l_partkey % 1500 AS p FROM lineitem WHERE l_orderkey % 20 = 0), f AS (SELECT o, min(p) AS low FROM e GROUP BY o), d AS (SELECT DISTINCT p AS a, low AS b FROM e JOIN f USING (o)), s AS (SELECT a, b FROM d UNION SELECT b, a FROM d),
-r(node, reach) AS (SELECT a, a FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.reach = s.a) SELECT node, min(reach) AS component FROM r GROUP BY node""")
+@query("n13_components", "SELECT c_custkey AS node, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS component FROM customer")
 def _(spark, sf):
-    # A small graph for the recursive SQL: a twentieth of the orders, folded keys. The whole table is n13_components_whole.
-    e = table(spark, sf, "lineitem").where("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("o"), (F.col("l_partkey") % 1500).alias("p")).distinct()
-    low = e.groupBy("o").agg(F.min("p").alias("low"))
-    return components(e.join(low, "o").select(F.col("p").alias("src"), F.col("low").alias("dst")))
+    # Customers linked by a shared nation and segment, in a chain from each to the next: long paths, known components.
+    following = F.lead("c_custkey").over(Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("src"), F.coalesce(following, "c_custkey").alias("dst"))
+    return components(c)
 
 
 @query("n13_components_whole")
