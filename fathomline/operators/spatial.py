@@ -134,6 +134,24 @@ def _around(v: Column, size: float) -> Column:
     return F.explode(F.sequence(_cell(v, size) - 1, _cell(v, size) + 1))
 
 
+def polygon_join(points: DataFrame, polygons: DataFrame, key: str, unit: str, ring: str, fallback: float, cell: float, x: str = "x", y: str = "y") -> DataFrame:
+    """(key, unit, distance, method): the first polygon by unit that holds a point, else the nearest one within fallback.
+
+    Edges belong to a polygon. ``method`` is within, nearest or outside; points beyond the fallback, or without
+    coordinates, have no unit. Polygons are dealt to every cell that their widened boxes meet, so choose cells of about
+    a polygon's size; keys are unique.
+    """
+    edge = lambda axis, f, by: F.floor((f(F.transform(F.col(ring), lambda p: p[axis])) + by) / cell).cast("long")
+    dealt = polygons.where(F.size(ring) >= 3).select(unit, ring, F.explode(F.sequence(edge("x", F.array_min, -fallback), edge("x", F.array_max, fallback))).alias("_cx"))
+    dealt = dealt.withColumn("_cy", F.explode(F.sequence(edge("y", F.array_min, -fallback), edge("y", F.array_max, fallback))))
+    at = points.select(key, F.col(x).alias("_x"), F.col(y).alias("_y"), _cell(F.col(x), cell).alias("_cx"), _cell(F.col(y), cell).alias("_cy"))
+    border = point_polyline(F.col("_x"), F.col("_y"), F.concat(F.col(ring), F.slice(ring, 1, 1)))["distance"]
+    met = at.join(dealt, ["_cx", "_cy"]).withColumn("distance", F.when(in_ring(F.col("_x"), F.col("_y"), F.col(ring)), 0.0).otherwise(border)).where(F.col("distance") <= fallback)
+    best = met.groupBy(key).agg(F.min(F.struct("distance", unit)).alias("_best"))
+    method = F.when(F.col("_best").isNull(), "outside").when(F.col("_best.distance") == 0, "within").otherwise("nearest")
+    return points.select(key).join(best, key, "left").select(key, F.col(f"_best.{unit}").alias(unit), F.col("_best.distance").alias("distance"), method.alias("method"))
+
+
 def radius_join(left: DataFrame, right: DataFrame, radius: float, lx: str = "x", ly: str = "y", rx: str = "rx", ry: str = "ry") -> DataFrame:
     """All pairs within the radius: the right side keeps its cell (of side radius), the left opens the nine around it."""
     a = left.withColumn("_cx", _around(F.col(lx), radius)).withColumn("_cy", _around(F.col(ly), radius))

@@ -225,13 +225,68 @@ def _(spark, sf):
     return m.select("vec_id", F.round("along.x", 6).alias("x"), F.round("along.y", 6).alias("y"))
 
 
-@query("n10_overlap_share")
+def _near_sql(line: str) -> str:
+    """Rows (keys, ux, uy, share) of segments a-b with those within 12 of c-d; ``line`` gives the keys, ax to dy."""
+    return f"""v AS (SELECT *, bx - ax AS ux, by_ - ay AS uy, ax - cx AS wx, ay - cy AS wy, ax - dx AS zx, ay - dy AS zy, dx - cx AS vx, dy - cy AS vy FROM ({line})),
+q AS (SELECT *, ux * ux + uy * uy AS uu, vx * vx + vy * vy AS vv, (ux * wx + uy * wy) ** 2 - (ux * ux + uy * uy) * (wx * wx + wy * wy - 144) AS lw, (ux * zx + uy * zy) ** 2 - (ux * ux + uy * uy) * (zx * zx + zy * zy - 144) AS lz FROM v),
+k AS (SELECT *, (0 - (wx * vx + wy * vy)) / (ux * vx + uy * vy) AS s1, (vv - (wx * vx + wy * vy)) / (ux * vx + uy * vy) AS s2, (-12 * sqrt(vv) - (vx * wy - vy * wx)) / (vx * uy - vy * ux) AS n1, (12 * sqrt(vv) - (vx * wy - vy * wx)) / (vx * uy - vy * ux) AS n2 FROM q),
+e AS (SELECT *, unnest([CASE WHEN lw >= 0 THEN greatest(0, (-(ux * wx + uy * wy) - sqrt(greatest(lw, 0))) / uu) ELSE 2 END, CASE WHEN lz >= 0 THEN greatest(0, (-(ux * zx + uy * zy) - sqrt(greatest(lz, 0))) / uu) ELSE 2 END, greatest(0, least(s1, s2), least(n1, n2))]) AS lo,
+  unnest([CASE WHEN lw >= 0 THEN least(1, (-(ux * wx + uy * wy) + sqrt(greatest(lw, 0))) / uu) ELSE -1 END, CASE WHEN lz >= 0 THEN least(1, (-(ux * zx + uy * zy) + sqrt(greatest(lz, 0))) / uu) ELSE -1 END, least(1, greatest(s1, s2), greatest(n1, n2))]) AS hi FROM k)"""
+
+
+@query("n10_overlap_share", f"""WITH {POINTS}, {_near_sql("SELECT a.vec_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, b.x AS cx, b.y AS cy, c.x AS dx, c.y AS dy FROM points a JOIN points b ON b.vec_id = a.vec_id + 1 JOIN points c ON c.vec_id = a.vec_id + 2")}
+SELECT vec_id, round(coalesce(max(hi) FILTER (WHERE hi > lo) - min(lo) FILTER (WHERE hi > lo), 0) * sqrt(any_value(uu)) / greatest(sqrt(any_value(uu)), 1), 6) AS overlap_share FROM e GROUP BY vec_id""")
 def _(spark, sf):
     from fathomline.operators.lines import overlap_share
 
     lines = _pairs_of_points(spark, sf)
     other = lines.select((F.col("vec_id") - 1).alias("vec_id"), F.col("line").alias("other"))
-    return lines.join(other, "vec_id").select("vec_id", overlap_share(F.col("line"), F.col("other"), 12.0).alias("overlap_share"))
+    return lines.join(other, "vec_id").select("vec_id", F.round(overlap_share(F.col("line"), F.col("other"), 12.0), 6).alias("overlap_share"))
+
+
+def _end_sql(p: str, a: str, b: str) -> str:
+    """Distance of a point to a segment; each of the three is the letter of its columns."""
+    (px, py), (ax, ay), (bx, by) = ([f"{c}x", "by_" if c == "b" else f"{c}y"] for c in (p, a, b))
+    t = f"greatest(0, least(1, (({px} - {ax}) * ({bx} - {ax}) + ({py} - {ay}) * ({by} - {ay})) / (({bx} - {ax}) ** 2 + ({by} - {ay}) ** 2)))"
+    return f"sqrt(({px} - ({ax} + {t} * ({bx} - {ax}))) ** 2 + ({py} - ({ay} + {t} * ({by} - {ay}))) ** 2)"
+
+
+def _turn_sql(a: str, b: str, p: str) -> str:
+    (px, py), (ax, ay), (bx, by) = ([f"{c}x", "by_" if c == "b" else f"{c}y"] for c in (p, a, b))
+    return f"(({bx} - {ax}) * ({py} - {ay}) - ({by} - {ay}) * ({px} - {ax}))"
+
+
+@query("j20_line_match", f"""WITH {POINTS}, p AS (SELECT a.vec_id, b.vec_id AS candidate, (a.label = b.label)::DOUBLE AS name, a.x AS ax, a.y AS ay, a.x + 20 AS bx, a.y + a.label AS by_, b.x AS cx, b.y AS cy, b.x + 20 AS dx, b.y + b.label AS dy FROM points a JOIN points b ON a.vec_id <> b.vec_id),
+near AS (SELECT *, CASE WHEN {_turn_sql("a", "b", "c")} * {_turn_sql("a", "b", "d")} < 0 AND {_turn_sql("c", "d", "a")} * {_turn_sql("c", "d", "b")} < 0 THEN 0 ELSE least({_end_sql("a", "c", "d")}, {_end_sql("b", "c", "d")}, {_end_sql("c", "a", "b")}, {_end_sql("d", "a", "b")}) END AS distance FROM p),
+{_near_sql("SELECT * FROM near WHERE distance <= 60")},
+g AS (SELECT vec_id, candidate, any_value(name) AS name, round(any_value(distance), 9) AS distance, round(coalesce(max(hi) FILTER (WHERE hi > lo) - min(lo) FILTER (WHERE hi > lo), 0), 9) AS overlap FROM e GROUP BY 1, 2),
+s AS (SELECT *, round(2.5 * overlap + 0.75 * name - 0.30 * distance / 60, 9) AS score FROM g)
+SELECT vec_id, candidate, round(distance, 6) AS distance, round(overlap, 6) AS overlap, round(score, 6) AS score, CASE WHEN distance <= 15 AND (overlap >= 0.5 OR name >= 0.5) THEN 'high' WHEN (distance <= 30 AND (overlap >= 0.2 OR name >= 0.25)) OR distance <= 8 THEN 'moderate' ELSE 'low' END AS status FROM s
+QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, overlap DESC, name DESC, distance, candidate) = 1""")
+def _(spark, sf):
+    from fathomline.operators import lines
+
+    p = points(spark, sf)
+    line = F.array(F.struct("x", "y"), F.struct((F.col("x") + 20).alias("x"), (F.col("y") + F.col("label")).alias("y")))
+    left = p.select("vec_id", "label", line.alias("line"))
+    right = p.select(F.col("vec_id").alias("candidate"), F.col("label").alias("other_label"), line.alias("other"))
+    pairs = lines.line_join(left, right, "line", "other", 60.0).where("vec_id <> candidate")
+    same = pairs.withColumn("overlap", F.round(lines.overlap_share(F.col("line"), F.col("other"), 12.0), 9)).withColumn("distance", F.round("distance", 9)).withColumn("name_similarity", (F.col("label") == F.col("other_label")).cast("double"))
+    best = lines.best_match(same.withColumn("score", F.round(lines.match_score(F.col("overlap"), F.col("name_similarity"), F.col("distance")), 9)), "vec_id", "candidate")
+    return best.select("vec_id", "candidate", *[F.round(c, 6).alias(c) for c in ("distance", "overlap", "score")], lines.match_status(F.col("distance"), F.col("overlap"), F.col("name_similarity")).alias("status"))
+
+
+@query("j22_polygon_join", f"""WITH {POINTS}, c AS (SELECT label AS unit, round(avg(x), 3) AS cx, round(avg(y), 3) AS cy FROM points GROUP BY label),
+m AS (SELECT vec_id, unit, sqrt(greatest(abs(x - cx) - 40, 0) ** 2 + greatest(abs(y - cy) - 40, 0) ** 2) AS distance FROM points, c),
+b AS (SELECT * FROM m WHERE distance <= 30 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, unit) = 1)
+SELECT p.vec_id, b.unit, round(b.distance, 6) AS distance, CASE WHEN b.unit IS NULL THEN 'outside' WHEN b.distance = 0 THEN 'within' ELSE 'nearest' END AS method FROM points p LEFT JOIN b USING (vec_id)""")
+def _(spark, sf):
+    # A square of side 80 around each label's mean point; squares overlap, the first one by label counts.
+    p = points(spark, sf)
+    c = p.groupBy(F.col("label").alias("unit")).agg(F.round(F.avg("x"), 3).alias("cx"), F.round(F.avg("y"), 3).alias("cy"))
+    ring = F.array(*[F.struct((F.col("cx") + dx).alias("x"), (F.col("cy") + dy).alias("y")) for dx, dy in ((-40, -40), (40, -40), (40, 40), (-40, 40))])
+    found = spatial.polygon_join(p, c.select("unit", ring.alias("ring")), "vec_id", "unit", "ring", 30.0, 80.0)
+    return found.withColumn("distance", F.round("distance", 6))
 
 
 @query("j20_best_line_match", f"WITH {POINTS}, c AS (SELECT a.vec_id, b.vec_id AS candidate, {PAIR} AS distance, b.label / 10.0 AS overlap, a.label / 10.0 AS name FROM points a JOIN points b ON a.vec_id <> b.vec_id WHERE {PAIR} <= 60), s AS (SELECT *, 2.5 * overlap + 0.75 * name - 0.30 * distance / 60 AS score FROM c) SELECT vec_id, candidate, round(score, 6) AS score, CASE WHEN distance <= 15 AND (overlap >= 0.5 OR name >= 0.5) THEN 'high' WHEN (distance <= 30 AND (overlap >= 0.2 OR name >= 0.25)) OR distance <= 8 THEN 'moderate' ELSE 'low' END AS status FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, overlap DESC, name DESC, distance, candidate) = 1")

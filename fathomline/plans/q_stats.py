@@ -109,11 +109,19 @@ def _(spark, sf):
     return rounded(stats.fold_bootstrap_exact(d, "fold", F.col("a") - F.col("b"), 5))
 
 
-@query("m16_m18_cluster_bootstrap")
+def _bootstrap_sql(kind: str, draws: int) -> str:
+    return f"""SELECT '{kind}' AS kind, round((SELECT sum(s) / sum(n) FROM {kind}), 4) AS estimate, round(quantile_cont(x, 0.025), 4) AS low, round(quantile_cont(x, 0.975), 4) AS high
+FROM (SELECT draw, sum(s) / sum(n) AS x FROM (SELECT draw, ((('0x' || substr(md5('42:' || draw || ':' || place), 1, 8))::BIGINT * (SELECT count(*) FROM {kind})) >> 32) + 1 AS place FROM {kind}, range(1, {draws + 1}) d(draw)) JOIN {kind} USING (place) GROUP BY draw)"""
+
+
+@query("m16_m18_cluster_bootstrap", f"""WITH {TRAINING}, pooled AS (SELECT row_number() OVER (ORDER BY station_id) AS place, sum(aadt) AS s, count(aadt) AS n FROM training GROUP BY station_id),
+means AS (SELECT row_number() OVER (ORDER BY segment) AS place, avg(aadt) AS s, 1 AS n FROM training GROUP BY segment)
+{_bootstrap_sql("pooled", 1000)} UNION ALL {_bootstrap_sql("means", 5000)}""")
 def _(spark, sf):
     t = training(spark, sf)
     pooled = stats.cluster_bootstrap(t, "station_id", F.col("aadt")).withColumn("kind", F.lit("pooled"))
-    return pooled.unionByName(stats.cluster_bootstrap(t, "segment", F.col("aadt"), statistic="means").withColumn("kind", F.lit("means")))
+    both = pooled.unionByName(stats.cluster_bootstrap(t, "segment", F.col("aadt"), statistic="means").withColumn("kind", F.lit("means")))
+    return rounded(both.select("kind", "estimate", "low", "high"))
 
 
 @query("m22_m25_benchmark_factors", f"""WITH {PANEL}, {STATIONS}, b AS (SELECT year, fold AS region, segment AS network, sum(aadt) AS vkt, sum(n_obs) AS len FROM panel JOIN stations USING (station_id) WHERE year IN (1996, 1998, 2000) GROUP BY 1, 2, 3),
