@@ -174,6 +174,11 @@ def slug(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), F.lit("_"))
 
 
+def class_slug(text: Column) -> Column:
+    """slug of a vehicle class name, where s.d. and d.d. (single and double deck) are one word each."""
+    return slug(F.replace(F.replace(F.lower(text), F.lit("s.d."), F.lit("sd")), F.lit("d.d."), F.lit("dd")))
+
+
 def clean_id(text: Column, inner_space: bool = False) -> Column:
     """'123.0' to '123'; nan, none and <null> to ''."""
     t = F.trim(F.coalesce(text.cast("string"), F.lit("")))

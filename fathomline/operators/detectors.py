@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.functions.text import class_slug
 from fathomline.params import DetectorParams
 
 
@@ -24,6 +25,28 @@ def lane_snapshot(nested: DataFrame) -> DataFrame:
     return per.groupBy(*keys, "detector_id").agg(F.avg("volume").alias("sampled_minute_volume"), F.avg("speed").alias("sampled_speed"), F.avg("occupancy").alias("sampled_occupancy"), F.avg("lanes").alias("valid_lane_count"))
 
 
+def vehicle_classes(samples: DataFrame, sample: str, classes: list[str]) -> DataFrame:
+    """Per detector: the mean share of each class over full days, the number of its rows and their share of all samples.
+
+    samples has one row per sample: its name, and period as array<struct<period_from, period_to, detectors:
+    array<struct<detector_id, valid, vehicle_class: array<struct<class_name, proportion>>>>>>. Of a sample the first period
+    from 00:00:00 to 24:00:00 counts; one without it is an error. Detectors count where valid is Y, and shares that
+    are no numbers are left out of means. ``classes`` are slugs; the last of equal class names counts.
+    """
+    full = F.get(F.filter("period", lambda p: (p["period_from"] == "00:00:00") & (p["period_to"] == "24:00:00")), 0)
+    lacking = F.raise_error(F.concat(F.lit("no full-day period: "), F.coalesce(F.col(sample).cast("string"), F.lit("null"))))
+    days = samples.select(F.when(full.isNull(), lacking.cast("string")).alias("_lacking"), full.alias("_day"))
+    detectors = days.where("_lacking IS NULL").select(F.explode("_day.detectors").alias("d")).where("d.valid = 'Y'")
+
+    def share(name: str) -> Column:
+        own = F.filter("d.vehicle_class", lambda c: class_slug(F.trim(c["class_name"])) == name)
+        return F.avg(F.get(own, F.size(own) - 1)["proportion"].try_cast("double")).alias(f"class_{name}_pct")
+
+    found = detectors.groupBy(F.trim(F.coalesce("d.detector_id", F.lit(""))).alias("sensor_id")).agg(*[share(c) for c in classes], F.count(F.lit(1)).alias("class_sample_count"))
+    total = samples.agg(F.count(F.lit(1)).alias("_total"))  # one row
+    return found.crossJoin(F.broadcast(total)).withColumn("class_sample_coverage", F.col("class_sample_count") / F.col("_total")).drop("_total")
+
+
 def annualise(snapshots: DataFrame, params: DetectorParams = DetectorParams()) -> DataFrame:
     """Per detector and year: mean of stratum means (day_type x time_block), coverage, modal lanes, qualification."""
     keys = ["detector_id", "year"]

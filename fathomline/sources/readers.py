@@ -91,6 +91,67 @@ def geojson(spark: SparkSession, path: str, properties: T.StructType, expected:
     return df
 
 
+def placemarks(spark: SparkSession, path: str) -> DataFrame:
+    """Placemarks of KMZ archives as (file, place, fields, points, lines), in the order of each archive's first KML member.
+
+    ``fields`` are the cells of the description, ``points`` and ``lines`` coordinates as array<struct<x, y>>, with lines
+    of fewer than two vertices left out. Elements are read one at a time and dropped, so an archive costs a task its
+    packed bytes; no placemark gives no row. An archive without a KML member, or with broken XML, is an error.
+    """
+    from fathomline.functions.text import html_fields
+    from fathomline.operators.spatial import parse_coordinates
+
+    def elements(batches):
+        import io
+        import zipfile
+        from xml.etree import ElementTree
+
+        bare = lambda element: element.tag.rpartition("}")[2]
+        for batch in batches:
+            for file, content in zip(batch["path"], batch["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    members = [m for m in archive.namelist() if m.lower().endswith(".kml")]
+                    if not members:
+                        raise ValueError(f"{file}: no KML member")
+                    found = []
+                    with archive.open(members[0]) as member:
+                        place = 0
+                        for _, element in ElementTree.iterparse(member):
+                            if bare(element) != "Placemark":
+                                continue
+                            texts = {"Point": [], "LineString": []}
+                            description = next((e.text or "" for e in element if bare(e) == "description"), "")
+                            for shape in element.iter():
+                                if bare(shape) in texts:
+                                    texts[bare(shape)] += [e.text or "" for e in shape if bare(e) == "coordinates"]
+                            found.append((file, place, description, texts["Point"], texts["LineString"]))
+                            element.clear()
+                            place += 1
+                            if len(found) == 1000:
+                                yield pd.DataFrame(found, columns=names)
+                                found = []
+                    yield pd.DataFrame(found, columns=names)
+
+    names = ["file", "place", "description", "point_texts", "line_texts"]
+    raw = spark.read.format("binaryFile").load(path).select("path", "content")
+    rows = raw.mapInPandas(elements, "file string, place long, description string, point_texts array<string>, line_texts array<string>")
+    lines = F.filter(F.transform("line_texts", parse_coordinates), lambda line: F.size(line) >= 2)
+    points = F.flatten(F.transform("point_texts", parse_coordinates))
+    return rows.select("file", "place", html_fields(F.col("description")).alias("fields"), points.alias("points"), lines.alias("lines"))
+
+
+def column_ids(words: DataFrame, low: float, high: float, footer: float = 60.0, digits: tuple[int, int] = (4, 5)) -> DataFrame:
+    """station_id of each number of allowed length in one band of words (x0, top, page_height, text), above the footer.
+
+    A number that stands there twice is an error, raised by the rows' own evaluation.
+    """
+    number = F.regexp_extract("text", r"^(\d{%d,%d})$" % digits, 1)
+    kept = words.where((F.col("x0") >= low) & (F.col("x0") < high) & (F.col("top") < F.col("page_height") - footer) & (number != ""))
+    counted = kept.groupBy(number.cast("long").alias("station_id")).agg(F.count(F.lit(1)).alias("_n"))
+    once = F.when(F.col("_n") == 1, F.col("station_id")).otherwise(F.raise_error(F.concat(F.lit("station id stands twice: "), F.col("station_id").cast("string"))).cast("long"))
+    return counted.select(once.alias("station_id"))
+
+
 def osm_ways(spark: SparkSession, path: str) -> DataFrame:
     """Ways of an Overpass answer: one row per id (the first tile that has it), two or more nodes, tags as a map."""
     schema = "elements array<struct<type:string,id:bigint,tags:map<string,string>,geometry:array<struct<lat:double,lon:double>>>>"
