@@ -196,8 +196,10 @@ def inverse_distance(neighbours: DataFrame, key: str, value: str, k: int = 10) -
     return near.groupBy(key).agg(F.when(F.max(zero.cast("int")) == 1, F.avg(F.when(zero, F.col(value)))).otherwise(F.sum(w * F.col(value)) / F.sum(w)).alias("predicted"))
 
 
-def nearest_centre(points: DataFrame, centres: DataFrame, label: str = "label") -> DataFrame:
-    """Label of the nearest of a few centres (cx, cy, label); the centres are a broadcast of known small size."""
+def nearest_centre(points: DataFrame, centres: DataFrame, label: str = "label", most: int = 10_000) -> DataFrame:
+    """Label of the nearest of a few centres (cx, cy, label), which are broadcast; more than ``most`` are an error, and nearest_join is for them."""
+    if (n := centres.count()) > most:
+        raise ValueError(f"{n} centres, {most} at most: use nearest_join")
     met = points.crossJoin(F.broadcast(centres.groupBy().agg(F.collect_list(F.struct("cx", "cy", label)).alias("_centres"))))
     nearest = F.array_min(F.transform("_centres", lambda c: F.struct(plane_distance(F.col("x"), F.col("y"), c["cx"], c["cy"]).alias("d"), c[label].alias("label"))))
     return met.withColumn(label, nearest["label"]).drop("_centres")

@@ -209,17 +209,21 @@ def word_bands(words: DataFrame, bands: dict[str, tuple[float, float]], id_band:
     return banded.withColumn("record_top", record).where("record_top IS NOT NULL").groupBy(page, "record_top").pivot("band", list(bands)).agg(joined)
 
 
-def layout_table(lines: DataFrame, header: str, labels: list[str], span: int = 60) -> DataFrame:
-    """Lines (line_no, text) after the header line: label carried forward, the two spaced numbers of each line."""
+def layout_table(lines: DataFrame, header: str, labels: list[str], span: int = 60, document: str | None = None) -> DataFrame:
+    """Lines (line_no, text) after the first header line: label carried forward, the two spaced numbers of each line.
+
+    With a ``document`` column every document has its own header line and labels; those without a header give no row.
+    """
     from pyspark.sql import Window
 
-    head = lines.where(F.col("text").rlike(header)).agg(F.min("line_no").alias("_head"))
-    body = lines.crossJoin(F.broadcast(head)).where(F.col("line_no").between(F.col("_head") + 1, F.col("_head") + span))
+    keys = [document] if document else []
+    head = lines.where(F.col("text").rlike(header)).groupBy(*keys).agg(F.min("line_no").alias("_head"))
+    body = (lines.join(head, keys) if keys else lines.crossJoin(F.broadcast(head))).where(F.col("line_no").between(F.col("_head") + 1, F.col("_head") + span))
     label = F.regexp_extract("text", "(" + "|".join(labels) + ")", 1)
     numbers = F.regexp_extract_all("text", F.lit(r"(\d{1,3}(?: \d{3})+|\d+)"), F.lit(1))
     rows = body.withColumn("label", F.when(label != "", label)).withColumn("numbers", numbers)
-    rows = rows.withColumn("label", F.last("label", ignorenulls=True).over(Window.orderBy("line_no")))  # at most `span` lines
-    return rows.where(F.size("numbers") >= 2).select("line_no", "label", F.regexp_replace(F.get("numbers", 0), " ", "").cast("long").alias("first_value"), F.regexp_replace(F.get("numbers", 1), " ", "").cast("long").alias("second_value"))
+    rows = rows.withColumn("label", F.last("label", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("line_no")))  # at most `span` lines of a document
+    return rows.where(F.size("numbers") >= 2).select(*keys, "line_no", "label", F.regexp_replace(F.get("numbers", 0), " ", "").cast("long").alias("first_value"), F.regexp_replace(F.get("numbers", 1), " ", "").cast("long").alias("second_value"))
 
 
 def leaf_profile(documents: DataFrame, text: str, id_names: tuple[str, ...] = ("id", "detector_id", "device_id")) -> DataFrame:

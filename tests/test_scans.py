@@ -57,3 +57,22 @@ def test_vehicle_classes(spark):
     assert got == {"A": (50.0, 10.0, 2, pytest.approx(2 / 3)), "C": (None, None, 1, pytest.approx(1 / 3))}
     with pytest.raises(Exception, match="no full-day period: four"):
         detectors.vehicle_classes(df.unionByName(spark.createDataFrame([("four", [])], kind)), "s", ["dd_bus"]).collect()
+
+
+def test_layout_table_by_document(spark):
+    lines = [("a", 1, "Table 2"), ("a", 2, "Urban 1 200 30"), ("a", 3, "7 8"), ("b", 1, "Urban 5 6"), ("b", 2, "x"), ("b", 5, "Table 2"), ("b", 6, "9 10"), ("b", 7, "Rural 11 12"), ("c", 1, "Urban 1 2")]
+    df = spark.createDataFrame(lines, "d string, line_no int, text string")
+    got = [tuple(r) for r in readers.layout_table(df, "^Table 2", ["Urban", "Rural"], document="d").orderBy("d", "line_no").collect()]
+    assert got == [("a", 2, "Urban", 1200, 30), ("a", 3, "Urban", 7, 8), ("b", 6, None, 9, 10), ("b", 7, "Rural", 11, 12)]
+    alone = readers.layout_table(df.where("d = 'a'").drop("d"), "^Table 2", ["Urban", "Rural"]).collect()
+    assert [tuple(r) for r in alone] == [(2, "Urban", 1200, 30), (3, "Urban", 7, 8)]
+
+
+def test_nearest_centre_is_bounded(spark):
+    from fathomline.operators import spatial
+
+    points = spark.createDataFrame([(1, 0.0, 0.0)], "k int, x double, y double")
+    centres = spark.createDataFrame([(1, 1.0, 1.0), (2, 5.0, 5.0)], "label int, cx double, cy double")
+    assert spatial.nearest_centre(points, centres).first()["label"] == 1
+    with pytest.raises(ValueError, match="nearest_join"):
+        spatial.nearest_centre(points, centres, most=1)
