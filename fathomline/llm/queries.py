@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import decontaminate, langid, ledger, licenses, ngram_join, packing, sharding, sql, surrogates, toxicity, urlrules
+from fathomline.llm import audit, decontaminate, divergence, langid, ledger, licenses, mixing, ngram_join, packing, sharding, sql, surrogates, toxicity, urlrules
 from fathomline.session import table
 
 #: Rules of op9: (host, path, verdict).
@@ -104,9 +104,23 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return audit.audit(docs, table(spark, sf_dir, "labels"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", mixing.taken_words().alias("taken"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_compression_toxicity, op3_patience_licenses, op4_pii_surrogates, op5_label_propagation, op6_fm_decontaminate, op7_hilbert_packing, op8_rank_profiles, op9_url_filter, op10_rule_ledger)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_compression_toxicity, op3_patience_licenses, op4_pii_surrogates, op5_label_propagation, op6_fm_decontaminate, op7_hilbert_packing, op8_rank_profiles, op9_url_filter, op10_rule_ledger, op11_filter_shapley, op12_source_mix, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": sql.OP1, "op6_fm_decontaminate": sql.OP6, "op9_url_filter": sql.OP9, "op10_rule_ledger": sql.OP10}
+    return {"op1_ngram_jaccard": sql.OP1, "op6_fm_decontaminate": sql.OP6, "op9_url_filter": sql.OP9, "op10_rule_ledger": sql.OP10, "op11_filter_shapley": sql.OP11, "op12_source_mix": sql.OP12, "op13_source_divergence": sql.OP13}
