@@ -20,7 +20,6 @@ columns pass through; a column named lang_pred or score raises ValueError.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fathomline.llm.words import letter_runs
 from fathomline.llm.worker import bounded_batches, slices, worker_cache
 
 
@@ -40,12 +40,9 @@ class LangParams:
     fit_rows: int = 2000
 
 
-_WORDS = re.compile(r"[^\W\d_]+")
-
-
 def grams(text: str | None, max_n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram codes (21 bits a sign) and their counts; a single border sign is no n-gram."""
-    words = _WORDS.findall((text or "").lower())
+    words = letter_runs().findall((text or "").lower())
     if not words:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     signs = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)

@@ -27,10 +27,12 @@ gives no pieces.
 from __future__ import annotations
 
 import os
+import sys
 import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -57,8 +59,19 @@ class PackParams:
     slice_chars: int = 4_000_000
 
 
-#: A sign before a comma or stop, or a letter whose lower case is not one letter in every library.
-UNSAFE = r"[^\s\pL\pN][.,]|[\x{0130}\x{03A3}]"
+@cache
+def _unsafe() -> str:
+    """A sign before a comma or stop, or a letter whose lower case is not one letter in every library.
+
+    Letters and numbers that normalization (composed form) ends with another kind of sign, such as U+0958, count as signs.
+    """
+    split = []
+    for c in map(chr, chain(range(0xD800), range(0xE000, sys.maxunicode + 1))):
+        if unicodedata.category(c)[0] in "LN" and unicodedata.category(unicodedata.normalize("NFC", c)[-1])[0] not in "LN":
+            split.append(rf"\x{{{ord(c):X}}}")
+    return rf"[^\s\pL\pN][.,]|[{''.join(split)}][.,]|[\x{{0130}}\x{{03A3}}]"
+
+
 #: Texts on which the way by chunks must give the ids of the library: case, marks, digits, white space, joined signs.
 PROBES = (
     "The QUICK brown fox, again and again.", "don't I'LL x,y 1,2.3 _. a.., b?", "Ünïcödé ÉCOLE straße Ñandú ñ", "tab\tand\nnew  lines\r\n end ", " leading", "ΑΣ. Ωμέγα Привет МИР", "日本語 テキスト 😀 e\u0301 \u00a0q", "a1b2 3rd CamelCaseWord snake_case http://x.example.com/a?b=c", "### $$$ %%% «quoted» (brackets) [x] {y}", "",
@@ -108,7 +121,7 @@ class Encoder:
         """
         if not self.by_chunk:
             return texts, np.ones(len(texts), dtype=np.int64)
-        raw = pc.match_substring_regex(texts, UNSAFE)
+        raw = pc.match_substring_regex(texts, _unsafe())
         plain = pc.replace_substring(pc.replace_substring(pc.utf8_lower(texts), ",", " ,"), ".", " .")
         lists = pc.ascii_split_whitespace(pc.if_else(raw, texts, plain))
         return pc.list_flatten(lists), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -1,14 +1,15 @@
 """PII surrogates: keyed, type-consistent replacements, by built-in functions alone.
 
 Entities are found by one pattern (e-mail, IPv4, IPv6, card, IBAN, social security number,
-phone, API key, long hexadecimal secret, titled personal name; no form has an upper limit
-of length but those whose format has one). Words of a titled name are also replaced where
-they stand alone elsewhere in the same text.
+phone, API key, long hexadecimal secret, personal name with a title or a listed given name
+before a capitalised word; no form has an upper limit of length but those whose format has
+one). Words of a name are also replaced where they stand alone elsewhere in the same text,
+with listed given names before them. An e-mail address keeps its public suffix, or a domain reserved for examples, alone.
 
 Each entity gets a surrogate of the same form from a keyed permutation: its signs belong
 to classes (digits, lower- and upper-case letters of a script; for names vowels and
 consonants apart), and a Feistel network over the even and odd places shifts every sign
-inside its class by an amount from SHA-256 of the key, the type and the other half. The
+inside its class by an amount from SHA-256 of the key, the type, the round and the other half. The
 network runs forward, one sign is moved on by a fixed keyed amount, and the network runs
 back: a permutation without a fixed point. So two entities never share a surrogate, none
 keeps its value, and equal entities always get equal surrogates, whatever document or task
@@ -33,7 +34,7 @@ read it and undo the surrogates.
 Defined results: null texts stay null; empty texts and texts without entities are
 unchanged; very long texts are taken whole; repeated rows change alike; an empty table
 gives an empty one; extra columns pass through, and a clash with the count columns or an
-inner column (``_found``, ``_kinds``, ``_put``, ``_names``, ``_state``) raises ValueError.
+inner column (``_found``, ``_kinds``, ``_put``, ``_names``) raises ValueError.
 """
 
 from __future__ import annotations
@@ -50,22 +51,34 @@ from fathomline.session import discard, materialize
 
 TITLES = r"(?:Mrs?|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Doña|Don|Г-н|Г-жа|Κύριος|Κυρία)\.?"
 _WORD = r"(?:\p{Lu}\.|\p{Lu}[\p{L}\p{M}'’]*+)"
-_PARTICLE = r"(?:(?:von|van|der|den|de|del|della|di|da|dos|du|la|le|zu|bin|ben|al) )*"
-# Forms of entities. Order matters; the first that fits at a place wins.
+_PARTICLE = r"(?:(?:von|van|der|den|de|del|della|di|da|dos|du|la|le|zu|bin|ben|al) )*+"
+# Common given names by script and gender.
+GIVEN_NAMES = (
+    "john james robert michael david thomas peter paul daniel mark george martin hans karl stefan pierre louis antoine carlos miguel pablo javier marco luca".split(),
+    "mary anna maria emma laura julia sarah sophie clara helen susan linda karin petra ursula monika camille juliette elena carmen lucia teresa giulia chiara".split(),
+    "иван пётр алексей дмитрий сергей андрей николай михаил".split(),
+    "анна мария елена ольга наталья татьяна ирина светлана".split(),
+    "γιώργος νίκος κώστας δημήτρης γιάννης αλέξανδρος".split(),
+    "ελένη κατερίνα σοφία άννα δήμητρα αγγελική".split(),
+)
+_GIVEN = "(?:" + "|".join(form for names in GIVEN_NAMES for name in names for form in (name.capitalize(), name.upper())) + ")"
+# Forms of entities. Loops over groups are possessive or have small bounds: the matcher of the JVM takes
+# these without a call per repetition, so no length of text can exhaust its stack.
+# Order matters; the first that fits at a place wins.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*\.\p{L}{2,}(?![\p{L}\p{N}])",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:(?:\.[\p{L}\p{N}-]++)*+(?<=\.\p{L}{2,63})|(?:\.[\p{L}\p{N}-]++){0,126}\.\p{L}\p{L}+)(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{L}\p{N}_.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{L}\p{N}_]|\.[0-9])",
     "ipv6": r"(?<![\p{L}\p{N}_:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){2,7}:)(?![\p{L}\p{N}_:])",
     "card": r"(?<![\p{L}\p{N}_])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}_]|[ -][0-9])",
     "iban": r"(?<![\p{L}\p{N}_])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}_])",
     "ssn": r"(?<![\p{L}\p{N}_-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}_]|-[0-9])",
-    "phone": r"(?<![\p{L}\p{N}_+])(?<![0-9][ .-])(?:\+(?=(?:[ .()/-]*[0-9]){7})[0-9]{1,3}(?:[ ./-]?(?:\([0-9]+\)|[0-9]+))+|\(?0[0-9]{1,5}\)?[ ./-]?[0-9]{3,}(?:[ .-][0-9]{2,})*|(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}|[0-9]{9,})(?![\p{L}\p{N}_]|[ .-][0-9])",
+    "phone": r"(?<![\p{L}\p{N}_+])(?<![0-9][ .-])(?:\+(?=(?:[ .()/-]*[0-9]){7})[0-9]{1,3}(?:[ ./-]?(?:\([0-9]++\)|[0-9]++))++|\(?0[0-9]{1,5}\)?[ ./-]?[0-9]{3,}+(?:[ .-][0-9]{2,}+)*+|(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}|[0-9]{9,})(?![\p{L}\p{N}_]|[ .-][0-9])",
     "api_key": r"(?<![\p{L}\p{N}_])(?:[sprk]k_(?:live|test)_[0-9A-Za-z]{8,}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{20,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{20,}|eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]+\.[0-9A-Za-z_-]+)(?![\p{L}\p{N}_])",
     "secret": r"(?<![\p{L}\p{N}_])[0-9A-Fa-f]{32,}(?![\p{L}\p{N}_])",
-    "name": rf"(?<![\p{{L}}]){TITLES} {_PARTICLE}{_WORD}(?:[ -]{_PARTICLE}{_WORD})*",
+    "name": rf"(?<![\p{{L}}\p{{M}}])(?=\p{{Lu}})(?:{TITLES} |(?={_GIVEN} {_PARTICLE}\p{{Lu}})){_PARTICLE}{_WORD}(?:[ -]{_PARTICLE}{_WORD})*+",
 }
 #: A text without any of these signs has no entity.
-HINT = r"[0-9@]|Mr|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Sr|Doña|Don|Г-|Κυρ|Κύρ"
+HINT = rf"[0-9@]|eyJ|AKIA|AIza|xox[abprs]-|gh[pousr]_|_(?:live|test)_|Mr|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Sr|Doña|Don|Г-|Κυρ|Κύρ|(?=\p{{Lu}}){_GIVEN} "
 _API_HEAD = r"^(?:[sprk]k_(?:live|test)_|AKIA|gh[pousr]_|xox[abprs]-|AIza|eyJ)"
 # Classes of signs. Shifts stay inside a class.
 DIGITS = "0123456789"
@@ -84,17 +97,6 @@ CLASSES = (
 )
 HEX_CLASSES = (DIGITS, "abcdef", "ABCDEF")
 NAME_CLASSES = ("aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøùúûüý", "çñ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
-# Common given names by script and gender.
-GIVEN_NAMES = (
-    "john james robert michael david thomas peter paul daniel mark george martin hans karl stefan pierre louis antoine carlos miguel pablo javier marco luca".split(),
-    "mary anna maria emma laura julia sarah sophie clara helen susan linda karin petra ursula monika camille juliette elena carmen lucia teresa giulia chiara".split(),
-    "иван пётр алексей дмитрий сергей андрей николай михаил".split(),
-    "анна мария елена ольга наталья татьяна ирина светлана".split(),
-    "γιώργος νίκος κώστας δημήτρης γιάννης αλέξανδρος".split(),
-    "ελένη κατερίνα σοφία άννα δήμητρα αγγελική".split(),
-)
-
-
 @dataclass(frozen=True)
 class SurrogateParams:
     key: str
@@ -140,41 +142,32 @@ def _signs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1))
 
 
-def _stepped(state: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """The state with step(kind, signs) done in every piece that goes on."""
-    piece = lambda x, p: F.struct(p["t"].alias("t"), p["m"].alias("m"), p["go"].alias("go"), F.when(p["go"], step(x["k"], p["s"])).otherwise(p["s"]).alias("s"))
-    return F.transform(state, lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), F.transform(x["ps"], lambda p: piece(x, p)).alias("ps")))
-
-
 def _moved(x: Column, by: Column) -> Column:
     return F.substring(x["c"], (F.pmod(F.instr(x["c"], x["s"]) - 1 + by, F.length(x["c"])) + 1).cast("int"), F.lit(1))
 
 
-def _turn(r: int, forward: bool, params: SurrogateParams) -> Callable[[Column, Column], Column]:
-    """Round r of the network: signs at one half of the places are shifted by what stands at the others."""
+def _turn(kind: Column, signs: Column, r: Column, way: Column, params: SurrogateParams) -> Column:
+    """Round r of the network: signs at one half of the places are shifted by what stands at the others, way 1 or -1."""
 
-    def run(kind: Column, signs: Column) -> Column:
-        def shift(held: Column) -> Column:
-            def by(i: Column) -> Column:
-                amount = _number(params.key, kind, str(r), i.cast("string"), held)
-                return amount if forward else -amount
+    def shift(digests: Column) -> Column:
+        def by(i: Column) -> Column:
+            place = F.floor(i / 2).cast("int")
+            return way * F.conv(F.substring(F.get(digests, F.floor(place / 8).cast("int")), place % 8 * 8 + 1, F.lit(8)), 16, 10).cast("long")
 
-            return F.transform(signs, lambda x, i: F.struct(F.when((i % 2 == r % 2) & (x["c"] != ""), _moved(x, by(i))).otherwise(x["s"]).alias("s"), x["c"].alias("c")))
+        return F.transform(signs, lambda x, i: F.struct(F.when((i % 2 == r % 2) & (x["c"] != ""), _moved(x, by(i))).otherwise(x["s"]).alias("s"), x["c"].alias("c")))
 
-        return _let(F.array_join(F.transform(F.filter(signs, lambda x, i: i % 2 != r % 2), lambda x: x["s"]), ""), shift)
+    # One digest of the other half serves eight signs, 32 bits each; longer entities take digests of the first one.
+    held = F.array_join(F.transform(F.filter(signs, lambda x, i: i % 2 != r % 2), lambda x: x["s"]), "")
+    first = F.sha2(F.concat_ws("|", F.lit(params.key), kind, r.cast("string"), held), 256)
+    more = lambda d: F.transform(F.sequence(F.lit(0), F.floor(F.size(signs) / 16).cast("int")), lambda b: F.when(b == 0, d).otherwise(F.sha2(F.concat_ws("|", d, b.cast("string")), 256)))
+    return _let(first, lambda d: _let(more(d), shift))
 
-    return run
 
-
-def _bump(params: SurrogateParams) -> Callable[[Column, Column], Column]:
+def _bump(kind: Column, signs: Column, params: SurrogateParams) -> Column:
     """The first movable sign goes on by 1 to n - 1 of its n places."""
-
-    def run(kind: Column, signs: Column) -> Column:
-        amount = lambda x: F.pmod(_number(params.key, kind, "bump"), F.length(x["c"]) - 1) + 1
-        first = F.array_position(F.transform(signs, lambda x: x["c"] != ""), F.lit(True)) - 1
-        return _let(first, lambda at: F.transform(signs, lambda x, i: F.struct(F.when(i == at, _moved(x, amount(x))).otherwise(x["s"]).alias("s"), x["c"].alias("c"))))
-
-    return run
+    amount = lambda x: F.pmod(_number(params.key, kind, "bump"), F.length(x["c"]) - 1) + 1
+    first = F.array_position(F.transform(signs, lambda x: x["c"] != ""), F.lit(True)) - 1
+    return _let(first, lambda at: F.transform(signs, lambda x, i: F.struct(F.when(i == at, _moved(x, amount(x))).otherwise(x["s"]).alias("s"), x["c"].alias("c"))))
 
 
 def _text_of(signs: Column) -> Column:
@@ -270,48 +263,47 @@ def _pieces(entity: Column, kind: Column) -> Column:
         .when(kind == "ip", entity)
         .otherwise("")
     )
-    # An address keeps its domain's last two labels.
-    tail = F.when(kind == "email", F.regexp_extract(entity, r"(@|\.)([^.@]+\.[^.@]+)$", 0)).when(kind == "card", F.substring(entity, -1, 1)).otherwise("")
+    # An address keeps its domain's public suffix, or a domain that is reserved for examples and is nobody's.
+    tail = F.when(kind == "email", F.regexp_extract(entity, r"(?:(?<=[@.])example\.(?:com|net|org)|(?:\.(?:ac|co|com|edu|gov|ne|net|or|org))?\.[^.@]+)$", 0)).when(kind == "card", F.substring(entity, -1, 1)).otherwise("")
     other = _let(F.struct(head.alias("h"), tail.alias("t")), lambda x: F.array(piece(x["h"], False), piece(F.substring(entity, F.length(x["h"]) + 1, F.length(entity) - F.length(x["h"]) - F.length(x["t"])), True), piece(x["t"], False)))
     return F.when(kind == "name", name).otherwise(other)
 
 
-def _opened(text: Column, moves: Column, kind: Column) -> Column:
-    """The signs of a piece with their classes; none of a piece that stays."""
+def _opened(text: Column, kind: Column) -> Column:
+    """The signs of a piece with their classes."""
     by_kind = lambda sign: F.when(kind == "name", _class_of(sign, NAME_CLASSES)).when(kind.isin("secret", "ipv6"), _class_of(sign, HEX_CLASSES)).otherwise(_class_of(sign, CLASSES))
     # Longer words of names keep their last letter.
     stays = lambda t, i: (kind == "name") & (i == F.length(t) - 1) & (F.length(t) > 3)
-    signs = _let(F.when(kind == "name", _low(text)).otherwise(text), lambda t: F.transform(_signs(t), lambda sign, i: F.struct(sign.alias("s"), F.when(stays(t, i), F.lit("")).otherwise(by_kind(sign)).alias("c"))))
-    return F.when(moves, signs).otherwise(F.array().cast("array<struct<s:string,c:string>>"))
+    return _let(F.when(kind == "name", _low(text)).otherwise(text), lambda t: F.transform(_signs(t), lambda sign, i: F.struct(sign.alias("s"), F.when(stays(t, i), F.lit("")).otherwise(by_kind(sign)).alias("c"))))
+
+
+def _permuted(text: Column, kind: Column, params: SurrogateParams) -> Column:
+    """A piece's signs through the network, and once more where a word of a name became a listed one."""
+    rounds = range(params.rounds)
+    turn = lambda r, way: F.struct(F.lit(r).alias("r"), F.lit(way).alias("way"))
+    turns = F.array(*[turn(r, 1) for r in rounds], turn(0, 0), *[turn(r, -1) for r in reversed(rounds)])
+    listed = F.array(*[F.lit(x) for names in GIVEN_NAMES for x in names])
+    once = lambda signs: F.aggregate(turns, signs, lambda held, t: F.when(t["way"] == 0, _bump(kind, held, params)).otherwise(_turn(kind, held, t["r"], t["way"], params)))
+    goes = lambda signs, k: (k == 0) | ((kind == "name") & F.array_contains(listed, _text_of(signs)))
+    return _text_of(F.aggregate(F.array(F.lit(0), F.lit(1)), _opened(text, kind), lambda held, k: F.when(goes(held, k), once(held)).otherwise(held)))
 
 
 def with_surrogates(step: DataFrame, params: SurrogateParams, kinds: str = "_kinds", out: str = "_put") -> DataFrame:
     """step with surrogates of an array of (e: entity, k: kind), in order.
 
-    One column per round keeps expressions shallow; the optimizer joins them again.
+    Pieces are permuted one by one inside one expression, so that a task holds the signs of one piece at a time.
     """
-    if "_state" in step.columns:
-        raise ValueError("column _state would be overwritten")
-    rounds = range(params.rounds)
-    steps = [*(_turn(r, True, params) for r in rounds), _bump(params), *(_turn(r, False, params) for r in reversed(rounds))]
-    listed = F.array(*[F.lit(x) for names in GIVEN_NAMES for x in names])
-    df = step.withColumn("_state", F.transform(kinds, lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), _pieces(x["e"], x["k"]).alias("ps"))))
-    opened = lambda x, p: F.struct(p["t"].alias("t"), p["m"].alias("m"), p["m"].alias("go"), _opened(p["t"], p["m"], x["k"]).alias("s"))
-    df = df.withColumn("_state", F.transform("_state", lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), F.transform(x["ps"], lambda p: opened(x, p)).alias("ps"))))
-    for again in (False, True):
-        if again:  # a word that became a listed name goes on
-            go = lambda x, p: F.struct(p["t"].alias("t"), p["m"].alias("m"), (p["m"] & (x["k"] == "name") & F.array_contains(listed, _text_of(p["s"]))).alias("go"), p["s"].alias("s"))
-            df = df.withColumn("_state", F.transform("_state", lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), F.transform(x["ps"], lambda p: go(x, p)).alias("ps"))))
-        for one in steps:
-            df = df.withColumn("_state", _stepped(F.col("_state"), one))
 
-    def done(x: Column) -> Column:
-        text = lambda p: F.when(~p["m"], p["t"]).when(x["k"] == "name", _cased(p["t"], _text_of(p["s"]), params)).otherwise(_text_of(p["s"]))
-        body = _text_of(F.get(x["ps"], 1)["s"])
-        whole = F.array_join(F.transform(x["ps"], text), "")
-        return F.when(x["k"] == "card", _card(x["e"], body)).when(x["k"] == "iban", _iban(x["e"], body)).when(x["k"] == "ip", _address(x["e"], params)).otherwise(whole)
+    def piece(x: Column, p: Column) -> Column:
+        new = _permuted(p["t"], x["k"], params)
+        return F.when(~p["m"], p["t"]).when(x["k"] == "name", _let(new, lambda n: _cased(p["t"], n, params))).otherwise(new)
+
+    def put(x: Column, texts: Column) -> Column:
+        body = F.get(texts, 1)
+        return F.when(x["k"] == "card", _card(x["e"], body)).when(x["k"] == "iban", _iban(x["e"], body)).otherwise(F.array_join(texts, ""))
 
-    return df.withColumn(out, F.transform("_state", done)).drop("_state")
+    one = lambda x: F.when(x["k"] == "ip", _address(x["e"], params)).otherwise(_let(F.transform(_pieces(x["e"], x["k"]), lambda p: piece(x, p)), lambda ts: put(x, ts)))
+    return step.withColumn(out, F.transform(kinds, one))
 
 
 def kind_of(entity: Column) -> Column:
@@ -331,8 +323,9 @@ def _names(text: Column) -> Column:
     behind = F.transform(titled, lambda n: F.regexp_replace(n, rf"^{TITLES} ", ""))
     words = F.array_distinct(F.flatten(F.transform(behind, lambda n: F.regexp_extract_all(n, F.lit(r"(\p{Lu}[\p{L}\p{M}'’]+)"), F.lit(1)))))
     both = F.array_distinct(F.concat(words, F.transform(words, lambda w: F.upper(w))))
-    alone = F.concat(F.lit(r"|(?<![\p{L}\p{M}])(?:"), F.array_join(both, "|"), F.lit(r")(?![\p{L}\p{M}])"))
-    return F.when(text.rlike(TITLES) & (F.size(words) > 0), alone)
+    # A listed given name before such a word belongs to it.
+    alone = F.concat(F.lit(rf"|(?<![\p{{L}}\p{{M}}])(?=\p{{Lu}})(?:{_GIVEN} ){{0,2}}(?:"), F.array_join(both, "|"), F.lit(r")(?![\p{L}\p{M}])"))
+    return F.when(F.size(words) > 0, alone)
 
 
 def _found(text: Column, names: Column) -> Column:
@@ -358,7 +351,7 @@ def replace(docs: DataFrame, params: SurrogateParams, text: str = "text") -> Dat
 
 
 def _open(docs: DataFrame) -> DataFrame:
-    if clash := {*(f"n_{kind}" for kind in PATTERNS), "_found", "_kinds", "_put", "_names", "_state"} & set(docs.columns):
+    if clash := {*(f"n_{kind}" for kind in PATTERNS), "_found", "_kinds", "_put", "_names"} & set(docs.columns):
         raise ValueError(f"columns would be overwritten: {sorted(clash)}")
     return docs
 

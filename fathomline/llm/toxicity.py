@@ -29,7 +29,6 @@ pass through; a column named score raises ValueError.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fathomline.llm.words import letter_runs
 from fathomline.llm.worker import bounded_batches, slices, worker_cache
 
 
@@ -63,11 +63,8 @@ class ToxicParams:
     group_words: int = 150_000
 
 
-_WORDS = re.compile(r"[^\W\d_]+")
-
-
 def windows(text: str | None) -> list[str]:
-    return _WORDS.findall((text or "").lower())
+    return letter_runs().findall((text or "").lower())
 
 
 def _marks(word: str, params: ToxicParams) -> list[str]:

@@ -1,7 +1,11 @@
-"""Words between ASCII white space, by built-in functions."""
+"""Words of texts: between ASCII white space by built-in functions, and runs of letters in Python."""
 
 from __future__ import annotations
 
+import re
+import sys
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +13,13 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 
 
+@cache
+def letter_runs() -> re.Pattern:
+    """Runs of letters (categories L*). The class of all word signs but digits also has numbers such as ½ and Ⅳ, which are taken out."""
+    numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+    return re.compile(rf"[^\W\d_{re.escape(numbers)}]+")
+
+
 def words_of(body: Column) -> Column:
     """The words of a text that is not null, in order."""
     inner = F.btrim(body, F.lit(SPACES))
