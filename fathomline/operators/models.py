@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,41 +90,6 @@ def leave_fold_out_factor(ratios: DataFrame, fold: str, folds: list[int], ratio:
     return held_out_frames(ratios, fold, folds).where("NOT is_test").groupBy("held").agg(F.median(ratio).alias("factor"))
 
 
-def boosted_out_of_fold(df: DataFrame, fold: str, folds: list[int], value: str, features: list[str], loss: str = "absolute", rounds: int = 250, depth: int = 4, seed: int = 42) -> DataFrame:
-    """Gradient-boosted trees, one fit per fold. Missing features are imputed by the training median and flagged.
-
-    Spark's trees are another model than histogram boosting with native missing values; no equality is claimed.
-    ``poisson`` uses a generalised linear model with a log link instead.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import Imputer, VectorAssembler
-    from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
-
-    ready = df
-    for f in features:
-        ready = ready.withColumn(f, F.col(f).cast("double")).withColumn(f"{f}_missing", F.col(f).isNull().cast("double"))
-    filled = [f"{f}_filled" for f in features]
-    kinds: dict[str, Callable] = {
-        "absolute": lambda: GBTRegressor(labelCol=value, lossType="absolute", maxIter=rounds, maxDepth=depth, stepSize=0.05, seed=seed),
-        "squared": lambda: GBTRegressor(labelCol=value, lossType="squared", maxIter=rounds, maxDepth=depth, stepSize=0.05, seed=seed),
-        "poisson": lambda: GeneralizedLinearRegression(labelCol=value, family="poisson", link="log", maxIter=25, regParam=0.01),
-    }
-    out = None
-    for held in folds:
-        stages = [Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=[*filled, *(f"{f}_missing" for f in features)], outputCol="features"), kinds[loss]()]
-        model = Pipeline(stages=stages).fit(ready.where(F.col(fold) != held))
-        part = model.transform(ready.where(F.col(fold) == held)).select(*df.columns, F.greatest("prediction", F.lit(1.0)).alias("prediction"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def drop_one_contribution(df: DataFrame, fold: str, folds: list[int], value: str, features: list[str], **settings) -> list[tuple[str, float]]:
-    """Mean absolute error without each feature minus that with all of them."""
-    error = lambda names: boosted_out_of_fold(df, fold, folds, value, names, **settings).agg(F.avg(F.abs(F.col("prediction") - F.col(value)))).first()[0]
-    whole = error(features)
-    return [(f, error([g for g in features if g != f]) - whole) for f in features]
-
-
 def transfer_matrix(predictions: DataFrame, observed: DataFrame, key: str, trained: str, period: str) -> DataFrame:
     """Mean absolute error of each training year's predictions against every year's values."""
     return predictions.join(observed, key).groupBy(trained, period).agg(F.avg(F.abs(F.col("prediction") - F.col("observed"))).alias("mae"), F.count(F.lit(1)).alias("n"))

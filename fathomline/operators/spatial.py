@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,40 +154,91 @@ def polygon_join(points: DataFrame, polygons: DataFrame, key: str, unit: str, ri
     return points.select(key).join(best, key, "left").select(key, F.col(f"_best.{unit}").alias(unit), F.col("_best.distance").alias("distance"), method.alias("method"))
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius: float, lx: str = "x", ly: str = "y", rx: str = "rx", ry: str = "ry") -> DataFrame:
-    """All pairs within the radius: the right side keeps its cell (of side radius), the left opens the nine around it."""
+def radius_join(left: DataFrame, right: DataFrame, radius: float, lx: str = "x", ly: str = "y", rx: str = "rx", ry: str = "ry", by: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs within the radius: the right side keeps its cell (of side radius), the left opens the nine around it.
+
+    Pairs agree in the columns ``by``, which both sides have.
+    """
     a = left.withColumn("_cx", _around(F.col(lx), radius)).withColumn("_cy", _around(F.col(ly), radius))
     b = right.withColumn("_cx", _cell(F.col(rx), radius)).withColumn("_cy", _cell(F.col(ry), radius))
-    met = a.join(b, ["_cx", "_cy"]).withColumn("distance", plane_distance(F.col(lx), F.col(ly), F.col(rx), F.col(ry)))
+    met = a.join(b, [*by, "_cx", "_cy"]).withColumn("distance", plane_distance(F.col(lx), F.col(ly), F.col(rx), F.col(ry)))
     return met.where(F.col("distance") <= radius).drop("_cx", "_cy")
 
 
-def nearest_join(left: DataFrame, right: DataFrame, key: str, right_key: str, k: int, start: float, lx: str = "x", ly: str = "y", rx: str = "rx", ry: str = "ry") -> DataFrame:
+def _finite(c: str) -> Column:
+    return F.coalesce(F.abs(F.col(c)) < F.lit(float("inf")), F.lit(False))
+
+
+def _grown(left: DataFrame, right: DataFrame, key: list[str], right_key: str, k: int, start: float, within: Callable[[DataFrame, float], DataFrame], by: tuple[str, ...] = ()) -> DataFrame:
+    """k nearest of each left row: rows that have k (or all there are in their group of ``by``) within a radius are done, the rest try twice the radius."""
+    from fathomline.session import discard, materialize
+
+    w = Window.partitionBy(*key).orderBy("distance", right_key)
+    if by:
+        # A row without any candidate in its group is done at once.
+        counts = right.groupBy(*by).agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("_need"))
+        todo = materialize(left.join(counts, list(by)), "todo")
+    else:
+        todo = materialize(left.withColumn("_need", F.lit(min(k, right.count())).cast("long")), "todo")
+    radius, done = start, None
+    while True:
+        found = materialize(within(todo, radius).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k), "nearest")
+        full = found.where(F.col("place") == F.col("_need")).select(*key)
+        part = found.join(full, key, "left_semi").drop("_need")
+        done = part if done is None else done.unionByName(part)
+        before, todo = todo, materialize(todo.where("_need > 0").join(full, key, "left_anti"), "todo")
+        discard(before)
+        if todo.isEmpty():
+            discard(todo)
+            return done
+        radius *= 2
+
+
+def nearest_join(
+    left: DataFrame, right: DataFrame, key: str, right_key: str, k: int, start: float, lx: str = "x", ly: str = "y", rx: str = "rx", ry: str = "ry", by: tuple[str, ...] = ()
+) -> DataFrame:
     """k nearest right rows of each left row, with distance and place (ties by right key).
 
+    With ``by``, a left row (one for each key and by) looks among right rows that agree in these columns only.
+
     Grid rings grow: rows with k neighbours within the radius are done, the rest try twice
     the radius, until all are done. Exact, because k neighbours within r beat everything
     outside r. Rows whose coordinates are null or no finite numbers have no neighbours and
     are none; with fewer than k right rows all of them are returned.
     """
-    from fathomline.session import materialize
+    left, right = left.where(_finite(lx) & _finite(ly)), right.where(_finite(rx) & _finite(ry))
+    return _grown(left, right, [key, *by], right_key, k, start, lambda todo, radius: radius_join(todo, right, radius, lx, ly, rx, ry, by), by)
 
-    w = Window.partitionBy(key).orderBy("distance", right_key)
-    finite = lambda c: F.coalesce(F.abs(F.col(c)) < F.lit(float("inf")), F.lit(False))
-    left, right = left.where(finite(lx) & finite(ly)), right.where(finite(rx) & finite(ry))
-    todo, radius, done = left, start, None
-    need = min(k, right.count())
-    while True:
-        found = radius_join(todo, right, radius, lx, ly, rx, ry).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
-        found = materialize(found, "nearest")
-        full = found.where(F.col("place") == need).select(key)
-        part = found.join(full, key, "left_semi")
-        done = part if done is None else done.unionByName(part)
-        todo = materialize(todo.join(full, key, "left_anti"), "todo")
-        if not need or todo.isEmpty():
-            break
-        radius *= 2
-    return done
+
+def masked(candidates: DataFrame, targets: DataFrame, right_key: str, fold: str, folds: list[int], buffer: float, x: str = "x", y: str = "y", rx: str = "rx", ry: str = "ry") -> DataFrame:
+    """Candidates once for each held-out fold (``held``) in which they may be used.
+
+    Banned are a fold's own candidates and those within the buffer of any target of the fold (both have the column fold).
+    """
+    opened = candidates.withColumn("held", F.explode(F.array(*[F.lit(f) for f in folds]))).where(~F.col(fold).eqNullSafe(F.col("held")))
+    places = targets.select(F.col(fold).alias("held"), F.col(x).alias("_tx"), F.col(y).alias("_ty")).where(_finite("_tx") & _finite("_ty"))
+    near = radius_join(candidates.select(right_key, rx, ry).where(_finite(rx) & _finite(ry)), places, buffer, rx, ry, "_tx", "_ty").select(right_key, "held").distinct()
+    return opened.join(near, [right_key, "held"], "left_anti")
+
+
+def nearest_masked(
+    targets: DataFrame, candidates: DataFrame, key: str, right_key: str, fold: str, folds: list[int], buffer: float, start: float, x: str = "x", y: str = "y", rx: str = "rx", ry: str = "ry"
+) -> DataFrame:
+    """For each target and held-out fold, its nearest candidate that the fold does not ban, with distance; none where all are banned.
+
+    Rings go on growing past banned candidates, as these are no rows of the fold at all.
+    """
+    allowed = masked(candidates, targets, right_key, fold, folds, buffer, x, y, rx, ry).drop(fold)
+    opened = targets.withColumn("held", F.explode(F.array(*[F.lit(f) for f in folds])))
+    return nearest_join(opened, allowed, key, right_key, 1, start, x, y, rx, ry, ("held",)).drop("place")
+
+
+def mask_summary(candidates: DataFrame, targets: DataFrame, right_key: str, fold: str, folds: list[int], buffer: float, **names: str) -> DataFrame:
+    """(held, source_count, retained_count, masked_count, retained_share) of each held-out fold."""
+    kept = masked(candidates, targets, right_key, fold, folds, buffer, **names).groupBy("held").agg(F.count(F.lit(1)).alias("retained_count"))
+    total = candidates.agg(F.count(F.lit(1)).alias("source_count"), F.array(*[F.lit(f) for f in folds]).alias("_f")).withColumn("held", F.explode("_f")).drop("_f")
+    out = total.join(kept, "held", "left").na.fill(0, ["retained_count"])
+    return out.select("held", "source_count", "retained_count", (F.col("source_count") - F.col("retained_count")).alias("masked_count"), F.try_divide("retained_count", "source_count").alias("retained_share"))
 
 
 def inverse_distance(neighbours: DataFrame, key: str, value: str, k: int = 10) -> DataFrame:

@@ -289,16 +289,3 @@ def _(spark, sf):
     b = panel(spark, sf).where(F.col("year").isin(1996, 1998)).join(stations(spark, sf).select("station_id", "segment"), "station_id")
     t = b.groupBy("segment", F.col("year").alias("trained")).agg(F.median("aadt").alias("prediction"))
     return rounded(models.transfer_matrix(t, b.withColumnRenamed("aadt", "observed"), "segment", "trained", "year"))
-
-
-@query("l04_l06_boosted_trees")
-def _(spark, sf):
-    t = training(spark, sf).select("station_id", "fold", "extent", F.col("route").cast("double").alias("route"), "aadt")
-    out = models.boosted_out_of_fold(t, "fold", [1, 2, 3, 4, 5], "aadt", ["extent", "route"])
-    return out.select("station_id", "fold", "prediction")
-
-
-@query("l05_poisson_model")
-def _(spark, sf):
-    t = training(spark, sf).select("station_id", "fold", "extent", F.col("route").cast("double").alias("route"), "aadt")
-    return models.boosted_out_of_fold(t, "fold", [1, 2, 3, 4, 5], "aadt", ["extent", "route"], loss="poisson").select("station_id", "fold", "prediction")

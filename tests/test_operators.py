@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.functions import dates, text
-from fathomline.operators import checks, detectors, models, panel, spatial, stats
+from fathomline.operators import boosting, checks, detectors, models, panel, spatial, stats
 from fathomline.operators.graph import components
 from fathomline.sources import readers, sinks
 
@@ -169,9 +169,11 @@ def test_registered_models_have_the_settings_of_the_reference(spark, monkeypatch
 
         return run
 
-    monkeypatch.setattr(models, "boosted_out_of_fold", recorded(models.boosted_out_of_fold))
-    registry.queries()["l04_l06_boosted_trees"](spark, "/root/testdata/sf0.001")
-    assert [(s["rounds"], s["depth"], s["loss"], s["seed"]) for s in seen] == [(250, 4, "absolute", 42)]
+    monkeypatch.setattr(boosting, "out_of_fold", recorded(boosting.out_of_fold))
+    for name in ("l04_l06_boosted_trees", "l05_poisson_model", "l05_squared_trees"):
+        registry.queries()[name](spark, "/root/testdata/sf0.001")
+    settings = [(p.rounds, p.rate, p.leaves, p.least_rows, p.penalty, p.loss) for p in (s["params"] for s in seen)]
+    assert settings == [(250, 0.05, 15, 20, 1.0, loss) for loss in ("absolute", "poisson", "squared")]
 
 
 def test_cluster_bootstrap_makes_all_draws(spark):

@@ -19,7 +19,7 @@ def test_oracle(spark, con, name):
     compare(QUERIES[name](spark, SF), con, ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"l04_l06_boosted_trees", "l05_poisson_model"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_rows_only(spark, name):
     df = QUERIES[name](spark, SF)
     assert df.columns and df.count() > 0
