@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Iterator
@@ -47,4 +50,13 @@ def worker_cache(owner: str) -> dict:
     if held.get("owner") != owner:
         held.clear()
         held["owner"] = owner
+        _give_back()
     return held
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: the allocators keep it else, and a worker serves one operator after another."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
