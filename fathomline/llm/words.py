@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
-import sys
 from functools import cache
 
+import regex
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,10 +14,9 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 @cache
-def letter_runs() -> re.Pattern:
-    """Runs of letters (categories L*). The class of all word signs but digits also has numbers such as ½ and Ⅳ, which are taken out."""
-    numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
-    return re.compile(rf"[^\W\d_{re.escape(numbers)}]+")
+def letter_runs() -> regex.Pattern:
+    """Runs of letters (categories L*): numbers such as ½ and Ⅳ are none, which the standard library's classes cannot tell."""
+    return regex.compile(r"\p{L}+")
 
 
 def words_of(body: Column) -> Column:
