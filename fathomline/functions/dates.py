@@ -11,9 +11,9 @@ def nth_weekday(month_start: Column, weekday: str, n: int) -> Column:
     return F.date_add(F.next_day(F.date_sub(month_start, 1), weekday), 7 * (n - 1))
 
 
-def sampling_design(spark: SparkSession, year: int, months: tuple[int, ...], hours: tuple[int, ...]) -> DataFrame:
-    """Second Tuesday (weekday) and second Saturday (weekend) of each month, at each hour."""
-    base = spark.createDataFrame([(year, m) for m in months], "year int, month int").withColumn("start", F.make_date("year", "month", F.lit(1)))
+def sampling_days(months: DataFrame, hours: tuple[int, ...]) -> DataFrame:
+    """Second Tuesday (weekday) and second Saturday (weekend) of each (year, month), at each hour."""
+    base = months.select("year", "month").withColumn("start", F.make_date("year", "month", F.lit(1)))
     days = F.array(
         F.struct(nth_weekday(F.col("start"), "Tue", 2).alias("sample_date"), F.lit("weekday").alias("day_type")),
         F.struct(nth_weekday(F.col("start"), "Sat", 2).alias("sample_date"), F.lit("weekend").alias("day_type")),
@@ -22,6 +22,11 @@ def sampling_design(spark: SparkSession, year: int, months: tuple[int, ...], hou
     return opened.withColumn("requested_hour", F.explode(F.array(*[F.lit(h) for h in hours]))).withColumn("time_block", time_block(F.col("requested_hour") * 100))
 
 
+def sampling_design(spark: SparkSession, year: int, months: tuple[int, ...], hours: tuple[int, ...]) -> DataFrame:
+    """``sampling_days`` of some months of one year."""
+    return sampling_days(spark.createDataFrame([(year, m) for m in months], "year int, month int"), hours)
+
+
 def minutes_of(hhmm: Column) -> Column:
     return F.floor(hhmm / 100) * 60 + hhmm % 100
 

@@ -195,6 +195,11 @@ def number(text: Column) -> Column:
     return F.expr("try_cast(NULL AS double)") if text is None else F.regexp_replace(text, "[,* ]", "").try_cast("double")
 
 
+def first_value(values: Column) -> Column:
+    """The first of a list as text; empty for a null or empty list."""
+    return F.coalesce(F.get(values, 0).cast("string"), F.lit(""))
+
+
 def flag(text: Column, values: tuple[str, ...]) -> Column:
     return F.coalesce(F.lower(F.trim(text)).isin(*values), F.lit(False)).cast("int")
 

@@ -88,7 +88,7 @@ def unit_bootstrap(df: DataFrame, value: str, group: str, low: str, high: str, d
     """(what, estimate, low, high): intervals of both groups' means and of their difference; units of each group are
     drawn with replacement.
 
-    Draw d takes n slots in a group; a slot's unit is a hash of (seed, d, group, slot). Units are numbered per group and
+    Draw d takes n slots in a group; a slot's unit comes from md5 of (seed, d, group, slot). Units are numbered per group and
     joined to slots by number, so no draw is gathered; a group of units is a table of areas, not of rows of data.
     """
     from pyspark.sql import Window
@@ -96,7 +96,8 @@ def unit_bootstrap(df: DataFrame, value: str, group: str, low: str, high: str, d
     units = df.where(F.col(group).isin(low, high) & F.col(value).isNotNull()).select(F.col(group).cast("string").alias("_g"), F.col(value).alias("_v"))
     units = units.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_g"))).withColumn("_i", F.row_number().over(Window.partitionBy("_g").orderBy("_v")) - 1)
     slots = units.select("_g", "_n", F.col("_i").alias("_slot")).withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    slots = slots.withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), "_draw", "_g", "_slot"), F.col("_n")).cast("int"))
+    digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "_draw", "_g", "_slot")), 1, 8), 16, 10).cast("long")
+    slots = slots.withColumn("_i", F.shiftright(digest * F.col("_n"), 32).cast("int"))
     means = slots.join(units.select("_g", "_i", "_v"), ["_g", "_i"]).groupBy("_draw").agg(*[F.avg(F.when(F.col("_g") == str(g), F.col("_v"))).alias(n) for g, n in ((low, "lowest"), (high, "highest"))])
     means = means.withColumn("difference", F.col("lowest") - F.col("highest")).unpivot(["_draw"], ["lowest", "highest", "difference"], "what", "v")
     whole = units.agg(*[F.avg(F.when(F.col("_g") == str(g), F.col("_v"))).alias(n) for g, n in ((low, "lowest"), (high, "highest"))])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from fathomline.operators.skew import join_counted
 from fathomline.session import discard, materialize
 
 
@@ -13,22 +14,28 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
 
     Each round takes the smallest label among a node and its neighbours, then the
     label's own label. Labels are reduced per node in the map tasks, so a hub costs one
-    row per task. Rounds grow with the logarithm of a component's diameter. Lineage is
-    cut by a table in the shared folder after every round. Edges with a null end are
-    ignored; self-loops make their node known.
+    row per task; a label is looked up once for all nodes that carry it, and the labels of
+    large components are sent to every task, so that these are not gathered in one. Rounds
+    grow with the logarithm of a component's diameter. Lineage is cut by a table in the
+    shared folder after every round. Edges with a null end are ignored; self-loops make
+    their node known.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     both = materialize(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    total = labels.count()
     for _ in range(max_rounds):
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         hooked = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = hooked.select(F.col("node").alias("up"), F.col("label").alias("upper"))
+        hooked = materialize(hooked, "hooked")
+        up = hooked.select(F.col("node").alias("label"), F.col("label").alias("upper"))
+        carried = materialize(hooked.groupBy("label").agg(F.count(F.lit(1)).alias("carriers")).join(up, "label"), "carried")
         seen = Observation()
-        moved = hooked.join(up, hooked.label == up.up, "left").select("node", "old", F.least("label", F.coalesce("upper", "label")).alias("label"))
+        moved = join_counted(hooked, carried, "label", "carriers", total).select("node", "old", F.least("label", "upper").alias("label"))
         after = materialize(moved.observe(seen, F.count_if(F.col("old") != F.col("label")).alias("changed")), "labels")
         changed = seen.get["changed"]  # counted by the write itself, without a job of its own
-        discard(labels)
+        for held in (labels, hooked, carried):
+            discard(held)
         labels = after
         if not changed:
             discard(both)

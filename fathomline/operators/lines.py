@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fathomline.operators.spatial import plane_distance, point_segment
 
@@ -131,39 +129,3 @@ def match_status(distance: Column, overlap: Column, name: Column) -> Column:
     high = (distance <= 15) & ((overlap >= 0.5) | (name >= 0.5))
     moderate = ((distance <= 30) & ((overlap >= 0.2) | (name >= 0.25))) | (distance <= 8)
     return F.when(distance.isNull(), "unmatched").when(high, "high").when(moderate, "moderate").otherwise("low")
-
-
-def _area(ring: list) -> float:
-    return sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1])) / 2
-
-
-def _clip(subject: list, window: list) -> list:
-    """Part of a ring on the inner side of every edge of a convex, counter-clockwise window."""
-    for (ax, ay), (bx, by) in zip(window, window[1:] + window[:1]):
-        side = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for x, y in subject]
-        kept = []
-        for i, (x, y) in enumerate(subject):
-            (px, py), before = subject[i - 1], side[i - 1]
-            if (before >= 0) != (side[i] >= 0):
-                t = before / (before - side[i])
-                kept.append((px + t * (x - px), py + t * (y - py)))
-            if side[i] >= 0:
-                kept.append((x, y))
-        subject = kept
-        if not subject:
-            break
-    return subject
-
-
-@F.pandas_udf(T.DoubleType())
-def convex_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Area shared by a ring and a convex ring, both arrays of struct(x, y); null for a null side."""
-    out = []
-    for left, right in zip(a, b):
-        if left is None or right is None:
-            out.append(None)
-            continue
-        p, q = [[(v["x"], v["y"]) for v in ring] for ring in (left, right)]
-        q = q if _area(q) >= 0 else q[::-1]
-        out.append(abs(_area(_clip(p, q))) if len(p) > 2 and len(q) > 2 else 0.0)
-    return pd.Series(out, dtype="float64")

@@ -74,16 +74,20 @@ def touching(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     return met.select("a", "b", "area_a", "area_b", F.least("y0", "ry0").alias("base"))
 
 
+def _lower_area(low: Column, high: Column, pl: Column, pr: Column, ql: Column, qr: Column) -> Column:
+    """Area under the lower of two straight lines from low to high, given their heights at both ends."""
+    dl, dr = pl - ql, pr - qr
+    left, right = F.least(pl, ql), F.least(pr, qr)
+    t = F.try_divide(dl, dl - dr)
+    middle = pl + t * (pr - pl)
+    return (high - low) / 2 * F.when(dl * dr < 0, t * (left + middle) + (1 - t) * (middle + right)).otherwise(left + right)
+
+
 def _shared(base: Column) -> Column:
     """Area between the base and the lower of two edges (prefixes p, q) over their common range."""
     low, high = F.greatest("pxl", "qxl"), F.least("pxr", "qxr")
     at = lambda e, x: F.col(f"{e}yl") + (F.col(f"{e}yr") - F.col(f"{e}yl")) * ((x - F.col(f"{e}xl")) / (F.col(f"{e}xr") - F.col(f"{e}xl"))) - base
-    pl, ql, pr, qr = at("p", low), at("q", low), at("p", high), at("q", high)
-    dl, dr = pl - ql, pr - qr
-    left, right = F.least(pl, ql), F.least(pr, qr)
-    t = dl / (dl - dr)
-    crossed = t * (left + (pl + t * (pr - pl))) + (1 - t) * ((pl + t * (pr - pl)) + right)
-    return (high - low) / 2 * F.when(dl * dr < 0, crossed).otherwise(left + right)
+    return _lower_area(low, high, at("p", low), at("p", high), at("q", low), at("q", high))
 
 
 def overlay(a: DataFrame, b: DataFrame, unit_a: str, unit_b: str, rings_a: str, rings_b: str, cell: float, strip: float | None = None) -> DataFrame:
@@ -109,6 +113,36 @@ def overlay(a: DataFrame, b: DataFrame, unit_a: str, unit_b: str, rings_a: str,
     )
 
 
+def _parts_of(points: Column) -> Column:
+    """A ring's edges that are not vertical as array<struct(xl, yl, xr, yr, s)>."""
+    n = F.size(points)
+    following = F.concat(F.slice(points, F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice(points, 1, 1))
+    way = F.signum(signed_area(points))
+
+    def part(a: Column, b: Column) -> Column:
+        swap = a["x"] > b["x"]
+        pick = lambda p, q, c: F.when(swap, q[c]).otherwise(p[c]).cast("double")
+        return F.struct(pick(a, b, "x").alias("xl"), pick(a, b, "y").alias("yl"), pick(b, a, "x").alias("xr"), pick(b, a, "y").alias("yr"), (way * F.signum(a["x"] - b["x"])).alias("s"))
+
+    return F.filter(F.zip_with(points, following, part), lambda e: e["xl"] < e["xr"])
+
+
+def ring_overlap(a: Column, b: Column) -> Column:
+    """Area shared by two rings, both arrays of struct(x, y), concave or not; null for a null side, 0 where one has no area.
+
+    For small rings that stand in one row; ``overlay`` joins many edges.
+    """
+    base = F.least(F.array_min(F.transform(a, lambda p: p["y"])), F.array_min(F.transform(b, lambda p: p["y"])))
+
+    def shared(p: Column, q: Column) -> Column:
+        low, high = F.greatest(p["xl"], q["xl"]), F.least(p["xr"], q["xr"])
+        at = lambda e, x: e["yl"] + (e["yr"] - e["yl"]) * ((x - e["xl"]) / (e["xr"] - e["xl"])) - base
+        return F.when(low < high, p["s"] * q["s"] * _lower_area(low, high, at(p, low), at(p, high), at(q, low), at(q, high))).otherwise(0.0)
+
+    sums = F.aggregate(_parts_of(a), F.lit(0.0), lambda acc, p: acc + F.aggregate(_parts_of(b), F.lit(0.0), lambda inner, q: inner + shared(p, q)))
+    return F.when(a.isNotNull() & b.isNotNull(), F.greatest(F.coalesce(sums, F.lit(0.0)), F.lit(0.0)))
+
+
 def crosswalk(shared: DataFrame, source: str, target: str, least: float = LEAST_SHARE) -> DataFrame:
     """Overlaps of two editions, ranked by area for each source unit, with the best one's status."""
     kept = shared.where(F.greatest("share_of_source", "share_of_target") >= least)

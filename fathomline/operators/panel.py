@@ -133,7 +133,7 @@ def carry_forward(df: DataFrame, partition: list[str], order: list[str], column:
 
 def stratified_sample(df: DataFrame, strata: list[str], key: str, per_stratum: int, seed: int = 42) -> DataFrame:
     """A frozen sample without replacement: the rows with the smallest hash of key and seed in each stratum."""
-    w = Window.partitionBy(*strata).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    w = Window.partitionBy(*strata).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key)
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= per_stratum).drop("_rank")
 
 

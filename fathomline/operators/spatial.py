@@ -241,6 +241,13 @@ def mask_summary(candidates: DataFrame, targets: DataFrame, right_key: str, fold
     return out.select("held", "source_count", "retained_count", (F.col("source_count") - F.col("retained_count")).alias("masked_count"), F.try_divide("retained_count", "source_count").alias("retained_share"))
 
 
+def nearest_others(left: DataFrame, right: DataFrame, key: str, right_key: str, k: int, start: float, **names: str) -> DataFrame:
+    """As nearest_join where both sides are one table: a row whose keys are equal is no neighbour of itself."""
+    near = nearest_join(left, right, key, right_key, k + 1, start, **names).where(~F.col(key).eqNullSafe(F.col(right_key)))
+    w = Window.partitionBy(key).orderBy("distance", right_key)
+    return near.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
 def inverse_distance(neighbours: DataFrame, key: str, value: str, k: int = 10) -> DataFrame:
     """Mean weighted by 1 / distance; where some distance is 0, the mean of those neighbours alone."""
     near = neighbours.where(F.col("place") <= k)
@@ -274,9 +281,10 @@ def rival_gap(ranked: DataFrame, key: str, identity: str) -> DataFrame:
     return ranked.join(best, key).groupBy(key).agg(F.first("_score").alias("score"), (F.first("_score") - F.max(F.when(F.col(identity) != F.col("_identity"), F.col("score")))).alias("rival_gap"))
 
 
-def radius_or_nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, radius: float, **names: str) -> DataFrame:
-    """Pairs within the radius, and for the rest their nearest row."""
+def radius_or_nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, radius: float, others: bool = False, **names: str) -> DataFrame:
+    """Pairs within the radius, and for the rest their nearest row; ``others``: rows with equal keys are no pair."""
     near = radius_join(left, right, radius, **names).withColumn("fallback", F.lit(False))
+    near = near.where(~F.col(key).eqNullSafe(F.col(right_key))) if others else near
     rest = left.join(near.select(key).distinct(), key, "left_anti")
-    far = nearest_join(rest, right, key, right_key, 1, radius * 2, **names).drop("place").withColumn("fallback", F.lit(True))
+    far = (nearest_others if others else nearest_join)(rest, right, key, right_key, 1, radius * 2, **names).drop("place").withColumn("fallback", F.lit(True))
     return near.unionByName(far)

@@ -69,10 +69,16 @@ def _(spark, sf):
     return rounded(c.withColumn("bin", F.col("bin").cast("long")))
 
 
-@query("m19_unit_bootstrap")
+@query("m19_unit_bootstrap", f"""WITH {STATIONS}, a AS (SELECT segment AS g, avg(bal) AS v FROM stations WHERE segment IN ('BUILDING', 'MACHINERY') GROUP BY fold, segment),
+u AS (SELECT g, v, count(*) OVER (PARTITION BY g) AS n, row_number() OVER (PARTITION BY g ORDER BY v) - 1 AS i FROM a),
+p AS (SELECT d, g, (('0x' || substr(md5('42:' || d || ':' || g || ':' || i), 1, 8))::BIGINT * n) >> 32 AS i FROM u, range(1, 2001) AS t(d)),
+m AS (SELECT d, avg(v) FILTER (WHERE g = 'BUILDING') AS lowest, avg(v) FILTER (WHERE g = 'MACHINERY') AS highest FROM p JOIN u USING (g, i) GROUP BY d),
+w AS (SELECT avg(v) FILTER (WHERE g = 'BUILDING') AS lowest, avg(v) FILTER (WHERE g = 'MACHINERY') AS highest FROM a),
+l AS (SELECT unnest(['lowest', 'highest', 'difference']) AS what, unnest([lowest, highest, lowest - highest]) AS v FROM m), e AS (SELECT unnest(['lowest', 'highest', 'difference']) AS what, unnest([lowest, highest, lowest - highest]) AS estimate FROM w)
+SELECT what, round(any_value(estimate), 4) AS estimate, round(quantile_cont(v, 0.025), 4) AS low, round(quantile_cont(v, 0.975), 4) AS high FROM l JOIN e USING (what) GROUP BY what""")
 def _(spark, sf):
     units = stations(spark, sf).groupBy("fold", "segment").agg(F.avg("bal").alias("income"))
-    return evaluation.unit_bootstrap(units, "income", "segment", "BUILDING", "MACHINERY")
+    return rounded(evaluation.unit_bootstrap(units, "income", "segment", "BUILDING", "MACHINERY"))
 
 
 NEAR = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"

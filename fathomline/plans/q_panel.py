@@ -278,7 +278,7 @@ def _(spark, sf):
     return op.numbered(table(spark, sf, "part"), [number, F.col("p_brand"), F.col("p_partkey")]).select("p_name", "place", "p_partkey")
 
 
-@query("o05_stratified_sample")
+@query("o05_stratified_sample", "SELECT c_custkey, c_mktsegment FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('42|' || c_custkey), c_custkey) <= 25")
 def _(spark, sf):
     return op.stratified_sample(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"], "c_custkey", 25)
 

@@ -17,28 +17,30 @@ PAIR = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
 
 
 def two_sides(spark, sf):
+    """All points on both sides: a point's neighbours are all others."""
     p = points(spark, sf)
-    left = p.where("vec_id % 3 = 0").select("vec_id", "x", "y")
-    right = p.where("vec_id % 3 <> 0").select(F.col("vec_id").alias("other_id"), F.col("x").alias("rx"), F.col("y").alias("ry"), "label")
-    return left, right
+    return p.select("vec_id", "x", "y"), p.select(F.col("vec_id").alias("other_id"), F.col("x").alias("rx"), F.col("y").alias("ry"), "label")
 
 
-@query("j17_radius_join", f"WITH {POINTS} SELECT a.vec_id, b.vec_id AS other_id, round({PAIR}, 6) AS distance FROM points a JOIN points b ON a.vec_id % 3 = 0 AND b.vec_id % 3 <> 0 WHERE {PAIR} <= 40")
+def others_within(spark, sf, radius):
+    return spatial.radius_join(*two_sides(spark, sf), radius).where("vec_id <> other_id")
+
+
+@query("j17_radius_join", f"WITH {POINTS} SELECT a.vec_id, b.vec_id AS other_id, round({PAIR}, 6) AS distance FROM points a JOIN points b ON a.vec_id <> b.vec_id WHERE {PAIR} <= 40")
 def _(spark, sf):
-    left, right = two_sides(spark, sf)
-    return spatial.radius_join(left, right, 40.0).select("vec_id", "other_id", F.round("distance", 6).alias("distance"))
+    return others_within(spark, sf, 40.0).select("vec_id", "other_id", F.round("distance", 6).alias("distance"))
 
 
-@query("j13_j14_nearest_join", f"WITH {POINTS} SELECT a.vec_id, arg_min(b.vec_id, struct_pack(d := {PAIR}, i := b.vec_id)) AS other_id, round(min({PAIR}), 6) AS distance FROM points a JOIN points b ON a.vec_id % 3 = 0 AND b.vec_id % 3 <> 0 GROUP BY a.vec_id")
+@query("j13_j14_nearest_join", f"WITH {POINTS} SELECT a.vec_id, arg_min(b.vec_id, struct_pack(d := {PAIR}, i := b.vec_id)) AS other_id, round(min({PAIR}), 6) AS distance FROM points a JOIN points b ON a.vec_id <> b.vec_id GROUP BY a.vec_id")
 def _(spark, sf):
     left, right = two_sides(spark, sf)
-    return spatial.nearest_join(left, right, "vec_id", "other_id", 1, 20.0).select("vec_id", "other_id", F.round("distance", 6).alias("distance"))
+    return spatial.nearest_others(left, right, "vec_id", "other_id", 1, 20.0).select("vec_id", "other_id", F.round("distance", 6).alias("distance"))
 
 
-@query("j15_inverse_distance_knn", f"WITH {POINTS}, n AS (SELECT a.vec_id, b.label, {PAIR} AS d FROM points a JOIN points b ON a.vec_id % 3 = 0 AND b.vec_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {PAIR}, b.vec_id) <= 10) SELECT vec_id, round(CASE WHEN min(d) = 0 THEN avg(label) FILTER (WHERE d = 0) ELSE sum(label / d) / sum(1 / d) END, 6) AS predicted FROM n GROUP BY vec_id")
+@query("j15_inverse_distance_knn", f"WITH {POINTS}, n AS (SELECT a.vec_id, b.label, {PAIR} AS d FROM points a JOIN points b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {PAIR}, b.vec_id) <= 10) SELECT vec_id, round(CASE WHEN min(d) = 0 THEN avg(label) FILTER (WHERE d = 0) ELSE sum(label / d) / sum(1 / d) END, 6) AS predicted FROM n GROUP BY vec_id")
 def _(spark, sf):
     left, right = two_sides(spark, sf)
-    near = spatial.nearest_join(left, right, "vec_id", "other_id", 10, 40.0)
+    near = spatial.nearest_others(left, right, "vec_id", "other_id", 10, 40.0)
     return spatial.inverse_distance(near, "vec_id", "label").select("vec_id", F.round("predicted", 6).alias("predicted"))
 
 
@@ -48,18 +50,17 @@ def _(spark, sf):
     return spatial.nearest_centre(points(spark, sf), centres, "fold").select("vec_id", "fold")
 
 
-@query("j18_w06_ranked_candidates", f"WITH {POINTS}, s AS (SELECT a.vec_id, b.vec_id AS candidate, b.label, {PAIR} AS distance, 0.55 * greatest(0, 1 - {PAIR} / 60) + 0.45 * (b.label / 10.0) AS score FROM points a JOIN points b ON a.vec_id % 3 = 0 AND b.vec_id % 3 <> 0 WHERE {PAIR} <= 60), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, distance, candidate) AS k FROM s), t AS (SELECT * FROM r WHERE k <= 8), b AS (SELECT vec_id, label, score FROM t WHERE k = 1) SELECT t.vec_id, round(any_value(b.score), 6) AS score, round(any_value(b.score) - max(t.score) FILTER (WHERE t.label <> b.label), 6) AS rival_gap FROM t JOIN b USING (vec_id) GROUP BY t.vec_id")
+@query("j18_w06_ranked_candidates", f"WITH {POINTS}, s AS (SELECT a.vec_id, b.vec_id AS candidate, b.label, {PAIR} AS distance, 0.55 * greatest(0, 1 - {PAIR} / 60) + 0.45 * (b.label / 10.0) AS score FROM points a JOIN points b ON a.vec_id <> b.vec_id WHERE {PAIR} <= 60), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, distance, candidate) AS k FROM s), t AS (SELECT * FROM r WHERE k <= 8), b AS (SELECT vec_id, label, score FROM t WHERE k = 1) SELECT t.vec_id, round(any_value(b.score), 6) AS score, round(any_value(b.score) - max(t.score) FILTER (WHERE t.label <> b.label), 6) AS rival_gap FROM t JOIN b USING (vec_id) GROUP BY t.vec_id")
 def _(spark, sf):
-    left, right = two_sides(spark, sf)
-    pairs = spatial.radius_join(left, right, 60.0).withColumn("candidate", F.col("other_id")).withColumn("score", spatial.candidate_score(F.col("distance"), F.col("label") / 10.0))
+    pairs = others_within(spark, sf, 60.0).withColumn("candidate", F.col("other_id")).withColumn("score", spatial.candidate_score(F.col("distance"), F.col("label") / 10.0))
     gap = spatial.rival_gap(spatial.ranked_candidates(pairs, "vec_id"), "vec_id", "label")
     return gap.select("vec_id", F.round("score", 6).alias("score"), F.round("rival_gap", 6).alias("rival_gap"))
 
 
-@query("j19_radius_or_nearest", f"WITH {POINTS}, d AS (SELECT a.vec_id, b.vec_id AS other_id, {PAIR} AS distance FROM points a JOIN points b ON a.vec_id % 3 = 0 AND b.vec_id % 3 <> 0), m AS (SELECT vec_id, min(distance) AS best, arg_min(other_id, struct_pack(d := distance, i := other_id)) AS first FROM d GROUP BY vec_id) SELECT d.vec_id, d.other_id, round(d.distance, 6) AS distance, best > 15 AS fallback FROM d JOIN m USING (vec_id) WHERE d.distance <= 15 OR (best > 15 AND d.other_id = first)")
+@query("j19_radius_or_nearest", f"WITH {POINTS}, d AS (SELECT a.vec_id, b.vec_id AS other_id, {PAIR} AS distance FROM points a JOIN points b ON a.vec_id <> b.vec_id), m AS (SELECT vec_id, min(distance) AS best, arg_min(other_id, struct_pack(d := distance, i := other_id)) AS first FROM d GROUP BY vec_id) SELECT d.vec_id, d.other_id, round(d.distance, 6) AS distance, best > 15 AS fallback FROM d JOIN m USING (vec_id) WHERE d.distance <= 15 OR (best > 15 AND d.other_id = first)")
 def _(spark, sf):
     left, right = two_sides(spark, sf)
-    return spatial.radius_or_nearest(left, right, "vec_id", "other_id", 15.0).select("vec_id", "other_id", F.round("distance", 6).alias("distance"), "fallback")
+    return spatial.radius_or_nearest(left, right, "vec_id", "other_id", 15.0, others=True).select("vec_id", "other_id", F.round("distance", 6).alias("distance"), "fallback")
 
 
 @query("j20_n05_point_to_line", f"WITH {POINTS}, s AS (SELECT a.vec_id, a.x AS px, a.y AS py, b.x AS ax, b.y AS ay, c.x AS bx, c.y AS by_, ((a.x - b.x) * (c.x - b.x) + (a.y - b.y) * (c.y - b.y)) / ((c.x - b.x) * (c.x - b.x) + (c.y - b.y) * (c.y - b.y)) AS t FROM points a JOIN points b ON b.vec_id = a.vec_id + 1 JOIN points c ON c.vec_id = a.vec_id + 2), f AS (SELECT *, greatest(0, least(1, t)) AS u FROM s) SELECT vec_id, round(sqrt((px - (ax + u * (bx - ax))) ** 2 + (py - (ay + u * (by_ - ay))) ** 2), 6) AS distance FROM f")
@@ -193,13 +194,18 @@ def _(spark, sf):
     return snapshots(spark, sf).groupBy("detector_id").agg(F.count_distinct("year").alias("years")).where("years = 5")
 
 
-@query("d01_d04_sampling_design", """WITH m AS (SELECT unnest(range(3, 13)) AS m), d AS (SELECT m, make_date(2022, m::INTEGER, 1) AS s FROM m),
-t AS (SELECT m, s, (s + ((9 - isodow(s)) % 7)::INTEGER + 7)::DATE AS tue, (s + ((13 - isodow(s)) % 7)::INTEGER + 7)::DATE AS sat FROM d),
-u AS (SELECT m, strftime(tue, '%Y-%m-%d') AS sample_date, 'weekday' AS day_type FROM t UNION ALL SELECT m, strftime(sat, '%Y-%m-%d'), 'weekend' FROM t)
-SELECT 2022 AS year, m::INTEGER AS month, sample_date, day_type, h::INTEGER AS requested_hour, CASE WHEN h < 10 THEN 'am' WHEN h < 16 THEN 'midday' ELSE 'pm' END AS time_block FROM u, (VALUES (8), (13), (18)) v(h)""")
+@query("d01_d04_sampling_design", """WITH d AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS s FROM orders),
+t AS (SELECT s, (s + ((9 - isodow(s)) % 7)::INTEGER + 7)::DATE AS tue, (s + ((13 - isodow(s)) % 7)::INTEGER + 7)::DATE AS sat FROM d),
+u AS (SELECT s, tue AS day, 'weekday' AS day_type FROM t UNION ALL SELECT s, sat, 'weekend' FROM t),
+n AS (SELECT o_orderdate::DATE AS day, count(*) AS n FROM orders GROUP BY 1)
+SELECT year(s)::INTEGER AS year, month(s)::INTEGER AS month, strftime(u.day, '%Y-%m-%d') AS sample_date, day_type, h::INTEGER AS requested_hour, CASE WHEN h < 10 THEN 'am' WHEN h < 16 THEN 'midday' ELSE 'pm' END AS time_block, coalesce(n.n, 0) AS n_orders
+FROM u LEFT JOIN n ON n.day = u.day, (VALUES (8), (13), (18)) v(h)""")
 def _(spark, sf):
-    d = dates.sampling_design(spark, 2022, tuple(range(3, 13)), (8, 13, 18))
-    return d.withColumn("sample_date", F.date_format("sample_date", "yyyy-MM-dd")).select("year", "month", "sample_date", "day_type", "requested_hour", "time_block")
+    o = table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("day"))
+    months = o.select(F.year("day").alias("year"), F.month("day").alias("month")).distinct()
+    on_day = o.groupBy(F.col("day").alias("sample_date")).agg(F.count(F.lit(1)).alias("n_orders"))
+    d = dates.sampling_days(months, (8, 13, 18)).join(on_day, "sample_date", "left").na.fill(0, ["n_orders"])
+    return d.withColumn("sample_date", F.date_format("sample_date", "yyyy-MM-dd")).select("year", "month", "sample_date", "day_type", "requested_hour", "time_block", "n_orders")
 
 
 @query("stream_hourly_batch", "SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, user_id AS detector_id, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2")
@@ -301,21 +307,21 @@ def _(spark, sf):
     return best.select("vec_id", "candidate", F.round("score", 6).alias("score"), lines.match_status(F.col("distance"), F.col("overlap"), F.col("name_similarity")).alias("status"))
 
 
-@query("j21_convex_overlap")
+@query("j21_convex_overlap", f"""WITH {POINTS}, p AS (SELECT a.vec_id, b.vec_id AS other_id, abs((a.x - b.x) + (a.y - b.y)) AS u, abs((a.x - b.x) - (a.y - b.y)) AS v FROM points a JOIN points b ON a.vec_id < b.vec_id AND {PAIR} <= 20)
+SELECT vec_id, other_id, round(greatest(0, 20 - u) * greatest(0, 20 - v) / 2, 6) AS area FROM p""")
 def _(spark, sf):
-    from fathomline.operators.lines import convex_overlap
+    from fathomline.operators.overlay import ring_overlap
 
     p = points(spark, sf).select("vec_id", "x", "y")
     q = p.select(F.col("vec_id").alias("other_id"), F.col("x").alias("rx"), F.col("y").alias("ry"))
     near = spatial.radius_join(p, q, 20.0).where("vec_id < other_id")
     diamond = lambda x, y: F.array(*[F.struct((F.col(x) + dx).alias("x"), (F.col(y) + dy).alias("y")) for dx, dy in ((-10.0, 0.0), (0.0, -10.0), (10.0, 0.0), (0.0, 10.0))])
-    return near.select("vec_id", "other_id", F.round(convex_overlap(diamond("x", "y"), diamond("rx", "ry")), 6).alias("area"))
+    return near.select("vec_id", "other_id", F.round(ring_overlap(diamond("x", "y"), diamond("rx", "ry")), 6).alias("area"))
 
 
 @query("j23_greedy_assignment")
 def _(spark, sf):
     from fathomline.operators.panel import mutual_best
 
-    left, right = two_sides(spark, sf)
-    pairs = spatial.radius_join(left, right, 25.0).select("vec_id", "other_id", "distance")
+    pairs = others_within(spark, sf, 25.0).select("vec_id", "other_id", "distance")
     return mutual_best(pairs, "vec_id", "other_id", [F.col("distance")])

@@ -70,19 +70,41 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_type", text.slug(F.col("p_type")).alias("slug")).distinct()
 
 
-@query("f12_f15_road_groups_and_speed", """WITH r(road, speed) AS (VALUES ('motorway_link', '70'), ('Track', '30 mph'), ('residential', '50;60'), ('service', ''), ('', 'none'), ('footway', '40 mph'), ('primary', NULL)) SELECT road, speed,
+#: Road classes and speeds as texts, spread over the parts: links, lists, units and missing ones.
+ROADS = """roads AS (SELECT p_partkey, ['motorway', 'Trunk', 'primary', 'residential', 'service', 'track', 'footway', ''][(p_partkey % 8) + 1] || CASE WHEN p_size % 5 = 0 THEN '_link' ELSE '' END AS road,
+  CASE p_partkey % 5 WHEN 0 THEN p_size::VARCHAR WHEN 1 THEN p_size || ' mph' WHEN 2 THEN p_size || ';60' WHEN 3 THEN 'none' END AS speed FROM part)"""
+
+
+def road_texts(spark, sf):
+    classes = F.array(*[F.lit(x) for x in ("motorway", "Trunk", "primary", "residential", "service", "track", "footway", "")])
+    key, size = F.col("p_partkey"), F.col("p_size")
+    road = F.concat(F.get(classes, (key % 8).cast("int")), F.when(size % 5 == 0, "_link").otherwise(""))
+    number = size.cast("string")
+    speed = F.when(key % 5 == 0, number).when(key % 5 == 1, F.concat(number, F.lit(" mph"))).when(key % 5 == 2, F.concat(number, F.lit(";60"))).when(key % 5 == 3, "none")
+    return table(spark, sf, "part").select("p_partkey", road.alias("road"), speed.alias("speed"))
+
+
+@query("f12_f15_road_groups_and_speed", f"""WITH {ROADS} SELECT p_partkey, road, speed,
 CASE WHEN b IN ('motorway', 'trunk', 'primary', 'secondary', 'tertiary') THEN b WHEN b IN ('residential', 'unclassified', 'living_street', 'road') THEN 'local' WHEN b = 'track' THEN 'local' WHEN b = 'service' THEN 'service' WHEN b = '' THEN 'unmatched' ELSE 'other' END AS road_group,
-round(CASE WHEN contains(lower(speed), 'mph') THEN n * 1.609344 ELSE n END, 6) AS kmh, (lower(road) IN ('service', 'track'))::INTEGER AS flagged FROM (SELECT *, regexp_replace(lower(trim(road)), '_link$', '') AS b, try_cast(regexp_extract(coalesce(speed, ''), '(\\d+(?:\\.\\d+)?)', 1) AS DOUBLE) AS n FROM r)""")
+coalesce(split_part(speed, ';', 1), '') AS first_speed, round(CASE WHEN contains(lower(speed), 'mph') THEN n * 1.609344 ELSE n END, 6) AS kmh, (lower(road) IN ('service', 'track'))::INTEGER AS flagged
+FROM (SELECT *, regexp_replace(lower(trim(road)), '_link$', '') AS b, try_cast(regexp_extract(coalesce(speed, ''), '(\\d+(?:\\.\\d+)?)', 1) AS DOUBLE) AS n FROM roads)""")
 def _(spark, sf):
-    r = spark.createDataFrame([("motorway_link", "70"), ("Track", "30 mph"), ("residential", "50;60"), ("service", ""), ("", "none"), ("footway", "40 mph"), ("primary", None)], "road string, speed string")
-    return r.select("road", "speed", text.road_group(F.col("road")).alias("road_group"), F.round(text.speed_kmh(F.col("speed")), 6).alias("kmh"), text.flag(F.col("road"), ("service", "track")).alias("flagged"))
+    road, speed = F.col("road"), F.col("speed")
+    first = text.first_value(F.split(speed, ";"))
+    return road_texts(spark, sf).select("p_partkey", "road", "speed", text.road_group(road).alias("road_group"), first.alias("first_speed"), F.round(text.speed_kmh(speed), 6).alias("kmh"), text.flag(road, ("service", "track")).alias("flagged"))
 
 
-@query("f16_p09_clean_ids_and_numbers", """WITH r(v) AS (VALUES ('123.0'), (' 45 '), ('nan'), ('<null>'), (NULL), ('1,234*'), ('7.5')) SELECT v, CASE WHEN lower(trim(coalesce(v, ''))) IN ('nan', 'none', '<null>', 'null') THEN '' ELSE regexp_replace(trim(coalesce(v, '')), '^(\\d+)\\.0$', '\\1') END AS id, try_cast(regexp_replace(v, '[,* ]', '', 'g') AS DOUBLE) AS number FROM r""")
+@query("f16_p09_clean_ids_and_numbers", """WITH r AS (SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN p_partkey || '.0' WHEN 1 THEN ' ' || p_size || ' ' WHEN 2 THEN 'nan' WHEN 3 THEN '<null>' WHEN 4 THEN '1,' || lpad(p_size::VARCHAR, 3, '0') || '*' WHEN 5 THEN p_size || '.5' END AS v FROM part)
+SELECT p_partkey, v, CASE WHEN lower(trim(coalesce(v, ''))) IN ('nan', 'none', '<null>', 'null') THEN '' ELSE regexp_replace(trim(coalesce(v, '')), '^(\\d+)\\.0$', '\\1') END AS id, try_cast(regexp_replace(v, '[,* ]', '', 'g') AS DOUBLE) AS number FROM r""")
 def _(spark, sf):
-    r = spark.createDataFrame([("123.0",), (" 45 ",), ("nan",), ("<null>",), (None,), ("1,234*",), ("7.5",)], "v string")
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    v = (
+        F.when(key % 7 == 0, F.concat(key.cast("string"), F.lit(".0"))).when(key % 7 == 1, F.concat(F.lit(" "), size, F.lit(" "))).when(key % 7 == 2, "nan").when(key % 7 == 3, "<null>")
+        .when(key % 7 == 4, F.concat(F.lit("1,"), F.lpad(size, 3, "0"), F.lit("*"))).when(key % 7 == 5, F.concat(size, F.lit(".5")))
+    )
+    r = table(spark, sf, "part").select("p_partkey", v.alias("v"))
     number = text.number(F.col("v"))
-    return r.select("v", text.clean_id(F.col("v")).alias("id"), F.when(~F.isnan(number), number).otherwise(F.when(F.lower(F.trim("v")) == "nan", F.lit(float("nan")))).alias("number"))
+    return r.select("p_partkey", "v", text.clean_id(F.col("v")).alias("id"), F.when(~F.isnan(number), number).otherwise(F.when(F.lower(F.trim("v")) == "nan", F.lit(float("nan")))).alias("number"))
 
 
 @query("f19_evidence_text", "SELECT c_mktsegment, printf('%d customers, mean %.2f', count(*), avg(c_acctbal)) AS evidence FROM customer GROUP BY 1")
@@ -90,17 +112,32 @@ def _(spark, sf):
     return table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.format_string("%d customers, mean %.2f", F.count(F.lit(1)), F.avg("c_acctbal")).alias("evidence"))
 
 
-@query("d06_d08_times", """WITH r(t, name) AS (VALUES ('25:10:00', 'x_20230619.zip'), ('07:05:09', 'a-2021-03-04.csv'), ('bad', 'none'), (NULL, '99999999')) SELECT t, name, try_cast(regexp_extract(coalesce(t, ''), '^\\s*(\\d+):(\\d{1,2}):(\\d{1,2})\\s*$', 1) AS INTEGER) * 3600 + try_cast(regexp_extract(coalesce(t, ''), '^\\s*(\\d+):(\\d{1,2}):(\\d{1,2})\\s*$', 2) AS INTEGER) * 60 + try_cast(regexp_extract(coalesce(t, ''), '^\\s*(\\d+):(\\d{1,2}):(\\d{1,2})\\s*$', 3) AS INTEGER) AS seconds,
+@query("d06_d08_times", """WITH r AS (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN event_type WHEN event_id % 9 = 1 THEN NULL ELSE (hour(ts) + 4) || ':' || lpad(minute(ts)::VARCHAR, 2, '0') || ':' || lpad(second(ts)::VARCHAR, 2, '0') END AS t,
+  CASE event_id % 4 WHEN 0 THEN event_type || '_' || strftime(ts, '%Y%m%d') || '.zip' WHEN 1 THEN strftime(ts, '%Y-%m-%d') || '.csv' WHEN 2 THEN event_type ELSE '99999999' END AS name FROM events)
+SELECT event_id, t, name, try_cast(regexp_extract(coalesce(t, ''), '^\\s*(\\d+):(\\d{1,2}):(\\d{1,2})\\s*$', 1) AS INTEGER) * 3600 + try_cast(regexp_extract(coalesce(t, ''), '^\\s*(\\d+):(\\d{1,2}):(\\d{1,2})\\s*$', 2) AS INTEGER) * 60 + try_cast(regexp_extract(coalesce(t, ''), '^\\s*(\\d+):(\\d{1,2}):(\\d{1,2})\\s*$', 3) AS INTEGER) AS seconds,
 nullif(regexp_extract(name, '((?:19|20)\\d{2})[-_]?(0[1-9]|1[0-2])[-_]?([0-3]\\d)', 1) || '-' || regexp_extract(name, '((?:19|20)\\d{2})[-_]?(0[1-9]|1[0-2])[-_]?([0-3]\\d)', 2) || '-' || regexp_extract(name, '((?:19|20)\\d{2})[-_]?(0[1-9]|1[0-2])[-_]?([0-3]\\d)', 3), '--') AS day FROM r""")
 def _(spark, sf):
-    r = spark.createDataFrame([("25:10:00", "x_20230619.zip"), ("07:05:09", "a-2021-03-04.csv"), ("bad", "none"), (None, "99999999")], "t string, name string")
-    return r.select("t", "name", dates.service_seconds(F.col("t")).alias("seconds"), F.date_format(dates.date_in_name(F.col("name")), "yyyy-MM-dd").alias("day"))
+    e, turn = table(spark, sf, "events"), F.col("event_id")
+    clock = F.concat((F.hour("ts") + 4).cast("string"), F.lit(":"), F.lpad(F.minute("ts").cast("string"), 2, "0"), F.lit(":"), F.lpad(F.second("ts").cast("string"), 2, "0"))
+    t = F.when(turn % 9 == 0, F.col("event_type")).when(turn % 9 == 1, F.lit(None)).otherwise(clock)
+    name = F.when(turn % 4 == 0, F.concat("event_type", F.lit("_"), F.date_format("ts", "yyyyMMdd"), F.lit(".zip"))).when(turn % 4 == 1, F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(".csv"))).when(turn % 4 == 2, F.col("event_type")).otherwise("99999999")
+    r = e.select("event_id", t.alias("t"), name.alias("name"))
+    return r.select("event_id", "t", "name", dates.service_seconds(F.col("t")).alias("seconds"), F.date_format(dates.date_in_name(F.col("name")), "yyyy-MM-dd").alias("day"))
 
 
-@query("s11_html_fields", "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, 0 AS n_fields FROM pages")
+@query("s11_html_fields", """WITH c AS (SELECT page_id, list_transform(regexp_extract_all(html, '<li><a href="/[^"<>]*">[^<>]*</a></li>'), lambda x: [regexp_extract(x, 'href="/([^"]*)"', 1), regexp_extract(x, '">([^<]*)</a>', 1)]) AS f, html FROM pages),
+u AS (SELECT page_id, i, f[i] AS x FROM c, range(1, len(f) + 1) AS t(i)),
+e AS (SELECT page_id, i, trim(x[1]) AS k, trim(x[2]) AS v FROM (SELECT page_id, i, list_transform(x, lambda s: replace(replace(replace(replace(replace(replace(s, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')) AS x FROM u)), d AS (SELECT page_id, k, arg_max(v, i) AS v FROM e GROUP BY 1, 2)
+SELECT c.page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, count(d.k)::INTEGER AS n_fields, coalesce(sum(length(d.k)), 0)::BIGINT AS key_chars, coalesce(sum(length(d.v)), 0)::BIGINT AS value_chars FROM c LEFT JOIN d USING (page_id) GROUP BY c.page_id, html""")
 def _(spark, sf):
     p = table(spark, sf, "pages")
-    return p.select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.size(text.html_fields(F.col("html"))).alias("n_fields"))
+    # The navigation's links as rows of a field table: the target beside its name.
+    links = F.regexp_extract_all("html", F.lit('(<li><a href="/[^"<>]*">[^<>]*</a></li>)'), F.lit(1))
+    cells = F.transform(links, lambda x: F.regexp_replace(x, '<li><a href="/([^"]*)">([^<]*)</a></li>', "<tr><td class='k'><b>$1</b></td>\n<td>$2</td></tr>"))
+    fields = F.array_join(cells, "")
+    of = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x))
+    m = p.select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), text.html_fields(fields).alias("m"))
+    return m.select("page_id", "title", F.size("m").alias("n_fields"), of(F.map_keys("m")).alias("key_chars"), of(F.map_values("m")).alias("value_chars"))
 
 
 @query("s26_json_fields", "SELECT json_extract_string(props, '$.k') AS k, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1")
@@ -109,9 +146,12 @@ def _(spark, sf):
     return e.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
 
 
-@query("s30_static_tables", "SELECT * FROM (VALUES ('motorway', 1), ('trunk', 2), ('primary', 3)) t(road_class, place)")
+@query("s30_static_tables", "SELECT c.road_class, c.place, count(l_orderkey) AS n, round(coalesce(sum(l_quantity), 0), 4) AS quantity FROM (VALUES ('R', 'motorway', 1), ('A', 'trunk', 2), ('N', 'primary', 3), ('Z', 'secondary', 4)) c(code, road_class, place) LEFT JOIN lineitem ON l_returnflag = c.code GROUP BY 1, 2")
 def _(spark, sf):
-    return spark.createDataFrame([("motorway", 1), ("trunk", 2), ("primary", 3)], "road_class string, place int")
+    # A table kept in the code gives the rows of the given table their class and order; classes without rows stay.
+    classes = spark.createDataFrame([("R", "motorway", 1), ("A", "trunk", 2), ("N", "primary", 3), ("Z", "secondary", 4)], "code string, road_class string, place int")
+    found = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("code")).agg(F.count("l_orderkey").alias("n"), F.sum("l_quantity").alias("quantity"))
+    return classes.join(found, "code", "left").na.fill(0).select("road_class", "place", "n", F.round("quantity", 4).alias("quantity"))
 
 
 @query("k03_geojson_features")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.functions import dates, text
-from fathomline.operators import boosting, checks, detectors, models, panel, spatial, stats
+from fathomline.operators import boosting, checks, detectors, models, overlay, panel, spatial, stats
 from fathomline.operators.graph import components
 from fathomline.sources import readers, sinks
 
@@ -296,9 +296,21 @@ def test_lines(spark):
         [(1, [point(0, 0), point(4, 0), point(4, 2)], [point(0, 1), point(2, 1)], [point(0, 0), point(2, 0), point(2, 2), point(0, 2)], [point(1, 1), point(1, 3), point(3, 3), point(3, 1)])],
         f"k int, p {ring}, q {ring}, a {ring}, b {ring}",
     )
-    r = lines.with_point_along(df, "p", 0.5).select("along", lines.overlap_share(F.col("p"), F.col("q"), 1.0).alias("share"), lines.convex_overlap("a", "b").alias("area")).first()
+    r = lines.with_point_along(df, "p", 0.5).select("along", lines.overlap_share(F.col("p"), F.col("q"), 1.0).alias("share"), overlay.ring_overlap(F.col("a"), F.col("b")).alias("area")).first()
     assert (r.along.x, r.along.y) == (3.0, 0.0) and r.share == pytest.approx(2 / 6, abs=0.05) and r.area == pytest.approx(1.0)
     pairs = spark.createDataFrame([(1, 10, 5.0, 0.6, 0.1), (1, 11, 5.0, 0.6, 0.1), (1, 12, 50.0, 0.1, 0.0)], "k int, c int, distance double, overlap double, name_similarity double")
     scored = pairs.withColumn("score", lines.match_score(F.col("overlap"), F.col("name_similarity"), F.col("distance")))
     best = lines.best_match(scored, "k", "c").withColumn("status", lines.match_status(F.col("distance"), F.col("overlap"), F.col("name_similarity"))).first()
     assert (best.c, best.status) == (10, "high")
+
+
+def test_a_giant_component_and_a_hub(spark):
+    """Nearly all rows carry one label and nearly all edges one node; labels of large components are sent, not gathered."""
+    from fathomline.operators.graph import components
+
+    hub = [(0, i) for i in range(1, 1500)]
+    chain = [(2000 + i, 2001 + i) for i in range(40)] + [(2020, 700)]
+    small = [(5000 + 3 * i, 5001 + 3 * i) for i in range(200)]
+    got = {r.node: r.component for r in components(spark.createDataFrame([*hub, *chain, *small, (9, 9), (None, 4)], "src long, dst long")).collect()}
+    assert {n for n, c in got.items() if c == 0} == {*range(1500), *range(2000, 2041)}
+    assert all(got[a] == got[b] == a for a, b in small) and len(got) == 1500 + 41 + 400
