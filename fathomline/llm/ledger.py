@@ -7,7 +7,8 @@ functions on one row at a time: the main path has no shuffle at all, so a hot so
 or a group of copies cannot unbalance it.
 
 Defined results: a null or empty text has no words, zero measurements and fails
-``few_words``. Repeated rows are judged separately and alike. Extra columns pass
+``few_words``. Very long texts are measured whole, in one row's arrays of words and window
+hashes. Repeated rows are judged separately and alike. Extra columns pass
 through; a clash with a measurement's name raises ValueError. An empty table gives
 an empty ledger.
 """

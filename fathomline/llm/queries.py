@@ -104,6 +104,12 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ledger_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of op10's policy does, from the masks of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ledger.ablation(ledger.ledger(docs), "v1")
+
+
 def op11_filter_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return audit.audit(docs, table(spark, sf_dir, "labels"))
@@ -119,8 +125,8 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_compression_toxicity, op3_patience_licenses, op4_pii_surrogates, op5_label_propagation, op6_fm_decontaminate, op7_hilbert_packing, op8_rank_profiles, op9_url_filter, op10_rule_ledger, op11_filter_shapley, op12_source_mix, op13_source_divergence)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_compression_toxicity, op3_patience_licenses, op4_pii_surrogates, op5_label_propagation, op6_fm_decontaminate, op7_hilbert_packing, op8_rank_profiles, op9_url_filter, op10_rule_ledger, op11_filter_shapley, op12_source_mix, op13_source_divergence, ledger_ablation)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": sql.OP1, "op6_fm_decontaminate": sql.OP6, "op9_url_filter": sql.OP9, "op10_rule_ledger": sql.OP10, "op11_filter_shapley": sql.OP11, "op12_source_mix": sql.OP12, "op13_source_divergence": sql.OP13}
+    return {"op1_ngram_jaccard": sql.OP1, "op6_fm_decontaminate": sql.OP6, "op9_url_filter": sql.OP9, "op10_rule_ledger": sql.OP10, "op11_filter_shapley": sql.OP11, "op12_source_mix": sql.OP12, "op13_source_divergence": sql.OP13, "ledger_ablation": sql.ABLATION}

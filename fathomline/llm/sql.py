@@ -49,6 +49,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
+#: The ablation of every rule of policy v1, over the same masks.
+ABLATION = OP10[: OP10.rindex("SELECT doc_id, n_words, word_chars")].rstrip() + r""",
+r(rule, bit) AS (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('word_length', 8), ('duplicate_lines', 16), ('shouting', 32))
+SELECT rule, count(*) FILTER ((fail_mask & bit) <> 0) AS n_failed, count(*) FILTER (fail_mask = bit) AS n_failed_alone, count(*) FILTER (fail_mask = 0 OR fail_mask = bit) AS n_kept_without, 'v1' AS policy
+FROM f, r GROUP BY rule
+"""
+
 OP6 = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS rid,
