@@ -39,5 +39,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
         labels = after
         if not changed:
             discard(both)
-            return labels.select("node", F.col("label").alias("component"))
+            found = labels.select("node", F.col("label").alias("component"))
+            found.fathomline_path = labels.fathomline_path  # for callers that discard it
+            return found
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

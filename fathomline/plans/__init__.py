@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_panel", "q_stats", "q_trees", "q_space", "q_text", "q_eval", "q_support", "q_feeds")
+MODULES = ("q_panel", "q_stats", "q_trees", "q_space", "q_text", "q_eval", "q_support", "q_feeds", "q_compare")
 
 
 def load_all() -> None:
