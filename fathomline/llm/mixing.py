@@ -36,8 +36,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.llm.skew import join_counted
 from fathomline.llm.words import words_of
+from fathomline.operators.skew import join_counted
 from fathomline.session import materialize
 
 
@@ -165,8 +165,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     aimed = materialize(aimed.withColumn("first_block", F.coalesce(F.sum("own_blocks").over(before), F.lit(0))), "sources")
     groups = sorted((r["group"], r["n"]) for r in aimed.groupBy("group").agg(F.sum("own_blocks").alias("n")).collect())
     plan = docs.sparkSession.createDataFrame(_plan(groups, params), "group int, blocks long, factor long, shift long, ends array<long>")
-    stats = aimed.join(F.broadcast(plan), "group").select("name", "source_size", "rows", "place", "target", "quota", "group", "first_block", "blocks", "factor", "shift", "ends", F.col("place").alias("p"))
-    stats = materialize(stats.drop("p"), "sources")
+    stats = aimed.join(F.broadcast(plan), "group").select("name", "source_size", "rows", "place", "target", "quota", "group", "first_block", "blocks", "factor", "shift", "ends")
+    stats = materialize(stats, "sources")
     placed = running(rows, ["name", "tie", "size", "row"], {"at": "size"})
     first = materialize(running(sources.select("name", "source_size"), ["name"], {"stream": "source_size"}).select("name", "stream"), "sources")
     known = materialize(stats.join(first, "name"), "sources")

@@ -573,6 +573,7 @@ class _Join:
         seen = materialize(lists.where("a IS NOT NULL").select("a", "b", "na", "nb").distinct(), "pairs")
         links = self.verify(seen)
         known = components(links, "a", "b")
+        passed = [lists, seen]  # tables that nothing reads after the last round
         lo, hi = 0, p.first_leaders
         while lo < longest:
             marked = rows.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -580,7 +581,8 @@ class _Join:
             # At most lo members were all leaders before.
             per_list = per_list.where(F.lit(all_links) | F.expr("least <> most")).where(f"members > {lo}").select("list", "last")
             place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-            listed = materialize(marked.join(per_list, "list").withColumn("place", place), "open")
+            opened = listed = materialize(marked.join(per_list, "list").withColumn("place", place), "open")
+            passed.append(opened)
             if listed.isEmpty():
                 break
             marks = self.rows.select("node", "marks").join(listed.select("node"), "node", "left_semi").groupBy("node").agg(F.max("marks").alias("marks"))
@@ -593,14 +595,17 @@ class _Join:
             met = met.repartition("key").sortWithinPartitions("key", F.desc("leads"))
             more = met.mapInArrow(_further(all_links, p), "a long, b long, na long, nb long").distinct()
             more = materialize(more.join(seen.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+            passed.append(more)
             if not more.isEmpty():
                 found = self.verify(more)
                 if not found.isEmpty():
+                    passed += [links, known]
                     links = materialize(links.unionByName(found), "links")
                     known = components(links, "a", "b")
+                passed.append(found)
                 seen = seen.unionByName(more)
             lo, hi = hi, hi * 8
-        for held in (lists, *self.stored):
+        for held in (*passed, *self.stored):
             discard(held)
         return links, known
 
