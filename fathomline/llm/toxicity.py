@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathomline.llm.words import letter_runs
-from fathomline.llm.worker import bounded_batches, slices, worker_cache
+from fathomline.llm.worker import bounded_batches, give_back, slices, worker_cache
 
 
 @dataclass(frozen=True)
@@ -125,7 +125,8 @@ def fit_texts(toxic: list[str], ordinary: list[str], params: ToxicParams = Toxic
     """Both dictionaries, the cells and the logistic weights, from labelled texts."""
     if not toxic or not ordinary:
         return None
-    bags = [[windows(t) for t in texts] for texts in (toxic, ordinary)]
+    one: dict[str, str] = {}  # each word once, however often it stands in the texts
+    bags = [[[one.setdefault(w, w) for w in windows(t)] for t in texts] for texts in (toxic, ordinary)]
     seen = [Counter(m for bag in side for m in {m for w in set(bag) for m in _marks(w, params)}) for side in bags]
     least = max(4, params.min_share * len(toxic))
     marks = {m for m, c in seen[0].items() if c >= least and c / len(toxic) > params.min_lift * (seen[1][m] + 0.5) / len(ordinary)}
@@ -175,7 +176,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     begin = F.pmod(F.xxhash64(F.lit(6), F.col("_id").cast("string")), F.greatest(F.length("_text") - params.fit_chars, F.lit(0)) + 1) + 1
     rows = body.join(F.broadcast(drawn), "_id").withColumn("_text", F.substring("_text", begin.cast("int"), F.lit(params.fit_chars)))
     texts = sorted((r["_toxic"], r["_id"], r["_text"]) for r in rows.collect())
-    return fit_texts([t for label, _, t in texts if label == 1], [t for label, _, t in texts if label == 0], params)
+    model = fit_texts([t for label, _, t in texts if label == 1], [t for label, _, t in texts if label == 0], params)
+    del texts
+    give_back()
+    return model
 
 
 class Scorer:

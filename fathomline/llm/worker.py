@@ -50,12 +50,12 @@ def worker_cache(owner: str) -> dict:
     if held.get("owner") != owner:
         held.clear()
         held["owner"] = owner
-        _give_back()
+        give_back()
     return held
 
 
-def _give_back() -> None:
-    """Return freed memory to the system: the allocators keep it else, and a worker serves one operator after another."""
+def give_back() -> None:
+    """Return freed memory to the system, as allocators keep it else: a worker serves one operator after another, a driver one fit after another."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
