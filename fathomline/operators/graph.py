@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from fathomline.operators.skew import join_counted
+from fathomline.operators.skew import SHARE, join_counted
 from fathomline.session import discard, materialize
 
 
@@ -27,11 +27,19 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     for _ in range(max_rounds):
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         hooked = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        hooked = materialize(hooked, "hooked")
+        largest = labels.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+        carried = None
+        if largest * SHARE > total:
+            hooked = materialize(hooked, "hooked")
+            carried = hooked.groupBy("label").agg(F.count(F.lit(1)).alias("carriers"))
         up = hooked.select(F.col("node").alias("label"), F.col("label").alias("upper"))
-        carried = materialize(hooked.groupBy("label").agg(F.count(F.lit(1)).alias("carriers")).join(up, "label"), "carried")
+        if carried is None:  # no label has a large share of the nodes
+            met = hooked.join(up, "label", "left")
+        else:
+            carried = materialize(carried.join(up, "label"), "carried")
+            met = join_counted(hooked, carried, "label", "carriers", total)
         seen = Observation()
-        moved = join_counted(hooked, carried, "label", "carriers", total).select("node", "old", F.least("label", "upper").alias("label"))
+        moved = met.select("node", "old", F.least("label", F.coalesce("upper", "label")).alias("label"))
         after = materialize(moved.observe(seen, F.count_if(F.col("old") != F.col("label")).alias("changed")), "labels")
         changed = seen.get["changed"]  # counted by the write itself, without a job of its own
         for held in (labels, hooked, carried):

@@ -31,17 +31,17 @@ def bundle(spark, sf):
 
 
 @query("e26_service_context", f"""WITH {POINTS}, stops AS (SELECT vec_id AS stop_id, embedding[3]::DOUBLE * 1000 AS sx, embedding[4]::DOUBLE * 1000 AS sy FROM embeddings),
-n AS (SELECT a.vec_id, s.stop_id, sqrt((a.x - s.sx) * (a.x - s.sx) + (a.y - s.sy) * (a.y - s.sy)) AS g FROM points a JOIN stops s ON sqrt((a.x - s.sx) * (a.x - s.sx) + (a.y - s.sy) * (a.y - s.sy)) <= 40),
+n AS (SELECT a.vec_id, s.stop_id, sqrt((a.x - s.sx) * (a.x - s.sx) + (a.y - s.sy) * (a.y - s.sy)) AS g FROM points a JOIN stops s ON sqrt((a.x - s.sx) * (a.x - s.sx) + (a.y - s.sy) * (a.y - s.sy)) <= 20),
 t AS (SELECT o_orderkey, o_custkey % 40 AS route, substr(o_orderpriority, 1, 1)::INTEGER AS d, CASE WHEN o_orderkey % 3 = 0 THEN greatest(1, ((7 + o_orderkey % 5) * 3600 + 1800 - 21600) / (600 + o_orderkey % 4 * 300)::DOUBLE) ELSE 1 END AS w FROM orders),
 ss AS (SELECT l_partkey % 500 AS stop_id, route, sum(w) FILTER (WHERE d IN (1, 3, 5)) AS w0, sum(w) FILTER (WHERE d = 2) AS w1 FROM lineitem JOIN t ON l_orderkey = o_orderkey GROUP BY 1, 2)
-SELECT p.vec_id, {', '.join(f'''count(DISTINCT n.stop_id) FILTER (WHERE g <= {r}) AS {label}_stop_count_{r}m, round(coalesce(sum({w}) FILTER (WHERE g <= {r}), 0), 4) AS {label}_weighted_service_{r}m, count(DISTINCT route) FILTER (WHERE g <= {r} AND {w} IS NOT NULL) AS {label}_route_count_{r}m''' for label, w in (('weekday', 'w0'), ('saturday', 'w1')) for r in (20, 40))}
+SELECT p.vec_id, {', '.join(f'''count(DISTINCT n.stop_id) FILTER (WHERE g <= {r}) AS {label}_stop_count_{r}m, round(coalesce(sum({w}) FILTER (WHERE g <= {r}), 0), 4) AS {label}_weighted_service_{r}m, count(DISTINCT route) FILTER (WHERE g <= {r} AND {w} IS NOT NULL) AS {label}_route_count_{r}m''' for label, w in (('weekday', 'w0'), ('saturday', 'w1')) for r in (10, 20))}
 FROM points p LEFT JOIN n ON n.vec_id = p.vec_id LEFT JOIN ss ON ss.stop_id = n.stop_id GROUP BY p.vec_id""")
 def _(spark, sf):
     trips, stop_times, frequencies, calendar, exceptions = bundle(spark, sf)
     at = lambda i: F.get("embedding", i).cast("double") * 1000
     stops = table(spark, sf, "embeddings").select(F.col("vec_id").alias("stop_id"), at(2).alias("sx"), at(3).alias("sy"))
     served = transit.stop_service(trips, stop_times, frequencies, transit.service_days(calendar, exceptions, DAYS), DAYS)
-    return rounded(transit.service_context(points(spark, sf), stops, served, "vec_id", DAYS, (20.0, 40.0)))
+    return rounded(transit.service_context(points(spark, sf), stops, served, "vec_id", DAYS, (10.0, 20.0)))
 
 
 @query("s20_feed_profile", """WITH e AS (SELECT event_type AS source, user_id, value, ts, event_id FROM events),
@@ -83,3 +83,16 @@ SELECT f.*, CASE WHEN sources = '' THEN 0 ELSE n END AS available_count, n AS to
 def _(spark, sf):
     roles = {"extent": ("structural", True), "route": ("structural", True), "segment": ("structural", True), "fold": ("design", False), "station_id": ("key", False), "aadt": ("target", False), "match_distance": ("oracle_diagnostic_only", False)}
     return lineage.manifest(training(spark, sf), roles)
+
+
+@query("s26_archive_listing", """WITH d AS (SELECT event_type AS source, strftime(ts, '%Y%m%d-%H%M') AS t, event_id, user_id, value FROM events)
+SELECT source, max(event_id) AS versions, count(DISTINCT user_id) AS zips, round(sum(CASE WHEN value > 0 THEN value END) / 1e9, 12) AS total_gb, count(DISTINCT t) AS timestamps, min(t) AS first_timestamp, max(t) AS last_timestamp FROM d GROUP BY 1""")
+def _(spark, sf):
+    e = table(spark, sf, "events")
+    # A listing for every event, of one shape where its number is even and another, with the stamp inside a name, where it is odd.
+    stamp = F.date_format("ts", "yyyyMMdd-HHmm")
+    member = F.struct(F.concat(F.lit("m_"), F.col("user_id").cast("string"), F.lit(".ZIP")).alias("name"), F.col("value").alias("fileSize"), F.col("value").alias("size"))
+    one = F.to_json(F.struct(F.array(stamp).alias("timestamps"), F.struct(F.col("event_id").alias("Total-Count"), F.array(F.struct(member["name"].alias("n"), member["size"].alias("file size"))).alias("files")).alias("archive")))
+    two = F.to_json(F.array(F.struct(F.concat(F.lit("snap_"), F.regexp_replace(stamp, "-", ""), F.lit(".xml")).alias("key"), F.col("event_id").alias("version_count")), F.struct(member["name"].alias("file"), member["size"].alias("Size"))))
+    found = feeds.archive_listing(e.select(F.col("event_type").alias("source"), F.when(F.col("event_id") % 2 == 0, one).otherwise(two).alias("content")), "source", "content")
+    return found.withColumn("total_gb", F.round("total_gb", 12))

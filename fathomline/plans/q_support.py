@@ -14,7 +14,7 @@ FOLDS = [1, 2, 3, 4, 5]
 #: Stations and sensors in one plane: coordinates 1 and 2, and coordinates 3 and 4, of every vector; folds by longitude bands of the label.
 SITES = f"{POINTS}, sites AS (SELECT vec_id, x, y, (label % 5 + 1)::INTEGER AS fold FROM points), sensors AS (SELECT vec_id AS sensor_id, embedding[3]::DOUBLE * 1000 AS rx, embedding[4]::DOUBLE * 1000 AS ry, (label % 5 + 1)::INTEGER AS fold FROM embeddings)"
 GAP = "sqrt((s.x - d.rx) * (s.x - d.rx) + (s.y - d.ry) * (s.y - d.ry))"
-BANNED = f"{SITES}, banned AS (SELECT DISTINCT d.sensor_id, s.fold AS held FROM sensors d JOIN sites s ON {GAP} <= 12)"
+BANNED = f"{SITES}, banned AS (SELECT DISTINCT d.sensor_id, s.fold AS held FROM sensors d JOIN sites s ON {GAP} <= 2)"
 
 
 def sites(spark, sf):
@@ -30,14 +30,14 @@ def sensors(spark, sf):
 @query("l11_nearest_masked", f"""WITH {BANNED}, p AS (SELECT s.vec_id, h.held, d.sensor_id, {GAP} AS g FROM sites s CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS held) h JOIN sensors d ON d.fold <> h.held WHERE NOT EXISTS (SELECT 1 FROM banned b WHERE b.sensor_id = d.sensor_id AND b.held = h.held))
 SELECT vec_id, held, arg_min(sensor_id, struct_pack(g := g, i := sensor_id)) AS sensor_id, round(min(g), 6) AS distance FROM p GROUP BY 1, 2""")
 def _(spark, sf):
-    near = spatial.nearest_masked(sites(spark, sf), sensors(spark, sf), "vec_id", "sensor_id", "fold", FOLDS, 12.0, 20.0)
+    near = spatial.nearest_masked(sites(spark, sf), sensors(spark, sf), "vec_id", "sensor_id", "fold", FOLDS, 2.0, 4.0)
     return near.select("vec_id", "held", "sensor_id", F.round("distance", 6).alias("distance"))
 
 
 @query("l11_mask_summary", f"""WITH {BANNED}, k AS (SELECT h.held, count(*) FILTER (WHERE d.fold <> h.held AND NOT EXISTS (SELECT 1 FROM banned b WHERE b.sensor_id = d.sensor_id AND b.held = h.held)) AS n, count(*) AS s FROM sensors d CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS held) h GROUP BY h.held)
 SELECT held, s AS source_count, n AS retained_count, s - n AS masked_count, round(n / s, 6) AS retained_share FROM k""")
 def _(spark, sf):
-    return rounded(spatial.mask_summary(sensors(spark, sf), sites(spark, sf), "sensor_id", "fold", FOLDS, 12.0), 6)
+    return rounded(spatial.mask_summary(sensors(spark, sf), sites(spark, sf), "sensor_id", "fold", FOLDS, 2.0), 6)
 
 
 #: Places all over the globe, some beside the poles and the antimeridian: coordinates as angles.
@@ -64,19 +64,20 @@ def _(spark, sf):
     return near.withColumn("place", w).where("place <= 3").select("vec_id", "place", F.round("distance", 5).alias("km"))
 
 
-@query("j17_great_circle_radius", f"WITH {GLOBE} SELECT a.vec_id, count(*) AS n, round(max({KM}), 5) AS farthest FROM globe a JOIN globe b ON {KM} <= 2500 GROUP BY a.vec_id")
+@query("j17_great_circle_radius", f"WITH {GLOBE} SELECT a.vec_id, count(*) AS n, round(max({KM}), 5) AS farthest FROM globe a JOIN globe b ON {KM} <= 150 GROUP BY a.vec_id")
 def _(spark, sf):
     g = globe(spark, sf)
     others = g.select(F.col("lon").alias("rlon"), F.col("lat").alias("rlat"))
-    near = sphere.sphere_radius_join(g, others, 2500.0)
+    near = sphere.sphere_radius_join(g, others, 150.0)
     return near.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("distance"), 5).alias("farthest"))
 
 
-#: Lines of two segments through coordinates 1 to 6 of a vector, and detectors at coordinates 7 and 8 of all of them.
-LINES = """roads AS (SELECT vec_id, label, embedding[1]::DOUBLE * 1000 AS x1, embedding[2]::DOUBLE * 1000 AS y1, embedding[3]::DOUBLE * 1000 AS x2, embedding[4]::DOUBLE * 1000 AS y2, embedding[5]::DOUBLE * 1000 AS x3, embedding[6]::DOUBLE * 1000 AS y3 FROM embeddings),
+#: Lines of two segments that begin at coordinates 1 and 2 of a vector, by steps of a tenth of coordinates 3 to 6; detectors at coordinates 7 and 8.
+LINES = """roads AS (SELECT vec_id, label, embedding[1]::DOUBLE * 1000 AS x1, embedding[2]::DOUBLE * 1000 AS y1, embedding[1]::DOUBLE * 1000 + embedding[3]::DOUBLE * 100 AS x2, embedding[2]::DOUBLE * 1000 + embedding[4]::DOUBLE * 100 AS y2,
+  embedding[1]::DOUBLE * 1000 + embedding[3]::DOUBLE * 100 + embedding[5]::DOUBLE * 100 AS x3, embedding[2]::DOUBLE * 1000 + embedding[4]::DOUBLE * 100 + embedding[6]::DOUBLE * 100 AS y3 FROM embeddings),
 segs AS (SELECT vec_id, label, 0 AS no, x1 AS ax, y1 AS ay, x2 AS bx, y2 AS by_ FROM roads UNION ALL SELECT vec_id, label, 1, x2, y2, x3, y3 FROM roads),
 detectors AS (SELECT embedding[7]::DOUBLE * 1000 AS x, embedding[8]::DOUBLE * 1000 AS y FROM embeddings),
-ranges AS (SELECT s.*, sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) AS l, ((bx - ax) * (ax - d.x) + (by_ - ay) * (ay - d.y)) AS uw, ((bx - ax) ** 2 + (by_ - ay) ** 2) AS uu, ((ax - d.x) ** 2 + (ay - d.y) ** 2 - 64) AS ww FROM segs s, detectors d),
+ranges AS (SELECT s.*, sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) AS l, ((bx - ax) * (ax - d.x) + (by_ - ay) * (ay - d.y)) AS uw, ((bx - ax) ** 2 + (by_ - ay) ** 2) AS uu, ((ax - d.x) ** 2 + (ay - d.y) ** 2 - 9) AS ww FROM segs s, detectors d),
 cut AS (SELECT *, greatest(0, (-uw - sqrt(uw * uw - uu * ww)) / uu) AS lo, least(1, (-uw + sqrt(uw * uw - uu * ww)) / uu) AS hi FROM ranges WHERE uw * uw - uu * ww >= 0),
 run AS (SELECT *, max(hi) OVER (PARTITION BY vec_id, no ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM cut WHERE hi > lo),
 near AS (SELECT vec_id, sum(l * greatest(0, hi - greatest(lo, coalesce(upto, 0)))) AS covered FROM run GROUP BY vec_id),
@@ -86,13 +87,15 @@ cover AS (SELECT r.vec_id, r.label, r.l AS length, coalesce(near.covered, 0) AS
 def roads(spark, sf):
     at = lambda i: F.get("embedding", i).cast("double") * 1000
     v = table(spark, sf, "embeddings")
-    lines = v.select("vec_id", "label", F.array(*[F.struct(at(i).alias("x"), at(i + 1).alias("y")) for i in (0, 2, 4)]).alias("points"))
+    step = lambda i: F.get("embedding", i).cast("double") * 100
+    corners = [(at(0), at(1)), (at(0) + step(2), at(1) + step(3)), (at(0) + step(2) + step(4), at(1) + step(3) + step(5))]
+    lines = v.select("vec_id", "label", F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in corners]).alias("points"))
     return lines, v.select(F.col("vec_id").alias("detector_id"), at(6).alias("x"), at(7).alias("y"), "label")
 
 
 def covered(spark, sf):
     lines, detectors = roads(spark, sf)
-    return coverage.line_coverage(lines, "vec_id", "points", detectors, 8.0, cell=40.0).join(lines.select("vec_id", "label"), "vec_id")
+    return coverage.line_coverage(lines, "vec_id", "points", detectors, 3.0, cell=8.0).join(lines.select("vec_id", "label"), "vec_id")
 
 
 @query("e16_line_coverage", f"WITH {LINES} SELECT vec_id, round(length, 6) AS length, round(covered, 6) AS covered, round(least(1, covered / length), 6) AS share FROM cover")
@@ -119,12 +122,12 @@ def _(spark, sf):
     lines, detectors = roads(spark, sf)
     centre = lambda c: (F.get("points", 0)[c] + F.get("points", 1)[c] + F.get("points", 2)[c]) / 3
     centres = lines.select(F.col("vec_id").alias("road_id"), F.col("label").alias("road"), centre("x").alias("rx"), centre("y").alias("ry"))
-    near = spatial.nearest_join(detectors, centres, "detector_id", "road_id", 1, 20.0).withColumn("fold", F.col("label") % 5)
+    near = spatial.nearest_join(detectors, centres, "detector_id", "road_id", 1, 5.0).withColumn("fold", F.col("label") % 5)
     return rounded(coverage.match_table(near, "road", "detector_id", "fold", 12.0), 6)
 
 
 #: Five-pointed stars around each vector's point, larger where coordinate 3 is; every other one has a square hole.
-STARS = """base AS (SELECT vec_id, embedding[1]::DOUBLE * 1000 AS x, embedding[2]::DOUBLE * 1000 AS y, 14 + 40 * abs(embedding[3]::DOUBLE) AS r FROM embeddings),
+STARS = """base AS (SELECT vec_id, embedding[1]::DOUBLE * 1000 AS x, embedding[2]::DOUBLE * 1000 AS y, 3 + 8 * abs(embedding[3]::DOUBLE) AS r FROM embeddings),
 corner AS (SELECT vec_id, i, x + (CASE WHEN i % 2 = 0 THEN r ELSE r * 0.45 END) * cos(i * pi() / 5 + 0.1) AS ax, y + (CASE WHEN i % 2 = 0 THEN r ELSE r * 0.45 END) * sin(i * pi() / 5 + 0.1) AS ay, 1 AS role FROM base, range(10) AS t(i)
   UNION ALL SELECT vec_id, 10 + i, x + r * 0.2 * cos(i * pi() / 2 + 0.3), y + r * 0.2 * sin(i * pi() / 2 + 0.3), -1 FROM base, range(4) AS t(i) WHERE vec_id % 2 = 0),
 edge AS (SELECT vec_id, role, ax, ay, lead(ax, 1, fx) OVER w AS bx, lead(ay, 1, fy) OVER w AS by_ FROM (SELECT *, first_value(ax) OVER w AS fx, first_value(ay) OVER w AS fy FROM corner WINDOW w AS (PARTITION BY vec_id, role ORDER BY i)) WINDOW w AS (PARTITION BY vec_id, role ORDER BY i)),
@@ -140,7 +143,7 @@ def stars(spark, sf):
     import math
 
     first, second, third = (F.get("embedding", i).cast("double") for i in (0, 1, 2))
-    base = table(spark, sf, "embeddings").select("vec_id", (first * 1000).alias("x"), (second * 1000).alias("y"), (14 + 40 * F.abs(third)).alias("r"))
+    base = table(spark, sf, "embeddings").select("vec_id", (first * 1000).alias("x"), (second * 1000).alias("y"), (3 + 8 * F.abs(third)).alias("r"))
     at = lambda share, angle: F.struct((F.col("x") + F.col("r") * share * math.cos(angle)).alias("x"), (F.col("y") + F.col("r") * share * math.sin(angle)).alias("y"))
     star = F.array(*[at(0.45 if i % 2 else 1.0, i * math.pi / 5 + 0.1) for i in range(10)])
     # The hole runs clockwise; roles come from the place of a ring, not from its direction.
@@ -152,7 +155,7 @@ def stars(spark, sf):
 FROM shared s JOIN whole a ON a.vec_id = s.vec_id JOIN whole b ON b.vec_id = s.other_id WHERE i > 0.001""")
 def _(spark, sf):
     s = stars(spark, sf)
-    o = overlay.overlay(s, s.withColumnRenamed("vec_id", "other_id"), "vec_id", "other_id", "rings", "rings", 40.0).where("vec_id < other_id AND intersection > 0.001")
+    o = overlay.overlay(s, s.withColumnRenamed("vec_id", "other_id"), "vec_id", "other_id", "rings", "rings", 10.0).where("vec_id < other_id AND intersection > 0.001")
     return o.select("vec_id", "other_id", F.round("intersection", 4).alias("intersection"), *[F.round(c, 5).alias(c) for c in ("share_of_source", "share_of_target", "iou")])
 
 
@@ -160,4 +163,4 @@ def _(spark, sf):
 def _(spark, sf):
     s = stars(spark, sf)
     found = overlay.areas(overlay.edges(s, "vec_id", "rings")).select(F.col("unit").alias("vec_id"), F.round("area", 4).alias("area"))
-    return found.join(overlay.faults(s, "vec_id", "rings", 10.0), "vec_id").select("vec_id", "area", "valid", F.col("crossings").cast("int").alias("crossings"))
+    return found.join(overlay.faults(s, "vec_id", "rings", 4.0), "vec_id").select("vec_id", "area", "valid", F.col("crossings").cast("int").alias("crossings"))

@@ -98,6 +98,50 @@ def feed_profile(documents: DataFrame, source: str, content: str) -> DataFrame:
     )
 
 
+#: Keys that tell how many versions an archive has, and how large a member is (fixed values).
+TOTAL_KEYS = ("total", "total_count", "totalcount", "record_count", "version_count", "total_versions")
+SIZE_KEYS = ("size", "file_size", "compressed_size", "filesize")
+
+
+def _values(node: tuple) -> Iterator[tuple[str, str]]:
+    name, value, children = node
+    if children is None:
+        yield name, value
+    for child in children or ():
+        yield from _values(child)
+
+
+def document_values(documents: DataFrame, source: str, content: str) -> DataFrame:
+    """(source, key, value): every leaf of XML and JSON documents of any depth, its key in lower case with single underscores."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, document in zip(batch["source"], batch["content"]):
+                node = _nodes(bytes(document) if isinstance(document, bytearray | memoryview) else document)
+                rows += [(name, *pair) for pair in _values(node)] if node is not None else []
+            yield pd.DataFrame(rows, columns=["source", "key", "value"])
+
+    kind = documents.schema[source].dataType.simpleString()
+    found = documents.select(F.col(source).alias("source"), F.col(content).alias("content")).mapInPandas(run, f"source {kind}, key string, value string")
+    return found.withColumn("key", F.btrim(F.regexp_replace(F.lower("key"), "[^a-z0-9]+", "_"), F.lit("_")))
+
+
+def archive_listing(documents: DataFrame, source: str, content: str) -> DataFrame:
+    """Per source, from listings of any shape: distinct timestamps (YYYYMMDD-HHMM, hyphen optional) with the first and last, the largest
+    total of versions, distinct zip members, and the sum of all sizes in GB (null where none is told)."""
+    stamp = F.explode_outer(F.regexp_extract_all("value", F.lit(r"((?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])[0-3][0-9]-?[0-2][0-9][0-5][0-9])(?![0-9])"), F.lit(1)))
+    values = document_values(documents, source, content)
+    total = F.when(F.col("key").isin(*TOTAL_KEYS), F.col("value").try_cast("bigint"))
+    size = F.when(F.col("key").isin(*SIZE_KEYS), F.col("value").try_cast("double"))
+    member = F.when(F.lower("value").contains(".zip"), F.col("value"))
+    rows = values.select("source", F.when(total >= 0, total).alias("total"), F.when(size > 0, size).alias("size"), member.alias("member"), "value")
+    sums = rows.groupBy("source").agg(F.max("total").alias("versions"), F.count_distinct("member").alias("zips"), (F.sum("size") / 1e9).alias("total_gb"))
+    stamps = rows.select("source", stamp.alias("t")).withColumn("t", F.regexp_replace("t", "^([0-9]{8})-?", "$1-"))
+    times = stamps.groupBy("source").agg(F.count_distinct("t").alias("timestamps"), F.min("t").alias("first_timestamp"), F.max("t").alias("last_timestamp"))
+    return sums.join(times, "source")
+
+
 def _paths(node: tuple, above: str, out: dict[tuple[str, str], int]) -> None:
     name, value, children = node
     path = f"{above}/{name}"

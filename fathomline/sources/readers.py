@@ -7,7 +7,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,6 +160,47 @@ def osm_ways(spark: SparkSession, path: str) -> DataFrame:
     return ways.groupBy("osm_id").agg(F.min_by(F.struct("tags", "geometry"), "tile").alias("w")).select("osm_id", "w.tags", "w.geometry")
 
 
+#: Texts of a tag that mean yes, and that restrict access (fixed values).
+YES, ONE_WAY, ROUND, CLOSED = ("yes", "true", "1"), ("yes", "true", "1", "-1"), ("roundabout", "circular"), ("no", "private", "destination", "customers", "permit")
+
+
+def tag(tags: Column, *names: str) -> Column:
+    """The value of the first of some alternate keys that a tag map has; null where it has none."""
+    return F.coalesce(*[F.try_element_at(tags, F.lit(n)) for n in names])
+
+
+def way_features(ways: DataFrame, length: Column | None = None) -> DataFrame:
+    """Derived columns of ways (osm_id, tags, geometry): class and group, name with alternates, lanes, speed, flags, length in metres.
+
+    Lengths are great-circle ones unless a column is given. Ways without a length are left out.
+    """
+    from fathomline.functions import text
+    from fathomline.operators.spatial import haversine_km
+
+    t = F.col("tags")
+    highway = F.lower(F.trim(F.coalesce(tag(t, "highway"), F.lit(""))))
+    name = F.coalesce(tag(t, "name:en", "name"), F.lit(""))
+    steps = F.transform("geometry", lambda p, i: F.coalesce(haversine_km(F.get("geometry", i - 1)["lon"], F.get("geometry", i - 1)["lat"], p["lon"], p["lat"]), F.lit(0.0)))
+    metres = length if length is not None else 1000 * F.aggregate(steps, F.lit(0.0), lambda acc, d: acc + d)
+    named = F.regexp_extract(F.coalesce(tag(t, "lanes"), F.lit("")), r"(\d+(?:\.\d+)?)", 1).try_cast("double")
+    flags = {"oneway": ("oneway", ONE_WAY), "bridge": ("bridge", YES), "tunnel": ("tunnel", YES), "roundabout": ("junction", ROUND), "access_restricted": ("access", CLOSED)}
+    out = ways.select(
+        "osm_id", highway.alias("highway"), text.road_group(highway, "track").alias("highway_group"), name.alias("name"), named.alias("lanes"), text.speed_kmh(tag(t, "maxspeed")).alias("maxspeed_kmh"),
+        *[text.flag(tag(t, key), values).alias(out) for out, (key, values) in flags.items()], highway.endswith("_link").cast("int").alias("link"), (name != "").cast("int").alias("name_present"), metres.alias("length_m"),
+    )
+    return out.where("length_m > 0")
+
+
+#: Patterns of column names by product, class first and hour second (fixed values).
+WIDE_COLUMNS = {"traffic_volume": r"^([A-Z]+)_Volume_(\d{2})$", "nox_emissions": r"^NOX_([A-Z]+)_(\d{2})$", "pm25_emissions": r"^PM25_([A-Z]+)_(\d{2})$"}
+
+
+def classes_and_hours(columns: list[str], product: str) -> tuple[set[str], set[str]]:
+    """Vehicle classes and hours that the columns of a wide product have, by their names."""
+    found = [m for c in columns if (m := re.match(WIDE_COLUMNS[product], c))]
+    return {m.group(1) for m in found}, {m.group(2) for m in found}
+
+
 #: Members of a GTFS bundle and their columns, ids as text.
 GTFS = {
     "stops": "stop_id string, stop_lon double, stop_lat double",

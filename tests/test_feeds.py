@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.operators import lineage, transit
-from fathomline.sources import feeds
+from fathomline.sources import feeds, readers
 
 XML = """<?xml version="1.0" encoding="UTF-8"?><t:feed xmlns:t="urn:x"><date>2023-06-19</date><detectors>
 <detector><detector_id>A1</detector_id><lanes><lane><Volume>12</Volume><valid>Y</valid></lane></lanes><t:time>2023-06-19T08:00:00Z</t:time></detector>
@@ -114,3 +114,28 @@ def test_lineage_through_joins_unions_and_functions(spark, tmp_path):
     assert lineage.sources(mapped) == {"a": ["left.a", "left.b"], "b": ["left.a", "left.b"]}
     rows = {r.feature: r for r in lineage.manifest(both, {"s": ("role", True), "gone": ("none", False)}).collect()}
     assert rows["s"].sources == "left.a, left.b" and rows["s"].available_count == 3 and rows["gone"].available_count == 0 and rows["gone"].sources == "" and rows["s"].available_share == 1.0
+
+
+def test_archive_listings_of_any_shape(spark):
+    one = '{"timestamps": ["20230619-0800", "202306190900", "99999999-0000"], "meta": {"Total Versions": "12", "total": -4}, "files": [{"name": "a.ZIP", "size": 2e9}, {"name": "a.ZIP", "size": "x"}, "b.zip"]}'
+    rows = [("a", one), ("a", '[{"record_count": 40, "u": "http://x/20230101-0000/b.zip"}]'), ("b", '{"n": 1}'), ("c", "no listing")]
+    got = {r.source: r for r in feeds.archive_listing(spark.createDataFrame(rows, "source string, content string"), "source", "content").collect()}
+    a = got["a"]
+    assert (a.versions, a.zips, a.total_gb, a.timestamps, a.first_timestamp, a.last_timestamp) == (40, 3, 2.0, 3, "20230101-0000", "20230619-0900")
+    assert got["b"].versions is None and got["b"].timestamps == 0 and set(got) == {"a", "b"}
+
+
+def test_way_features(spark):
+    tags = [{"highway": "Primary_link", "name": "Weg", "name:en": "Way", "lanes": "2;3", "maxspeed": "30 mph", "oneway": "-1", "bridge": "yes", "junction": "circular", "access": "private"}, {"highway": "track"}, {}, None]
+    line = [{"lon": 114.0, "lat": 22.0}, {"lon": 114.0, "lat": 22.01}]
+    rows = [(i, t, line) for i, t in enumerate(tags)] + [(9, {}, [line[0], line[0]])]
+    got = {r.osm_id: r for r in readers.way_features(spark.createDataFrame(rows, "osm_id long, tags map<string,string>, geometry array<struct<lat:double,lon:double>>")).collect()}
+    r = got[0]
+    assert (r.highway, r.highway_group, r.name, r.lanes, r.oneway, r.bridge, r.tunnel, r.roundabout, r.access_restricted, r.link, r.name_present) == ("primary_link", "primary", "Way", 2.0, 1, 1, 0, 1, 1, 1, 1)
+    assert r.maxspeed_kmh == pytest.approx(48.28, abs=0.01) and r.length_m == pytest.approx(1111.9, abs=1)
+    assert got[1].highway_group == "track" and got[2].highway_group == "unmatched" and got[3].name == "" and set(got) == {0, 1, 2, 3}
+
+
+def test_classes_and_hours_of_wide_columns():
+    names = ["CAR_Volume_07", "BUS_Volume_23", "NOX_CAR_01", "car_Volume_08", "id"]
+    assert readers.classes_and_hours(names, "traffic_volume") == ({"CAR", "BUS"}, {"07", "23"}) and readers.classes_and_hours(names, "nox_emissions") == ({"CAR"}, {"01"})
