@@ -31,7 +31,8 @@ def projected_at_median(df: DataFrame, lon: str, lat: str, geo: GeoParams = GeoP
 
 def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column, geo: GeoParams = GeoParams()) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * geo.earth_km * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    # Not the least of both, which for a null coordinate would be 1 and half the way around.
+    return 2 * geo.earth_km * F.asin(F.when(a > 1, F.lit(1.0)).otherwise(F.sqrt(a)))
 
 
 def plane_distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:

@@ -93,6 +93,7 @@ def _(spark, sf):
     stamp = F.date_format("ts", "yyyyMMdd-HHmm")
     member = F.struct(F.concat(F.lit("m_"), F.col("user_id").cast("string"), F.lit(".ZIP")).alias("name"), F.col("value").alias("fileSize"), F.col("value").alias("size"))
     one = F.to_json(F.struct(F.array(stamp).alias("timestamps"), F.struct(F.col("event_id").alias("Total-Count"), F.array(F.struct(member["name"].alias("n"), member["size"].alias("file size"))).alias("files")).alias("archive")))
-    two = F.to_json(F.array(F.struct(F.concat(F.lit("snap_"), F.regexp_replace(stamp, "-", ""), F.lit(".xml")).alias("key"), F.col("event_id").alias("version_count")), F.struct(member["name"].alias("file"), member["size"].alias("Size"))))
+    first, second = F.struct(F.concat(F.lit("snap_"), F.regexp_replace(stamp, "-", ""), F.lit(".xml")).alias("key"), F.col("event_id").alias("version_count")), F.struct(member["name"].alias("file"), member["size"].alias("Size"))
+    two = F.concat(F.lit("["), F.to_json(first), F.lit(","), F.to_json(second), F.lit("]"))
     found = feeds.archive_listing(e.select(F.col("event_type").alias("source"), F.when(F.col("event_id") % 2 == 0, one).otherwise(two).alias("content")), "source", "content")
     return found.withColumn("total_gb", F.round("total_gb", 12))
