@@ -394,7 +394,7 @@ def _further(all_links: bool, params: JoinParams):
 
     def meet(leaders: list, members: list) -> Iterator[tuple]:
         """Pairs (a, b, na, nb) that sizes, places and signatures allow; both sides are [n, rest, node, component, marks]."""
-        step = max(1, (1 << 20) // len(members[0]))
+        step = max(1, (1 << 18) // len(members[0]))
         for at in range(0, len(leaders[0]), step):
             ln, lr, lv, lc = (x[at : at + step, None] for x in leaders[:4])
             mn, mr, mv, mc = (x[None, :] for x in members[:4])

@@ -50,13 +50,13 @@ def worker_cache(owner: str) -> dict:
     if held.get("owner") != owner:
         held.clear()
         held["owner"] = owner
-        give_back()
+        gc.collect()
+    give_back()  # what the task before has left
     return held
 
 
 def give_back() -> None:
     """Return freed memory to the system, as allocators keep it else: a worker serves one operator after another, a driver one fit after another."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
         ctypes.CDLL(None).malloc_trim(0)
