@@ -20,7 +20,11 @@ node's best split back. They are answered in one of two ways, with equal trees:
   node, feature), summed in the map tasks first; the driver sees one candidate per key. Medians
   are selected by counts of 16 bits at a time, so no leaf's rows are gathered.
 * a model per task, where the whole binned frame has at most ``resident_rows`` rows: rows are
-  sent once to each model that uses them.
+  sent once to each model that uses them. A larger frame is merged first: rows with the same codes
+  get the same prediction and always stand in the same node, so one row with their weights stands
+  for all that also share the target (for the other losses, whose sums are linear in the target,
+  for all, with the mean target). Where no model has more than ``resident_rows`` merged rows, a
+  task holds these; what does not merge is fitted by levels.
 """
 
 from __future__ import annotations
@@ -326,7 +330,19 @@ def _rows(batch: pa.RecordBatch, n_features: int, n_models: int) -> tuple[np.nda
 _TREE = "model int, round int, start double, feature array<int>, bin array<int>, missing_left array<boolean>, left array<int>, value array<double>"
 
 
-def _fit_by_model(binned: DataFrame, allowed: np.ndarray, params: BoostParams) -> tuple[list[float], list[list[Tree]]]:
+def _opened(binned: DataFrame) -> DataFrame:
+    """(model, x, y, w): a row for each model that uses it."""
+    return binned.select("x", F.posexplode(F.arrays_zip("y", "w")).alias("model", "v")).select("model", "x", "v.y", "v.w").where("w > 0")
+
+
+def _merged(opened: DataFrame, loss: str) -> DataFrame:
+    """Rows that a model cannot tell apart as one, with the sum of their weights."""
+    if loss == "absolute":
+        return opened.groupBy("model", "x", "y").agg(F.sum("w").alias("w"))
+    return opened.groupBy("model", "x").agg((F.sum(F.col("y") * F.col("w")) / F.sum("w")).alias("y"), F.sum("w").alias("w"))
+
+
+def _fit_by_model(opened: DataFrame, allowed: np.ndarray, params: BoostParams) -> tuple[list[float], list[list[Tree]]]:
     n_features = allowed.shape[1]
 
     def run(rows: pa.Table) -> pa.Table:
@@ -340,7 +356,6 @@ def _fit_by_model(binned: DataFrame, allowed: np.ndarray, params: BoostParams) -
         kinds = [pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.float64())]
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in _TREE.split(", ")])
 
-    opened = binned.select("x", F.posexplode(F.arrays_zip("y", "w")).alias("model", "v")).select("model", "x", "v.y", "v.w").where("w > 0")
     starts, trees = [0.0] * len(allowed), [[] for _ in allowed]
     for r in sorted(opened.repartition(len(allowed), "model").groupBy("model").applyInArrow(run, _TREE).collect(), key=lambda r: (r["model"], r["round"])):
         starts[r["model"]] = r["start"]
@@ -515,11 +530,15 @@ def fit(df: DataFrame, features: list[str], models: list[Model], params: BoostPa
     empty = Ensemble(features, bin_edges(df, features, params.bins), [m.name for m in models], [], [], params)
     binned = materialize(_binned(df, empty, models), "binned")
     allowed = np.array([[m.features is None or f in m.features for f in features] for m in models])
+    merged = None
     if binned.count() <= params.resident_rows:
-        starts, trees = _fit_by_model(binned, allowed, params)
+        starts, trees = _fit_by_model(_opened(binned), allowed, params)
     else:
-        starts, trees = _ByLevels(binned, allowed, params).fit()
+        merged = materialize(_merged(_opened(binned), params.loss), "merged")
+        largest = merged.groupBy("model").count().agg(F.max("count")).first()[0] or 0
+        starts, trees = _fit_by_model(merged, allowed, params) if largest <= params.resident_rows else _ByLevels(binned, allowed, params).fit()
     discard(binned)
+    discard(merged)
     return replace(empty, starts=starts, trees=trees)
 
 

@@ -158,3 +158,22 @@ def test_many_values_take_quantiles(spark):
     assert len(edges[0]) == 99 and abs(edges[0][49] - 2500) < 60 and len(edges[1]) == 0
     empty = boosting.fit(df.where("v < 0"), ["v"], [Model("m", F.col("v"), F.lit(1))], BoostParams(rounds=2))
     assert boosting.predict(df.where("v < 3"), empty).count() == 3
+
+
+@pytest.mark.parametrize("loss", ["absolute", "squared", "poisson"])
+def test_rows_that_no_model_tells_apart_are_merged(spark, monkeypatch, loss):
+    """A frame above the bound whose rows repeat is fitted by a task for each model, with the trees of all its rows; before, by levels."""
+    rng = np.random.default_rng(8)
+    base = [(int(a), int(b), int(rng.integers(1, 9))) for a in range(12) for b in range(5)]
+    rows = [(i, float(a), None if b == 4 else float(b), float(a + b * b + (v if loss == "absolute" else 8 * rng.random()))) for i, (a, b, v) in enumerate(base * 12)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, y double")
+    models = [Model("all", F.col("y"), F.lit(1)), Model("some", F.col("y"), (F.col("k") % 3).cast("int"))]
+    params = BoostParams(loss=loss, rounds=6, leaves=5, least_rows=8, rate=0.3)
+    want = boosting.fit(df, ["a", "b"], models, params)
+    monkeypatch.setattr(boosting, "_ByLevels", None)
+    got = boosting.fit(df, ["a", "b"], models, BoostParams(loss=loss, rounds=6, leaves=5, least_rows=8, rate=0.3, resident_rows=100))
+    for m in range(2):
+        assert got.starts[m] == pytest.approx(want.starts[m])
+        # A split and its mirror image (missing rows on the other side) have equal gains, so predictions are compared.
+        codes = want.codes([np.array([r[c] if r[c] is not None else np.nan for r in rows]) for c in (1, 2)])
+        assert len(got.trees[m]) == 6 and got.raw(m, codes) == pytest.approx(want.raw(m, codes))
