@@ -125,6 +125,11 @@ def best_match(pairs: DataFrame, key: str, candidate: str) -> DataFrame:
     return pairs.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
 
 
+def order_of_matches(own: dict, its: dict, distance, reach: float = 60.0) -> list:
+    """The order of best_match for ``blocks.best_within``: overlap stands with the candidate, name_similarity with the row."""
+    return [-(2.5 * its["overlap"] + 0.75 * own["name_similarity"] - 0.30 * distance / reach), -its["overlap"], -own["name_similarity"], distance]
+
+
 def match_status(distance: Column, overlap: Column, name: Column) -> Column:
     high = (distance <= 15) & ((overlap >= 0.5) | (name >= 0.5))
     moderate = ((distance <= 30) & ((overlap >= 0.2) | (name >= 0.25))) | (distance <= 8)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.operators.blocks import best_within
 from fathomline.params import GeoParams, LinkParams
 
 
@@ -208,7 +209,9 @@ def nearest_join(
     are none; with fewer than k right rows all of them are returned.
     """
     left, right = left.where(_finite(lx) & _finite(ly)), right.where(_finite(rx) & _finite(ry))
-    return _grown(left, right, [key, *by], right_key, k, start, lambda todo, radius: radius_join(todo, right, radius, lx, ly, rx, ry, by), by)
+    if by:
+        return _grown(left, right, [key, *by], right_key, k, start, lambda todo, radius: radius_join(todo, right, radius, lx, ly, rx, ry, by), by)
+    return _grown(left, right, [key], right_key, k, start, lambda todo, radius: best_within(todo, right, key, right_key, radius, k, lx=lx, ly=ly, rx=rx, ry=ry))
 
 
 def masked(candidates: DataFrame, targets: DataFrame, right_key: str, fold: str, folds: list[int], buffer: float, x: str = "x", y: str = "y", rx: str = "rx", ry: str = "ry") -> DataFrame:
@@ -270,6 +273,17 @@ def candidate_score(distance: Column, similarity: Column, params: LinkParams = L
     return params.distance_weight * F.greatest(F.lit(0.0), 1 - distance / params.distance_scale_m) + params.name_weight * similarity
 
 
+def best_candidates(left: DataFrame, right: DataFrame, key: str, radius: float, similarity: str, others: bool = False, params: LinkParams = LinkParams(), **names: str) -> DataFrame:
+    """Pairs of key and candidate within the radius with their score, for ranked_candidates, which needs no others than these."""
+
+    def order(own: dict, its: dict, distance):
+        near = 1 - distance / params.distance_scale_m
+        return [-(params.distance_weight * near.clip(min=0.0) + params.name_weight * its[similarity]), distance]
+
+    pairs = best_within(left, right, key, "candidate", radius, params.top, order, others, **names)
+    return pairs.withColumn("score", candidate_score(F.col("distance"), F.col(similarity), params))
+
+
 def ranked_candidates(pairs: DataFrame, key: str, params: LinkParams = LinkParams()) -> DataFrame:
     """Top candidates by score, then distance, with candidate_rank and selected."""
     w = Window.partitionBy(key).orderBy(F.desc("score"), "distance", "candidate")

@@ -52,7 +52,9 @@ def _(spark, sf):
 
 @query("j18_w06_ranked_candidates", f"WITH {POINTS}, s AS (SELECT a.vec_id, b.vec_id AS candidate, b.label, {PAIR} AS distance, 0.55 * greatest(0, 1 - {PAIR} / 60) + 0.45 * (b.label / 10.0) AS score FROM points a JOIN points b ON a.vec_id <> b.vec_id WHERE {PAIR} <= 60), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, distance, candidate) AS k FROM s), t AS (SELECT * FROM r WHERE k <= 8), b AS (SELECT vec_id, label, score FROM t WHERE k = 1) SELECT t.vec_id, round(any_value(b.score), 6) AS score, round(any_value(b.score) - max(t.score) FILTER (WHERE t.label <> b.label), 6) AS rival_gap FROM t JOIN b USING (vec_id) GROUP BY t.vec_id")
 def _(spark, sf):
-    pairs = others_within(spark, sf, 60.0).withColumn("candidate", F.col("other_id")).withColumn("score", spatial.candidate_score(F.col("distance"), F.col("label") / 10.0))
+    left, right = two_sides(spark, sf)
+    right = right.withColumnRenamed("other_id", "candidate").withColumn("similarity", F.col("label") / 10.0)
+    pairs = spatial.best_candidates(left, right, "vec_id", 60.0, "similarity", others=True)
     gap = spatial.rival_gap(spatial.ranked_candidates(pairs, "vec_id"), "vec_id", "label")
     return gap.select("vec_id", F.round("score", 6).alias("score"), F.round("rival_gap", 6).alias("rival_gap"))
 
@@ -298,10 +300,12 @@ def _(spark, sf):
 @query("j20_best_line_match", f"WITH {POINTS}, c AS (SELECT a.vec_id, b.vec_id AS candidate, {PAIR} AS distance, b.label / 10.0 AS overlap, a.label / 10.0 AS name FROM points a JOIN points b ON a.vec_id <> b.vec_id WHERE {PAIR} <= 60), s AS (SELECT *, 2.5 * overlap + 0.75 * name - 0.30 * distance / 60 AS score FROM c) SELECT vec_id, candidate, round(score, 6) AS score, CASE WHEN distance <= 15 AND (overlap >= 0.5 OR name >= 0.5) THEN 'high' WHEN (distance <= 30 AND (overlap >= 0.2 OR name >= 0.25)) OR distance <= 8 THEN 'moderate' ELSE 'low' END AS status FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, overlap DESC, name DESC, distance, candidate) = 1")
 def _(spark, sf):
     from fathomline.operators import lines
+    from fathomline.operators.blocks import best_within
 
     p = points(spark, sf)
     other = p.select(F.col("vec_id").alias("candidate"), F.col("x").alias("rx"), F.col("y").alias("ry"), (F.col("label") / 10.0).alias("overlap"))
-    pairs = spatial.radius_join(p.withColumn("name_similarity", F.col("label") / 10.0), other, 60.0).where("vec_id <> candidate")
+    own = p.select("vec_id", "x", "y", (F.col("label") / 10.0).alias("name_similarity"))
+    pairs = best_within(own, other, "vec_id", "candidate", 60.0, 1, lines.order_of_matches, others=True)
     scored = pairs.withColumn("score", lines.match_score(F.col("overlap"), F.col("name_similarity"), F.col("distance")))
     best = lines.best_match(scored, "vec_id", "candidate")
     return best.select("vec_id", "candidate", F.round("score", 6).alias("score"), lines.match_status(F.col("distance"), F.col("overlap"), F.col("name_similarity")).alias("status"))
