@@ -80,6 +80,12 @@ def overlap_share(points: Column, other: Column, buffer: float, least_length: fl
     return F.least(F.lit(1.0), F.coalesce(summed("near"), F.lit(0.0)) / F.greatest(summed("length"), F.lit(least_length)))
 
 
+def overlap_share_near(points: Column, other: Column, distance: Column, buffer: float, least_length: float = 1.0) -> Column:
+    """overlap_share of lines whose distance is known: nothing is computed where it exceeds the buffer (but for rounding)."""
+    share = overlap_share(points, other, buffer, least_length)
+    return F.when(distance > buffer * (1 + 1e-6) + 1e-6, F.lit(0.0)).otherwise(share)
+
+
 def _side(a: Column, b: Column, p: Column) -> Column:
     return (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
 
@@ -93,13 +99,22 @@ def segment_distance(s: Column, o: Column) -> Column:
 
 def line_distance(points: Column, other: Column) -> Column:
     """Least distance of two polylines; null where one has no segment."""
+    # Lines of one segment need no lambda, which Spark does not compile.
+    only = lambda p: {"a": F.get(p, 0), "b": F.get(p, 1)}
+    single = (F.size(points) == 2) & (F.size(other) == 2)
+    return F.when(single, segment_distance(only(points), only(other))).otherwise(_least_distance(points, other))
+
+
+def _least_distance(points: Column, other: Column) -> Column:
     return F.array_min(F.flatten(F.transform(segments(points), lambda s: F.transform(segments(other), lambda o: segment_distance(s, o)))))
 
 
 def _cells(df: DataFrame, points: str, size: float, margin: float, prefix: str) -> DataFrame:
     """One row per grid cell that a line's box, widened by margin, meets; the box's first cell is kept beside it."""
-    edge = lambda axis, f, by: F.floor((f(F.transform(F.col(points), lambda p: p[axis])) + by) / size).cast("long")
-    first = df.where(F.size(points) >= 2).withColumn(f"{prefix}x", edge("x", F.array_min, -margin)).withColumn(f"{prefix}y", edge("y", F.array_min, -margin))
+    end = lambda axis, f: f(F.transform(F.col(points), lambda p: p[axis]))
+    first = df.where(F.size(points) >= 2).withColumns({f"{prefix}{name}{axis}": end(axis, f) for axis in "xy" for name, f in (("low", F.array_min), ("high", F.array_max))})
+    edge = lambda axis, f, by: F.floor((F.col(f"{prefix}{'low' if f is F.array_min else 'high'}{axis}") + by) / size).cast("long")
+    first = first.withColumn(f"{prefix}x", edge("x", F.array_min, -margin)).withColumn(f"{prefix}y", edge("y", F.array_min, -margin))
     wide = first.withColumn("_cx", F.explode(F.sequence(F.col(f"{prefix}x"), edge("x", F.array_max, margin))))
     return wide.withColumn("_cy", F.explode(F.sequence(F.col(f"{prefix}y"), edge("y", F.array_max, margin))))
 
@@ -110,8 +125,14 @@ def line_join(left: DataFrame, right: DataFrame, points: str, other: str, reach:
     Cells are four times the reach wide by default; long lines call for larger ones. Lines without a segment meet none.
     """
     size = cell or 4 * reach
+    # Pairs are many more than lines: a small table of one partition would leave all of them to one task.
+    left = left.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(points))
     met = _cells(left, points, size, reach, "_l").join(_cells(right, other, size, 0.0, "_r"), ["_cx", "_cy"])
-    met = met.where((F.col("_cx") == F.greatest("_lx", "_rx")) & (F.col("_cy") == F.greatest("_ly", "_ry"))).drop("_cx", "_cy", "_lx", "_ly", "_rx", "_ry")
+    met = met.where((F.col("_cx") == F.greatest("_lx", "_rx")) & (F.col("_cy") == F.greatest("_ly", "_ry")))
+    # Boxes farther apart than the reach, a hair more for rounding, need no distance.
+    far = reach * (1 + 1e-9)
+    met = met.where(" AND ".join(f"_{p}low{c} - _{q}high{c} <= {far!r}" for c in "xy" for p, q in ("lr", "rl")))
+    met = met.drop("_cx", "_cy", *[f"_{p}{n}{c}" for p in "lr" for n in ("", "low", "high") for c in "xy"])
     return met.withColumn("distance", line_distance(F.col(points), F.col(other))).where(F.col("distance") <= reach)
 
 

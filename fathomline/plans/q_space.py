@@ -279,7 +279,7 @@ def _(spark, sf):
     left = p.select("vec_id", "label", line.alias("line"))
     right = p.select(F.col("vec_id").alias("candidate"), F.col("label").alias("other_label"), line.alias("other"))
     pairs = lines.line_join(left, right, "line", "other", 60.0).where("vec_id <> candidate")
-    same = pairs.withColumn("overlap", F.round(lines.overlap_share(F.col("line"), F.col("other"), 12.0), 9)).withColumn("distance", F.round("distance", 9)).withColumn("name_similarity", (F.col("label") == F.col("other_label")).cast("double"))
+    same = pairs.withColumn("overlap", F.round(lines.overlap_share_near(F.col("line"), F.col("other"), F.col("distance"), 12.0), 9)).withColumn("distance", F.round("distance", 9)).withColumn("name_similarity", (F.col("label") == F.col("other_label")).cast("double"))
     best = lines.best_match(same.withColumn("score", F.round(lines.match_score(F.col("overlap"), F.col("name_similarity"), F.col("distance")), 9)), "vec_id", "candidate")
     return best.select("vec_id", "candidate", *[F.round(c, 6).alias(c) for c in ("distance", "overlap", "score")], lines.match_status(F.col("distance"), F.col("overlap"), F.col("name_similarity")).alias("status"))
 

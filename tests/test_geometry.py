@@ -102,3 +102,20 @@ def test_slots_are_named_by_digests_and_stay_in_their_task(spark):
         assert {r.draw: (r.s, r.n) for r in got.collect()} == want
     # Before, every slot of every draw was shuffled to its cluster: no join is left below the aggregation by draws.
     assert "Join" not in stats._drawn_sums(sums, 23, 5, 7)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_of_one_segment_and_far_lines(spark):
+    """One segment by plain columns equals the general way; where lines are apart, their overlap is 0 without being computed."""
+    random.seed(9)
+    line = lambda: [(random.uniform(0, 40), random.uniform(0, 40)) for _ in range(2)]
+    df = spark.createDataFrame([(i, line(), line()) for i in range(300)] + [(300, [(0.0, 0.0), (12.0, 0.0)], [(0.0, 12.0), (12.0, 12.0)]), (301, [(1.0, 1.0)] * 2, [(1.0, 1.0), (4.0, 5.0)])], f"i int, a {LINE}, b {LINE}")
+    a, b = F.col("a"), F.col("b")
+    got = df.select(lines.line_distance(a, b).alias("d"), lines._least_distance(a, b).alias("e"), lines.overlap_share(a, b, 12.0).alias("s"))
+    near = df.withColumn("d", lines.line_distance(a, b)).select(lines.overlap_share_near(a, b, F.col("d"), 12.0).alias("t")).collect()
+    for r, n in zip(got.collect(), near):
+        assert r.d == r.e and n.t == pytest.approx(r.s, abs=1e-9)
+    # Before, every pair of a cell four times the reach wide got its distance.
+    joined = lines.line_join(df.select("i", "a"), df.select(F.col("i").alias("j"), "b"), "a", "b", 3.0)
+    want = df.select("i", "a").crossJoin(df.select(F.col("i").alias("j"), "b")).withColumn("d", lines._least_distance(a, b)).where("d <= 3")
+    assert {(r.i, r.j) for r in joined.collect()} == {(r.i, r.j) for r in want.collect()}
+    assert "_llowx" in joined._jdf.queryExecution().analyzed().toString() and joined.columns == ["i", "a", "j", "b", "distance"]
