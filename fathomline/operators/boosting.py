@@ -20,11 +20,12 @@ node's best split back. They are answered in one of two ways, with equal trees:
   node, feature), summed in the map tasks first; the driver sees one candidate per key. Medians
   are selected by counts of 16 bits at a time, so no leaf's rows are gathered.
 * a model per task, where the whole binned frame has at most ``resident_rows`` rows: rows are
-  sent once to each model that uses them. A larger frame is merged first: rows with the same codes
-  get the same prediction and always stand in the same node, so one row with their weights stands
-  for all that also share the target (for the other losses, whose sums are linear in the target,
-  for all, with the mean target). Where no model has more than ``resident_rows`` merged rows, a
-  task holds these; what does not merge is fitted by levels.
+  sent once to each model that uses them. In a larger frame, rows with the same codes (a cell) get
+  the same prediction and always stand in the same node. For the absolute loss a task holds of each
+  row only the target, sorted in its cell, up to ``CELL_ROWS`` times as many: trees grow over cells,
+  and rows are touched once a round, for the medians. For the other losses, whose sums are linear in
+  the target, one row with the mean target stands for its cell. Where no model has more than
+  ``resident_rows`` merged rows, a task holds these; all else is fitted by levels.
 """
 
 from __future__ import annotations
@@ -40,6 +41,9 @@ from pyspark.sql import types as T
 
 from fathomline.session import discard, materialize
 
+#: A row of a cell takes a few numbers where a row of its own takes a code for each feature and node.
+CELL_ROWS = 16
+
 
 @dataclass(frozen=True)
 class BoostParams:
@@ -157,6 +161,8 @@ class Grower:
         self.found: dict[int, tuple | None] = {}
         self.sums: dict[int, np.ndarray] = {}
         self.wanted = [0]
+        #: Numbers of the finished tree's leaves by those of the growing one.
+        self.leaves: dict[int, int] = {}
 
     def feed(self, node: int, candidates: list[tuple[int, tuple]]) -> None:
         """candidates: (feature, its best split) of one node."""
@@ -197,7 +203,9 @@ class Grower:
             if old in made:
                 child = out.split(new, self.tree.feature[old], self.tree.bin[old], self.tree.missing_left[old])
                 todo += [(self.tree.left[old], child), (self.tree.left[old] + 1, child + 1)]
-            elif old in self.sums:
+                continue
+            self.leaves[old] = new
+            if old in self.sums:
                 g, h, _ = self.sums[old]
                 out.value[new] = float(-g / (h + self.params.penalty) * self.params.rate)
         return out
@@ -254,6 +262,78 @@ def fit_resident(codes: np.ndarray, y: np.ndarray, w: np.ndarray, allowed: np.nd
     return start, trees
 
 
+def median(values: np.ndarray) -> float:
+    """Median as weighted_median has it; the order of values is lost."""
+    low = (len(values) - 1) // 2
+    values.partition(low)
+    high = values[low] if len(values) % 2 else values[low + 1 :].min()
+    return float((values[low] + high) / 2)
+
+
+def fit_cells(codes: np.ndarray, begins: np.ndarray, y: np.ndarray, w: np.ndarray, allowed: np.ndarray, params: BoostParams) -> tuple[float, list[Tree]]:
+    """One model of the absolute loss, with the trees of fit_resident; codes of each cell, whose rows y[begins[i]:begins[i + 1]] are sorted."""
+    missing, width, n_cells, n_features = params.bins, params.bins + 1, *codes.shape
+    even = w.sum() <= 4 * len(w)
+    if even:  # rows drawn twice stand there twice, and no weights are needed
+        begins, y = np.r_[0, np.cumsum(w)].astype(np.int64)[begins], np.repeat(y, w.astype(np.int64))
+        w = np.ones(len(y))
+    first, after, rows = begins[:-1], begins[1:], np.diff(begins)
+    before = np.r_[0.0, np.cumsum(w)]
+    weight = before[after] - before[first]
+    columns, keys = np.ascontiguousarray(codes.T), codes + np.arange(n_features) * width
+    start = start_value(params.loss, y, w)
+    raw, trees = np.full(n_cells, start), []
+
+    def tally(cells: np.ndarray, values: tuple[np.ndarray, ...]) -> np.ndarray:
+        """As histograms, for one node. All sums are whole numbers, so differences of them are exact."""
+        at = keys[cells].ravel()
+        g, n = (np.bincount(at, weights=np.repeat(v[cells], n_features), minlength=n_features * width).reshape(n_features, width) for v in values)
+        return np.stack([g, n, n], axis=2)
+
+    for _ in range(params.rounds):
+        low, high = first.copy(), after.copy()  # first row of each cell that is not below its prediction
+        while len(open_ := np.flatnonzero(low < high)):
+            middle = (low[open_] + high[open_]) // 2
+            below = y[middle] < raw[open_]
+            low[open_[below]], high[open_[~below]] = middle[below] + 1, middle[~below]
+        sums = 2 * (before[low] - before[first]) - weight, weight
+        grower = Grower(params, allowed)
+        cells = {0: np.arange(n_cells)}
+        hists = {0: tally(cells[0], sums)}
+        while grower.wanted:
+            splits = best_splits(np.concatenate([hists[one] for one in grower.wanted]), params)
+            for i, one in enumerate(grower.wanted):
+                grower.feed(one, list(enumerate(splits[i * n_features : (i + 1) * n_features])))
+            tree, known = grower.tree, len(grower.tree.feature)
+            grower.advance()
+            for left in range(known, len(tree.feature), 2):
+                node = tree.left.index(left)
+                code = columns[tree.feature[node]][cells[node]]
+                goes = np.where(code == missing, tree.missing_left[node], code <= tree.bin[node])
+                cells[left], cells[left + 1] = cells[node][goes], cells[node][~goes]
+                if {left, left + 1} & set(grower.wanted):
+                    small = left if len(cells[left]) <= len(cells[left + 1]) else left + 1
+                    hists[small] = tally(cells[small], sums)
+                    hists[2 * left + 1 - small] = hists[node] - hists[small]
+        tree = grower.finish()
+        if len(tree.feature) > 1:
+            order = np.concatenate([cells[one] for one in grower.leaves])
+            n = rows[order]
+            ends = np.cumsum(n)
+            take = np.arange(ends[-1]) + np.repeat(first[order] - (ends - n), n)
+            rest = y[take] - np.repeat(raw[order], n)
+            cell = row = 0
+            for old, new in grower.leaves.items():
+                upto = cell + len(cells[old])
+                end = int(ends[upto - 1]) if upto else 0
+                if end > row:
+                    tree.value[new] = (median(rest[row:end]) if even else weighted_median(rest[row:end], w[take[row:end]])) * params.rate
+                raw[cells[old]] += tree.value[new]
+                cell, row = upto, end
+        trees.append(tree)
+    return start, trees
+
+
 @dataclass
 class Ensemble:
     """Fitted models: for each a start and its trees, over shared bins; size is bounded by the parameters and the models."""
@@ -314,8 +394,7 @@ def _binned(df: DataFrame, ensemble: Ensemble, models: list[Model]) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = ensemble.codes(_columns(batch, names)).astype(np.uint8)
-            packed = pa.array([r.tobytes() for r in codes], pa.binary())
+            packed = _packed(ensemble.codes(_columns(batch, names)))
             yield pa.RecordBatch.from_arrays([packed, batch.column(len(names)), batch.column(len(names) + 1)], ["x", "y", "w"])
 
     return ready.where(F.exists("w", lambda n: n > 0)).mapInArrow(run, "x binary, y array<double>, w array<int>")
@@ -342,22 +421,53 @@ def _merged(opened: DataFrame, loss: str) -> DataFrame:
     return opened.groupBy("model", "x").agg((F.sum(F.col("y") * F.col("w")) / F.sum("w")).alias("y"), F.sum("w").alias("w"))
 
 
-def _fit_by_model(opened: DataFrame, allowed: np.ndarray, params: BoostParams) -> tuple[list[float], list[list[Tree]]]:
+def _packed(codes: np.ndarray) -> pa.Array:
+    """Codes of each row as bytes."""
+    ends = np.arange(len(codes) + 1, dtype=np.int32) * codes.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(codes, dtype=np.uint8))])
+
+
+def _codes(column: pa.ChunkedArray, n_features: int) -> np.ndarray:
+    """Packed codes of rows without nulls."""
+    parts = []
+    for c in column.chunks:
+        if len(c) and n_features:
+            begin = np.frombuffer(c.buffers()[1], dtype=np.int32, count=c.offset + 1)[c.offset]
+            parts.append(np.frombuffer(c.buffers()[2], dtype=np.uint8)[begin : begin + len(c) * n_features])
+    return np.concatenate(parts or [np.zeros(0, dtype=np.uint8)]).reshape(len(column), n_features)
+
+
+def _by_cell(codes: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of each cell, where its rows begin, and y and w in the order of cells and y."""
+    packed = np.ascontiguousarray(np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8)))).view(np.uint64)
+    order = np.lexsort([y, *packed.T])
+    packed = packed[order]
+    begins = np.flatnonzero(np.r_[True, (packed[1:] != packed[:-1]).any(axis=1)])
+    return codes[order[begins]].astype(np.int64), np.r_[begins, len(y)], y[order], w[order]
+
+
+def _fit_by_model(opened: DataFrame, allowed: np.ndarray, params: BoostParams, cells: bool = False) -> tuple[list[float], list[list[Tree]]]:
+    """A model per task; ``cells``: by fit_cells."""
     n_features = allowed.shape[1]
 
     def run(rows: pa.Table) -> pa.Table:
         model = rows.column("model")[0].as_py()
-        codes = np.frombuffer(b"".join(rows.column("x").to_pylist()), dtype=np.uint8).reshape(-1, n_features).astype(np.int64)
-        # In one order, whatever the shuffle: sums of floats then agree from run to run.
+        codes = _codes(rows.column("x"), n_features)
         y, w = rows.column("y").to_numpy().astype(np.float64), rows.column("w").to_numpy().astype(np.float64)
-        order = np.lexsort([w, *codes.T, y])
-        start, trees = fit_resident(codes[order], y[order], w[order], allowed[model], params)
+        if cells:
+            # Features that the model does not use tell no cells apart.
+            start, trees = fit_cells(*_by_cell(np.where(allowed[model], codes, 0).astype(np.uint8), y, w), allowed[model], params)
+        else:
+            # In one order, whatever the shuffle: sums of floats then agree from run to run.
+            codes = codes.astype(np.int64)
+            order = np.lexsort([w, *codes.T, y])
+            start, trees = fit_resident(codes[order], y[order], w[order], allowed[model], params)
         cols = [[model] * len(trees), list(range(len(trees))), [start] * len(trees), *([getattr(t, c) for t in trees] for c in ("feature", "bin", "missing_left", "left", "value"))]
         kinds = [pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.float64())]
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in _TREE.split(", ")])
 
     starts, trees = [0.0] * len(allowed), [[] for _ in allowed]
-    for r in sorted(opened.repartition(len(allowed), "model").groupBy("model").applyInArrow(run, _TREE).collect(), key=lambda r: (r["model"], r["round"])):
+    for r in sorted(opened.repartitionById(len(allowed), "model").groupBy("model").applyInArrow(run, _TREE).collect(), key=lambda r: (r["model"], r["round"])):
         starts[r["model"]] = r["start"]
         trees[r["model"]].append(Tree(list(r["feature"]), list(r["bin"]), list(r["missing_left"]), list(r["left"]), list(r["value"])))
     return starts, trees
@@ -525,6 +635,12 @@ class _ByLevels:
         return self.starts, self.trees
 
 
+def _most_rows(binned: DataFrame, n_models: int) -> int:
+    """Rows of the model that uses most, or its draws where these are not many more (see fit_cells)."""
+    each = lambda m: F.greatest(F.count_if(F.get("w", m) > 0), F.least(F.sum(F.get("w", m)), 4 * F.count_if(F.get("w", m) > 0)))
+    return binned.agg(F.greatest(F.lit(0), F.lit(0), *[F.coalesce(each(m), F.lit(0)) for m in range(n_models)])).first()[0]
+
+
 def fit(df: DataFrame, features: list[str], models: list[Model], params: BoostParams = BoostParams()) -> Ensemble:
     """All models over one frame. Rows with a null target or weight are in no training part."""
     empty = Ensemble(features, bin_edges(df, features, params.bins), [m.name for m in models], [], [], params)
@@ -533,6 +649,8 @@ def fit(df: DataFrame, features: list[str], models: list[Model], params: BoostPa
     merged = None
     if binned.count() <= params.resident_rows:
         starts, trees = _fit_by_model(_opened(binned), allowed, params)
+    elif params.loss == "absolute" and _most_rows(binned, len(models)) <= CELL_ROWS * params.resident_rows:
+        starts, trees = _fit_by_model(_opened(binned), allowed, params, cells=True)
     else:
         merged = materialize(_merged(_opened(binned), params.loss), "merged")
         largest = merged.groupBy("model").count().agg(F.max("count")).first()[0] or 0
@@ -549,19 +667,25 @@ def predict(df: DataFrame, ensemble: Ensemble, out: str = "predictions", floor:
     sent = df.sparkSession.sparkContext.broadcast(ensemble)
     names, kept = [f"_x{i}" for i in range(len(ensemble.features))], df.columns
     ready = df.select("*", *[F.col(f).cast("double").alias(n) for n, f in zip(names, ensemble.features)])
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = _packed(sent.value.codes(_columns(batch, names)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), packed], [*kept, "_cell"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sent.value
         for batch in batches:
-            codes = held.codes(_columns(batch, names))
+            codes = _codes(pa.chunked_array([batch.column(0)]), len(names)).astype(np.int64)
             raw = np.stack([held.raw(m, codes) for m in range(len(held.names))], axis=1) if batch.num_rows else np.zeros((0, len(held.names)))
             found = np.exp(raw) if held.params.loss == "poisson" else raw
             found = found if floor is None else np.maximum(found, floor)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * len(held.names), pa.int32()), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), lists], [*kept, out])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * len(held.names), pa.int32()), pa.array(found.ravel()))], ["_cell", out])
 
-    return ready.mapInArrow(run, schema)
+    coded = ready.mapInArrow(encode, T.StructType([*df.schema.fields, T.StructField("_cell", T.BinaryType())]))
+    # Rows with the same codes have the same prediction: the trees are walked once for each, spread over all tasks.
+    cells = coded.select("_cell").distinct().repartition(df.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, f"_cell binary, `{out}` array<double>")
+    return coded.join(cells, "_cell").select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{out}`"))
 
 
 def fold_models(folds: list[int], fold: str, value: str, features: tuple[str, ...] | None = None, prefix: str = "") -> list[Model]:

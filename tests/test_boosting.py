@@ -177,3 +177,28 @@ def test_rows_that_no_model_tells_apart_are_merged(spark, monkeypatch, loss):
         # A split and its mirror image (missing rows on the other side) have equal gains, so predictions are compared.
         codes = want.codes([np.array([r[c] if r[c] is not None else np.nan for r in rows]) for c in (1, 2)])
         assert len(got.trees[m]) == 6 and got.raw(m, codes) == pytest.approx(want.raw(m, codes))
+
+
+@pytest.mark.parametrize("most", [1, 3, 40])
+def test_cells_give_the_trees_of_their_rows(most):
+    """Rows of one cell are fitted together; weights that draw rows up to 40 times are kept as weights."""
+    rng = np.random.default_rng(most)
+    codes = rng.integers(0, 13, (3000, 3)).astype(np.uint8)
+    codes[:, 2] = np.where(codes[:, 0] > 6, 12, codes[:, 2] % 2)
+    y = np.round(codes[:, 0] * 3 + (codes[:, 1] == 12) * 9 + rng.normal(size=3000) * 4, 1)
+    w, allowed = rng.integers(1, most + 1, 3000).astype(float), np.array([True, True, most != 3])
+    params = BoostParams(rounds=8, bins=12, leaves=9, least_rows=15, rate=0.3)
+    want = boosting.fit_resident(codes.astype(np.int64), y, w, allowed, params)
+    got = boosting.fit_cells(*boosting._by_cell(np.where(allowed, codes, 0).astype(np.uint8), y, w), allowed, params)
+    assert got == want
+
+
+def test_frames_of_different_targets_need_no_pass_per_level(frame, monkeypatch):
+    """Before, a frame above resident_rows whose targets differ took some ten jobs for each round (l04_l06, l12, l14, m20)."""
+    models = boosting.fold_models([1, 2], "fold", "y") + [Model("boot", F.col("y"), boosting.drawn(F.col("id"), 1), ("a",))]
+    want = boosting.fit(frame, ["a", "b"], models, BoostParams(rounds=5, leaves=5))
+    monkeypatch.setattr(boosting, "_ByLevels", None)
+    got = boosting.fit(frame, ["a", "b"], models, BoostParams(rounds=5, leaves=5, resident_rows=100))
+    assert got.starts == want.starts and got.trees == want.trees
+    of_rows = lambda e: boosting.predict(frame, e).orderBy("id").select("id", "predictions").collect()
+    assert of_rows(got) == of_rows(want)
