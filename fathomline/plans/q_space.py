@@ -314,13 +314,13 @@ def _(spark, sf):
 @query("j21_convex_overlap", f"""WITH {POINTS}, p AS (SELECT a.vec_id, b.vec_id AS other_id, abs((a.x - b.x) + (a.y - b.y)) AS u, abs((a.x - b.x) - (a.y - b.y)) AS v FROM points a JOIN points b ON a.vec_id < b.vec_id AND {PAIR} <= 20)
 SELECT vec_id, other_id, round(greatest(0, 20 - u) * greatest(0, 20 - v) / 2, 6) AS area FROM p""")
 def _(spark, sf):
-    from fathomline.operators.overlay import ring_overlap
+    from fathomline.operators.blocks import pairs_within
+    from fathomline.operators.overlay import shared_area
 
-    p = points(spark, sf).select("vec_id", "x", "y")
-    q = p.select(F.col("vec_id").alias("other_id"), F.col("x").alias("rx"), F.col("y").alias("ry"))
-    near = spatial.radius_join(p, q, 20.0).where("vec_id < other_id")
     diamond = lambda x, y: F.array(*[F.struct((F.col(x) + dx).alias("x"), (F.col(y) + dy).alias("y")) for dx, dy in ((-10.0, 0.0), (0.0, -10.0), (10.0, 0.0), (0.0, 10.0))])
-    return near.select("vec_id", "other_id", F.round(ring_overlap(diamond("x", "y"), diamond("rx", "ry")), 6).alias("area"))
+    p = points(spark, sf).select("vec_id", "x", "y").withColumn("a", diamond("x", "y"))
+    q = p.select(F.col("vec_id").alias("other_id"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("a").alias("b"))
+    return pairs_within(p, q, "vec_id", "other_id", 20.0, "area", shared_area("a", "b")).withColumn("area", F.round("area", 6))
 
 
 @query("j23_greedy_assignment")

@@ -119,3 +119,21 @@ def test_lines_of_one_segment_and_far_lines(spark):
     want = df.select("i", "a").crossJoin(df.select(F.col("i").alias("j"), "b")).withColumn("d", lines._least_distance(a, b)).where("d <= 3")
     assert {(r.i, r.j) for r in joined.collect()} == {(r.i, r.j) for r in want.collect()}
     assert "_llowx" in joined._jdf.queryExecution().analyzed().toString() and joined.columns == ["i", "a", "j", "b", "distance"]
+
+
+def test_ring_overlaps_of_batches(spark):
+    """The same areas as by built-in functions, which took a fold over all pairs of edges for each row (j21_convex_overlap)."""
+    from fathomline.operators import overlay
+
+    random.seed(6)
+    ring = lambda n: [(random.randrange(9) + random.choice([0.0, 0.25]), float(random.randrange(9))) for _ in range(n)]
+    star = lambda n, x, y: [(x + (3 + 5 * (i % 2)) * math.cos(6.28 * i / n), y + (3 + 5 * (i % 2)) * math.sin(6.28 * i / n)) for i in range(n)][:: random.choice([1, -1])]
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    rows = [(star(random.choice([6, 10]), random.random() * 9, 0.0), star(8, 0.0, 1e6 * (i == 3) + random.random())) for i in range(40)] + [(ring(3), ring(3)) for _ in range(30)]
+    rows += [(None, square), (square, []), (square, square[:2]), (square, square), (square, [(1.0, None), *square]), (square, [(2.0, 1.0), (9.0, 1.0), (9.0, 2.0)])]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "id long, a array<struct<x double, y double>>, b array<struct<x double, y double>>").repartition(2)
+    got = overlay.with_ring_overlap(df, "a", "b", "area").withColumn("want", overlay.ring_overlap(F.col("a"), F.col("b"))).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.area is r.want is None if r.want is None else r.area == pytest.approx(r.want, abs=1e-9), r.id
+    assert sum(bool(r.area) for r in got) > 40
