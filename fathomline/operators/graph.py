@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from fathomline.operators.skew import SHARE, join_counted
 from fathomline.session import discard, materialize
 
+#: Graphs with more nodes are joined by sorting: their tables compress so well that Spark would take them for small ones and
+#: build them on the driver for a broadcast.
+BROADCAST_NODES = 1 << 18
+
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of an edge.
@@ -24,9 +28,10 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     both = materialize(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
     total = labels.count()
+    sorted_ = (lambda df: df.hint("merge")) if total > BROADCAST_NODES else (lambda df: df)
     for _ in range(max_rounds):
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        hooked = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = both.join(sorted_(labels), both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
+        hooked = labels.join(sorted_(near), labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         largest = labels.groupBy("label").count().agg(F.max("count")).first()[0] or 0
         carried = None
         if largest * SHARE > total:
@@ -34,10 +39,10 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
             carried = hooked.groupBy("label").agg(F.count(F.lit(1)).alias("carriers"))
         up = hooked.select(F.col("node").alias("label"), F.col("label").alias("upper"))
         if carried is None:  # no label has a large share of the nodes
-            met = hooked.join(up, "label", "left")
+            met = hooked.join(sorted_(up), "label", "left")
         else:
-            carried = materialize(carried.join(up, "label"), "carried")
-            met = join_counted(hooked, carried, "label", "carriers", total)
+            carried = materialize(carried.join(sorted_(up), "label"), "carried")
+            met = join_counted(hooked, carried, "label", "carriers", total, sorted_)
         seen = Observation()
         moved = met.select("node", "old", F.least("label", F.coalesce("upper", "label")).alias("label"))
         after = materialize(moved.observe(seen, F.count_if(F.col("old") != F.col("label")).alias("changed")), "labels")

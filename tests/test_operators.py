@@ -314,3 +314,18 @@ def test_a_giant_component_and_a_hub(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame([*hub, *chain, *small, (9, 9), (None, 4)], "src long, dst long")).collect()}
     assert {n for n, c in got.items() if c == 0} == {*range(1500), *range(2000, 2041)}
     assert all(got[a] == got[b] == a for a, b in small) and len(got) == 1500 + 41 + 400
+
+
+def test_components_of_large_graphs_are_not_broadcast(spark, monkeypatch):
+    """Tables of nodes compress well below Spark's limit for a broadcast, which is built on the driver (n13_components_whole)."""
+    from fathomline.operators import graph
+
+    hints = []
+    hint = type(spark.range(1)).hint
+    monkeypatch.setattr(type(spark.range(1)), "hint", lambda self, name, *args: hints.append(name) or hint(self, name, *args))
+    monkeypatch.setattr(graph, "BROADCAST_NODES", 10)
+    # A chain, a star whose label is carried by most nodes, and a pair.
+    ends = [(i, i + 1) for i in range(100, 110)] + [(1, i) for i in range(200, 400)] + [(7, 8)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(ends, "src long, dst long")).collect()}
+    assert got == {**{i: 100 for i in range(100, 111)}, **{i: 1 for i in (1, *range(200, 400))}, 7: 7, 8: 7}
+    assert hints.count("merge") >= 4
