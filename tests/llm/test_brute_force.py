@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fathomline.llm import decontaminate, langid, licenses, packing, sharding, surrogates, toxicity, urlrules
+from fathomline.llm import decontaminate, langid, licenses, ngram_join, packing, sharding, surrogates, toxicity, urlrules
 from fathomline.llm.queries import vocabulary_path
 
 KEY = surrogates.SurrogateParams("a key of these tests")
@@ -259,3 +259,23 @@ def test_pipeline_stages_at_the_edges(spark, name, stage):
         want = list(dict.fromkeys(want))
     assert out.columns == docs.columns and kept == sorted((str(i), t or "") for i, t in want)
     assert {tuple(r[c] for c in ("score", "spans", "key", "first", "n_words", "row")) for r in got} == {(0.5, 1, "k", 2, 3, "r")}
+
+
+@pytest.mark.parametrize("most", [1 << 17, 0])
+def test_pairs_that_signatures_rule_out_are_not_verified(spark, monkeypatch, most):
+    """Texts that share half their passages are named together; their sets are not fetched (op1_ngram_jaccard)."""
+    words = lambda name, n: [f"{name}_{i}" for i in range(n)]
+    # Each passage of the ring stands in two texts, so that no shingle is rarer than another.
+    rows = [(i, " ".join([*words(f"p{i}", 50), *words(f"p{(i + 1) % 40}", 50)])) for i in range(40)]
+    for g in range(20):
+        copy = words(f"near{g}", 200)
+        rows += [(1000 + 100 * g + 10, " ".join(copy)), (1000 + 100 * g + 11, " ".join([*copy[:-1], "end"]))]
+    seen = []
+    monkeypatch.setattr(ngram_join, "_SENT_PAIRS", most)
+    verify = ngram_join._Join.verify
+    monkeypatch.setattr(ngram_join._Join, "verify", lambda self, pairs: seen.append(pairs.count()) or verify(self, pairs))
+    monkeypatch.setattr(ngram_join, "_reaches", lambda n_a, rest_a, n_b, rest_b, percent: np.full(np.broadcast(n_a, n_b).shape, True))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()}
+    assert got == {i: i - 1 if i > 1000 and i % 100 == 11 else i for i, _ in rows}
+    assert seen[0] == 20
