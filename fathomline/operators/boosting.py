@@ -280,22 +280,39 @@ def fit_cells(codes: np.ndarray, begins: np.ndarray, y: np.ndarray, w: np.ndarra
     first, after, rows = begins[:-1], begins[1:], np.diff(begins)
     before = np.r_[0.0, np.cumsum(w)]
     weight = before[after] - before[first]
-    columns, keys = np.ascontiguousarray(codes.T), codes + np.arange(n_features) * width
+    columns = np.ascontiguousarray(codes.T)
     start = start_value(params.loss, y, w)
     raw, trees = np.full(n_cells, start), []
 
+    # A gradient is at most as large as its weight, so sums of both fit into one float without rounding.
+    unit = float(1 << 26) if before[-1] < 1 << 25 else 0.0
+
     def tally(cells: np.ndarray, values: tuple[np.ndarray, ...]) -> np.ndarray:
         """As histograms, for one node. All sums are whole numbers, so differences of them are exact."""
-        at = keys[cells].ravel()
-        g, n = (np.bincount(at, weights=np.repeat(v[cells], n_features), minlength=n_features * width).reshape(n_features, width) for v in values)
-        return np.stack([g, n, n], axis=2)
+        values = (values[1] * unit + values[0],) if unit else values
+        held = [v[cells] for v in values]
+        out = np.empty((n_features, width, 3))
+        for f in range(n_features):
+            at = columns[f][cells]
+            sums = [np.bincount(at, weights=v, minlength=width) for v in held]
+            n = np.rint(sums[0] / unit) if unit else sums[1]
+            out[f, :, 0], out[f, :, 1], out[f, :, 2] = (sums[0] - n * unit if unit else sums[0]), n, n
+        return out
 
-    for _ in range(params.rounds):
-        low, high = first.copy(), after.copy()  # first row of each cell that is not below its prediction
+    def under(raw: np.ndarray) -> np.ndarray:
+        """The first row of each cell that is not below its prediction."""
+        if len(y) <= 16 * n_cells:  # a look at each row costs less than a search in each cell
+            upto = np.r_[0, np.cumsum(y < np.repeat(raw, rows))]
+            return first + upto[after] - upto[first]
+        low, high = first.copy(), after.copy()
         while len(open_ := np.flatnonzero(low < high)):
             middle = (low[open_] + high[open_]) // 2
             below = y[middle] < raw[open_]
             low[open_[below]], high[open_[~below]] = middle[below] + 1, middle[~below]
+        return low
+
+    for _ in range(params.rounds):
+        low = under(raw)
         sums = 2 * (before[low] - before[first]) - weight, weight
         grower = Grower(params, allowed)
         cells = {0: np.arange(n_cells)}

@@ -193,6 +193,21 @@ def test_cells_give_the_trees_of_their_rows(most):
     assert got == want
 
 
+@pytest.mark.parametrize("cells, heavy", [(13, 1), (200, 1), (200, 1 << 16)])
+def test_few_and_many_rows_of_a_cell_give_the_same_trees(cells, heavy):
+    """Few rows are looked at one by one, many are searched; sums of large weights are not packed (l04_l06, l14, m20)."""
+    rng = np.random.default_rng(cells)
+    codes = rng.integers(0, cells, (3000, 2)).astype(np.uint8)
+    codes[:, 1] = np.where(codes[:, 1] > 9, 0, codes[:, 1] % 2 * 9)
+    if cells == 200:
+        codes[:, 1] = rng.integers(0, 10, 3000)
+    y, w = np.round(codes[:, 0] / 9 + rng.normal(size=3000), 2), (heavy * rng.integers(1, 3, 3000)).astype(float)
+    allowed, params = np.array([True, True]), BoostParams(rounds=6, bins=255, leaves=7, least_rows=15 * heavy, rate=0.3)
+    packed = boosting._by_cell(codes, y, w)
+    assert (len(y) > 16 * len(packed[0])) == (cells == 13) and (w.sum() >= 1 << 25) == (heavy > 1)
+    assert boosting.fit_cells(*packed, allowed, params) == boosting.fit_resident(codes.astype(np.int64), y, w, allowed, params)
+
+
 def test_frames_of_different_targets_need_no_pass_per_level(frame, monkeypatch):
     """Before, a frame above resident_rows whose targets differ took some ten jobs for each round (l04_l06, l12, l14, m20)."""
     models = boosting.fold_models([1, 2], "fold", "y") + [Model("boot", F.col("y"), boosting.drawn(F.col("id"), 1), ("a",))]
