@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.operators.blocks import best_within
+from fathomline.operators.blocks import best_within, first_of_copies, halvings
 from fathomline.params import GeoParams, LinkParams
 
 
@@ -171,8 +171,11 @@ def _finite(c: str) -> Column:
     return F.coalesce(F.abs(F.col(c)) < F.lit(float("inf")), F.lit(False))
 
 
-def _grown(left: DataFrame, right: DataFrame, key: list[str], right_key: str, k: int, start: float, within: Callable[[DataFrame, float], DataFrame], by: tuple[str, ...] = ()) -> DataFrame:
-    """k nearest of each left row: rows that have k (or all there are in their group of ``by``) within a radius are done, the rest try twice the radius."""
+def _grown(left: DataFrame, right: DataFrame, key: list[str], right_key: str, k: int, start: float | Callable[[DataFrame], float], within: Callable[[DataFrame, float], DataFrame], by: tuple[str, ...] = ()) -> DataFrame:
+    """k nearest of each left row: rows that have k (or all there are in their group of ``by``) within a radius are done, the rest try twice the radius.
+
+    The first radius may follow from the left rows.
+    """
     from fathomline.session import discard, materialize
 
     w = Window.partitionBy(*key).orderBy("distance", right_key)
@@ -182,7 +185,7 @@ def _grown(left: DataFrame, right: DataFrame, key: list[str], right_key: str, k:
         todo = materialize(left.join(counts, list(by)), "todo")
     else:
         todo = materialize(left.withColumn("_need", F.lit(min(k, right.count())).cast("long")), "todo")
-    radius, done = start, None
+    radius, done = start(todo) if callable(start) else start, None
     while True:
         found = materialize(within(todo, radius).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k), "nearest")
         full = found.where(F.col("place") == F.col("_need")).select(*key)
@@ -205,13 +208,21 @@ def nearest_join(
 
     Grid rings grow: rows with k neighbours within the radius are done, the rest try twice
     the radius, until all are done. Exact, because k neighbours within r beat everything
-    outside r. Rows whose coordinates are null or no finite numbers have no neighbours and
+    outside r. Without ``by`` the first radius is halved where rows are dense, and of right
+    rows that agree in all but their key only the first k are met, so work does not grow as the
+    square of either. Rows whose coordinates are null or no finite numbers have no neighbours and
     are none; with fewer than k right rows all of them are returned.
     """
     left, right = left.where(_finite(lx) & _finite(ly)), right.where(_finite(rx) & _finite(ry))
     if by:
         return _grown(left, right, [key, *by], right_key, k, start, lambda todo, radius: radius_join(todo, right, radius, lx, ly, rx, ry, by), by)
-    return _grown(left, right, [key], right_key, k, start, lambda todo, radius: best_within(todo, right, key, right_key, radius, k, lx=lx, ly=ly, rx=rx, ry=ry))
+    from fathomline.session import discard, materialize
+
+    few = materialize(first_of_copies(right, right_key, k), "right")
+    first = lambda todo: start / 2 ** halvings(todo, few, start, [(F.col(lx), F.col(rx)), (F.col(ly), F.col(ry))])
+    done = _grown(left, few, [key], right_key, k, first, lambda todo, radius: best_within(todo, few, key, right_key, radius, k, lx=lx, ly=ly, rx=rx, ry=ry))
+    discard(few)
+    return done
 
 
 def masked(candidates: DataFrame, targets: DataFrame, right_key: str, fold: str, folds: list[int], buffer: float, x: str = "x", y: str = "y", rx: str = "rx", ry: str = "ry") -> DataFrame:
@@ -280,7 +291,8 @@ def best_candidates(left: DataFrame, right: DataFrame, key: str, radius: float,
         near = 1 - distance / params.distance_scale_m
         return [-(params.distance_weight * near.clip(min=0.0) + params.name_weight * its[similarity]), distance]
 
-    pairs = best_within(left, right, key, "candidate", radius, params.top, order, others, **names)
+    few = first_of_copies(right, "candidate", params.top + others)
+    pairs = best_within(left, few, key, "candidate", radius, params.top, order, others, **names)
     return pairs.withColumn("score", candidate_score(F.col("distance"), F.col(similarity), params))
 
 

@@ -300,12 +300,12 @@ def _(spark, sf):
 @query("j20_best_line_match", f"WITH {POINTS}, c AS (SELECT a.vec_id, b.vec_id AS candidate, {PAIR} AS distance, b.label / 10.0 AS overlap, a.label / 10.0 AS name FROM points a JOIN points b ON a.vec_id <> b.vec_id WHERE {PAIR} <= 60), s AS (SELECT *, 2.5 * overlap + 0.75 * name - 0.30 * distance / 60 AS score FROM c) SELECT vec_id, candidate, round(score, 6) AS score, CASE WHEN distance <= 15 AND (overlap >= 0.5 OR name >= 0.5) THEN 'high' WHEN (distance <= 30 AND (overlap >= 0.2 OR name >= 0.25)) OR distance <= 8 THEN 'moderate' ELSE 'low' END AS status FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, overlap DESC, name DESC, distance, candidate) = 1")
 def _(spark, sf):
     from fathomline.operators import lines
-    from fathomline.operators.blocks import best_within
+    from fathomline.operators.blocks import best_within, first_of_copies
 
     p = points(spark, sf)
     other = p.select(F.col("vec_id").alias("candidate"), F.col("x").alias("rx"), F.col("y").alias("ry"), (F.col("label") / 10.0).alias("overlap"))
     own = p.select("vec_id", "x", "y", (F.col("label") / 10.0).alias("name_similarity"))
-    pairs = best_within(own, other, "vec_id", "candidate", 60.0, 1, lines.order_of_matches, others=True)
+    pairs = best_within(own, first_of_copies(other, "candidate", 2), "vec_id", "candidate", 60.0, 1, lines.order_of_matches, others=True)
     scored = pairs.withColumn("score", lines.match_score(F.col("overlap"), F.col("name_similarity"), F.col("distance")))
     best = lines.best_match(scored, "vec_id", "candidate")
     return best.select("vec_id", "candidate", F.round("score", 6).alias("score"), lines.match_status(F.col("distance"), F.col("overlap"), F.col("name_similarity")).alias("status"))
@@ -325,7 +325,6 @@ def _(spark, sf):
 
 @query("j23_greedy_assignment")
 def _(spark, sf):
-    from fathomline.operators.panel import mutual_best
+    from fathomline.operators.assignment import assign_among
 
-    pairs = others_within(spark, sf, 25.0).select("vec_id", "other_id", "distance")
-    return mutual_best(pairs, "vec_id", "other_id", [F.col("distance")])
+    return assign_among(points(spark, sf), "vec_id", "other_id", 25.0)
