@@ -4,7 +4,9 @@ A polygon is an array of rings, the outer one first, its holes behind; rows of o
 not vertical stands for the trapezoid between it and a base line. With a sign from its direction and its ring's role, the
 trapezoids of a unit add up to 1 inside it and 0 outside, so the area that two units share is the sum over pairs of their
 edges of sign x sign x area shared by two trapezoids, which is exact: the lower of two straight lines over a range of x.
-Edges are dealt to vertical strips, and a pair of edges is met in the strip where its common range begins.
+Units of one row, few edges and about the size of a cell meet in blocks of cells, where a pair's edges are summed at once,
+so that no row is written for a pair of edges. For the rest edges are dealt to vertical strips, and a pair of edges is met
+in the strip where its common range begins.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fathomline.operators.blocks import met, number, pairs_of
+
 #: Shares from which a unit is the same as before, and from which nearly (fixed values).
 STABLE, NEAR_STABLE, LEAST_SHARE = 0.95, 0.90, 0.001
 
@@ -95,29 +99,163 @@ def _shared(base: Column) -> Column:
     return _lower_area(low, high, at("p", low), at("p", high), at("q", low), at("q", high))
 
 
-def overlay(a: DataFrame, b: DataFrame, unit_a: str, unit_b: str, rings_a: str, rings_b: str, cell: float, strip: float | None = None) -> DataFrame:
+def overlay(a: DataFrame, b: DataFrame, unit_a: str, unit_b: str, rings_a: str, rings_b: str, cell: float, strip: float | None = None, ordered: bool = False) -> DataFrame:
     """(unit_a, unit_b, area_a, area_b, intersection, share_of_source, share_of_target, iou) of units that share an area.
 
     ``cell`` is about the size of a unit, ``strip`` (an eighth of it by default) about the length of an edge. Rings with
     fewer than three points or no area, and null polygons, count for nothing. Shared areas below a 10 ** 12th of the
-    smaller unit are rounding and left out.
+    smaller unit are rounding and left out. ``ordered``: only pairs whose first unit is the smaller one.
     """
-    from fathomline.session import materialize
-
-    width = strip or cell / 8
-    ea, eb = (materialize(edges(df, u, r), "edges") for df, u, r in ((a, unit_a, rings_a), (b, unit_b, rings_b)))
-    pairs = materialize(touching(areas(ea), areas(eb), cell), "pairs")
-    as_ = lambda e, who, p: _strips(e, width).select(F.col("unit").alias(who), "strip", *[F.col(c).alias(f"{p}{c}") for c in ("xl", "yl", "xr", "yr", "sign")])
-    met = pairs.select("a", "b", "base").join(as_(ea, "a", "p"), "a").join(as_(eb, "b", "q"), ["b", "strip"])
-    met = met.where((F.greatest("pxl", "qxl") < F.least("pxr", "qxr")) & (F.floor(F.greatest("pxl", "qxl") / width) == F.col("strip")))
-    sums = met.groupBy("a", "b").agg(F.sum(F.col("psign") * F.col("qsign") * _shared(F.col("base"))).alias("intersection"))
-    both = pairs.join(sums, ["a", "b"]).where(F.col("intersection") > 1e-12 * F.least("area_a", "area_b"))
+    small_a, rest_a = _by_size(a, unit_a, rings_a, 2 * cell)
+    small_b, rest_b = _by_size(b, unit_b, rings_b, 2 * cell)
+    both = _in_blocks(small_a, small_b, 2 * cell, ordered)
+    if not (rest_a.isEmpty() and rest_b.isEmpty()):
+        both = both.unionByName(_in_strips(a, b, unit_a, unit_b, rings_a, rings_b, rest_a, rest_b, cell, strip or cell / 8, ordered))
+    both = both.where(F.col("intersection") > 1e-12 * F.least("area_a", "area_b"))
     return both.select(
         F.col("a").alias(unit_a), F.col("b").alias(unit_b), "area_a", "area_b", "intersection", F.try_divide("intersection", "area_a").alias("share_of_source"),
         F.try_divide("intersection", "area_b").alias("share_of_target"), F.try_divide("intersection", F.col("area_a") + F.col("area_b") - F.col("intersection")).alias("iou"),
     )
 
 
+def _in_strips(a: DataFrame, b: DataFrame, unit_a: str, unit_b: str, rings_a: str, rings_b: str, rest_a: DataFrame, rest_b: DataFrame, cell: float, width: float, ordered: bool) -> DataFrame:
+    """(a, b, area_a, area_b, intersection) of pairs of which one unit at least is in ``rest_a`` or ``rest_b``."""
+    from fathomline.session import materialize
+
+    ea, eb = (materialize(edges(df, u, r), "edges") for df, u, r in ((a, unit_a, rings_a), (b, unit_b, rings_b)))
+    of_a, of_b = areas(ea), areas(eb)
+    large_b = of_b.join(rest_b, "unit", "left_semi")
+    pairs = touching(of_a.join(rest_a, "unit", "left_semi"), of_b, cell).unionByName(touching(of_a.join(rest_a, "unit", "left_anti"), large_b, cell))
+    pairs = materialize(pairs.where("a < b") if ordered else pairs, "pairs")
+    as_ = lambda e, who, p: _strips(e, width).select(F.col("unit").alias(who), "strip", *[F.col(c).alias(f"{p}{c}") for c in ("xl", "yl", "xr", "yr", "sign")])
+    edge_pairs = pairs.select("a", "b", "base").join(as_(ea, "a", "p"), "a").join(as_(eb, "b", "q"), ["b", "strip"])
+    edge_pairs = edge_pairs.where((F.greatest("pxl", "qxl") < F.least("pxr", "qxr")) & (F.floor(F.greatest("pxl", "qxl") / width) == F.col("strip")))
+    sums = edge_pairs.groupBy("a", "b").agg(F.sum(F.col("psign") * F.col("qsign") * _shared(F.col("base"))).alias("intersection"))
+    return pairs.join(sums, ["a", "b"]).select("a", "b", "area_a", "area_b", "intersection")
+
+
+#: Edges of a unit that is met in blocks, and pairs of edges that are looked at at once.
+FEW_EDGES, EDGE_PAIRS = 64, 1 << 18
+
+
+class Polygons:
+    """Edges of polygons with holes as arrays (edge, polygon), as in ``Rings``, with areas and boxes."""
+
+    def __init__(self, polygons: pa.ListArray):
+        rings = polygons.flatten()
+        points = rings.flatten()
+        counts, n = (c.value_lengths().fill_null(0).to_numpy() for c in (polygons, rings))
+        of = np.repeat(np.arange(len(polygons)), counts)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+        ring = np.repeat(np.arange(len(n)), n)
+        xy = [points.field(points.type.get_field_index(c)) for c in ("x", "y")]
+        bare = np.asarray(points.is_null()) | np.asarray(xy[0].is_null()) | np.asarray(xy[1].is_null())
+        x, y = (c.fill_null(0.0).to_numpy() for c in xy)
+        begin = (np.cumsum(n) - n)[ring]
+        following = np.where(np.arange(len(ring)) + 1 < begin + n[ring], np.arange(len(ring)) + 1, begin)
+        nx, ny, fx, fy = x[following], y[following], x[begin], y[begin]
+        twice = np.bincount(ring, (x - fx) * (ny - fy) - (y - fy) * (nx - fx), minlength=len(n)).astype(float)
+        twice[(n < 3) | (np.bincount(ring, bare, minlength=len(n)) > 0)] = 0.0
+        role = np.where(place == 0, np.sign(twice), -np.sign(twice))
+        held = twice[ring] != 0
+        unit, sign = of[ring], role[ring] * np.sign(x - nx)
+        self.area = np.bincount(unit[held], (sign * np.abs(nx - x) * (y + ny) / 2)[held], minlength=len(polygons)).astype(float)
+        self.x0, self.y0 = np.full(len(polygons), np.inf), np.full(len(polygons), np.inf)
+        self.x1, self.y1 = -self.x0, -self.y0
+        for side, values, f in ((self.x0, x, np.minimum), (self.y0, y, np.minimum), (self.x1, x, np.maximum), (self.y1, y, np.maximum)):
+            f.at(side, unit[held], values[held])
+        self.floor = self.y0
+        # Rows of the arrays: an edge's number in its polygon.
+        on = held & (x != nx)
+        unit, swap = unit[on], (x > nx)[on]
+        self.edges = np.bincount(unit, minlength=len(polygons))
+        no = np.arange(len(unit)) - np.repeat(np.cumsum(self.edges) - self.edges, self.edges)
+        shape = (int(self.edges.max(initial=0)), len(polygons))
+        for name, values in (("xl", np.where(swap, nx[on], x[on])), ("yl", np.where(swap, ny[on], y[on])), ("xr", np.where(swap, x[on], nx[on])), ("yr", np.where(swap, y[on], ny[on])), ("sign", sign[on])):
+            rows = np.zeros(shape)
+            rows[no, unit] = values
+            setattr(self, name, rows)
+
+
+def polygon_areas(a: Polygons, b: Polygons, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Areas that the pairs a[at], b[to] share."""
+    out = np.zeros(len(at))
+    step = max(1, EDGE_PAIRS // max(1, len(a.sign) * len(b.sign)))
+    for begin in range(0, len(at), step):
+        mine, its = at[begin : begin + step], to[begin : begin + step]
+        low, high = np.maximum(a.xl[:, None, mine], b.xl[None, :, its]), np.minimum(a.xr[:, None, mine], b.xr[None, :, its])
+        sign = a.sign[:, None, mine] * b.sign[None, :, its]
+        i, j, n = np.nonzero((low < high) & (sign != 0))
+        low, high, sign, p, q = low[i, j, n], high[i, j, n], sign[i, j, n], mine[n], its[n]
+        under = np.minimum(a.floor[p], b.floor[q])
+
+        def heights(e: Polygons, edge: np.ndarray, row: np.ndarray, low=low, high=high, under=under) -> tuple[np.ndarray, np.ndarray]:
+            xl, yl = e.xl[edge, row], e.yl[edge, row]
+            rise = (e.yr[edge, row] - yl) / (e.xr[edge, row] - xl)
+            return yl + rise * (low - xl) - under, yl + rise * (high - xl) - under
+
+        (pl, pr), (ql, qr) = heights(a, i, p), heights(b, j, q)
+        dl, dr = pl - ql, pr - qr
+        left, right = np.minimum(pl, ql), np.minimum(pr, qr)
+        crossed = dl * dr < 0
+        t = np.divide(dl, dl - dr, out=np.zeros(len(n)), where=crossed)
+        middle = pl + t * (pr - pl)
+        out[begin : begin + step] = np.bincount(n, sign * (high - low) / 2 * np.where(crossed, t * (left + middle) + (1 - t) * (middle + right), left + right), minlength=len(mine))
+    return np.maximum(out, 0.0)
+
+
+BOX = ("area", "x0", "y0", "x1", "y1")
+
+
+def _by_size(polygons: DataFrame, unit: str, rings: str, side: float) -> tuple[DataFrame, DataFrame]:
+    """(unit, rings, area, x0, y0, x1, y1) of units of one row, few edges and a box of this side at most, and (unit) of the others (holes alone as well)."""
+    from fathomline.session import materialize
+
+    numbers = F.transform(F.col(rings), lambda r: F.transform(r, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))))
+    known = polygons.select(F.col(unit).alias("unit"), numbers.alias("rings")).where("unit IS NOT NULL")
+    schema = T.StructType([*known.schema.fields, T.StructField("edges", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in BOX)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = Polygons(batch.column(1))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.edges), *(pa.array(getattr(found, c)) for c in BOX)], schema.names)
+
+    measured = known.mapInArrow(run, schema).where("edges > 0")
+    fits = (F.col("edges") <= FEW_EDGES) & (F.col("x1") - F.col("x0") <= side) & (F.col("y1") - F.col("y0") <= side) & (F.col("area") > 0) & (F.col("area") < F.lit(float("inf")))
+    parts = known.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("unit")
+    rest = materialize(measured.where(~fits).select("unit").union(parts).distinct(), "rest")
+    small = measured.where(fits).drop("edges")
+    return (small if rest.isEmpty() else small.join(rest, "unit", "left_anti")), rest
+
+
+def _in_blocks(a: DataFrame, b: DataFrame, side: float, ordered: bool) -> DataFrame:
+    """(a, b, area_a, area_b, intersection) of small units whose boxes meet."""
+    left = a.withColumnsRenamed({"unit": "a", "rings": "rings_a"} | {c: f"{c}_a" for c in BOX})
+    right = b.withColumnsRenamed({"unit": "b", "rings": "rings_b"} | {c: f"{c}_b" for c in BOX})
+    schema = T.StructType([left.schema["a"], right.schema["b"], *(T.StructField(c, T.DoubleType()) for c in ("area_a", "area_b", "intersection"))])
+
+    def pairs(mine: pa.RecordBatch) -> Callable:
+        ours = Polygons(mine.column(mine.schema.get_field_index("rings_a")))
+
+        def of(other: pa.RecordBatch) -> list[pa.Array]:
+            box = lambda batch, who: [number(batch, f"{c}_{who}") for c in ("x0", "y0", "x1", "y1")]
+            (x0, y0, x1, y1), (rx0, ry0, rx1, ry1) = box(mine, "a"), box(other, "b")
+            ok = (x0[:, None] < rx1) & (rx0 < x1[:, None]) & (y0[:, None] < ry1) & (ry0 < y1[:, None])
+            if ordered:
+                ok &= number(mine, "a")[:, None] < number(other, "b")
+            at, to = np.nonzero(ok)
+            shared = polygon_areas(ours, Polygons(other.column(other.schema.get_field_index("rings_b"))), at, to) if len(at) else np.zeros(0)
+            some = shared > 0
+            at, to, shared = at[some], to[some], shared[some]
+            take = lambda batch, c, rows: batch.column(batch.schema.get_field_index(c)).take(pa.array(rows))
+            return [take(mine, "a", at), take(other, "b", to), take(mine, "area_a", at), take(other, "area_b", to), pa.array(shared)]
+
+        return of
+
+    return pairs_of(met(left, right, side, [(F.col("x0_a"), F.col("x0_b")), (F.col("y0_a"), F.col("y0_b"))]), left, right, schema, pairs)
+
+
 def _parts_of(points: Column) -> Column:
     """A ring's edges that are not vertical as array<struct(xl, yl, xr, yr, s)>."""
     n = F.size(points)

@@ -155,7 +155,7 @@ def stars(spark, sf):
 FROM shared s JOIN whole a ON a.vec_id = s.vec_id JOIN whole b ON b.vec_id = s.other_id WHERE i > 0.001""")
 def _(spark, sf):
     s = stars(spark, sf)
-    o = overlay.overlay(s, s.withColumnRenamed("vec_id", "other_id"), "vec_id", "other_id", "rings", "rings", 10.0).where("vec_id < other_id AND intersection > 0.001")
+    o = overlay.overlay(s, s.withColumnRenamed("vec_id", "other_id"), "vec_id", "other_id", "rings", "rings", 10.0, ordered=True).where("vec_id < other_id AND intersection > 0.001")
     return o.select("vec_id", "other_id", F.round("intersection", 4).alias("intersection"), *[F.round(c, 5).alias(c) for c in ("share_of_source", "share_of_target", "iou")])
 
 
