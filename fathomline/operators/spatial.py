@@ -185,7 +185,7 @@ def _grown(left: DataFrame, right: DataFrame, key: list[str], right_key: str, k:
         todo = materialize(left.join(counts, list(by)), "todo")
     else:
         todo = materialize(left.withColumn("_need", F.lit(min(k, right.count())).cast("long")), "todo")
-    radius, done = start(todo) if callable(start) else start, None
+    radius, done, rows = start(todo) if callable(start) else start, None, todo.count()
     while True:
         found = materialize(within(todo, radius).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k), "nearest")
         full = found.where(F.col("place") == F.col("_need")).select(*key)
@@ -193,10 +193,11 @@ def _grown(left: DataFrame, right: DataFrame, key: list[str], right_key: str, k:
         done = part if done is None else done.unionByName(part)
         before, todo = todo, materialize(todo.where("_need > 0").join(full, key, "left_anti"), "todo")
         discard(before)
-        if todo.isEmpty():
+        if not (lack := todo.count()):
             discard(todo)
             return done
-        radius *= 2
+        # A few rows far from all others may meet 16 times as many at once; each round costs a pass over the right side.
+        radius *= 4 if lack * 64 <= rows else 2
 
 
 def nearest_join(
