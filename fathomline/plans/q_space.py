@@ -273,15 +273,31 @@ SELECT vec_id, candidate, round(distance, 6) AS distance, round(overlap, 6) AS o
 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, overlap DESC, name DESC, distance, candidate) = 1""")
 def _(spark, sf):
     from fathomline.operators import lines
+    from fathomline.operators.matching import OURS, THEIRS, best_segment_matches
 
     p = points(spark, sf)
+    ends = (F.col("x"), F.col("y"), F.col("x") + 20, F.col("y") + F.col("label"))
+    left = p.select("vec_id", F.col("label").alias("name"), *[e.alias(c) for e, c in zip(ends, OURS)])
+    right = p.select(F.col("vec_id").alias("candidate"), F.col("label").alias("other_name"), *[e.alias(c) for e, c in zip(ends, THEIRS)])
+    best = best_segment_matches(left, right, "vec_id", "candidate", 60.0, 12.0)
+    if not p.where("label IS NULL").isEmpty():
+        best = lines.best_match(best.unionByName(_matches_without_label(p)), "vec_id", "candidate")
+    # Of nine digits one number in a thousand is a half of the sixth: the product is rounded, as SQL does.
+    return best.select("vec_id", "candidate", *[(F.round(F.col(c) * 1e6) / 1e6).alias(c) for c in ("distance", "overlap", "score")], lines.match_status(F.col("distance"), F.col("overlap"), F.col("name_similarity")).alias("status"))
+
+
+def _matches_without_label(p):
+    """Best matches of the pairs in which a label, and so the height of a line's end, is null: their scores are null and come last."""
+    from fathomline.operators import lines
+
     line = F.array(F.struct("x", "y"), F.struct((F.col("x") + 20).alias("x"), (F.col("y") + F.col("label")).alias("y")))
     left = p.select("vec_id", "label", line.alias("line"))
     right = p.select(F.col("vec_id").alias("candidate"), F.col("label").alias("other_label"), line.alias("other"))
-    pairs = lines.line_join(left, right, "line", "other", 60.0).where("vec_id <> candidate")
+    some = lines.line_join(left.where("label IS NULL"), right, "line", "other", 60.0).unionByName(lines.line_join(left.where("label IS NOT NULL"), right.where("other_label IS NULL"), "line", "other", 60.0))
+    pairs = some.where("vec_id <> candidate")
     same = pairs.withColumn("overlap", F.round(lines.overlap_share_near(F.col("line"), F.col("other"), F.col("distance"), 12.0), 9)).withColumn("distance", F.round("distance", 9)).withColumn("name_similarity", (F.col("label") == F.col("other_label")).cast("double"))
-    best = lines.best_match(same.withColumn("score", F.round(lines.match_score(F.col("overlap"), F.col("name_similarity"), F.col("distance")), 9)), "vec_id", "candidate")
-    return best.select("vec_id", "candidate", *[F.round(c, 6).alias(c) for c in ("distance", "overlap", "score")], lines.match_status(F.col("distance"), F.col("overlap"), F.col("name_similarity")).alias("status"))
+    scored = same.withColumn("score", F.round(lines.match_score(F.col("overlap"), F.col("name_similarity"), F.col("distance")), 9))
+    return lines.best_match(scored, "vec_id", "candidate").select("vec_id", "candidate", "distance", "overlap", "name_similarity", "score")
 
 
 @query("j22_polygon_join", f"""WITH {POINTS}, c AS (SELECT label AS unit, round(avg(x), 3) AS cx, round(avg(y), 3) AS cy FROM points GROUP BY label),
